@@ -4,15 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup
-from .common import table
+from pyspark.sql import functions as F
+
+from . import decontam, dedup, langid
+from .common import Workspace, crc_mod, table
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {"op5_near_duplicates": op5_near_duplicates}
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs, Workspace(spark, "langid")))
+    return found.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score", "question_overlap", "answer_overlap")
+
+
+QUERIES = {
+    "op5_near_duplicates": op5_near_duplicates,
+    "op7_language_id": op7_language_id,
+    "op8_decontamination": op8_decontamination,
+}
 
 SQL = {
     "op5_near_duplicates": r"""
