@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, bounded, text_key
+from .textstats import WordHasher, windows
 
 COORDS = 64
 #: Minwise tokens of two sets of similarity 0.8 that agree are 51 of 64 on average, standard deviation 3.2.
@@ -29,33 +30,18 @@ def _constants(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**64, n, dtype=np.uint64), rng.integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
 class ShingleHasher:
-    """64-bit hashes of the distinct word shingles of a text; word hashes are cached up to a fixed number."""
+    """64-bit hashes of the distinct word shingles of a text."""
 
-    def __init__(self, width: int = 2, cache: int = 500_000):
-        self.width, self.most, self.known = width, cache, {}
+    def __init__(self, width: int = 2):
+        self.width, self.words = width, WordHasher()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower() changes A-Z only
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        k = min(self.width, len(words))
+        h = self.words((text or "").encode("utf-8", "surrogatepass").lower().split())  # bytes.lower() changes A-Z only
+        if not len(h):
+            return h
         # a whole sequence shorter than a shingle is a token of its own kind
-        acc = np.full(len(h) - k + 1, 0x9E3779B97F4A7C15 + k, np.uint64)
-        for i in range(k):
-            acc = _mix(acc * np.uint64(0x100000001B3) + h[i : len(h) - k + 1 + i])
-        return np.unique(acc)
+        return np.unique(windows(h, self.width) if len(h) >= self.width else ~windows(h, len(h)))
 
 
 def minwise(tokens: np.ndarray, xors: np.ndarray, odds: np.ndarray) -> np.ndarray:
