@@ -4,13 +4,15 @@ Every distinct shingle set gets a signature of 64 minwise tokens.  Independent t
 a node is the path of minwise tokens chosen so far, and its sets agree on all of them.  A node of at most
 ``leaf_size`` sets is compared exhaustively; a larger one chooses two further tokens and branches, so that a pair of
 similarity s survives a level with probability 1 - (1 - s q)^2 (q: that of the level below).  With s = 0.8, eight
-trees and four levels this is a recall above 0.9999 for a single pair.  Nodes that are still large at the last level
-hold groups of near copies: their members are first linked with the node's first set, and only the pairs that this
-leaves in different components are compared, block by block.  Every link is confirmed on the full shingle sets.
+trees and four levels this is a recall above 0.9999 for a single pair.  Large nodes hold groups of near copies: their
+sets are first linked with central ones, and only pairs that this leaves in different components are compared, in the
+small nodes and, block by block, in those still large at the last level.  Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -109,11 +111,11 @@ def _children(big: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def _leaf_pairs(rows: DataFrame, agree: int, block: bool = False) -> DataFrame:
-    """Pairs within a node, of different components if these are given, whose signatures agree often enough.
+def _leaf_pairs(rows: DataFrame, agree: int) -> DataFrame:
+    """Pairs within a node and of different components whose signatures agree often enough.
 
-    ``rows``: node, rid, sk (low bytes of the signature), comp; with ``block`` also side (0 or 1) and cross: in a node
-    of two sides only pairs across are taken.  Rows of a node arrive together and are at most a leaf or two blocks.
+    ``rows``: node, rid, sk (low bytes of the signature), comp, side.  In a node of two sides only pairs across are
+    taken.  Rows of a node arrive together and are at most a leaf or two blocks.
     """
 
     def pairs(rid, sk, comp, side):
@@ -136,7 +138,7 @@ def _leaf_pairs(rows: DataFrame, agree: int, block: bool = False) -> DataFrame:
             node, rid, sk, comp, side = cols
             edges = np.flatnonzero(np.diff(node)) + 1
             for lo, hi in zip([0, *edges], [*edges, len(node)]):
-                if hi - lo > 1 and (found := pairs(rid[lo:hi], sk[lo:hi], comp[lo:hi], side[lo:hi] if block and side[lo:hi].any() else None)):
+                if hi - lo > 1 and (found := pairs(rid[lo:hi], sk[lo:hi], comp[lo:hi], side[lo:hi] if side[lo:hi].any() else None)):
                     yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
         for b in batches:
@@ -206,40 +208,29 @@ def near_duplicates(docs: DataFrame, width: int = 2, share: int = 80, trees: int
     grouped = sk.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("sk").alias("sk"))
     classes = ws.save(grouped.withColumn("rid", F.monotonically_increasing_id()), "classes")
 
-    rows, leaves, deep = _roots(classes, trees), [], None
+    rows, leaves, large = _roots(classes, trees), [], []
     for level in range(1, levels + 1):
         rows = ws.save(rows, f"rows-{level}")
         sizes = ws.save(rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"), f"sizes-{level}")
-        met = ws.save(rows.join(sizes, "node"), f"met-{level}")
-        ws.drop(f"rows-{level}")
-        leaves.append(met.where(F.col("m") <= leaf_size).select("node", "rid"))
-        if sizes.where(F.col("m") > leaf_size).limit(1).isEmpty():
+        met = ws.save(rows.join(sizes, "node").withColumn("level", F.lit(level)), f"met-{level}")
+        ws.drop(f"rows-{level}", f"sizes-{level}")
+        leaves.append(met.where(F.col("m") <= leaf_size))
+        large.append(met.where(F.col("m") > leaf_size))
+        if large[-1].limit(1).isEmpty():
             break
-        if level == levels:
-            deep = met.where(F.col("m") > leaf_size).select("node", "rid", "m")
-        else:
-            rows = _children(met.where(F.col("m") > leaf_size), classes)
-
-    low = classes.select("rid", "sk")
-    small = leaves[0]
-    for more in leaves[1:]:
-        small = small.union(more)
-    pairs = _leaf_pairs(small.join(low, "rid").withColumns({"comp": F.col("rid"), "side": F.lit(False)}), agree)
-    if deep is not None:
-        hubs = deep.groupBy("node").agg(F.min("rid").alias("hub"))
-        hubs = ws.save(hubs, "hubs")
-        pairs = pairs.union(deep.join(hubs, "node").where("rid > hub").select(F.col("hub").alias("a"), F.col("rid").alias("b"))).distinct()
-    links = confirmed(pairs, classes, docs, ws, "first", width, share)
-    comps = ws.save(components(links, ws, "first"), "comps-first")
-    if deep is not None:
-        left = deep.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-        left = ws.save(left, "deep")
-        mixed = left.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
-        left = ws.save(left.join(mixed, "node"), "mixed")
-        if not left.limit(1).isEmpty():
-            pairs = _leaf_pairs(_blocks(left, block_size).join(low, "rid"), agree, block=True)
-            links = ws.save(links.union(confirmed(pairs, classes, docs, ws, "second", width, share)), "links")
-            comps = ws.save(components(links, ws, "second"), "comps-second")
+        rows = _children(large[-1], classes)
+
+    comps, links = None, None
+    if len(large) > 1 or not large[0].limit(1).isEmpty():
+        stars = _stars(reduce(DataFrame.union, large), classes, ws, agree)
+        links = confirmed(stars, classes, docs, ws, "stars", width, share)
+        comps = ws.save(components(links, ws, "stars"), "stars-comps")
+    parts = [rows.select("node", "rid", F.lit(False).alias("side")) for rows in leaves] + [_blocks(large[-1], block_size)]
+    rows = reduce(DataFrame.union, parts).join(classes.select("rid", "sk"), "rid")
+    rows = rows.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid")) if comps else rows.withColumn("comp", F.col("rid"))
+    found = confirmed(_leaf_pairs(rows, agree), classes, docs, ws, "leaves", width, share)
+    ws.drop(*[f"met-{k + 1}" for k in range(len(large))])
+    comps = ws.save(components(links.union(found) if links else found, ws, "all"), "all-comps")
     named = classes.select("rid", "fp", "doc_id").join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = ws.save(named.select("fp", "comp").join(ws.save(names, "names"), "comp").select("fp", "component_id"), "named")
@@ -247,12 +238,31 @@ def near_duplicates(docs: DataFrame, width: int = 2, share: int = 80, trees: int
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _stars(large: DataFrame, classes: DataFrame, ws: Workspace, agree: int) -> DataFrame:
+    """One pair (a, b) for each set in a large node: itself and a central set of the deepest such node.
+
+    The sets that stay in most large nodes agree with most of their group; each node's hub is that which stays in most.
+    In a group of near copies this links nearly all with few hubs, so that the exhaustive comparison, which leaves out
+    what is linked already, has no pairs in the square of the group to find.
+    """
+    stays = ws.save(large.groupBy("rid").agg(F.count("*").alias("stays")), "stays")
+    rows = ws.save(large.select("node", "rid", "level").join(stays, "rid"), "staying")
+    hubs = ws.save(rows.groupBy("node").agg(F.max(F.struct("stays", "rid")).alias("hub")), "hubs")
+    best = rows.join(hubs, "node").where(F.col("rid") != F.col("hub.rid")).groupBy("rid").agg(F.max(F.struct("level", "hub.stays", "hub.rid")).alias("best"))
+    pairs = ws.save(best.select("rid", F.col("best.rid").alias("hub")), "hubs-of")
+    ws.drop("stays", "staying", "hubs")
+    signs = classes.select("rid", "sig")
+    pairs = pairs.join(signs, "rid").join(signs.select(F.col("rid").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+    alike = F.size(F.filter(F.zip_with("sig", "hub_sig", lambda x, y: x == y), lambda x: x)) >= agree
+    return pairs.where(alike).select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct()
+
+
 def _blocks(rows: DataFrame, block_size: int) -> DataFrame:
-    """Deals each node's sets to blocks and pairs the blocks: node (of a pair of blocks), rid, comp, side.
+    """Deals each node's sets to blocks and pairs the blocks: node (of a pair of blocks), rid, side.
 
     A set goes once to each pair that its block is part of, so a node of m sets gives m * (m / block_size) rows.
     """
     blocks = F.ceil(F.col("m") / block_size).cast("int")
     own = F.pmod(F.xxhash64("rid"), blocks).cast("int")
     to = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j"))))
-    return rows.select("node", "rid", "comp", own.alias("own"), to.alias("p")).select(F.xxhash64("node", "p.i", "p.j").alias("node"), "rid", "comp", (F.col("own") != F.col("p.i")).alias("side"))
+    return rows.select("node", "rid", own.alias("own"), to.alias("p")).select(F.xxhash64("node", "p.i", "p.j").alias("node"), "rid", (F.col("own") != F.col("p.i")).alias("side"))

@@ -49,17 +49,16 @@ def split_url(url: Column) -> tuple[Column, Column]:
 def grams(host: Column, path: Column) -> Column:
     """The distinct places of the character 3- and 4-grams of ``^host$`` and of ``^path$``."""
 
+    def runs(codes: Column, k: int, salt: int) -> Column:
+        at = F.when(F.size(codes) >= k, F.sequence(F.lit(0), F.size(codes) - k)).otherwise(F.array().cast("array<int>"))
+        code = lambda i: sum((F.get(codes, i + j) * 131**j for j in range(k)), F.lit(salt * 7919 + k * 104729).cast("long"))
+        return F.transform(at, lambda i: F.pmod(F.pmod(code(i), F.lit(1000003)) * 31, F.lit(PLACES)).cast("int"))
+
     def places(text: Column, salt: int) -> Column:
         codes = F.transform(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: F.ascii(c).cast("long"))
-        codes = F.filter(codes, lambda c: c > 0)
-        n = F.size(codes)
-
-        def runs(k: int) -> Column:
-            at = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-            code = lambda i: sum((F.get(codes, i + j) * 131**j for j in range(k)), F.lit(salt * 7919 + k * 104729).cast("long"))
-            return F.transform(at, lambda i: F.pmod(F.pmod(code(i), F.lit(1000003)) * 31, F.lit(PLACES)).cast("int"))
-
-        return F.concat(runs(3), runs(4))
+        # inside a lambda the codes are a variable, computed once for all n-grams
+        bound = F.transform(F.array(F.filter(codes, lambda c: c > 0)), lambda c: F.concat(runs(c, 3, salt), runs(c, 4, salt)))
+        return F.get(bound, F.lit(0))
 
     return F.array_distinct(F.concat(places(host, 1), places(path, 2)))
 
@@ -69,13 +68,16 @@ def fit(spark: SparkSession, labelled=LABELLED) -> list[float]:
     rows = spark.createDataFrame([(i, u, float(y)) for i, (u, y) in enumerate(labelled)], "r int, url string, y double")
     host, path = split_url(F.col("url"))
     rows = rows.select("r", "y", grams(host, path).alias("g"))
-    one = rows.agg(F.array_sort(F.collect_list(F.struct("r", "y", "g"))).alias("t"))
-    one = one.select("t", F.transform("t", lambda a: F.transform(F.col("t"), lambda b: F.size(F.array_intersect(a["g"], b["g"])) + F.lit(1.0))).alias("k"))
+    each = rows.select("r", F.explode("g").alias("p"))
+    common = each.join(each.withColumnRenamed("r", "s"), "p").groupBy("r", "s").count()
+    common = common.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("s", "count"))).alias("m"))
+    gram = rows.join(common, "r").withColumn("k", F.transform(F.sequence(F.lit(0), F.lit(len(labelled) - 1)), lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0)) + F.lit(1.0)))
+    one = gram.agg(F.array_sort(F.collect_list(F.struct("r", "y", "g", "k"))).alias("t"))
     zeros = F.transform("t", lambda a: F.lit(0.0))
 
     def step(alpha: Column, _: Column) -> Column:
         def one_row(a: Column, i: Column) -> Column:
-            z = F.aggregate(F.zip_with(F.get("k", i), alpha, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+            z = F.aggregate(F.zip_with(F.get("t", i)["k"], alpha, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
             return a + RATE * (F.get("t", i)["y"] - 1.0 / (1.0 + F.exp(-z)) - RIDGE * a)
 
         return F.transform(alpha, one_row)

@@ -95,7 +95,7 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = 64 << 20, compress
             for page_id, url, html, digest, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "payload_digest", "refers_to"))):
                 if out is None:
                     path, records, size = f"{root}/{uuid.uuid4().hex}.warc" + ".gz" * compress, 0, 0
-                    out = store.open_output_stream(path)
+                    out = store.open_output_stream(path, compression=None)
                 data = record_bytes(page_id, url, (html or "").encode("utf-8", "surrogatepass"), digest, refers, date)
                 data = gzip_member(data) if compress else data
                 out.write(data)
