@@ -25,6 +25,8 @@ from .textstats import WordHasher, windows
 COORDS = 64
 #: Minwise tokens of two sets of similarity 0.8 that agree are 51 of 64 on average, standard deviation 3.2.
 AGREE = 36
+#: Bins of the one-permutation sketch, a byte each; 0 stands for an empty bin.
+BINS = 256
 
 
 def _constants(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +57,34 @@ def minwise(tokens: np.ndarray, xors: np.ndarray, odds: np.ndarray) -> np.ndarra
     return out.astype(np.uint32)
 
 
+def bin_sketch(tokens: np.ndarray) -> bytes:
+    """The least token of each of 256 ranges, by a byte of its hash; ``tokens`` are sorted."""
+    at = np.searchsorted(tokens, np.arange(BINS, dtype=np.uint64) << np.uint64(56))
+    full = np.diff(at, append=len(tokens)) > 0
+    out = np.zeros(BINS, np.uint8)
+    out[full] = (tokens[at[full]] >> np.uint64(20)) % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def may_link(sk: np.ndarray, n: np.ndarray, one: np.ndarray, own: int, share: float) -> np.ndarray:
+    """Which sets may have the similarity ``share`` with one: sizes allow it, and so do the bins.
+
+    Of the u bins that either fills, share * u hold the same token on average.  The deviation is that of u draws without
+    replacement from the union, which for small sets leaves next to none; 4.5 deviations and 1.5 bins are allowed.
+    """
+    ok = np.minimum(n, own) >= share * np.maximum(n, own)
+    at = np.flatnonzero(ok)
+    if len(at):
+        part = sk[at]
+        u = np.count_nonzero(part | one, axis=1)
+        same = np.count_nonzero(part == one, axis=1) - (BINS - u)
+        union = np.maximum((n[at] + own) / (1 + share), u)
+        ok[at] = same + 4.5 * np.sqrt(share * (1 - share) * u * (1 - u / union)) + 1.5 >= share * u
+    return ok
+
+
 def sketches(docs: DataFrame, width: int = 2, seed: int = 5) -> DataFrame:
-    """doc_id, text_key, n (set size), fp (128-bit fingerprint of the set), sig (64 minwise tokens), sk (their low bytes)."""
+    """doc_id, text_key, n (set size), fp (128-bit fingerprint of the set), sig (64 minwise tokens), sk (bin sketch)."""
 
     def run(batches):
         hasher, (xors, odds) = ShingleHasher(width), _constants(seed, COORDS)
@@ -67,7 +95,7 @@ def sketches(docs: DataFrame, width: int = 2, seed: int = 5) -> DataFrame:
                 ns.append(len(tokens))
                 fps.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
                 sigs.append(minwise(tokens, xors, odds).view(np.int32) if len(tokens) else np.zeros(COORDS, np.int32))
-                low.append(sigs[-1].astype(np.uint8).tobytes())
+                low.append(bin_sketch(tokens))
             flat = np.concatenate(sigs) if sigs else np.empty(0, np.int32)
             sig = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, COORDS), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), sig, pa.array(low, pa.binary())], ["doc_id", "text_key", "n", "fp", "sig", "sk"])
@@ -111,22 +139,22 @@ def _children(big: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def _leaf_pairs(rows: DataFrame, agree: int) -> DataFrame:
-    """Pairs within a node and of different components whose signatures agree often enough.
+def _leaf_pairs(rows: DataFrame, share: int) -> DataFrame:
+    """Pairs within a node and of different components whose sizes and sketches allow a link.
 
-    ``rows``: node, rid, sk (low bytes of the signature), comp, side.  In a node of two sides only pairs across are
-    taken.  Rows of a node arrive together and are at most a leaf or two blocks.
+    ``rows``: node, rid, n, sk, comp, side.  In a node of two sides only pairs across are taken.  Rows of a node arrive
+    together and are at most a leaf or two blocks.
     """
 
-    def pairs(rid, sk, comp, side):
+    def pairs(rid, n, sk, comp, side):
         out_a, out_b = [], []
         for i in range(0, len(rid) - 1):
-            rest = slice(i + 1, None)
-            hit = (np.count_nonzero(sk[rest] == sk[i], axis=1) >= agree) & (comp[rest] != comp[i])
+            rest = comp[i + 1 :] != comp[i]
             if side is not None:
-                hit &= side[rest] != side[i]
-            if hit.any():
-                j = np.flatnonzero(hit) + i + 1
+                rest &= side[i + 1 :] != side[i]
+            j = np.flatnonzero(rest) + i + 1
+            if len(j):
+                j = j[may_link(sk[j], n[j], sk[i], n[i], share / 100)]
                 out_a.append(np.minimum(rid[i], rid[j]))
                 out_b.append(np.maximum(rid[i], rid[j]))
         return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else None
@@ -135,22 +163,23 @@ def _leaf_pairs(rows: DataFrame, agree: int) -> DataFrame:
         held: list = []
 
         def groups(cols):
-            node, rid, sk, comp, side = cols
-            edges = np.flatnonzero(np.diff(node)) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(node)]):
-                if hi - lo > 1 and (found := pairs(rid[lo:hi], sk[lo:hi], comp[lo:hi], side[lo:hi] if side[lo:hi].any() else None)):
+            edges = np.flatnonzero(np.diff(cols[0])) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(cols[0])]):
+                _, rid, n, sk, comp, side = (x[lo:hi] for x in cols)
+                if hi - lo > 1 and (found := pairs(rid, n, sk, comp, side if side.any() else None)):
                     yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            sk = np.frombuffer(b"".join(b.column("sk").to_pylist()), np.uint8).reshape(-1, COORDS)
-            cols = [b.column("node").to_numpy(), b.column("rid").to_numpy(), sk, b.column("comp").to_numpy(), b.column("side").to_numpy(zero_copy_only=False)]
+            sk = np.frombuffer(b"".join(b.column("sk").to_pylist()), np.uint8).reshape(-1, BINS)
+            cols = [b.column(x).to_numpy() for x in ("node", "rid", "n")] + [sk, b.column("comp").to_numpy(), b.column("side").to_numpy(zero_copy_only=False)]
             if held:
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
-            last = len(cols[0]) - int(np.argmax((cols[0] != cols[0][-1])[::-1])) if (cols[0] != cols[0][-1]).any() else 0
-            yield from groups([c[:last] for c in cols]) if last else ()
-            held = [c[last:] for c in cols]
+                cols = [np.concatenate([h, x]) for h, x in zip(held, cols)]
+            other = cols[0] != cols[0][-1]
+            last = len(other) - int(np.argmax(other[::-1])) if other.any() else 0
+            yield from groups([x[:last] for x in cols]) if last else ()
+            held = [x[last:] for x in cols]
         if held:
             yield from groups(held)
 
@@ -205,7 +234,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, share: int = 80, trees: int
     spark = docs.sparkSession
     ws = Workspace(spark, "dedup")
     sk = ws.save(sketches(docs, width), "sketches")
-    grouped = sk.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("sk").alias("sk"))
+    grouped = sk.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sk").alias("sk"))
     classes = ws.save(grouped.withColumn("rid", F.monotonically_increasing_id()), "classes")
 
     rows, leaves, large = _roots(classes, trees), [], []
@@ -226,9 +255,9 @@ def near_duplicates(docs: DataFrame, width: int = 2, share: int = 80, trees: int
         links = confirmed(stars, classes, docs, ws, "stars", width, share)
         comps = ws.save(components(links, ws, "stars"), "stars-comps")
     parts = [rows.select("node", "rid", F.lit(False).alias("side")) for rows in leaves] + [_blocks(large[-1], block_size)]
-    rows = reduce(DataFrame.union, parts).join(classes.select("rid", "sk"), "rid")
+    rows = reduce(DataFrame.union, parts).join(classes.select("rid", "n", "sk"), "rid")
     rows = rows.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid")) if comps else rows.withColumn("comp", F.col("rid"))
-    found = confirmed(_leaf_pairs(rows, agree), classes, docs, ws, "leaves", width, share)
+    found = confirmed(_leaf_pairs(rows, share), classes, docs, ws, "leaves", width, share)
     ws.drop(*[f"met-{k + 1}" for k in range(len(large))])
     comps = ws.save(components(links.union(found) if links else found, ws, "all"), "all-comps")
     named = classes.select("rid", "fp", "doc_id").join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
