@@ -3,8 +3,8 @@
 Every distinct shingle set gets a signature of 64 minwise tokens.  Independent trees branch the sets recursively:
 a node is the path of minwise tokens chosen so far, and its sets agree on all of them.  A node of at most
 ``leaf_size`` sets is compared exhaustively; a larger one chooses two further tokens and branches, so that a pair of
-similarity s survives a level with probability 1 - (1 - s q)^2 (q: that of the level below).  With s = 0.8, eight
-trees and four levels this is a recall above 0.9999 for a single pair.  Large nodes hold groups of near copies: their
+similarity s survives a level with probability 1 - (1 - s q)^2 (q: that of the level below).  With s = 0.8, six
+trees and three levels this is a recall above 0.9997 for a single pair.  Large nodes hold groups of near copies: their
 sets are first linked with central ones, and only pairs that this leaves in different components are compared, in the
 small nodes and, block by block, in those still large at the last level.  Every link is confirmed on the full sets.
 """
@@ -139,68 +139,109 @@ def _children(big: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def _leaf_pairs(rows: DataFrame, share: int) -> DataFrame:
-    """Pairs within a node and of different components whose sizes and sketches allow a link.
+def _by_node(batches, names: list[str], work):
+    """Calls ``work`` with the columns of each node; rows come sorted by node, and a node may span batches."""
+    held: list = []
+
+    def groups(cols):
+        edges = np.flatnonzero(np.diff(cols[0])) + 1
+        for lo, hi in zip([0, *edges], [*edges, len(cols[0])]):
+            if hi - lo > 1 and (out := work(*(x[lo:hi] for x in cols))) is not None:
+                yield out
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = []
+        for x in names:
+            if x == "sk":
+                cols.append(np.frombuffer(b"".join(b.column(x).to_pylist()), np.uint8).reshape(-1, BINS))
+            elif x == "tokens":
+                cols.append(np.array([None, *(np.array(t).view(np.uint64) for t in b.column(x).to_numpy(zero_copy_only=False))], dtype=object)[1:])
+            else:
+                cols.append(b.column(x).to_numpy(zero_copy_only=False))
+        if held:
+            cols = [np.concatenate([h, x]) for h, x in zip(held, cols)]
+        other = cols[0] != cols[0][-1]
+        last = len(other) - int(np.argmax(other[::-1])) if other.any() else 0
+        yield from groups([x[:last] for x in cols]) if last else ()
+        held = [x[last:] for x in cols]
+    if held:
+        yield from groups(held)
+
+
+def _open_pairs(n, sk, comp, side, share: int):
+    """For each row i, the later rows of another component (and of the other side, if there are two) that may link."""
+    two = side if side.any() else None
+    for i in range(len(n) - 1):
+        rest = comp[i + 1 :] != comp[i]
+        if two is not None:
+            rest &= two[i + 1 :] != two[i]
+        j = np.flatnonzero(rest) + i + 1
+        if len(j):
+            j = j[may_link(sk[j], n[j], sk[i], n[i], share / 100)]
+            if len(j):
+                yield i, j
 
-    ``rows``: node, rid, n, sk, comp, side.  In a node of two sides only pairs across are taken.  Rows of a node arrive
-    together and are at most a leaf or two blocks.
-    """
 
-    def pairs(rid, n, sk, comp, side):
-        out_a, out_b = [], []
-        for i in range(0, len(rid) - 1):
-            rest = comp[i + 1 :] != comp[i]
-            if side is not None:
-                rest &= side[i + 1 :] != side[i]
-            j = np.flatnonzero(rest) + i + 1
-            if len(j):
-                j = j[may_link(sk[j], n[j], sk[i], n[i], share / 100)]
-                out_a.append(np.minimum(rid[i], rid[j]))
-                out_b.append(np.maximum(rid[i], rid[j]))
-        return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else None
+def _candidates(rows: DataFrame, share: int) -> DataFrame:
+    """node, a, b: the pairs that sketches allow within a node (node null), or the members (a) of a node with more such
+    pairs than twice its rows (b null), which are cheaper to compare where they are.
 
-    def run(batches):
-        held: list = []
+    ``rows``: node, rid, n, sk, comp, side.  Rows of a node arrive together and are at most a leaf or two blocks.
+    """
 
-        def groups(cols):
-            edges = np.flatnonzero(np.diff(cols[0])) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(cols[0])]):
-                _, rid, n, sk, comp, side = (x[lo:hi] for x in cols)
-                if hi - lo > 1 and (found := pairs(rid, n, sk, comp, side if side.any() else None)):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+    def work(node, rid, n, sk, comp, side):
+        found = list(_open_pairs(n, sk, comp, side, share))
+        if sum(len(j) for _, j in found) > 2 * len(rid):
+            at = np.unique(np.concatenate([np.append(j, i) for i, j in found]))
+            return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(rid[at]), pa.nulls(len(at), pa.int64()), pa.array(side[at].astype(bool))], ["node", "a", "b", "side"])
+        if found:
+            x, y = np.concatenate([np.full(len(j), rid[i]) for i, j in found]), np.concatenate([rid[j] for _, j in found])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.zeros(len(x), bool))], ["node", "a", "b", "side"])
+        return None
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            sk = np.frombuffer(b"".join(b.column("sk").to_pylist()), np.uint8).reshape(-1, BINS)
-            cols = [b.column(x).to_numpy() for x in ("node", "rid", "n")] + [sk, b.column("comp").to_numpy(), b.column("side").to_numpy(zero_copy_only=False)]
-            if held:
-                cols = [np.concatenate([h, x]) for h, x in zip(held, cols)]
-            other = cols[0] != cols[0][-1]
-            last = len(other) - int(np.argmax(other[::-1])) if other.any() else 0
-            yield from groups([x[:last] for x in cols]) if last else ()
-            held = [x[last:] for x in cols]
-        if held:
-            yield from groups(held)
+    names = ["node", "rid", "n", "sk", "comp", "side"]
+    return rows.select(*names).repartition("node").sortWithinPartitions("node", "rid").mapInArrow(lambda it: _by_node(it, names, work), "node long, a long, b long, side boolean").distinct()
 
-    parts = rows.repartition("node").sortWithinPartitions("node", "rid")
-    return parts.mapInArrow(run, "a long, b long").distinct()
 
+def _links_within(rows: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) that join all sets of a node which links within it connect: node, rid, n, sk, comp, side, tokens.
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ws: Workspace, name: str, width: int, share: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= share * union, saved."""
-    pairs = ws.save(pairs, f"{name}-pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(classes.select("rid", "doc_id", "fp"), "rid")
-    named = ws.save(named, f"{name}-named")
+    What a link has connected is not compared again, so a node of m rows gives m - 1 links at most.
+    """
+
+    def work(node, rid, n, sk, comp, side, tokens):
+        out_a, out_b, comp = [], [], comp.copy()
+        for i, j in _open_pairs(n, sk, comp, side, share):
+            many = np.concatenate([tokens[k] for k in j])
+            at = np.minimum(np.searchsorted(tokens[i], many), len(tokens[i]) - 1)
+            both = np.add.reduceat(tokens[i][at] == many, np.cumsum([0, *(len(tokens[k]) for k in j[:-1])]), dtype=np.int64)
+            for k in j[100 * both >= share * (n[i] + n[j] - both)]:
+                if comp[k] != comp[i]:
+                    comp[comp == comp[k]] = comp[i]
+                    out_a.append(min(rid[i], rid[k]))
+                    out_b.append(max(rid[i], rid[k]))
+        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"]) if out_a else None
+
+    names = ["node", "rid", "n", "sk", "comp", "side", "tokens"]
+    return rows.select(*names).repartition("node").sortWithinPartitions("node", "rid").mapInArrow(lambda it: _by_node(it, names, work), "a long, b long").distinct()
+
+
+def _full_sets(rids: DataFrame, classes: DataFrame, docs: DataFrame, ws: Workspace, name: str, width: int) -> DataFrame:
+    """rid, tokens of the named classes, saved; only texts of their documents are read again into sets."""
+    named = ws.save(rids.distinct().join(classes.select("rid", "doc_id", "fp"), "rid"), f"{name}-named")
     ids = bounded(named.select(F.col("doc_id").alias("_id")).distinct())
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = shingle_sets(texts, width).join(named.select("fp", "rid"), "fp").select("rid", "tokens")
-    sets = ws.save(sets.dropDuplicates(["rid"]), f"{name}-sets")
+    return ws.save(sets.dropDuplicates(["rid"]), f"{name}-sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, ws: Workspace, name: str, share: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= share * union, saved."""
     a, b = sets.select(F.col("rid").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("rid").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("both"))
-    links = ws.save(both.where(100 * F.col("both") >= share * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), f"{name}-links")
-    ws.drop(f"{name}-sets", f"{name}-named", f"{name}-pairs")
-    return links
+    return ws.save(both.where(100 * F.col("both") >= share * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), f"{name}-links")
 
 
 def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
@@ -225,7 +266,7 @@ def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
     return roots.union(edges.select(F.col("v").alias("rid"), F.col("v").alias("comp")).distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 2, share: int = 80, trees: int = 8, levels: int = 4, leaf_size: int = 64, block_size: int = 1000, agree: int = AGREE) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 2, share: int = 80, trees: int = 6, levels: int = 3, leaf_size: int = 64, block_size: int = 1000, agree: int = AGREE) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, text_key, n_shingles, component_id, kept.
 
     Null and empty texts have n_shingles 0 and are linked with nothing; a null doc_id never gives its component a name
@@ -252,12 +293,19 @@ def near_duplicates(docs: DataFrame, width: int = 2, share: int = 80, trees: int
     comps, links = None, None
     if len(large) > 1 or not large[0].limit(1).isEmpty():
         stars = _stars(reduce(DataFrame.union, large), classes, ws, agree)
-        links = confirmed(stars, classes, docs, ws, "stars", width, share)
+        stars = ws.save(stars, "stars-pairs")
+        sets = _full_sets(stars.select(F.explode(F.array("a", "b")).alias("rid")), classes, docs, ws, "stars", width)
+        links = confirmed(stars, sets, ws, "stars", share)
         comps = ws.save(components(links, ws, "stars"), "stars-comps")
     parts = [rows.select("node", "rid", F.lit(False).alias("side")) for rows in leaves] + [_blocks(large[-1], block_size)]
     rows = reduce(DataFrame.union, parts).join(classes.select("rid", "n", "sk"), "rid")
     rows = rows.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid")) if comps else rows.withColumn("comp", F.col("rid"))
-    found = confirmed(_leaf_pairs(rows, share), classes, docs, ws, "leaves", width, share)
+    found = ws.save(_candidates(rows, share), "found")
+    sets = _full_sets(found.select(F.explode(F.array_compact(F.array("a", "b"))).alias("rid")), classes, docs, ws, "leaves", width)
+    pairs = confirmed(found.where("node is null").select("a", "b"), sets, ws, "leaves", share)
+    members = found.where("node is not null").select("node", F.col("a").alias("rid"), "side").join(classes.select("rid", "n", "sk"), "rid").join(sets, "rid")
+    members = members.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid")) if comps else members.withColumn("comp", F.col("rid"))
+    found = pairs.union(ws.save(_links_within(members, share), "within"))
     ws.drop(*[f"met-{k + 1}" for k in range(len(large))])
     comps = ws.save(components(links.union(found) if links else found, ws, "all"), "all-comps")
     named = classes.select("rid", "fp", "doc_id").join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
