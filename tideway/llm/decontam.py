@@ -13,8 +13,11 @@ of the five-word shingles of its question and of its answer that stand in the pa
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,9 @@ from .common import text_key
 
 #: Letters and digits stay, other ASCII bytes part words, other bytes belong to words.
 _CLEAN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
-BLOCK = 8
+BLOCK = 4
 OVERLAP_WORDS = 5
+_next_item = itemgetter(0)
 
 
 def terms(text: str | None) -> list[bytes]:
@@ -72,49 +76,61 @@ class ItemIndex:
             total = sum(own.values())
             for t, x in own.items():
                 postings[self.vocabulary[t]].append((k, x / total))
-        self.postings = [(np.array([k for k, _ in p]), [x for _, x in p]) for p in postings]
-        self.most = np.array([max(x) for _, x in self.postings])
+        self.postings = [([k for k, _ in p], [x for _, x in p]) for p in postings]
+        self.most = [max(x) for _, x in self.postings]
         # the last row is that of the words that no item has
         self.block_most = np.zeros((len(self.vocabulary) + 1, -(-len(found) // BLOCK)), np.float32)
         for t, (at, x) in enumerate(self.postings):
-            np.maximum.at(self.block_most[t], at // BLOCK, np.array(x, np.float32))
+            np.maximum.at(self.block_most[t], np.array(at) // BLOCK, np.array(x, np.float32))
         qa = [question_and_answer(t) for _, t, _ in found]
         self.question, self.answer = [shingles(q) for q, _ in qa], [shingles(a) for _, a in qa]
 
-    def search(self, query: list[int], threshold: float, blocks: set[int]) -> list[tuple[int, float]]:
-        """Block-max WAND: all items of the given blocks that the terms of the query score to the threshold at least."""
+    def search(self, query: list[int], threshold: float, blocks: list[int]) -> list[tuple[int, float]]:
+        """Block-max WAND: all items of the given blocks (ascending) that the terms of the query score to the threshold."""
         end, out = len(self.ids), []
-        lists = [[self.postings[t][0], self.postings[t][1], 0, t] for t in query]
-        here = lambda p: int(p[0][p[2]]) if p[2] < len(p[0]) else end
+        lists = []  # [next item, position, items, impacts, term]
+        for t in query:
+            items, impacts = self.postings[t]
+            k = bisect_left(items, blocks[0] * BLOCK)
+            if k < len(items):
+                lists.append([items[k], k, items, impacts, t])
 
         def skip(p, to):
-            p[2] += int(np.searchsorted(p[0][p[2] :], to))
+            p[1] = k = bisect_left(p[2], to, p[1])
+            p[0] = p[2][k] if k < len(p[2]) else end
 
+        most, block_most = self.most, self.block_most
         while True:
-            lists = sorted((p for p in lists if here(p) < end), key=here)
-            bound, pivot = 0.0, None
+            lists = sorted((p for p in lists if p[0] < end), key=_next_item)
+            bound, pivot = 0.0, -1
             for k, p in enumerate(lists):
-                bound += self.most[p[3]]
+                bound += most[p[4]]
                 if bound >= threshold:
                     pivot = k
                     break
-            if pivot is None:
+            if pivot < 0:
                 return out
-            item = here(lists[pivot])
-            while pivot + 1 < len(lists) and here(lists[pivot + 1]) == item:
+            item = lists[pivot][0]
+            while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
                 pivot += 1
-            block = item // BLOCK
-            if block not in blocks or sum(float(self.block_most[p[3], block]) for p in lists[: pivot + 1]) < threshold:
+            block, k = item // BLOCK, bisect_left(blocks, item // BLOCK)
+            if k == len(blocks):
+                return out
+            if blocks[k] != block:  # the bounds of all blocks up to the next given one are too low
+                for p in lists:
+                    if p[0] < blocks[k] * BLOCK:
+                        skip(p, blocks[k] * BLOCK)
+            elif sum(block_most[p[4]][block] for p in lists[: pivot + 1]) < threshold * 0.9999:
                 # no item before the next block, or before the next list's item, can reach the threshold
-                to = min((block + 1) * BLOCK, here(lists[pivot + 1]) if pivot + 1 < len(lists) else end)
+                to = max(item + 1, min((block + 1) * BLOCK, lists[pivot + 1][0] if pivot + 1 < len(lists) else end))
                 for p in lists[: pivot + 1]:
-                    skip(p, max(to, item + 1))
-            elif here(lists[0]) == item:
-                score = sum(p[1][p[2]] for p in lists[: pivot + 1])
+                    skip(p, to)
+            elif lists[0][0] == item:
+                score = sum(p[3][p[1]] for p in lists[: pivot + 1])
                 if score >= threshold:
                     out.append((item, score))
                 for p in lists[: pivot + 1]:
-                    p[2] += 1
+                    skip(p, item + 1)
             else:
                 for p in lists[:pivot]:
                     skip(p, item)
@@ -125,7 +141,7 @@ class ItemIndex:
         if not words or not self.ids:
             return []
         none, half = len(self.vocabulary), max(16, -(-self.length // 2))
-        tid = np.fromiter((self.vocabulary.get(w, none) for w in words), np.int64, len(words))
+        tid = np.fromiter(map(self.vocabulary.get, words, repeat(none)), np.int64, len(words))
         slots = np.unique(np.flatnonzero(tid < none) // half * (none + 1) + tid[tid < none])  # distinct terms of each half
         if not len(slots):
             return []
@@ -138,7 +154,9 @@ class ItemIndex:
         best: dict[int, tuple[float, int]] = {}
         for h in np.flatnonzero((bound >= threshold * 0.9999).any(axis=1)):
             query = np.unique(term[np.searchsorted(at, h) : np.searchsorted(at, h + 2)]).tolist()
-            for item, score in self.search(query, threshold, set(np.flatnonzero(bound[h] >= threshold * 0.9999).tolist())):
+            exact = self.block_most[query].sum(axis=0)  # a term of both halves counts once
+            blocks = np.flatnonzero(exact >= threshold * 0.9999)
+            for item, score in self.search(query, threshold, blocks.tolist()) if len(blocks) else ():
                 if item not in best or score > best[item][0]:
                     best[item] = (score, int(h))
         out = []
