@@ -68,8 +68,9 @@ class Workspace:
 
 
 def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` (a saved table) with a broadcast hint if its row count, which is measured here, is within the bound."""
-    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
+    """``df``, a saved table of short rows, with a broadcast hint if its row count (measured here, or given) is within
+    the bound."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
 def n_words(text: Column) -> Column:

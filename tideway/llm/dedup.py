@@ -245,25 +245,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame, ws: Workspace, name: str, share
 
 
 def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """rid, comp for every node of a link (comp: its smallest reachable node), by alternating large and small stars."""
-    edges = ws.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), f"{name}-e0")
+    """rid, comp for every node of a link (comp: its smallest reachable node).
+
+    Each round takes the least label among a node and its neighbours and then that label's own label, so that labels
+    travel in doubling steps.  Labels are broadcast while they are few and joined by a shuffle else; the least of a
+    node's many neighbours is taken before the shuffle.
+    """
+    edges = ws.save(links.union(links.select("b", "a")).toDF("u", "v").where("u <> v").distinct(), f"{name}-edges")
+    labels = ws.save(edges.groupBy(F.col("u").alias("rid")).agg(F.min("v").alias("m")).select("rid", F.least("rid", "m").alias("comp")), f"{name}-labels-0")
     seen, at = None, 0
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = ws.save(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), f"{name}-l{at}")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u > v")
-        # the parent that a node gives away stays linked through the smallest one
-        edges = ws.save(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-e{at + 1}")
-        ws.drop(f"{name}-l{at}", f"{name}-e{at}")
-        at += 1
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    roots = edges.select(F.col("u").alias("rid"), F.col("v").alias("comp"))
-    return roots.union(edges.select(F.col("v").alias("rid"), F.col("v").alias("comp")).distinct())
+    while (now := tuple(labels.agg(F.count("*"), F.sum(F.col("comp").cast("decimal(38,0)"))).first())) != seen:
+        seen, at = now, at + 1
+        known = bounded(labels, now[0])
+        near = edges.join(known, F.col("v") == F.col("rid")).groupBy("u").agg(F.min("comp").alias("m"))
+        new = near.join(known, F.col("u") == F.col("rid")).select("rid", F.least("m", "comp").alias("comp"))
+        hop = known.select(F.col("rid").alias("r"), F.col("comp").alias("c"))
+        new = new.join(hop, F.col("comp") == F.col("r")).select("rid", F.least("comp", "c").alias("comp"))
+        labels = ws.save(new.coalesce(1 + now[0] // 20_000), f"{name}-labels-{at}")
+        ws.drop(f"{name}-labels-{at - 1}")
+    ws.drop(f"{name}-edges")
+    return labels
+
+
+def _roots_of(up: DataFrame, ws: Workspace, name: str, hops: int = 3) -> DataFrame:
+    """rid, comp for a table of links ``(rid, up)`` to ever more central sets: where 2^hops links lead."""
+    for k in range(hops):
+        up = ws.save(up, f"{name}-up-{k}")
+        above = bounded(up).select(F.col("rid").alias("r"), F.col("up").alias("top"))
+        up = up.join(above, F.col("up") == F.col("r"), "left").select("rid", F.coalesce("top", "up").alias("up"))
+    up = ws.save(up, f"{name}-up")
+    return up.toDF("rid", "comp")
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, share: int = 80, trees: int = 6, levels: int = 3, leaf_size: int = 64, block_size: int = 1000, agree: int = AGREE) -> DataFrame:
@@ -296,7 +307,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, share: int = 80, trees: int
         stars = ws.save(stars, "stars-pairs")
         sets = _full_sets(stars.select(F.explode(F.array("a", "b")).alias("rid")), classes, docs, ws, "stars", width)
         links = confirmed(stars, sets, ws, "stars", share)
-        comps = ws.save(components(links, ws, "stars"), "stars-comps")
+        comps = _roots_of(links.toDF("rid", "up"), ws, "stars")
     parts = [rows.select("node", "rid", F.lit(False).alias("side")) for rows in leaves] + [_blocks(large[-1], block_size)]
     rows = reduce(DataFrame.union, parts).join(classes.select("rid", "n", "sk"), "rid")
     rows = rows.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid")) if comps else rows.withColumn("comp", F.col("rid"))
@@ -307,7 +318,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, share: int = 80, trees: int
     members = members.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid")) if comps else members.withColumn("comp", F.col("rid"))
     found = pairs.union(ws.save(_links_within(members, share), "within"))
     ws.drop(*[f"met-{k + 1}" for k in range(len(large))])
-    comps = ws.save(components(links.union(found) if links else found, ws, "all"), "all-comps")
+    comps = components(links.union(found) if links else found, ws, "all")
     named = classes.select("rid", "fp", "doc_id").join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = ws.save(named.select("fp", "comp").join(ws.save(names, "names"), "comp").select("fp", "component_id"), "named")
@@ -316,7 +327,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, share: int = 80, trees: int
 
 
 def _stars(large: DataFrame, classes: DataFrame, ws: Workspace, agree: int) -> DataFrame:
-    """One pair (a, b) for each set in a large node: itself and a central set of the deepest such node.
+    """One pair (a, b) for each set in a large node: itself and a more central set of the deepest such node.
 
     The sets that stay in most large nodes agree with most of their group; each node's hub is that which stays in most.
     In a group of near copies this links nearly all with few hubs, so that the exhaustive comparison, which leaves out
@@ -331,7 +342,7 @@ def _stars(large: DataFrame, classes: DataFrame, ws: Workspace, agree: int) -> D
     signs = classes.select("rid", "sig")
     pairs = pairs.join(signs, "rid").join(signs.select(F.col("rid").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
     alike = F.size(F.filter(F.zip_with("sig", "hub_sig", lambda x, y: x == y), lambda x: x)) >= agree
-    return pairs.where(alike).select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct()
+    return pairs.where(alike).select(F.col("rid").alias("a"), F.col("hub").alias("b"))
 
 
 def _blocks(rows: DataFrame, block_size: int) -> DataFrame:
