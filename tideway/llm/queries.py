@@ -92,5 +92,21 @@ comp AS (SELECT a AS c, min(b) AS component_id FROM reach GROUP BY a)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(comp.component_id, s.doc_id) AS component_id,
   s.doc_id = coalesce(comp.component_id, s.doc_id) AS kept
 FROM sets s LEFT JOIN member m USING (doc_id) LEFT JOIN comp ON comp.c = m.c
+""",
+    "op6_preferences": r"""
+WITH t AS (
+  SELECT conv_id, floor(conv_id / 2)::BIGINT AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)),
+lengths AS (SELECT pair_id, min(conv_id) FILTER (side = 0) AS chosen_id, min(conv_id) FILTER (side = 1) AS rejected_id, count(*) FILTER (side = 0) AS nc, count(*) FILTER (side = 1) AS nr FROM t GROUP BY pair_id),
+differs AS (SELECT a.pair_id, min(a.pos) AS d FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.pos = b.pos AND a.side = 0 AND b.side = 1 WHERE a.role <> b.role OR a.text <> b.text GROUP BY a.pair_id),
+cut AS (SELECT l.*, coalesce(d - 1, least(nc, nr)) AS prompt_turns FROM lengths l LEFT JOIN differs USING (pair_id)),
+r AS (
+  SELECT t.*, prompt_turns, pos > prompt_turns AS after, '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body FROM t JOIN cut USING (pair_id)),
+o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, after ORDER BY pos) AS fin FROM r),
+side AS (
+  SELECT pair_id, side, coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (NOT after), '') AS prompt, coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (after), '') AS completion,
+    coalesce(string_agg((fin - length(body))::VARCHAR || '-' || fin::VARCHAR, ',' ORDER BY pos) FILTER (after AND role = 'assistant'), '') AS loss FROM o GROUP BY pair_id, side)
+SELECT c.pair_id, chosen_id, rejected_id, CASE WHEN c.prompt_turns = 0 THEN '' ELSE coalesce(x.prompt, '') END AS prompt, c.prompt_turns::INT AS prompt_turns, x.completion AS chosen_completion, x.loss AS chosen_loss, y.completion AS rejected_completion, y.loss AS rejected_loss
+FROM cut c LEFT JOIN side x ON x.pair_id = c.pair_id AND x.side = 0 LEFT JOIN side y ON y.pair_id = c.pair_id AND y.side = 1
 """,
 }
