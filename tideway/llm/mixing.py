@@ -21,6 +21,10 @@ from .common import Workspace, bounded, n_words, text_key
 from .permute import permute
 
 
+#: Slots that one row stands for before they are unrolled.
+RUN = 10_000
+
+
 @dataclass
 class Mix:
     """``rows``: every document with its place; ``segments``: what each slot takes; ``sources``: the plan."""
@@ -106,13 +110,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     begun = np.cumsum(counts, axis=0) - counts
     offset = np.cumsum(counts, axis=1) - counts
     runs = [(s, i, int(counts[s, i]), int(begun[s, i]), int(offset[s, i]), int(counts[s].sum()), int(blocks[i])) for s in range(shards) for i in range(len(sizes)) if counts[s, i]]
-    runs = spark.createDataFrame(runs, "shard int, source_index int, n long, begun long, offset long, slots long, blocks long").repartition(min(shards, max(1, len(runs))), "shard", "source_index")
+    runs = spark.createDataFrame(runs, "shard int, source_index int, n long, begun long, offset long, slots long, blocks long")
 
     @F.pandas_udf("long")
     def image(x: pd.Series, n: pd.Series, salt: pd.Series) -> pd.Series:
         return pd.Series(permute(x.to_numpy(), n.to_numpy(), salt.to_numpy() % 2147483647))
 
-    drawn = runs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).withColumn("j", F.col("begun") + F.col("k"))
+    # a run is cut before it is unrolled: no row holds more than RUN slots, and the pieces are dealt to all tasks
+    cut = runs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))).alias("from"))
+    cut = cut.repartition(int(max(1, min(4096, counts.sum() // RUN))), "shard", "from")
+    drawn = cut.select("*", F.explode(F.sequence("from", F.least(F.col("from") + RUN, F.col("n")) - 1)).alias("k")).withColumn("j", F.col("begun") + F.col("k"))
     epoch = F.expr("j div blocks")
     drawn = drawn.select(
         "shard", image(F.col("offset") + F.col("k"), F.col("slots"), F.lit(seed * 1_000_003) + F.col("shard")).alias("slot"), "source_index", epoch.cast("int").alias("epoch"),
