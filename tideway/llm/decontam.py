@@ -180,7 +180,7 @@ def indexes(benchmark: DataFrame, k1: float, b: float, block_items: int) -> list
     return out + ([ItemIndex(held, k1, b)] if held else [])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5, k1: float = 1.2, b: float = 0.75, block_items: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5, k1: float = 1.2, b: float = 0.75, block_items: int = 2_000) -> DataFrame:
     """doc_id, text_key, item_id, score, question_overlap, answer_overlap for each row of ``docs`` and item it contains.
 
     Empty and null texts and an empty benchmark give no rows; a repeated row gives its rows again.
