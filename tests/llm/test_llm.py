@@ -239,12 +239,12 @@ def test_op4_odd_rows(spark, odd, none, labels):
 # ---------------------------------------------------------------- 5
 
 
-def brute(rows):
+def brute(rows, width=5):
     """doc_id to (n, component) by all pairs."""
     sets = []
     for i, text in rows:
         w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words(text)]
-        sets.append((i, {tuple(w[k : k + 2]) for k in range(max(1, len(w) - 1))} if w else set()))
+        sets.append((i, {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()))
     parent = list(range(len(sets)))
 
     def find(x):
@@ -283,13 +283,14 @@ def test_op5_large_groups_equal_brute_force(spark):
     rows += [(2000 + i, rows[i][1].upper()) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for blocks in (1000, 50):
-        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in dedup.near_duplicates(df, leaf_size=16, block_size=blocks).collect()), key=str)
-        assert got == brute(rows)
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in dedup.near_duplicates(df, width=2, leaf_size=16, block_size=blocks).collect()), key=str)
+        assert got == brute(rows, 2)
 
 
 def test_op5_odd_and_empty(spark, odd, none):
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in dedup.near_duplicates(odd).collect()), key=str)
-    assert got == brute([(r.doc_id, r.text) for r in odd.collect()])
+    for width in (2, 5):
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in dedup.near_duplicates(odd, width).collect()), key=str)
+        assert got == brute([(r.doc_id, r.text) for r in odd.collect()], width)
     assert dedup.near_duplicates(none).count() == 0
 
 

@@ -277,9 +277,12 @@ def _roots_of(up: DataFrame, ws: Workspace, name: str, hops: int = 3) -> DataFra
     return up.toDF("rid", "comp")
 
 
-def near_duplicates(docs: DataFrame, width: int = 2, share: int = 80, trees: int = 6, levels: int = 3, leaf_size: int = 64, block_size: int = 1000, agree: int = AGREE) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, trees: int = 6, levels: int = 3, leaf_size: int = 64, block_size: int = 1000, agree: int = AGREE) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, text_key, n_shingles, component_id, kept.
 
+    Shingles are runs of ``width`` words; a shorter text is one shingle as a whole.  ``share`` is the least similarity in
+    per cent.
+
     Null and empty texts have n_shingles 0 and are linked with nothing; a null doc_id never gives its component a name
     unless all ids of it are null.  Rows that repeat a doc_id are judged by their own texts.  Extra columns are ignored.
     """
