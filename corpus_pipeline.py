@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id, once."""
+    """One document of each group of near duplicates (0.8 of their five-word shingles): that with the smallest doc_id, once."""
     ws = Workspace(spark, "pipeline-dedup")
     found = ws.save(dedup.near_duplicates(docs), "found")
     kept = without(docs, found.where("not kept"))
