@@ -291,6 +291,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, trees: int
     sk = ws.save(sketches(docs, width), "sketches")
     grouped = sk.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sk").alias("sk"))
     classes = ws.save(grouped.withColumn("rid", F.monotonically_increasing_id()), "classes")
+    sk = ws.save(sk.select("doc_id", "text_key", "n", "fp"), "sets-of")  # the sketches live on in the classes only
+    ws.drop("sketches")
 
     rows, leaves, large = _roots(classes, trees), [], []
     for level in range(1, levels + 1):
@@ -310,6 +312,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, trees: int
         stars = ws.save(stars, "stars-pairs")
         sets = _full_sets(stars.select(F.explode(F.array("a", "b")).alias("rid")), classes, docs, ws, "stars", width)
         links = confirmed(stars, sets, ws, "stars", share)
+        ws.drop("stars-pairs", "stars-named", "stars-sets")
         comps = _roots_of(links.toDF("rid", "up"), ws, "stars")
     parts = [rows.select("node", "rid", F.lit(False).alias("side")) for rows in leaves] + [_blocks(large[-1], block_size)]
     rows = reduce(DataFrame.union, parts).join(classes.select("rid", "n", "sk"), "rid")
@@ -320,7 +323,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, trees: int
     members = found.where("node is not null").select("node", F.col("a").alias("rid"), "side").join(classes.select("rid", "n", "sk"), "rid").join(sets, "rid")
     members = members.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid")) if comps else members.withColumn("comp", F.col("rid"))
     found = pairs.union(ws.save(_links_within(members, share), "within"))
-    ws.drop(*[f"met-{k + 1}" for k in range(len(large))])
+    ws.drop("found", "leaves-named", "leaves-sets", *[f"met-{k + 1}" for k in range(len(large))])
     comps = components(links.union(found) if links else found, ws, "all")
     named = classes.select("rid", "fp", "doc_id").join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
