@@ -17,11 +17,19 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 500_000
 
 
+#: What an Arrow batch holds at most on its way to a Python worker, unless the session sets its own: whole texts come in
+#: few megabytes at a time, however long they are.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the Python workers, once for each application, in case it isn't installed there."""
+    """Sends the package to the Python workers, once for each application, in case it isn't installed there; bounds the
+    batches that they get."""
+    for key, (default, most) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, most)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parents[2]
@@ -52,6 +60,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
