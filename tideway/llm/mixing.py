@@ -125,7 +125,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         "shard", image(F.col("offset") + F.col("k"), F.col("slots"), F.lit(seed * 1_000_003) + F.col("shard")).alias("slot"), "source_index", epoch.cast("int").alias("epoch"),
         image(F.pmod("j", "blocks"), F.col("blocks"), F.lit(seed * 7_368_787) + F.col("source_index") * 101 + epoch).alias("block"),
     )
-    segments = drawn.join(lies, ["source_index", "block"])
+    # the planner sees the few runs, not the slots that they unroll to, and would broadcast those
+    segments = drawn.hint("merge").join(lies, ["source_index", "block"])
     return Mix(placed, segments, sources)
 
 
