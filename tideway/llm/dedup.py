@@ -128,13 +128,23 @@ def _roots(classes: DataFrame, trees: int) -> DataFrame:
     return classes.select("rid", F.explode(F.array(*[F.xxhash64(F.lit(t), sig[t]) for t in range(trees)])).alias("node"))
 
 
+def _meeting(rows: DataFrame, cols: list[str], *others: DataFrame) -> DataFrame:
+    """``rows(rid, cols)`` with the columns of other tables that have one row per rid.
+
+    A set stands in several nodes; its rows meet the others as one list, so that long columns are joined once per set.
+    """
+    held = rows.groupBy("rid").agg(F.collect_list(F.struct(*cols)).alias("held"))
+    met = reduce(lambda x, y: x.join(y, "rid"), others, held)
+    return met.select(*[c for c in met.columns if c != "held"], F.inline("held"))
+
+
 def _children(big: DataFrame, classes: DataFrame) -> DataFrame:
     """Two further minwise tokens are chosen by each node; its sets go to the children that theirs name."""
     node, sig = F.col("node"), F.col("sig")
     first = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(COORDS)).cast("int")
     other = F.pmod(first + 1 + F.pmod(F.xxhash64(node, F.lit(2)), F.lit(COORDS - 1)).cast("int"), F.lit(COORDS)).cast("int")
     return (
-        big.select("rid", "node").join(classes.select("rid", "sig"), "rid")
+        _meeting(big, ["node"], classes.select("rid", "sig"))
         .select("rid", F.explode(F.array(*[F.xxhash64(node, c, F.get(sig, c)) for c in (first, other)])).alias("node"))
     )
 
@@ -314,14 +324,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, trees: int
         links = confirmed(stars, sets, ws, "stars", share)
         ws.drop("stars-pairs", "stars-named", "stars-sets")
         comps = _roots_of(links.toDF("rid", "up"), ws, "stars")
-    parts = [rows.select("node", "rid", F.lit(False).alias("side")) for rows in leaves] + [_blocks(large[-1], block_size)]
-    rows = reduce(DataFrame.union, parts).join(classes.select("rid", "n", "sk"), "rid")
-    rows = rows.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid")) if comps else rows.withColumn("comp", F.col("rid"))
+    short = classes.select("rid", "n", "sk")
+    short = short.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid")) if comps else short.withColumn("comp", F.col("rid"))
+    cols = ["node", "rid", "n", "sk", "comp", "side"]
+    small = _meeting(reduce(DataFrame.union, leaves), ["node"], short).withColumn("side", F.lit(False))
+    rows = small.select(*cols).union(_blocks(_meeting(large[-1], ["node", "m"], short), block_size).select(*cols))
     found = ws.save(_candidates(rows, share), "found")
     sets = _full_sets(found.select(F.explode(F.array_compact(F.array("a", "b"))).alias("rid")), classes, docs, ws, "leaves", width)
     pairs = confirmed(found.where("node is null").select("a", "b"), sets, ws, "leaves", share)
-    members = found.where("node is not null").select("node", F.col("a").alias("rid"), "side").join(classes.select("rid", "n", "sk"), "rid").join(sets, "rid")
-    members = members.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid")) if comps else members.withColumn("comp", F.col("rid"))
+    members = _meeting(found.where("node is not null").select("node", F.col("a").alias("rid"), "side"), ["node", "side"], short, sets)
     found = pairs.union(ws.save(_links_within(members, share), "within"))
     ws.drop("found", "leaves-named", "leaves-sets", *[f"met-{k + 1}" for k in range(len(large))])
     comps = components(links.union(found) if links else found, ws, "all")
@@ -339,12 +350,12 @@ def _stars(large: DataFrame, classes: DataFrame, ws: Workspace, agree: int) -> D
     In a group of near copies this links nearly all with few hubs, so that the exhaustive comparison, which leaves out
     what is linked already, has no pairs in the square of the group to find.
     """
-    stays = ws.save(large.groupBy("rid").agg(F.count("*").alias("stays")), "stays")
-    rows = ws.save(large.select("node", "rid", "level").join(stays, "rid"), "staying")
+    held = large.groupBy("rid").agg(F.collect_list(F.struct("node", "level")).alias("held"))
+    rows = ws.save(held.select("rid", F.size("held").alias("stays"), F.inline("held")), "staying")
     hubs = ws.save(rows.groupBy("node").agg(F.max(F.struct("stays", "rid")).alias("hub")), "hubs")
     best = rows.join(hubs, "node").where(F.col("rid") != F.col("hub.rid")).groupBy("rid").agg(F.max(F.struct("level", "hub.stays", "hub.rid")).alias("best"))
     pairs = ws.save(best.select("rid", F.col("best.rid").alias("hub")), "hubs-of")
-    ws.drop("stays", "staying", "hubs")
+    ws.drop("staying", "hubs")
     signs = classes.select("rid", "sig")
     pairs = pairs.join(signs, "rid").join(signs.select(F.col("rid").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
     alike = F.size(F.filter(F.zip_with("sig", "hub_sig", lambda x, y: x == y), lambda x: x)) >= agree
@@ -352,11 +363,12 @@ def _stars(large: DataFrame, classes: DataFrame, ws: Workspace, agree: int) -> D
 
 
 def _blocks(rows: DataFrame, block_size: int) -> DataFrame:
-    """Deals each node's sets to blocks and pairs the blocks: node (of a pair of blocks), rid, side.
+    """Deals each node's sets to blocks and pairs the blocks: node (of a pair of blocks), rid, side, n, sk, comp.
 
     A set goes once to each pair that its block is part of, so a node of m sets gives m * (m / block_size) rows.
     """
     blocks = F.ceil(F.col("m") / block_size).cast("int")
     own = F.pmod(F.xxhash64("rid"), blocks).cast("int")
     to = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j"))))
-    return rows.select("node", "rid", own.alias("own"), to.alias("p")).select(F.xxhash64("node", "p.i", "p.j").alias("node"), "rid", (F.col("own") != F.col("p.i")).alias("side"))
+    rest = ["rid", "n", "sk", "comp"]
+    return rows.select("node", *rest, own.alias("own"), to.alias("p")).select(F.xxhash64("node", "p.i", "p.j").alias("node"), *rest, (F.col("own") != F.col("p.i")).alias("side"))
