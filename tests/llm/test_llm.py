@@ -414,6 +414,18 @@ def test_op8_positions_cases_and_clean_texts(spark):
     assert decontam.contaminated(df.where("false"), bench).count() == 0 == decontam.contaminated(df, bench.where("false")).count()
 
 
+def test_op8_a_decoy_before_the_copy_hides_nothing():
+    rng = random.Random(4)
+    w = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    item = w[:14]
+    shuffled = item[::2] + item[1::2]
+    index = decontam.ItemIndex([(1, " ".join(item)), (2, " ".join(w[100:500]))])  # the long item makes passages of 400 words
+    for decoys in (0, 1, 3):
+        decoy = [x for _ in range(decoys) for x in shuffled + w[600:900]]
+        assert index.matches(" ".join(decoy + w[1000:2500] + item + w[2500:2600]), 0.5, 0.5) == [(1, pytest.approx(1), 1, 1)]
+        assert index.matches(" ".join(decoy + w[1000:2500]), 0.5, 0.5) == []
+
+
 # ---------------------------------------------------------------- 9
 
 

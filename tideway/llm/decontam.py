@@ -48,9 +48,18 @@ def shingles(words: list[bytes], n: int = OVERLAP_WORDS) -> set[tuple[bytes, ...
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
-def found_share(wanted: set[tuple[bytes, ...]], words: list[bytes]) -> float:
-    """Share of the wanted shingles, all of one length, that the words hold."""
-    return len(wanted & shingles(words, len(next(iter(wanted))))) / len(wanted)
+class Near:
+    """The words about a passage; its shingles of each length are made once, for all items."""
+
+    def __init__(self, words: list[bytes]):
+        self.words, self.made = words, {}
+
+    def share(self, wanted: set[tuple[bytes, ...]]) -> float:
+        """Share of the wanted shingles, all of one length, that the words hold."""
+        n = len(next(iter(wanted)))
+        if n not in self.made:
+            self.made[n] = shingles(self.words, n)
+        return len(wanted & self.made[n]) / len(wanted)
 
 
 @dataclass
@@ -136,7 +145,10 @@ class ItemIndex:
                     skip(p, item)
 
     def matches(self, text: str | None, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
-        """(item_id, best score, question overlap, answer overlap) of each verified item of a document."""
+        """(item_id, score, question overlap, answer overlap) of each verified item of a document, at its best passage.
+
+        Every retrieved passage is verified: one that scores as high may hold the item's words in another order.
+        """
         words = terms(text)
         if not words or not self.ids:
             return []
@@ -151,22 +163,18 @@ class ItemIndex:
         bound = np.zeros((halves, self.block_most.shape[1]), np.float32)
         bound[at[starts]] = np.add.reduceat(self.block_most[term], starts, axis=0)
         bound[:-1] += bound[1:]  # of the passage of a half and the next
-        best: dict[int, tuple[float, int]] = {}
+        best: dict[int, tuple[float, float, float]] = {}
         for h in np.flatnonzero((bound >= threshold * 0.9999).any(axis=1)):
             query = np.unique(term[np.searchsorted(at, h) : np.searchsorted(at, h + 2)]).tolist()
             exact = self.block_most[query].sum(axis=0)  # a term of both halves counts once
             blocks = np.flatnonzero(exact >= threshold * 0.9999)
+            near = Near(words[max(0, (h - 2) * half) : (h + 4) * half])
             for item, score in self.search(query, threshold, blocks.tolist()) if len(blocks) else ():
-                if item not in best or score > best[item][0]:
-                    best[item] = (score, int(h))
-        out = []
-        for item, (score, h) in best.items():
-            near = words[max(0, (h - 2) * half) : (h + 4) * half]
-            asked = found_share(self.question[item], near)
-            answered = found_share(self.answer[item], near) if self.answer[item] else asked
-            if asked >= overlap:
-                out.append((self.ids[item], score, asked, answered))
-        return out
+                asked = near.share(self.question[item])
+                answered = near.share(self.answer[item]) if self.answer[item] else asked
+                if asked >= overlap and (asked, answered, score) > best.get(item, ()):
+                    best[item] = (asked, answered, score)
+        return [(self.ids[item], score, asked, answered) for item, (asked, answered, score) in best.items()]
 
 
 def indexes(benchmark: DataFrame, k1: float, b: float, block_items: int) -> list[ItemIndex]:
