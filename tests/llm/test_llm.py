@@ -426,6 +426,17 @@ def test_op8_a_decoy_before_the_copy_hides_nothing():
         assert index.matches(" ".join(decoy + w[1000:2500]), 0.5, 0.5) == []
 
 
+def test_op8_a_copy_of_the_answer_alone_counts():
+    rng = random.Random(5)
+    w = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(1000)]
+    answer, rest = w[3:30], w[100:]
+    index = decontam.ItemIndex([(1, " ".join(w[:3]) + "? " + " ".join(answer) + "."), (2, " ".join(w[30:50]) + "? " + " ".join(w[50:53]) + ".")])
+    assert [(m[0], *m[2:]) for m in index.matches(" ".join(rest[:300] + answer + rest[300:500]), 0.5, 0.5)] == [(1, 0, 1)]
+    assert index.matches(" ".join(rest[:300] + answer[:18] + rest[300:500]), 0.5, 0.5)[0][2:] == (0, pytest.approx(14 / 23))
+    assert index.matches(" ".join(rest[:300] + rng.sample(answer, 27) + rest[300:500]), 0.5, 0.5) == []
+    assert index.matches(" ".join(rest[:300] + rng.sample(w[30:50], 20) + w[50:53] + rest[300:500]), 0.5, 0.5) == []  # an answer of three words
+
+
 # ---------------------------------------------------------------- 9
 
 

@@ -7,7 +7,8 @@ neighbours are a passage, so that each stretch of text is whole in some passage
 passage's block maxima, computed for all passages of a document at once, bounds the score of every item of the block;
 only blocks whose bound reaches the threshold are walked by WAND, which moves its postings to the next item that can
 still reach it.  There is no top-k: all items above the threshold are retrieved.  Each is then verified by the shares
-of the five-word shingles of its question and of its answer that stand in the passage and its neighbourhood.
+of the five-word shingles of its question and of its answer that stand in the passage and its neighbourhood: that of the
+question, that of both together, or that of an answer of at least five words must reach the overlap.
 """
 
 from __future__ import annotations
@@ -163,18 +164,21 @@ class ItemIndex:
         bound = np.zeros((halves, self.block_most.shape[1]), np.float32)
         bound[at[starts]] = np.add.reduceat(self.block_most[term], starts, axis=0)
         bound[:-1] += bound[1:]  # of the passage of a half and the next
-        best: dict[int, tuple[float, float, float]] = {}
+        best: dict[int, tuple[tuple[float, float, float], float]] = {}
         for h in np.flatnonzero((bound >= threshold * 0.9999).any(axis=1)):
             query = np.unique(term[np.searchsorted(at, h) : np.searchsorted(at, h + 2)]).tolist()
             exact = self.block_most[query].sum(axis=0)  # a term of both halves counts once
             blocks = np.flatnonzero(exact >= threshold * 0.9999)
             near = Near(words[max(0, (h - 2) * half) : (h + 4) * half])
             for item, score in self.search(query, threshold, blocks.tolist()) if len(blocks) else ():
-                asked = near.share(self.question[item])
-                answered = near.share(self.answer[item]) if self.answer[item] else asked
-                if asked >= overlap and (asked, answered, score) > best.get(item, ()):
-                    best[item] = (asked, answered, score)
-        return [(self.ids[item], score, asked, answered) for item, (asked, answered, score) in best.items()]
+                question, answer = self.question[item], self.answer[item]
+                asked = near.share(question)
+                answered = near.share(answer) if answer else asked
+                both = (asked * len(question) + answered * len(answer)) / (len(question) + len(answer))
+                long = len(next(iter(answer), ())) == OVERLAP_WORDS  # a few words are found anywhere
+                if (asked >= overlap or both >= overlap or long and answered >= overlap) and (both, asked, score) > best.get(item, ((),))[0]:
+                    best[item] = ((both, asked, score), answered)
+        return [(self.ids[item], score, asked, answered) for item, ((_, asked, score), answered) in best.items()]
 
 
 def indexes(benchmark: DataFrame, k1: float, b: float, block_items: int) -> list[ItemIndex]:
