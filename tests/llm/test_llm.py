@@ -437,6 +437,21 @@ def test_op8_a_copy_of_the_answer_alone_counts():
     assert index.matches(" ".join(rest[:300] + rng.sample(w[30:50], 20) + w[50:53] + rest[300:500]), 0.5, 0.5) == []  # an answer of three words
 
 
+def test_op8_blocks_and_partitions_change_no_score(spark):
+    rng = random.Random(6)
+    w = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    texts = [" ".join(rng.choices(w[:80] if k % 2 else w[:200], k=rng.randint(8, 40) if k else 150)) for k in range(40)]
+    bench = spark.createDataFrame([*enumerate(texts), (40, "?!"), (41, None), (None, w[0])], "item_id long, text string")
+    copies = [(k, " ".join(rng.choices(w, k=60) + t.split()[: rng.randint(4, 30)] + rng.choices(w, k=60))) for k, t in enumerate(texts * 3)]
+    df = spark.createDataFrame(copies, "doc_id long, text string")
+    index = decontam.ItemIndex([*enumerate(texts)])
+    want = sorted((d, *m) for d, t in copies for m in index.matches(t, 0.5, 0.5))
+    for block_items, partitions in ((2000, 1), (7, 3), (1, 8)):
+        got = sorted(decontam.contaminated(df, bench.repartition(partitions), block_items=block_items).drop("text_key").collect())
+        assert [tuple(r)[:2] for r in got] == [r[:2] for r in want] and len(want) > 20
+        assert np.allclose([tuple(r) for r in got], want)
+
+
 # ---------------------------------------------------------------- 9
 
 

@@ -63,11 +63,22 @@ class Near:
         return len(wanted & self.made[n]) / len(wanted)
 
 
+@dataclass
+class Statistics:
+    """Of all items, whatever the index they lie in."""
+
+    items: int
+    words: int
+    longest: int
+    df: dict[bytes, int]
+
+
 @dataclass
 class ItemIndex:
     items: list[tuple[int, str]]
     k1: float = 1.2
     b: float = 0.75
+    of_all: Statistics | None = None  # of the given items, if None
     ids: list[int] = field(default_factory=list)
     vocabulary: dict[bytes, int] = field(default_factory=dict)
 
@@ -75,14 +86,15 @@ class ItemIndex:
         found = sorted(((i, t, terms(t)) for i, t in self.items if i is not None and terms(t)), key=lambda x: (len(x[2]), x[0], x[1]))
         self.items = []  # blocks hold items of about one length
         self.ids = [i for i, _, _ in found]
-        self.length = max((len(w) for _, _, w in found), default=0)
         counts = [Counter(w) for _, _, w in found]
-        df = Counter(t for c in counts for t in c)
-        self.vocabulary = {t: k for k, t in enumerate(sorted(df))}
-        mean = sum(len(w) for _, _, w in found) / max(1, len(found))
+        own = Counter(t for c in counts for t in c)
+        self.vocabulary = {t: k for k, t in enumerate(sorted(own))}
+        lengths = [len(w) for _, _, w in found]
+        all_, self.of_all = self.of_all or Statistics(len(found), sum(lengths), max(lengths, default=0), own), None  # not sent
+        self.length, df, mean = all_.longest, all_.df, all_.words / max(1, all_.items)
         postings: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
         for k, c in enumerate(counts):
-            own = {t: np.log(1 + (len(found) - df[t] + 0.5) / (df[t] + 0.5)) * n * (self.k1 + 1) / (n + self.k1 * (1 - self.b + self.b * sum(c.values()) / mean)) for t, n in c.items()}
+            own = {t: np.log(1 + (all_.items - df[t] + 0.5) / (df[t] + 0.5)) * n * (self.k1 + 1) / (n + self.k1 * (1 - self.b + self.b * sum(c.values()) / mean)) for t, n in c.items()}
             total = sum(own.values())
             for t, x in own.items():
                 postings[self.vocabulary[t]].append((k, x / total))
@@ -181,15 +193,33 @@ class ItemIndex:
         return [(self.ids[item], score, asked, answered) for item, ((_, asked, score), answered) in best.items()]
 
 
+def statistics(items: DataFrame) -> Statistics:
+    """Of all rows of ``items(item_id, text)`` that have a term."""
+
+    def run(batches):
+        for batch in batches:
+            lists = [w for w in map(terms, batch.column("text").to_pylist()) if w]
+            df = Counter(t for w in lists for t in set(w))
+            yield pa.RecordBatch.from_arrays([pa.array([None, *df], pa.binary()), pa.array([len(lists), *df.values()], pa.int64()), pa.array([sum(map(len, lists)), *[0] * len(df)], pa.int64()), pa.array([max(map(len, lists), default=0), *[0] * len(df)], pa.int64())], ["term", "items", "words", "longest"])
+
+    rows = items.select("text").mapInArrow(run, "term binary, items long, words long, longest long").groupBy("term").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest")).collect()
+    totals = next(((r.items, r.words, r.longest) for r in rows if r.term is None), (0, 0, 0))
+    return Statistics(*totals, {bytes(r.term): r.items for r in rows if r.term is not None})
+
+
 def indexes(benchmark: DataFrame, k1: float, b: float, block_items: int) -> list[ItemIndex]:
-    """Indexes of at most ``block_items`` items each, so that what is broadcast at once is bounded; null texts have no terms."""
-    out, held = [], []
-    for row in benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct().toLocalIterator():
+    """Indexes of at most ``block_items`` items each, so that what is broadcast at once is bounded; null texts have no terms.
+
+    Scores and passages are those of one index of all items.
+    """
+    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    of_all, out, held = statistics(items), [], []
+    for row in items.orderBy("item_id", "text").toLocalIterator():
         held.append((row.item_id, row.text))
         if len(held) == block_items:
-            out.append(ItemIndex(held, k1, b))
+            out.append(ItemIndex(held, k1, b, of_all))
             held = []
-    return out + ([ItemIndex(held, k1, b)] if held else [])
+    return out + ([ItemIndex(held, k1, b, of_all)] if held else [])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5, k1: float = 1.2, b: float = 0.75, block_items: int = 2_000) -> DataFrame:
