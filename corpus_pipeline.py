@@ -26,10 +26,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (0.8 of their five-word shingles): that with the smallest doc_id, once."""
+    """One document of each group of near duplicates (0.8 of their five-word shingles): that with the smallest doc_id,
+    once; of rows with that id, or of a group without ids, that with the smallest text_key."""
     ws = Workspace(spark, "pipeline-dedup")
-    found = ws.save(dedup.near_duplicates(docs), "found")
-    kept = without(docs, found.where("not kept"))
+    found = ws.save(dedup.near_duplicates(docs, labels=True), "found")
+    # components of which rows with different texts, but one doc_id or none, are kept
+    tied = found.where("kept and comp is not null").groupBy("comp").agg(F.min("text_key").alias("least"), F.max("text_key").alias("most"))
+    tied = bounded(ws.save(tied.where("least < most").select("comp", "least"), "tied"))
+    others = found.where("kept").join(tied, "comp").where("text_key > least").select("doc_id", "text_key")
+    rejected = ws.save(found.where("not kept").select("doc_id", "text_key").union(others), "rejected")
+    kept = without(docs, rejected)
     # rows that repeat a kept doc_id and its text, of which one stays, are few; only they are shuffled
     again = found.where("kept").groupBy("doc_id", "text_key").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     again = bounded(ws.save(again, "again"))

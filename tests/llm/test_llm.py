@@ -545,3 +545,17 @@ def test_pipeline_repeated_and_odd_rows(spark, sf, odd):
         docs = Workspace(spark, "t").save(stage(spark, docs, sf), "odd")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.select("doc_id", "text", "lang", "source", "n_chars").where("false"), sf).count() == 0
+
+
+def test_pipeline_keeps_one_of_near_copies_without_or_with_the_same_id(spark, sf):
+    rng = random.Random(8)
+    texts = [[rng.choice("abcdefgh") * 3 + str(rng.randint(0, 999)) for _ in range(60)] for _ in range(5)]
+    near = lambda k: [" ".join(texts[k]), " ".join(texts[k]).upper(), "  ".join(texts[k]), " ".join(texts[k][:-1] + ["end"])]
+    rows = [(None, t) for t in near(0)] + [(7, t) for t in near(1)] + [(3, t) for t in near(2)] + [(1, near(2)[0]), (None, near(2)[1])]
+    rows += [(None, near(3)[0])] * 3 + [(9, t) for t in near(4)] + [(9, "another text under the id of a group that has nothing in common")]
+    rows += [(None, None), (None, " "), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()]
+    group = lambda t: next((k for k in range(5) if t and t.lower().split()[:50] == texts[k][:50]), t)
+    want = [(None, 0), (7, 1), (1, 2), (None, 3), (9, 4), (9, rows[-4][1]), (None, None), (None, " "), (8, None)]
+    assert sorted(((i, group(t)) for i, t in out), key=str) == sorted(want, key=str)

@@ -287,9 +287,12 @@ def _roots_of(up: DataFrame, ws: Workspace, name: str, hops: int = 3) -> DataFra
     return up.toDF("rid", "comp")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, trees: int = 6, levels: int = 3, leaf_size: int = 64, block_size: int = 1000, agree: int = AGREE) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, trees: int = 6, levels: int = 3, leaf_size: int = 64, block_size: int = 1000, agree: int = AGREE, labels: bool = False) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, text_key, n_shingles, component_id, kept.
 
+    With ``labels`` also comp, a number of the component that, other than component_id, no two components share; null for
+    rows without shingles.
+
     Shingles are runs of ``width`` words; a shorter text is one shingle as a whole.  ``share`` is the least similarity in
     per cent.
 
@@ -338,9 +341,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, trees: int
     comps = components(links.union(found) if links else found, ws, "all")
     named = classes.select("rid", "fp", "doc_id").join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = ws.save(named.select("fp", "comp").join(ws.save(names, "names"), "comp").select("fp", "component_id"), "named")
+    label = ["comp"] if labels else []
+    named = ws.save(named.select("fp", "comp").join(ws.save(names, "names"), "comp").select("fp", "component_id", *label), "named")
     out = sk.select("doc_id", "text_key", "n", "fp").join(named, "fp", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *label)
 
 
 def _stars(large: DataFrame, classes: DataFrame, ws: Workspace, agree: int) -> DataFrame:
