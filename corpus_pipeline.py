@@ -13,16 +13,26 @@ from tideway.llm import decontam, dedup, langid, mixing, sharding
 from tideway.llm.common import Workspace, bounded, table, text_key, without
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text whose best language has less than this share of the scores is as good as undetermined.
-LEAST_SCORE = 0.3
+#: A text stays if the score of its best language is above the even share of L languages, 1 / L, by this part of
+#: (1 - 1 / L) / L; else it is as good as undetermined.
+LEAST_EXCESS = 0.25
+
+
+def least_score(languages: int) -> float:
+    share = 1 / max(1, languages)
+    return share * (1 + LEAST_EXCESS * (1 - share))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents of no language: null texts, texts without a letter, and those of almost even scores."""
-    ws = Workspace(spark, "pipeline-language")
-    found = langid.identify(docs, langid.fit(docs, ws))
-    rejected = found.where((F.col("lang_pred") == langid.UNDETERMINED) | (F.col("score") < LEAST_SCORE))
-    return without(docs, ws.save(rejected.select("doc_id", "text_key"), "rejected")).select(*COLUMNS)
+    """Without the documents of no language: null texts, texts without a letter, and those of almost even scores.
+
+    Rows are judged and passed on in one scan; repeated rows are judged alike.  Where no row names its language, no
+    language is known and no row stays.  An empty table gives no rows; extra columns are left out.
+    """
+    model = langid.fit(docs, Workspace(spark, "pipeline-language"))
+    found = langid.identify(docs, model, COLUMNS)
+    kept = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= least_score(len(model.languages))))
+    return kept.select(*[F.col(f"kept_{n}").alias(n) for n in COLUMNS])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +55,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a benchmark item."""
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, Workspace(spark, "pipeline-decontam").save(found.select("doc_id", "text_key"), "found")).select(*COLUMNS)
+    """Without the documents that hold a benchmark item.
+
+    Rows with null or empty texts stay, and so do all if there is no item; repeated rows are judged alike, whole texts
+    are read, and extra columns are left out.
+    """
+    return decontam.without_contaminated(docs, table(spark, sf_dir, "benchmark"), COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

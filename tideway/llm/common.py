@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of anything but space and TAB, LF, VT, FF, CR.  ``bytes.split()`` cuts at the same six bytes.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
-#: Rows up to which a measured table is broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a measured table is broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 #: What an Arrow batch holds at most on its way to a Python worker, unless the session sets its own: whole texts come in
@@ -44,9 +44,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local default is set only where the session names none."""
+    """The folder that all executors share; where the session names none, a local one, but never on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file:///tmp/checkpoints/tideway"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -76,10 +78,20 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def table_bytes(df: DataFrame) -> int:
+    """What a saved table takes in memory: its rows times the width of their fixed columns, and the bytes of the others."""
+    long = [F.sum(F.octet_length(f.name)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    n, *more = df.agg(F.count("*"), *long).first()
+    return n * (24 + 8 * len(df.columns)) + sum(x or 0 for x in more)
+
+
 def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df``, a saved table of short rows, with a broadcast hint if its row count (measured here, or given) is within
-    the bound."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+    """``df``, a saved table of scalar columns, with a broadcast hint if its size is within the bound.
+
+    It is measured here, unless the number of its rows, all of fixed width, is given.
+    """
+    size = table_bytes(df) if rows is None else rows * (24 + 8 * len(df.columns))
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def n_words(text: Column) -> Column:
@@ -100,7 +112,10 @@ def text_key(text: Column) -> Column:
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """``docs`` without the rows whose (doc_id, text) is in ``rejected(doc_id, text_key)``, a saved table.
 
-    The text column is shuffled only if the rejected rows are too many to be broadcast.
+    The text column is shuffled only if the rejected rows are too many to be broadcast.  Columns that ``docs`` has
+    besides never meet those of the other table by name.
     """
-    keys = bounded(rejected.select(F.col("doc_id").alias("_rid"), F.col("text_key").alias("_rkey")).distinct())
-    return docs.join(keys, F.col("_rid").eqNullSafe(docs["doc_id"]) & (F.col("_rkey") == text_key(docs["text"])), "left_anti")
+    keys = rejected.select(F.struct("doc_id", "text_key").alias("rejected")).distinct()
+    keys = F.broadcast(keys) if table_bytes(rejected) <= BROADCAST_BYTES else keys
+    left, right = docs.alias("l"), keys.alias("r")
+    return left.join(right, F.col("r.rejected.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("r.rejected.text_key") == text_key(F.col("l.text"))), "left_anti")

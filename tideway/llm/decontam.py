@@ -9,28 +9,36 @@ only blocks whose bound reaches the threshold are walked by WAND, which moves it
 still reach it.  There is no top-k: all items above the threshold are retrieved.  Each is then verified by the shares
 of the five-word shingles of its question and of its answer that stand in the passage and its neighbourhood: that of the
 question, that of both together, or that of an answer of at least five words must reach the overlap.
+
+Impacts are computed by Spark from the statistics of all items.  The index is dealt into parts of bounded size, which
+tasks build and leave in the shared folder; documents are scanned once, and every task reads the parts from there.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from bisect import bisect_left
 from collections import Counter
-from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import islice
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import Workspace, text_key
+from .textstats import WordHasher
+from .warc import open_folder
 
 #: Letters and digits stay, other ASCII bytes part words, other bytes belong to words.
 _CLEAN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 BLOCK = 4
 OVERLAP_WORDS = 5
+#: Half passages whose bounds are held at once.
+HALVES = 256
 _next_item = itemgetter(0)
 
 
@@ -63,56 +71,70 @@ class Near:
         return len(wanted & self.made[n]) / len(wanted)
 
 
-@dataclass
-class Statistics:
-    """Of all items, whatever the index they lie in."""
-
-    items: int
-    words: int
-    longest: int
-    df: dict[bytes, int]
+def impact(n, length, df, items, mean, k1: float, b: float):
+    """BM25 weight of a term with n places in an item of ``length`` terms; numbers or columns."""
+    log = F.log if isinstance(df, Column) else np.log
+    return log(1 + (items - df + 0.5) / (df + 0.5)) * n * (k1 + 1) / (n + k1 * (1 - b + b * length / mean))
 
 
-@dataclass
 class ItemIndex:
-    items: list[tuple[int, str]]
-    k1: float = 1.2
-    b: float = 0.75
-    of_all: Statistics | None = None  # of the given items, if None
-    ids: list[int] = field(default_factory=list)
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
-
-    def __post_init__(self):
-        found = sorted(((i, t, terms(t)) for i, t in self.items if i is not None and terms(t)), key=lambda x: (len(x[2]), x[0], x[1]))
-        self.items = []  # blocks hold items of about one length
-        self.ids = [i for i, _, _ in found]
-        counts = [Counter(w) for _, _, w in found]
-        own = Counter(t for c in counts for t in c)
-        self.vocabulary = {t: k for k, t in enumerate(sorted(own))}
-        lengths = [len(w) for _, _, w in found]
-        all_, self.of_all = self.of_all or Statistics(len(found), sum(lengths), max(lengths, default=0), own), None  # not sent
-        self.length, df, mean = all_.longest, all_.df, all_.words / max(1, all_.items)
-        postings: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
-        for k, c in enumerate(counts):
-            own = {t: np.log(1 + (all_.items - df[t] + 0.5) / (df[t] + 0.5)) * n * (self.k1 + 1) / (n + self.k1 * (1 - self.b + self.b * sum(c.values()) / mean)) for t, n in c.items()}
-            total = sum(own.values())
-            for t, x in own.items():
-                postings[self.vocabulary[t]].append((k, x / total))
-        self.postings = [([k for k, _ in p], [x for _, x in p]) for p in postings]
-        self.most = [max(x) for _, x in self.postings]
+    """A part of the index: items (item_id, text, {hash of a term: impact}), whose impacts sum to one for each item.
+
+    ``longest`` is the length in words of the longest of all items, whatever the part they lie in.
+    """
+
+    def __init__(self, items: list[tuple[int, str, dict[int, float]]], longest: int):
+        items = sorted(items, key=lambda x: (len(terms(x[1])), x[0], x[1]))  # blocks hold items of about one length
+        self.ids, self.texts, self.longest = [i for i, _, _ in items], [t for _, t, _ in items], longest
+        rows = sorted((t, k, x) for k, (_, _, own) in enumerate(items) for t, x in own.items())
+        self.vocabulary = np.unique(np.array([t for t, _, _ in rows], np.uint64))
+        term = np.searchsorted(self.vocabulary, np.array([t for t, _, _ in rows], np.uint64))
+        self.ends = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
+        self.items, self.impacts = np.array([k for _, k, _ in rows], np.int32), np.array([x for _, _, x in rows])
+        self.most = np.zeros(len(self.vocabulary) + 1)
+        np.maximum.at(self.most, term, self.impacts)
         # the last row is that of the words that no item has
-        self.block_most = np.zeros((len(self.vocabulary) + 1, -(-len(found) // BLOCK)), np.float32)
-        for t, (at, x) in enumerate(self.postings):
-            np.maximum.at(self.block_most[t], np.array(at) // BLOCK, np.array(x, np.float32))
-        qa = [question_and_answer(t) for _, t, _ in found]
-        self.question, self.answer = [shingles(q) for q, _ in qa], [shingles(a) for _, a in qa]
+        self.block_most = np.zeros((len(self.vocabulary) + 1, -(-len(items) // BLOCK)), np.float32)
+        np.maximum.at(self.block_most, (term, self.items // BLOCK), self.impacts.astype(np.float32))
+        self.lists, self.wanted = {}, {}
+
+    @classmethod
+    def of(cls, items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75) -> ItemIndex:
+        """Of a few items that are all there are."""
+        hasher = WordHasher()
+        counts = [(i, t, Counter(hasher(terms(t)).tolist())) for i, t in items if terms(t)]
+        df = Counter(t for _, _, own in counts for t in own)
+        mean = sum(own.total() for _, _, own in counts) / max(1, len(counts))
+        out = []
+        for i, t, own in counts:
+            x = {h: impact(n, own.total(), df[h], len(counts), mean, k1, b) for h, n in own.items()}
+            total = sum(x.values())
+            out.append((i, t, {h: v / total for h, v in x.items()}))
+        return cls(out, max((own.total() for _, _, own in counts), default=0))
+
+    def __getstate__(self):
+        return self.__dict__ | {"lists": {}, "wanted": {}}
+
+    def postings(self, t: int) -> tuple[list[int], list[float]]:
+        if t not in self.lists:
+            lo, hi = self.ends[t : t + 2]
+            self.lists[t] = self.items[lo:hi].tolist(), self.impacts[lo:hi].tolist()
+        return self.lists[t]
+
+    def shingles_of(self, item: int) -> tuple[set, set]:
+        """Those of the question and of the answer of an item."""
+        if item not in self.wanted:
+            if len(self.wanted) >= 5000:
+                self.wanted.clear()
+            self.wanted[item] = tuple(map(shingles, question_and_answer(self.texts[item])))
+        return self.wanted[item]
 
     def search(self, query: list[int], threshold: float, blocks: list[int]) -> list[tuple[int, float]]:
         """Block-max WAND: all items of the given blocks (ascending) that the terms of the query score to the threshold."""
         end, out = len(self.ids), []
         lists = []  # [next item, position, items, impacts, term]
         for t in query:
-            items, impacts = self.postings[t]
+            items, impacts = self.postings(t)
             k = bisect_left(items, blocks[0] * BLOCK)
             if k < len(items):
                 lists.append([items[k], k, items, impacts, t])
@@ -121,7 +143,7 @@ class ItemIndex:
             p[1] = k = bisect_left(p[2], to, p[1])
             p[0] = p[2][k] if k < len(p[2]) else end
 
-        most, block_most = self.most, self.block_most
+        most, block_most = {p[4]: float(self.most[p[4]]) for p in lists}, self.block_most
         while True:
             lists = sorted((p for p in lists if p[0] < end), key=_next_item)
             bound, pivot = 0.0, -1
@@ -157,92 +179,161 @@ class ItemIndex:
                 for p in lists[:pivot]:
                     skip(p, item)
 
-    def matches(self, text: str | None, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
+    def matches(self, words: list[bytes], hashes: np.ndarray, threshold: float, overlap: float):
         """(item_id, score, question overlap, answer overlap) of each verified item of a document, at its best passage.
 
         Every retrieved passage is verified: one that scores as high may hold the item's words in another order.
         """
-        words = terms(text)
         if not words or not self.ids:
-            return []
-        none, half = len(self.vocabulary), max(16, -(-self.length // 2))
-        tid = np.fromiter(map(self.vocabulary.get, words, repeat(none)), np.int64, len(words))
-        slots = np.unique(np.flatnonzero(tid < none) // half * (none + 1) + tid[tid < none])  # distinct terms of each half
-        if not len(slots):
-            return []
+            return
+        none, half = len(self.vocabulary), max(16, -(-self.longest // 2))
+        tid = np.minimum(np.searchsorted(self.vocabulary, hashes), none - 1)
+        tid[self.vocabulary[tid] != hashes] = none
+        known = np.flatnonzero(tid < none)
+        slots = np.unique(known // half * (none + 1) + tid[known])  # distinct terms of each half
         at, term = slots // (none + 1), slots % (none + 1)
-        halves = int(at[-1]) + 2
-        starts = np.flatnonzero(np.diff(at, prepend=-1))
-        bound = np.zeros((halves, self.block_most.shape[1]), np.float32)
-        bound[at[starts]] = np.add.reduceat(self.block_most[term], starts, axis=0)
-        bound[:-1] += bound[1:]  # of the passage of a half and the next
         best: dict[int, tuple[tuple[float, float, float], float]] = {}
-        for h in np.flatnonzero((bound >= threshold * 0.9999).any(axis=1)):
-            query = np.unique(term[np.searchsorted(at, h) : np.searchsorted(at, h + 2)]).tolist()
-            exact = self.block_most[query].sum(axis=0)  # a term of both halves counts once
-            blocks = np.flatnonzero(exact >= threshold * 0.9999)
-            near = Near(words[max(0, (h - 2) * half) : (h + 4) * half])
-            for item, score in self.search(query, threshold, blocks.tolist()) if len(blocks) else ():
-                question, answer = self.question[item], self.answer[item]
-                asked = near.share(question)
-                answered = near.share(answer) if answer else asked
-                both = (asked * len(question) + answered * len(answer)) / (len(question) + len(answer))
-                long = len(next(iter(answer), ())) == OVERLAP_WORDS  # a few words are found anywhere
-                if (asked >= overlap or both >= overlap or long and answered >= overlap) and (both, asked, score) > best.get(item, ((),))[0]:
-                    best[item] = ((both, asked, score), answered)
-        return [(self.ids[item], score, asked, answered) for item, ((_, asked, score), answered) in best.items()]
-
-
-def statistics(items: DataFrame) -> Statistics:
-    """Of all rows of ``items(item_id, text)`` that have a term."""
+        for lo in range(0, len(words) // half + 1, HALVES):  # the bounds of so many passages are held at once
+            part = slice(*np.searchsorted(at, (lo, lo + HALVES + 1)))
+            if part.start == part.stop:
+                continue
+            near_at = at[part] - lo
+            bound = np.zeros((HALVES + 1, self.block_most.shape[1]), np.float32)
+            starts = np.flatnonzero(np.diff(near_at, prepend=-1))
+            bound[near_at[starts]] = np.add.reduceat(self.block_most[term[part]], starts, axis=0)
+            bound = bound[:-1] + bound[1:]  # of the passage of a half and the next
+            for h in lo + np.flatnonzero((bound >= threshold * 0.9999).any(axis=1)):
+                query = np.unique(term[np.searchsorted(at, h) : np.searchsorted(at, h + 2)]).tolist()
+                exact = self.block_most[query].sum(axis=0)  # a term of both halves counts once
+                blocks = np.flatnonzero(exact >= threshold * 0.9999)
+                near = Near(words[max(0, (h - 2) * half) : (h + 4) * half])
+                for item, score in self.search(query, threshold, blocks.tolist()) if len(blocks) else ():
+                    question, answer = self.shingles_of(item)
+                    asked = near.share(question)
+                    answered = near.share(answer) if answer else asked
+                    both = (asked * len(question) + answered * len(answer)) / (len(question) + len(answer))
+                    long = len(next(iter(answer), ())) == OVERLAP_WORDS  # a few words are found anywhere
+                    if (asked >= overlap or both >= overlap or long and answered >= overlap) and (both, asked, score) > best.get(item, ((),))[0]:
+                        best[item] = ((both, asked, score), answered)
+        for item, ((_, asked, score), answered) in best.items():
+            yield self.ids[item], score, asked, answered
+
+    def found(self, text: str | None, threshold: float = 0.5, overlap: float = 0.5) -> list[tuple[int, float, float, float]]:
+        words = terms(text)
+        return list(self.matches(words, WordHasher()(words), threshold, overlap))
 
-    def run(batches):
-        for batch in batches:
-            lists = [w for w in map(terms, batch.column("text").to_pylist()) if w]
-            df = Counter(t for w in lists for t in set(w))
-            yield pa.RecordBatch.from_arrays([pa.array([None, *df], pa.binary()), pa.array([len(lists), *df.values()], pa.int64()), pa.array([sum(map(len, lists)), *[0] * len(df)], pa.int64()), pa.array([max(map(len, lists), default=0), *[0] * len(df)], pa.int64())], ["term", "items", "words", "longest"])
 
-    rows = items.select("text").mapInArrow(run, "term binary, items long, words long, longest long").groupBy("term").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest")).collect()
-    totals = next(((r.items, r.words, r.longest) for r in rows if r.term is None), (0, 0, 0))
-    return Statistics(*totals, {bytes(r.term): r.items for r in rows if r.term is not None})
+def build(benchmark: DataFrame, ws: Workspace, k1: float, b: float, part_items: int) -> list[str]:
+    """Files of the parts of an index of all ``benchmark(item_id, text)``, of about ``part_items`` items each.
 
+    Equal rows count once; rows without an id, a text or a term are left out.  Extra columns are ignored.
+    """
 
-def indexes(benchmark: DataFrame, k1: float, b: float, block_items: int) -> list[ItemIndex]:
-    """Indexes of at most ``block_items`` items each, so that what is broadcast at once is bounded; null texts have no terms.
+    def counted(batches):
+        hasher = WordHasher()
+        for batch in batches:
+            rows = [Counter(hasher(terms(t)).view(np.int64).tolist()) for t in batch.column("text").to_pylist()]
+            cols = [batch.column("item_id"), batch.column("text"), pa.array([list(r.items()) for r in rows], pa.map_(pa.int64(), pa.int64())), pa.array([r.total() for r in rows], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["item_id", "text", "terms", "length"])
 
-    Scores and passages are those of one index of all items.
-    """
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
-    of_all, out, held = statistics(items), [], []
-    for row in items.orderBy("item_id", "text").toLocalIterator():
-        held.append((row.item_id, row.text))
-        if len(held) == block_items:
-            out.append(ItemIndex(held, k1, b, of_all))
-            held = []
-    return out + ([ItemIndex(held, k1, b, of_all)] if held else [])
+    items = items.mapInArrow(counted, "item_id long, text string, terms map<long,long>, length long").where("length > 0")
+    items = ws.save(items.withColumn("row", F.monotonically_increasing_id()), "items")
+    n, words, longest = items.agg(F.count("*"), F.sum("length"), F.max("length")).first()
+    if not n:
+        return []
+    each = items.select("row", "length", F.explode("terms").alias("term", "n"))
+    df = each.groupBy("term").agg(F.count("*").alias("df"))
+    x = impact(F.col("n"), F.col("length"), F.col("df"), n, words / n, k1, b)
+    rows = each.join(df, "term").groupBy("row").agg(F.collect_list(F.struct("term", x.alias("x"))).alias("x"))
+    parts = -(-n // part_items)
+    rows = items.select("row", "item_id", "text").join(rows, "row").withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
+
+    def indexed(table):
+        own = []
+        for i, t, x in zip(*(table.column(c).to_pylist() for c in ("item_id", "text", "x"))):
+            total = sum(sorted(v["x"] for v in x))
+            own.append((i, t, {v["term"] % 2**64: v["x"] / total for v in x}))
+        data = pickle.dumps(ItemIndex(own, longest))
+        return pa.table({"part": table.column("part").slice(0, 1), "data": pa.array([data], pa.binary())})
+
+    made = rows.groupBy("part").applyInArrow(indexed, "part int, data binary")
+    path = f"{ws.root}/index"
+    made.repartition(parts, "part").write.option("maxRecordsPerFile", 1).parquet(path)
+    return sorted(ws.spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f")).distinct().toPandas()["f"])
+
+
+class Parts:
+    """The parts of an index in a task: those read last are held, at most ``most`` of them."""
+
+    def __init__(self, files: list[str], most: int = 4):
+        self.files, self.most, self.held = files, most, {}
+
+    def __iter__(self):
+        for f in self.files:
+            if f not in self.held:
+                if len(self.held) >= self.most:
+                    self.held.pop(next(reversed(self.held)))  # the earlier ones come first again
+                store, at = open_folder(f)
+                with store.open_input_file(at) as file:
+                    self.held[f] = pickle.loads(pq.read_table(file).column("data")[0].as_py())
+            yield self.held[f]
+
+
+KEYS = "doc_id long, text_key long, item_id long, score double, question_overlap double, answer_overlap double"
+
+
+def _searched(texts: list[str | None], parts: Parts, hasher: WordHasher, threshold: float, overlap: float, first: bool = False):
+    """(number of the text, hit) for the hits of each text; with ``first``, a text that has one is not searched on.
+
+    All texts of a batch meet a part before the next one is read.
+    """
+    words = [terms(t) for t in texts]
+    hashes = [hasher(w) for w in words]
+    left = list(range(len(texts)))
+    for index in parts:
+        for i in list(left):
+            hits = index.matches(words[i], hashes[i], threshold, overlap)
+            hits = list(islice(hits, 1) if first else hits)
+            yield from ((i, h) for h in hits)
+            if first and hits:
+                left.remove(i)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5, k1: float = 1.2, b: float = 0.75, block_items: int = 2_000) -> DataFrame:
     """doc_id, text_key, item_id, score, question_overlap, answer_overlap for each row of ``docs`` and item it contains.
 
-    Empty and null texts and an empty benchmark give no rows; a repeated row gives its rows again.
+    Empty and null texts and an empty benchmark give no rows; a repeated row gives its rows again, and an item_id that
+    several items have may come once for each.  Of passages that verify an item equally, the one with the higher score
+    counts.  Whole texts are read, however long; extra columns of either table are ignored.
     """
-    out = None
-    for index in indexes(benchmark, k1, b, block_items):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches, sent=sent):
-            own = sent.value
-            for batch in batches:
-                ids, keys, rows = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), []
-                for i, text in enumerate(batch.column("text").to_pylist()):
-                    rows += [(ids[i], keys[i], *m) for m in own.matches(text, threshold, overlap)]
-                cols = list(zip(*rows)) or [()] * 6
-                kinds = [pa.int64()] * 3 + [pa.float64()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "text_key", "item_id", "score", "question_overlap", "answer_overlap"])
-
-        part = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, item_id long, score double, question_overlap double, answer_overlap double")
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], "doc_id long, text_key long, item_id long, score double, question_overlap double, answer_overlap double")
-    return out
+    files = build(benchmark, Workspace(docs.sparkSession, "decontam"), k1, b, block_items)
+
+    def run(batches):
+        parts, hasher = Parts(files), WordHasher()
+        for batch in batches:
+            ids, keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
+            rows = [(ids[i], keys[i], *h) for i, h in _searched(batch.column("text").to_pylist(), parts, hasher, threshold, overlap)]
+            cols = list(zip(*rows)) or [()] * 6
+            kinds = [pa.int64()] * 3 + [pa.float64()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [c.split()[0] for c in KEYS.split(", ")])
+
+    return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(run, KEYS)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], threshold: float = 0.5, overlap: float = 0.5, k1: float = 1.2, b: float = 0.75, block_items: int = 2_000) -> DataFrame:
+    """The columns ``keep`` of the rows of ``docs`` that contain no item, by the rule of ``contaminated``.
+
+    Rows are judged and passed on in one scan; neither they nor keys of them are shuffled.  Rows with null or empty
+    texts stay, and so do all rows if there is no item.
+    """
+    files = build(benchmark, Workspace(docs.sparkSession, "decontam"), k1, b, block_items)
+    rows = docs.select(*keep)
+
+    def run(batches):
+        parts, hasher = Parts(files), WordHasher()
+        for batch in batches:
+            hit = {i for i, _ in _searched(batch.column("text").to_pylist(), parts, hasher, threshold, overlap, first=True)}
+            yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in hit], pa.int64()))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Workspace, bounded, crc_mod, text_key
 
@@ -61,16 +62,29 @@ class LanguageModel:
         return out
 
 
+def chosen(rows: DataFrame, per_language: int) -> DataFrame:
+    """lang, doc_id, k of at most ``per_language`` different (doc_id, k) of each lang, those with the least hashes.
+
+    The least row of each range of hashes is taken before the shuffle, so that of a language with any number of rows, or
+    of a row repeated any number of times, a few thousand keys are all that meets.
+    """
+    h = F.xxhash64("doc_id", "k")
+    least = rows.select("lang", F.shiftrightunsigned(h, 52).alias("range"), F.struct(h.alias("h"), "doc_id", "k").alias("row"))  # 4096 ranges
+    least = least.groupBy("lang", "range").agg(F.min("row").alias("row"))
+    order = Window.partitionBy("lang").orderBy("range", "row")
+    return least.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("lang", "row.doc_id", "row.k")
+
+
 def fit(docs: DataFrame, ws: Workspace, per_language: int = 400, landmarks: int = 256, ridge: float = 0.1, held_out: int = 2, folds: int = 4) -> LanguageModel:
-    """Learns from at most ``per_language`` texts of each language, those whose ids hash lowest, outside the held-out fold.
+    """Learns from at most ``per_language`` texts of each language, those whose hashes are least, outside the held-out fold.
 
-    Rows with a null lang or a null doc_id are not learned from.
+    Rows with a null lang or a null doc_id are not learned from; a row that is repeated is learned from once.  Extra
+    columns are ignored.
     """
     ok = F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), folds) != held_out)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "k")
-    picked = docs.where(ok).select("doc_id", "lang", text_key(F.col("text")).alias("k")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
-    picked = bounded(ws.save(picked.select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), F.col("lang").alias("_lang")).distinct(), "picked"))
-    rows = docs.where(ok).join(picked, (F.col("doc_id") == F.col("_id")) & (text_key(F.col("text")) == F.col("_k")) & (F.col("lang") == F.col("_lang")), "left_semi")
+    own = docs.select("doc_id", "lang", "text").where(ok).withColumn("k", text_key(F.col("text")))
+    picked = bounded(ws.save(chosen(own.select("doc_id", "lang", "k"), per_language), "picked"))
+    rows = own.join(picked, ["doc_id", "k", "lang"], "left_semi").dropDuplicates(["doc_id", "k", "lang"])
 
     def bits(batches):
         spectrum = Spectrum()
@@ -106,13 +120,17 @@ def fit(docs: DataFrame, ws: Workspace, per_language: int = 400, landmarks: int
     return LanguageModel(languages, (land.T @ beta.astype(np.float32)).astype(np.float32))
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, text_key, lang_pred, score for every row of ``docs(doc_id, text)``.
+def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text_key, lang_pred, score for every row of ``docs(doc_id, text)``, and its columns ``keep`` as
+    kept_...
 
     Null texts and texts without a letter are ``und`` with score 0, as is every text if the model knows no language.
-    The score is the share of the best language in the ridge outputs, mapped from [-1, 1] to [0, 1].
+    The score is the share of the best language in the ridge outputs, mapped from [-1, 1] to [0, 1]; of languages with
+    equal outputs the first by name is taken.  Whole texts are read, however long; repeated rows are judged alike.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2^16 x languages floats
+    rows = docs.select("doc_id", "text", *[F.col(n).alias(f"kept_{n}") for n in keep]).withColumn("text_key", text_key(F.col("text")))
+    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *[rows.schema[f"kept_{n}"] for n in keep]])
 
     def run(batches):
         spectrum, known = Spectrum(), sent.value
@@ -120,13 +138,15 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for b in batches:
             texts = b.column("text").to_pylist()
             for lo in range(0, len(texts), 256):
-                part = texts[lo : lo + 256]
+                part, own = texts[lo : lo + 256], b.slice(lo, 256)
                 lettered = np.array([bool(t) and any(map(str.isalpha, t)) for t in part], bool)
                 best, score = np.full(len(part), len(names) - 1), np.zeros(len(part))
                 if known.languages and lettered.any():
                     p = np.clip((known.scores([spectrum(t) if ok else np.empty(0, np.int64) for t, ok in zip(part, lettered)]) + 1) / 2, 1e-9, 1)
                     best[lettered] = p[lettered].argmax(axis=1)
                     score[lettered] = (p.max(axis=1) / p.sum(axis=1))[lettered]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, len(part)), b.column("text_key").slice(lo, len(part)), pa.array(names[best], pa.string()), pa.array(score)], ["doc_id", "text_key", "lang_pred", "score"])
+                cols = [own.column("doc_id"), own.column("text_key"), pa.array(names[best], pa.string()), pa.array(score), *[own.column(f"kept_{n}") for n in keep]]
+                yield pa.RecordBatch.from_arrays(cols, out.names)
 
-    return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, lang_pred string, score double")
+    found = rows.mapInArrow(run, out)
+    return found

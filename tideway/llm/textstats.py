@@ -39,7 +39,7 @@ def kinds(data: bytes) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of words; those of up to ``cache`` words are kept."""
 
-    def __init__(self, cache: int = 200_000):
+    def __init__(self, cache: int = 50_000):
         self.most, self.known = cache, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:

@@ -1,8 +1,9 @@
 """URL filters: rules for hosts and paths, and logistic regression on hashed character n-grams for the rest.
 
-The regression is fitted in its dual form inside one row: the Gram matrix of the small labelled table is an array of
-arrays, and gradient steps on the dual coefficients are a fold over it.  The weights of the n-grams follow as sums of
-coefficients; they are a literal of fixed size in the scoring expression, so scoring neither joins nor shuffles.
+The labelled table is small and made by a rule: hosts of both classes share prefixes, domains and paths, and differ in
+the words of their names alone.  The regression is a fold of gradient steps inside one row, over the n-grams of each URL
+and the URLs of each n-gram.  Its weights are a literal of fixed size in the scoring expression, so scoring neither
+joins nor shuffles.
 """
 
 from __future__ import annotations
@@ -10,28 +11,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PLACES = 4096
-STEPS, RATE, RIDGE = 300, 0.01, 0.02
-
-#: The labelled URLs (1: block).
-LABELLED = (
-    ("https://www.bigcasino-bonus.win/slots/free-spins", 1), ("http://poker-jackpot.bet/play/casino/now", 1), ("https://adult-cams.xxx/live/sexy", 1),
-    ("http://free-porn-videos.xxx/watch/hot", 1), ("https://cheap-pills-online.biz/viagra/buy-now", 1), ("http://replica-watches.shop/buy/cheap", 1),
-    ("https://download-crack.top/keygen/serial", 1), ("http://torrent-warez.ru/crack/full-version", 1), ("https://win-prize-now.click/claim/free-gift", 1),
-    ("http://loan-fast-cash.loan/apply/payday", 1), ("https://sexy-dating-hot.club/singles/xxx", 1), ("http://casino-slots-vip.vip/bonus/jackpot", 1),
-    ("https://ads.trackclick.click/redirect/banner", 1), ("http://spam-seo-links.link/buy/backlinks", 1), ("https://betting-odds-free.bet/sport/bonus", 1),
-    ("http://hackedserial.top/activator/crack", 1), ("https://miracle-diet-pills.biz/weight-loss/buy", 1), ("http://cheap-viagra-store.biz/order", 1),
-    ("https://gambling-king.win/roulette/free", 1), ("http://escort-girls-hot.xxx/city/escort", 1), ("https://popup-adserver.click/track/ads", 1),
-    ("http://phish-login-verify.top/account/verify", 1), ("https://free-iphone-winner.click/survey/prize", 1), ("http://warez-download.ru/serials/keygen", 1),
-    ("https://en.example.org/wiki/Physics", 0), ("https://www.example.edu/department/mathematics/course", 0), ("http://news.example.com/2024/05/economy-report", 0),
-    ("https://blog.example.net/en/2023/gardening-tips", 0), ("https://docs.example.org/library/reference.html", 0), ("http://www.example.gov/health/statistics", 0),
-    ("https://m.example.com/en/1042", 0), ("https://www.example.net/fr/77.html", 0), ("http://blog.example.org/de/310?page=2", 0),
-    ("https://example.com/es/918/", 0), ("https://history.museum.example.org/collection/item", 0), ("https://shop.example.com/books/science", 0),
-    ("https://www.example.com/en/recipes/bread", 0), ("http://forum.example.net/thread/linux-kernel", 0), ("https://www.example.org/about/contact", 0),
-    ("https://research.example.edu/papers/2022/astronomy", 0), ("http://m.example.net/en/5512", 0), ("https://weather.example.com/forecast/today", 0),
-    ("https://www.example.org/fr/article/405", 0), ("http://library.example.edu/catalog/search", 0), ("https://blog.example.com/de/travel/berlin", 0),
-    ("https://music.example.net/albums/classical", 0), ("http://www.example.com/es/noticias/deporte", 0), ("https://maps.example.org/city/paris", 0),
-)
+PLACES = 8192
+STEPS, RATE, MOMENTUM, RIDGE = 60, 0.3, 0.9, 0.0005
+
+#: The words in the names of hosts to be blocked, and of others.
+BLOCKED = (
+    "casino poker slots jackpot roulette betting bets gambling lottery bingo win winner prize bonus free cheap discount pills viagra cialis pharma steroids "
+    "adult porn xxx sexy nude escort cams dating hookup loan payday cash crypto-doubler replica knockoff crack keygen warez torrent serial spam farm linkfarm "
+    "ads adserver adclick track tracker popup banner redirect click phish malware hack x"
+).split()
+ALLOWED = (
+    "news blog daily herald library museum science physics weather recipes kitchen garden history university school college music concert travel hotel docs "
+    "wiki forum shop books photo health clinic city council sport football art gallery film cinema code python data maps nature river mountain energy solar "
+    "law justice language grammar theatre coffee bicycle railway harbour"
+).split()
+#: Common letter groups of English, of which names that mean nothing are made in either class; and what
+#: both classes share.
+SYLLABLES = "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur me ing ion tion ent ble ly sh wh".split()
+PREFIXES, DOMAINS, TAILS = ("", "www.", "m.", "blog."), ("example.com", "example.net", "example.org"), ("/en/{n}", "/fr/{n}/", "/de/{n}.html", "/es/{n}?page=2&ref=x", "/{n}#top", "/")
+
+
+def labelled(n: int = 540, first: int = 0) -> list[tuple[str, int]]:
+    """``n`` URLs of the table, from number ``first`` on (1: block); a number always gives the same URL.
+
+    Every third is to be blocked and has one blocked word in its name, or two, or one and letter groups; the others have
+    allowed words in the same way, or letter groups alone.  The words are taken in turn.
+    """
+    out = []
+    for i in range(first, first + n):
+        h = (i * 2654435761 + 40503) % 2**32  # a multiplicative hash deals out all other parts of the URL
+        pick = lambda items, k: items[h // 7**k % len(items)]
+        words = BLOCKED if i % 3 == 1 else ALLOWED
+        word, made = words[i // 3 % len(words)], pick(SYLLABLES, 1) + pick(SYLLABLES, 3) + pick(("", *SYLLABLES), 5)
+        forms = (word, f"{word}-{pick(words, 4)}", f"{word}{pick(words, 5)}", f"{word}-{made}", f"{made}{word}")
+        name = made + pick(("", *SYLLABLES), 7) if i % 3 == 2 else forms[h // 11 % len(forms)]
+        out.append((f"{pick(('http', 'https'), 3)}://{pick(PREFIXES, 4)}{name}.{pick(DOMAINS, 6)}{pick(TAILS, 5).format(n=h % 9973)}", int(i % 3 == 1)))
+    return out
+
 
 #: Fixed values: (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -63,30 +79,41 @@ def grams(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(places(host, 1), places(path, 2)))
 
 
-def fit(spark: SparkSession, labelled=LABELLED) -> list[float]:
-    """Weights of the places, and the intercept last.  ``labelled`` is a small table: its Gram matrix is held in one row."""
-    rows = spark.createDataFrame([(i, u, float(y)) for i, (u, y) in enumerate(labelled)], "r int, url string, y double")
+def fit(spark: SparkSession, table: list[tuple[str, int]] | None = None) -> list[float]:
+    """Weights of the places, and the intercept last.
+
+    ``table`` is small (by default 540 URLs): its n-grams, and for each place the URLs that have it, are held in one row.
+    Every step moves all weights at once by the mean slope of the log likelihood, less the ridge, and by a share of the
+    step before.
+    """
+    table = labelled() if table is None else table
+    rows = spark.createDataFrame([(i, u, float(y)) for i, (u, y) in enumerate(table)], "r int, url string, y double")
     host, path = split_url(F.col("url"))
     rows = rows.select("r", "y", grams(host, path).alias("g"))
-    each = rows.select("r", F.explode("g").alias("p"))
-    common = each.join(each.withColumnRenamed("r", "s"), "p").groupBy("r", "s").count()
-    common = common.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("s", "count"))).alias("m"))
-    gram = rows.join(common, "r").withColumn("k", F.transform(F.sequence(F.lit(0), F.lit(len(labelled) - 1)), lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0)) + F.lit(1.0)))
-    one = gram.agg(F.array_sort(F.collect_list(F.struct("r", "y", "g", "k"))).alias("t"))
-    zeros = F.transform("t", lambda a: F.lit(0.0))
-
-    def step(alpha: Column, _: Column) -> Column:
-        def one_row(a: Column, i: Column) -> Column:
-            z = F.aggregate(F.zip_with(F.get("t", i)["k"], alpha, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-            return a + RATE * (F.get("t", i)["y"] - 1.0 / (1.0 + F.exp(-z)) - RIDGE * a)
-
-        return F.transform(alpha, one_row)
-
-    alpha = one.select(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), zeros, step).alias("alpha"), "t")
-    each = alpha.select(F.posexplode("alpha").alias("i", "a"), "t").select("a", F.get("t", F.col("i"))["g"].alias("g"))
-    found = {r.p: r.w for r in each.select(F.explode("g").alias("p"), "a").groupBy("p").agg(F.sum("a").alias("w")).collect()}
-    bias = each.agg(F.sum("a")).first()[0]
-    return [round(found.get(p, 0.0), 9) for p in range(PLACES)] + [round(bias, 9)]
+    has = rows.select("r", F.explode("g").alias("p")).groupBy("p").agg(F.collect_list("r").alias("rs"))
+    has = spark.range(PLACES).select(F.col("id").cast("int").alias("p")).join(has, "p", "left").select(F.struct("p", F.coalesce("rs", F.array().cast("array<int>")).alias("rs")).alias("e"))
+    one = rows.agg(F.array_sort(F.collect_list(F.struct("r", "y", "g"))).alias("t")).crossJoin(has.agg(F.array_sort(F.collect_list("e")).alias("has")))  # one row each
+    zeros = F.transform("has", lambda e: F.lit(0.0))
+    start = F.struct(zeros.alias("w"), zeros.alias("v"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"))
+    n = float(max(1, len(table)))
+    total = lambda items, of: F.aggregate(items, F.lit(0.0), lambda s, x: s + of(x))
+
+    def step(state: Column, _: Column) -> Column:
+        left = F.transform("t", lambda u: u["y"] - 1.0 / (1.0 + F.exp(-(state["b"] + total(u["g"], lambda p: F.get(state["w"], p))))))
+
+        def moved(r: Column) -> Column:
+            slope = F.zip_with(state["w"], F.col("has"), lambda w, e: total(e["rs"], lambda i: F.get(r, i)) / n - RIDGE * w)
+            v = F.zip_with(state["v"], slope, lambda v, x: MOMENTUM * v + RATE * x)
+            return F.struct(v.alias("v"), (MOMENTUM * state["c"] + RATE * total(r, lambda x: x) / n).alias("c"))
+
+        def added(m: Column) -> Column:
+            return F.struct(F.zip_with(state["w"], m["v"], lambda w, v: w + v).alias("w"), m["v"].alias("v"), (state["b"] + m["c"]).alias("b"), m["c"].alias("c"))
+
+        bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  inside a lambda x is computed once
+        return bound(bound(left, moved), added)
+
+    found = one.select(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step).alias("m")).first().m
+    return [round(x, 9) for x in [*found.w, found.b]]
 
 
 def chance(host: Column, path: Column, weights: list[float]) -> Column:
