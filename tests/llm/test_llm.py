@@ -269,7 +269,7 @@ def test_op5_equals_its_sql(spark, sf):
     assert got == want
 
 
-def test_op5_large_groups_equal_brute_force(spark):
+def test_op5_large_groups_equal_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     vocabulary = ["w%d" % i for i in range(900)]
     base = [rng.choice(vocabulary) for _ in range(120)]
@@ -282,11 +282,45 @@ def test_op5_large_groups_equal_brute_force(spark):
     rows += [(1000 + i, " ".join(base[:60] + [rng.choice(vocabulary) for _ in range(40)])) for i in range(60)]
     rows += [(2000 + i, rows[i][1].upper()) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for blocks in (1000, 50):
-        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in dedup.near_duplicates(df, width=2, leaf_size=16, block_size=blocks).collect()), key=str)
+    monkeypatch.setattr(dedup, "LAST_LEVEL", 5)
+    for blocks, most in ((50, 32), (7, 1)):  # the last one branches on
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in dedup.near_duplicates(df, width=2, leaf_size=16, block_size=blocks, most_blocks=most).collect()), key=str)
         assert got == brute(rows, 2)
 
 
+def test_op5_a_large_group_of_near_copies_writes_rows_in_proportion(spark, monkeypatch):
+    written = []
+
+    class Counting(Workspace):
+        def save(self, df, name):
+            out = super().save(df, name)
+            written.append((out.count(), name))
+            return out
+
+    monkeypatch.setattr(dedup, "Workspace", Counting)
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(100)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i in range(10_000) for k in [rng.randrange(100)]]
+    rows += [(30_000 + i, " ".join(base[:72] + [f"y{i}_{k}" for k in range(28)])) for i in range(50)]  # near no other
+    got = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), width=2)
+    names = {r.doc_id: r.component_id for r in got.select("doc_id", "component_id").collect()}
+    assert all(names[i] == 0 for i in range(10_000)) and all(names[i] == i for i in range(30_000, 30_050))
+    # a set stands in 6 roots, 12 children and 24 of theirs
+    assert max(n for n, _ in written) <= 42 * 10_050 and sum(n for n, _ in written) <= 300 * 10_050
+
+
+def test_op5_trees_follow_from_the_recall():
+    assert dedup.trees_for(0.9997, 0.8) == 6
+    for recall in (0.9, 0.99, 0.9997):
+        p = 0.8 * dedup.survival(0.8, dedup.LAST_LEVEL)
+        n = dedup.trees_for(recall, 0.8)
+        assert 1 - (1 - p) ** n >= recall > 1 - (1 - p) ** (n - 1)
+    rng, kept = random.Random(1), 0
+    meets = lambda level: level == 0 or any(rng.random() < 0.8 and meets(level - 1) for _ in range(2))
+    kept = sum(rng.random() < 0.8 and meets(3) for _ in range(20_000)) / 20_000
+    assert abs(kept - 0.8 * dedup.survival(0.8, 3)) < 0.015
+
+
 def test_op5_odd_and_empty(spark, odd, none):
     for width in (2, 5):
         got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in dedup.near_duplicates(odd, width).collect()), key=str)

@@ -3,10 +3,14 @@
 Every distinct shingle set gets a signature of 64 minwise tokens.  Independent trees branch the sets recursively:
 a node is the path of minwise tokens chosen so far, and its sets agree on all of them.  A node of at most
 ``leaf_size`` sets is compared exhaustively; a larger one chooses two further tokens and branches, so that a pair of
-similarity s survives a level with probability 1 - (1 - s q)^2 (q: that of the level below).  With s = 0.8, six
-trees and three levels this is a recall above 0.9997 for a single pair.  Large nodes hold groups of near copies: their
-sets are first linked with central ones, and only pairs that this leaves in different components are compared, in the
-small nodes and, block by block, in those still large at the last level.  Every link is confirmed on the full sets.
+similarity s survives a level with probability 1 - (1 - s q)^2 (q: that of the level below).  The number of trees
+follows from the recall that a pair of the least similarity is to have.
+
+Large nodes hold groups of near copies: after a few levels their sets are linked with central ones, and only pairs that
+this leaves in different components are compared.  A large node whose sets are all in one component is done.  In any
+other, the sets outside its largest component are compared with those inside and with each other, block by block, if
+they are few enough for that to cost a fixed number of rows a set; else the node branches on.  Every link is confirmed on
+the full sets.
 """
 
 from __future__ import annotations
@@ -29,6 +33,28 @@ AGREE = 36
 BINS = 256
 
 
+#: In a large node, blocks of sets outside its largest component that every other set may meet; beyond, it branches on.
+MOST_BLOCKS = 32
+#: Levels after which a node is compared block by block, whatever that costs.
+LAST_LEVEL = 10
+
+
+def survival(similarity: float, levels: int) -> float:
+    """The chance that a pair of a root stays together down to the last of so many levels of branching."""
+    q = 1.0
+    for _ in range(levels):
+        q = 1 - (1 - similarity * q) ** 2
+    return q
+
+
+def trees_for(recall: float, similarity: float, levels: int = LAST_LEVEL) -> int:
+    """The least number of trees that find a pair with the chance ``recall``.
+
+    A pair meets in a root with the chance of its similarity; from 0.8 on, each level more costs next to nothing.
+    """
+    return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - min(0.999999, similarity * survival(similarity, levels))))))
+
+
 def _constants(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     return rng.integers(0, 2**64, n, dtype=np.uint64), rng.integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1)
@@ -287,17 +313,19 @@ def _roots_of(up: DataFrame, ws: Workspace, name: str, hops: int = 3) -> DataFra
     return up.toDF("rid", "comp")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, trees: int = 6, levels: int = 3, leaf_size: int = 64, block_size: int = 1000, agree: int = AGREE, labels: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, recall: float = 0.9997, levels: int = 3, leaf_size: int = 64, block_size: int = 1000, agree: int = AGREE, labels: bool = False, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, text_key, n_shingles, component_id, kept.
 
     With ``labels`` also comp, a number of the component that, other than component_id, no two components share; null for
     rows without shingles.
 
     Shingles are runs of ``width`` words; a shorter text is one shingle as a whole.  ``share`` is the least similarity in
-    per cent.
+    per cent, ``recall`` the chance that a pair just so similar is found, ``levels`` how far all large nodes branch before
+    their sets are linked with central ones.
 
     Null and empty texts have n_shingles 0 and are linked with nothing; a null doc_id never gives its component a name
-    unless all ids of it are null.  Rows that repeat a doc_id are judged by their own texts.  Extra columns are ignored.
+    unless all ids of it are null.  Rows that repeat a doc_id are judged by their own texts, equal rows alike; whole texts
+    are read.  Extra columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "dedup")
@@ -307,7 +335,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, trees: int
     sk = ws.save(sk.select("doc_id", "text_key", "n", "fp"), "sets-of")  # the sketches live on in the classes only
     ws.drop("sketches")
 
-    rows, leaves, large = _roots(classes, trees), [], []
+    rows, leaves, large = _roots(classes, trees_for(recall, share / 100)), [], []
     for level in range(1, levels + 1):
         rows = ws.save(rows, f"rows-{level}")
         sizes = ws.save(rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"), f"sizes-{level}")
@@ -331,13 +359,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, trees: int
     short = short.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid")) if comps else short.withColumn("comp", F.col("rid"))
     cols = ["node", "rid", "n", "sk", "comp", "side"]
     small = _meeting(reduce(DataFrame.union, leaves), ["node"], short).withColumn("side", F.lit(False))
-    rows = small.select(*cols).union(_blocks(_meeting(large[-1], ["node", "m"], short), block_size).select(*cols))
+    rows = small.select(*cols)
+    if comps:
+        more, deep = _open_nodes(large[-1].select("node", "rid"), short, classes, ws, levels, leaf_size, block_size, most_blocks)
+        rows = reduce(DataFrame.union, [rows, *(x.select(*cols) for x in more)])
     found = ws.save(_candidates(rows, share), "found")
     sets = _full_sets(found.select(F.explode(F.array_compact(F.array("a", "b"))).alias("rid")), classes, docs, ws, "leaves", width)
     pairs = confirmed(found.where("node is null").select("a", "b"), sets, ws, "leaves", share)
     members = _meeting(found.where("node is not null").select("node", F.col("a").alias("rid"), "side"), ["node", "side"], short, sets)
     found = pairs.union(ws.save(_links_within(members, share), "within"))
-    ws.drop("found", "leaves-named", "leaves-sets", *[f"met-{k + 1}" for k in range(len(large))])
+    ws.drop("found", "leaves-named", "leaves-sets", *[f"met-{k + 1}" for k in range(len(large))], *(deep if comps else ()))
     comps = components(links.union(found) if links else found, ws, "all")
     named = classes.select("rid", "fp", "doc_id").join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -366,13 +397,49 @@ def _stars(large: DataFrame, classes: DataFrame, ws: Workspace, agree: int) -> D
     return pairs.where(alike).select(F.col("rid").alias("a"), F.col("hub").alias("b"))
 
 
+def _open_nodes(rows: DataFrame, short: DataFrame, classes: DataFrame, ws: Workspace, level: int, leaf_size: int, block_size: int, most_blocks: int) -> tuple[list[DataFrame], list[str]]:
+    """What is left to compare in large nodes ``rows(node, rid)``: tables of small nodes (node, rid, n, sk, comp, side), and
+    the names of tables that go when they have been read.
+
+    Pairs of one component are left out: a node of one component has none, however many its sets.
+    """
+    out, names = [], []
+    comp = short.select("rid", "comp")
+    while True:
+        placed = _meeting(rows, ["node"], comp)
+        counts = placed.groupBy("node", "comp").agg(F.count("*").alias("k"))
+        nodes = counts.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("m"))
+        nodes = nodes.select("node", F.col("main.comp").alias("main"), F.col("main.k").alias("inside"), (F.col("m") - F.col("main.k")).alias("outside")).where("outside > 0")
+        nodes = ws.save(nodes, f"open-{level}")
+        names.append(f"open-{level}")
+        if nodes.isEmpty():
+            return out, names
+        here = F.lit(True) if level >= LAST_LEVEL else F.col("outside") <= most_blocks * block_size
+        ready, rest = nodes.where(here), nodes.where(~here)
+        out.append(_blocks(_meeting(rows.join(ready, "node"), ["node", "main", "inside", "outside"], short), block_size))
+        if rest.isEmpty():
+            return out, names
+        level += 1
+        rows = ws.save(_children(rows.join(rest.select("node"), "node", "left_semi"), classes), f"deep-{level}")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
+        met = ws.save(rows.join(sizes, "node"), f"deep-met-{level}")
+        names += [f"deep-{level}", f"deep-met-{level}"]
+        out.append(_meeting(met.where(F.col("m") <= leaf_size), ["node"], short).withColumn("side", F.lit(False)))
+        rows = met.where(F.col("m") > leaf_size).select("node", "rid")
+
+
 def _blocks(rows: DataFrame, block_size: int) -> DataFrame:
-    """Deals each node's sets to blocks and pairs the blocks: node (of a pair of blocks), rid, side, n, sk, comp.
+    """Deals the sets of each node to blocks and pairs the blocks: node (of a pair of blocks), rid, side, n, sk, comp.
 
-    A set goes once to each pair that its block is part of, so a node of m sets gives m * (m / block_size) rows.
+    Blocks of the sets outside the node's largest component meet each other and those inside; blocks inside do not meet.
+    With m sets inside and k outside that gives m * ceil(k / block_size) + k * ceil((m + k) / block_size) rows.
     """
-    blocks = F.ceil(F.col("m") / block_size).cast("int")
-    own = F.pmod(F.xxhash64("rid"), blocks).cast("int")
-    to = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j"))))
+    count = lambda n: F.ceil(F.col(n) / block_size).cast("int")
+    inside = F.col("comp") == F.col("main")
+    of = F.when(inside, count("inside")).otherwise(count("outside"))
+    own, none = F.pmod(F.xxhash64("rid"), of).cast("int"), F.array().cast("array<struct<i:int,j:int,side:boolean>>")
+    across = F.transform(F.sequence(F.lit(0), F.when(inside, count("outside")).otherwise(count("inside")) - 1), lambda x: F.struct(F.when(inside, -1 - own).otherwise(-1 - x).alias("i"), F.when(inside, x).otherwise(own).alias("j"), (~inside).alias("side")))
+    among = F.transform(F.sequence(F.lit(0), count("outside") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j"), (own > x).alias("side")))
     rest = ["rid", "n", "sk", "comp"]
-    return rows.select("node", *rest, own.alias("own"), to.alias("p")).select(F.xxhash64("node", "p.i", "p.j").alias("node"), *rest, (F.col("own") != F.col("p.i")).alias("side"))
+    dealt = rows.select("node", *rest, F.explode(F.concat(across, F.when(inside, none).otherwise(among))).alias("p"))
+    return dealt.select(F.xxhash64("node", "p.i", "p.j").alias("node"), *rest, F.col("p.side").alias("side"))
