@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideway.llm import decontam, dedup, langid, mixing, sharding
-from tideway.llm.common import Workspace, bounded, table, text_key, without
+from tideway.llm.common import BROADCAST_BYTES, Workspace, bounded, table, table_bytes, text_key, without
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text stays if the score of its best language is above the even share of L languages, 1 / L, by this part of
@@ -37,7 +37,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (0.8 of their five-word shingles): that with the smallest doc_id,
-    once; of rows with that id, or of a group without ids, that with the smallest text_key."""
+    once; of rows with that id, or of a group without ids, that with the smallest text_key.
+
+    Rows without words are in no group and stay; an empty table gives no rows; extra columns are left out.
+    """
     ws = Workspace(spark, "pipeline-dedup")
     found = ws.save(dedup.near_duplicates(docs, labels=True), "found")
     # components of which rows with different texts, but one doc_id or none, are kept
@@ -47,11 +50,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rejected = ws.save(found.where("not kept").select("doc_id", "text_key").union(others), "rejected")
     kept = without(docs, rejected)
     # rows that repeat a kept doc_id and its text, of which one stays, are few; only they are shuffled
-    again = found.where("kept").groupBy("doc_id", "text_key").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    again = bounded(ws.save(again, "again"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
+    again = found.where("kept").groupBy("doc_id", "text_key").count().where("count > 1")
+    again = ws.save(again.select(F.struct("doc_id", "text_key").alias("again")), "again")
+    again = F.broadcast(again) if table_bytes(again.select("again.*")) <= BROADCAST_BYTES else again
+    same = F.col("doc_id").eqNullSafe(F.col("again.doc_id")) & (text_key(F.col("text")) == F.col("again.text_key"))
+    kept = kept.select(*COLUMNS)
     once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, same, "left_anti").select(*COLUMNS).union(once.select(*COLUMNS))
+    return kept.join(again, same, "left_anti").union(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,20 +69,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words: the whole part of taken / size times, and once more with the
-    chance of the rest, which a hash of the document decides."""
-    ws = Workspace(spark, "pipeline-mix")
-    got = mixing.taken(mixing.mix(docs)).where("taken > 0").withColumn("share", F.col("taken") / F.col("size"))
-    chance = F.pmod(F.xxhash64("doc_id", "text_key", F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
-    got = got.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.floor(F.col("share") + chance).cast("int").alias("_times")).where("_times > 0")
-    got = got.groupBy("_id", "_key").agg((F.sum("_times") / F.count("*")).cast("int").alias("_times"))
-    times = bounded(ws.save(got, "times"))
-    mixed = docs.join(times, docs["doc_id"].eqNullSafe(F.col("_id")) & (text_key(docs["text"]) == F.col("_key")))
-    return mixed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.greatest(F.col("_times"), F.lit(1)))).alias("_k")).select(*COLUMNS)
+    """Each document as often as the mix takes the block that its first word lies in.
+
+    Texts without words are in no block and go; of equal rows each is counted; long texts stay whole.  An empty table
+    gives no rows; extra columns are left out.
+    """
+    return mixing.mixed_documents(mixing.mix(docs), docs, COLUMNS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, text_crc32, size, shard and slot of every row."""
+    """doc_id, text_crc32, size, shard and slot of every row, those with null or empty texts and repeated ones included; an
+    empty table gives no rows."""
     return sharding.shards(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot")
 
 

@@ -17,6 +17,9 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 BROADCAST_BYTES = 16 << 20
 
 
+#: Rows that one row stands for at most before they are unrolled.
+RUN = 10_000
+
 #: What an Arrow batch holds at most on its way to a Python worker, unless the session sets its own: whole texts come in
 #: few megabytes at a time, however long they are.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
@@ -94,6 +97,17 @@ def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def unroll(df: DataFrame, n: str, name: str, rows: int) -> DataFrame:
+    """``df`` with each row repeated ``n`` times, numbered from 0; ``rows`` in all.
+
+    A row is cut before it is unrolled: none holds more than RUN numbers, and where there are many, the pieces are dealt
+    to all tasks.
+    """
+    cut = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(RUN).cast("long"))).alias("_from"))
+    cut = cut.repartition(int(max(1, min(4096, rows // RUN))), *df.columns, "_from")
+    return cut.select(*df.columns, F.explode(F.sequence("_from", F.least(F.col("_from") + RUN, F.col(n)) - 1)).alias(name))
+
+
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -17,20 +17,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded, n_words, text_key
+from .common import BROADCAST_BYTES, Workspace, bounded, n_words, table_bytes, text_key, unroll
 from .permute import permute
 
-
-#: Slots that one row stands for before they are unrolled.
-RUN = 10_000
+#: Blocks of an output shard, on average, and the bounds of the number of shards.
+SHARD_BLOCKS, LEAST_SHARDS, MOST_SHARDS = 100_000, 64, 8192
 
 
 @dataclass
 class Mix:
-    """``rows``: every document with its place; ``segments``: what each slot takes; ``sources``: the plan."""
+    """``rows``: every document with its place; ``segments``: what each slot takes; ``sources``: the plan.
+
+    A document is told by its source and its place there, the number of words before it; one without words has none.
+    """
 
-    rows: DataFrame  # rid, doc_id, text_key, size, source_size, target
-    segments: DataFrame  # shard, slot, source_index, block, epoch, rid, first_word (in the document), words
+    rows: DataFrame  # source_index, start, doc_id, text_key, size, copies (equal rows), source_size, target
+    segments: DataFrame  # shard, slot, source_index, block, epoch, start, first_word (in the document), words
     sources: DataFrame  # source, source_index, source_size, target, blocks
 
 
@@ -51,6 +53,24 @@ def targets(sizes: list[int], weights: list[float], share: float, most: float) -
     return out
 
 
+def settle(short: np.ndarray, room: np.ndarray, n: int) -> np.ndarray:
+    """Deals n blocks, each to the source that is short of most and has room: the shortest are brought to one level.
+
+    The level is found by bisection, so that the time does not depend on n.
+    """
+    n = min(n, int(room.sum()))
+    at = lambda level: np.clip(np.ceil(short - level), 0, room).astype(np.int64)
+    low, high = float(short.min()) - n - float(room.max()) - 2, float(short.max())
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if at(middle).sum() > n else (low, middle)
+    got = at(high)
+    while (left := n - int(got.sum())) > 0:
+        order = np.argsort(np.where(room > got, got - short, np.inf), kind="stable")[: min(left, int((room > got).sum()))]
+        got[order] += 1
+    return got
+
+
 def draw(quota: np.ndarray, capacity: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """Blocks of each source for each shard (shards x sources): multinomial draws that follow what is missing."""
     rng, total = np.random.default_rng(seed), int(round(quota.sum()))
@@ -64,48 +84,57 @@ def draw(quota: np.ndarray, capacity: np.ndarray, shards: int, seed: int) -> np.
         if n == 0 or missing.sum() <= 0:
             continue
         got = np.minimum(rng.multinomial(n, missing / missing.sum()), capacity - taken)
-        for _ in range(n - int(got.sum())):  # what a full source could not give
-            open_ = capacity - taken - got > 0
-            got[int(np.argmax(np.where(open_, quota - taken - got, -np.inf)))] += 1
+        if got.sum() < n:  # what a full source could not give
+            got += settle(quota - taken - got, capacity - taken - got, n - int(got.sum()))
         out[s] = got
         taken += got
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 64, shards: int = 64, seed: int = 2) -> Mix:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 64, shards: int | None = None, seed: int = 2) -> Mix:
     """Plans the mix of ``docs(doc_id, text, source)``.
 
-    The number of sources must fit the driver; a null source is one of its own and comes last.  Texts without words
-    have size 0 and are never taken.  Rows that repeat a doc_id are documents of their own.  No document is taken more
-    than ``most`` (a whole number) times; an empty table gives empty results.
+    The number of sources must fit the driver; a null source is one of its own and comes last.  Null texts and texts
+    without words have size 0 and are never taken.  Rows that are equal in doc_id, text and source are documents of their
+    own side by side, which nothing tells apart: they are counted first, so that any number of them may be equal.  No
+    document is taken more than ``most`` (a whole number) times; long texts lie in many blocks.  An empty table gives
+    empty results; extra columns are ignored.  Without ``shards`` their number grows with the blocks.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "mixing")
-    key = text_key(F.col("text"))
-    sized = ws.save(docs.select("doc_id", key.alias("text_key"), "source", n_words(F.col("text")).alias("size")).withColumn("rid", F.monotonically_increasing_id()), "sized")
-    by_source = sorted(((r.source, r.s, r.n) for r in sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
-    sizes = [s for _, s, _ in by_source]
+    sized = docs.select("source", "doc_id", text_key(F.col("text")).alias("text_key"), n_words(F.col("text")).alias("size"))
+    groups = ws.save(sized.groupBy("source", "doc_id", "text_key", "size").agg(F.count("*").alias("copies")), "groups")
+    found = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("s"), F.sum("copies").alias("n"), F.max("copies").alias("most")).collect()
+    by_source = sorted(((r.source, r.s, r.n) for r in found), key=lambda r: (r[0] is None, r[0] or ""))
+    sizes, n_rows, repeated = [s for _, s, _ in by_source], sum(r.n for r in found), max((r.most for r in found), default=0) > 1
     goal = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(sizes))], share, most) if sum(sizes) else [0.0] * len(sizes)
     blocks = np.array([-(-s // block_words) for s in sizes], np.int64)
     sources = spark.createDataFrame([(s, i, z, t, int(b)) for i, ((s, z, _), t, b) in enumerate(zip(by_source, goal, blocks))], "source string, source_index int, source_size long, target double, blocks long")
 
-    parts = max(8, min(4096, sum(n for *_, n in by_source) // 20_000))
-    plan = F.broadcast(sources.withColumnRenamed("source", "_source"))  # one row per source, as on the driver
-    placed = sized.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(parts)).cast("int"))
-    sums = placed.groupBy("source_index", "part").agg(F.sum("size").alias("s"))
+    parts = max(8, min(4096, n_rows // 20_000))
+    plan = bounded(sources.select(F.col("source").alias("_source"), "source_index", "source_size", "target"))
+    known = groups.join(plan, F.col("source").eqNullSafe(F.col("_source"))).select("source_index", "doc_id", "text_key", "size", "copies", "source_size", "target")
+    placed = known.where("size > 0").withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(parts)).cast("int"))
+    words = F.col("size") * F.col("copies")
+    sums = placed.groupBy("source_index", "part").agg(F.sum(words).alias("s"))
     before = Window.partitionBy("source_index").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = bounded(ws.save(sums.select("source_index", "part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("part_start")), "starts"))
-    inside = Window.partitionBy("source_index", "part").orderBy("doc_id", "text_key", "rid").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["source_index", "part"]).withColumn("start", F.col("part_start") + F.col("at"))
-    placed = ws.save(placed.select("rid", "doc_id", "text_key", "source_index", "size", "source_size", "target", "start"), "placed")
+    inside = Window.partitionBy("source_index", "part").orderBy("doc_id", "text_key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("at", F.coalesce(F.sum(words).over(inside), F.lit(0))).join(starts, ["source_index", "part"])
+    columns = ["source_index", "start", "doc_id", "text_key", "size", "copies", "source_size", "target"]
+    placed = ws.save(placed.withColumn("start", F.col("part_start") + F.col("at")).select(*columns), "placed")
+    each = lambda df: unroll(df, "copies", "copy", n_rows) if repeated else df.withColumn("copy", F.lit(0))
+    placed = each(placed).withColumn("start", F.col("start") + F.col("copy") * F.col("size")).select(*columns)
+    empty = each(known.where("size = 0")).withColumn("start", F.lit(None).cast("long")).select(*columns)
 
     first, last = F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")
-    lies = placed.where("size > 0").select("rid", "source_index", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
+    lies = placed.select("source_index", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     lo = F.greatest(F.col("block") * block_words, F.col("start"))
     hi = F.least((F.col("block") + 1) * block_words, F.col("start") + F.col("size"))
-    lies = lies.select("source_index", "block", "rid", (lo - F.col("start")).alias("first_word"), (hi - lo).alias("words"))
+    lies = lies.select("source_index", "block", "start", (lo - F.col("start")).alias("first_word"), (hi - lo).alias("words"))
 
     quota = np.array([t * b / z if z else 0.0 for t, b, z in zip(goal, blocks, sizes)])
+    shards = shards or int(np.clip(quota.sum() // SHARD_BLOCKS, LEAST_SHARDS, MOST_SHARDS))
     counts = draw(quota, (blocks * int(most)).astype(np.int64), shards, seed)
     begun = np.cumsum(counts, axis=0) - counts
     offset = np.cumsum(counts, axis=1) - counts
@@ -116,10 +145,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     def image(x: pd.Series, n: pd.Series, salt: pd.Series) -> pd.Series:
         return pd.Series(permute(x.to_numpy(), n.to_numpy(), salt.to_numpy() % 2147483647))
 
-    # a run is cut before it is unrolled: no row holds more than RUN slots, and the pieces are dealt to all tasks
-    cut = runs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))).alias("from"))
-    cut = cut.repartition(int(max(1, min(4096, counts.sum() // RUN))), "shard", "from")
-    drawn = cut.select("*", F.explode(F.sequence("from", F.least(F.col("from") + RUN, F.col("n")) - 1)).alias("k")).withColumn("j", F.col("begun") + F.col("k"))
+    drawn = unroll(runs, "n", "k", int(counts.sum())).withColumn("j", F.col("begun") + F.col("k"))
     epoch = F.expr("j div blocks")
     drawn = drawn.select(
         "shard", image(F.col("offset") + F.col("k"), F.col("slots"), F.lit(seed * 1_000_003) + F.col("shard")).alias("slot"), "source_index", epoch.cast("int").alias("epoch"),
@@ -127,21 +153,49 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     )
     # the planner sees the few runs, not the slots that they unroll to, and would broadcast those
     segments = drawn.hint("merge").join(lies, ["source_index", "block"])
-    return Mix(placed, segments, sources)
+    return Mix(placed.unionByName(empty), segments, sources)
 
 
 def taken(mixed: Mix) -> DataFrame:
     """doc_id, text_key, size, source_size, target, taken for every document, those that nothing is taken of included."""
-    got = mixed.segments.groupBy("rid").agg(F.sum("words").alias("taken"))
-    return mixed.rows.join(got, "rid", "left").select("rid", "doc_id", "text_key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    got = mixed.segments.groupBy("source_index", "start").agg(F.sum("words").alias("taken"))
+    return mixed.rows.join(got, ["source_index", "start"], "left").select("doc_id", "text_key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(mixed: Mix, docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``columns`` of the documents, each as often as a slot takes the block that its first word lies in.
+
+    So documents stay whole, follow the drawn blocks, and meet the targets of their sources on average; none comes more
+    often than a block may.  Equal rows are passed on as one of them repeated.
+    """
+    ws = Workspace(docs.sparkSession, "mixed")
+    got = mixed.segments.where("first_word = 0").groupBy("source_index", "start").agg(F.count("*").alias("times"))
+    got = mixed.rows.select("source_index", "start", "doc_id", "text_key", "copies").join(got, ["source_index", "start"])
+    got = got.groupBy("source_index", "doc_id", "text_key", "copies").agg(F.sum("times").alias("times")).join(mixed.sources.select("source_index", "source"), "source_index")
+    got = ws.save(got.select(F.struct("source", "doc_id", "text_key").alias("key"), "copies", "times"), "times")
+    rows = docs.select(F.struct(*columns).alias("row"), F.struct("source", "doc_id", text_key(F.col("text")).alias("text_key")).alias("own"))
+    same = lambda a, b: (F.col(a)["text_key"] == F.col(b)["text_key"]) & F.col(a)["doc_id"].eqNullSafe(F.col(b)["doc_id"]) & F.col(a)["source"].eqNullSafe(F.col(b)["source"])
+    size = got.select("key.*", "copies", "times")
+    few = table_bytes(size) <= BROADCAST_BYTES
+    out = None
+    for one in (True, False):
+        times = got.where("copies = 1" if one else "copies > 1")
+        if not one and times.isEmpty():
+            break
+        times = F.broadcast(times) if few else times
+        own = rows if one else rows.join(times, same("own", "key"), "left_semi").dropDuplicates(["own"])
+        met = own.join(times, same("own", "key")).select("row", "times")
+        part = met.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("k")).select("row.*")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def block_texts(mixed: Mix, docs: DataFrame) -> DataFrame:
     """shard, slot, source_index, text: the words of every slot, joined by spaces."""
-    words = mixed.rows.select("rid", "doc_id", "text_key").join(docs.select(F.col("doc_id").alias("_id"), "text"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == text_key(F.col("text"))))
-    words = words.dropDuplicates(["rid"]).select("rid", F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)).alias("w"))
-    part = mixed.segments.join(words, "rid").select("shard", "slot", "source_index", "rid", "first_word", F.array_join(F.slice("w", F.col("first_word").cast("int") + 1, F.col("words").cast("int")), " ").alias("t"))
-    order = F.array_sort(F.collect_list(F.struct("at", "rid", "t")))
-    rows = mixed.rows.select("rid", "start")
-    part = part.join(rows, "rid").withColumn("at", F.col("start") + F.col("first_word"))
+    own = docs.select(F.struct("doc_id", "source", text_key(F.col("text")).alias("text_key")).alias("own"), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)).alias("w")).dropDuplicates(["own"])
+    rows = mixed.rows.join(mixed.sources.select("source_index", "source"), "source_index").select("source_index", "start", "doc_id", "source", "text_key")
+    same = (F.col("own.text_key") == rows["text_key"]) & F.col("own.doc_id").eqNullSafe(rows["doc_id"]) & F.col("own.source").eqNullSafe(rows["source"])
+    words = rows.join(own, same).select("source_index", "start", "w")
+    part = mixed.segments.join(words, ["source_index", "start"]).select("shard", "slot", "source_index", "start", F.array_join(F.slice("w", F.col("first_word").cast("int") + 1, F.col("words").cast("int")), " ").alias("t"))
+    order = F.array_sort(F.collect_list(F.struct("start", "t")))
     return part.groupBy("shard", "slot", "source_index").agg(F.array_join(F.transform(order, lambda x: x["t"]), " ").alias("text"))

@@ -42,11 +42,16 @@ def preferences(turns: DataFrame) -> DataFrame:
 
     ``turns``: pair_id, side (``chosen`` or ``rejected``), conv_id, turn, role, text.  Turns are ordered by turn, role and
     text, nulls first; a null role or text is empty; a turn that is repeated in all columns counts once.  Where one side
-    is missing, the other is all completion and the missing one is null.  Rows without a pair_id are left out.
+    is missing, the other is all completion and the missing one is null.  Rows without a pair_id are left out.  Long
+    texts stay whole; extra columns are ignored; an empty table gives no rows.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = turns.where("pair_id is not null").select("pair_id", "side", "conv_id", turn.alias("t"))
-    side = lambda s: F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("side") == s, F.col("t"))))).alias(s[0])
+    def side(s: str) -> Column:
+        """The sorted turns of a side; equal ones stand together, and one of each stays."""
+        kept = lambda turns: F.filter(turns, lambda t, i: (i == 0) | ~t.eqNullSafe(F.get(turns, i - 1)))
+        return F.get(F.transform(F.array(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("t"))))), kept), F.lit(0)).alias(s[0])
+
     name = lambda s: F.min(F.when(F.col("side") == s, F.col("conv_id"))).alias(f"{s}_id")
     pairs = rows.groupBy("pair_id").agg(side("chosen"), side("rejected"), name("chosen"), name("rejected"))
     shorter = F.least(F.size("c"), F.size("r"))

@@ -1,13 +1,14 @@
 """Quality scores: random Fourier features of document statistics, ridge regression and isotonic calibration.
 
 A Gaussian kernel over standardised statistics is approximated by random cosine features.  The normal equations of the
-ridge fit are summed inside each partition and then over few groups of partitions, so that only a fixed number of
-fixed-size blocks reaches the driver.  The raw scores of the learning rows are counted in a fixed number of bins, and
+ridge fit are summed inside each partition and then, as a tree, over groups of partitions, so that only a fixed number
+of fixed-size blocks reaches the driver.  The raw scores of the learning rows are counted in a fixed number of bins, and
 pool-adjacent-violators over the bins gives a monotone map to probabilities.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,6 +94,7 @@ def fit(stats: DataFrame, labels: DataFrame, width: int = 256, gamma: float = 0.
     """
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("y"))
     rows = stats.where(crc_mod(F.col("doc_id"), folds) != held_out).join(known, "doc_id").select("x", F.col("y").cast("double"))
+    rows = Workspace(stats.sparkSession, "quality-rows").save(rows, "learned")
     d = len(STATISTICS)
     m = rows.agg(F.count("*").alias("n"), *[f(F.col("x")[i]).alias(f"{g}{i}") for i in range(d) for g, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     rng = np.random.default_rng(seed)
@@ -105,22 +107,31 @@ def fit(stats: DataFrame, labels: DataFrame, width: int = 256, gamma: float = 0.
 
     def sums(batches):
         left, right = np.zeros((k, k)), np.zeros(k)
+        some = False
         for b in batches:
             f, y = model.features(_matrix(b)), b.column("y").to_numpy()
             left += f.T @ f
             right += f.T @ y
-        yield pa.RecordBatch.from_arrays([pa.array([left.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], ["a", "b"])
+            some = some or len(y) > 0
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([left.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], ["a", "b"])
 
     def added(batches):
-        left, right = np.zeros(k * k), np.zeros(k)
+        left, right, some = np.zeros(k * k), np.zeros(k), False
         for b in batches:
             for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
                 left += np.frombuffer(x)
                 right += np.frombuffer(y)
-        yield pa.RecordBatch.from_arrays([pa.array([left.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], ["a", "b"])
+                some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([left.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], ["a", "b"])
 
     kind = "a binary, b binary"
-    parts = rows.mapInArrow(sums, kind).repartition(groups).mapInArrow(added, kind).collect()  # `groups` blocks at most
+    tree = rows.mapInArrow(sums, kind)
+    tasks = rows.rdd.getNumPartitions()
+    for wide in ([math.isqrt(tasks)] if tasks > groups**2 else []) + [groups]:  # a task adds few blocks on each level
+        tree = tree.repartition(wide).mapInArrow(added, kind)
+    parts = tree.collect()  # `groups` blocks at most
     left = sum(np.frombuffer(r.a) for r in parts).reshape(k, k)
     right = sum(np.frombuffer(r.b) for r in parts)
     model.beta = np.linalg.solve(left + ridge * m["n"] * np.diag([1.0] * width + [1e-9]), right)
@@ -152,6 +163,11 @@ def score(stats: DataFrame, model: QualityModel, cut: float = 0.3) -> DataFrame:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
-    """Scores for every row of ``docs(doc_id, text)``, with a model learned from ``labels(doc_id, quality)``."""
+    """Scores for every row of ``docs(doc_id, text)``, with a model learned from ``labels(doc_id, quality)``.
+
+    A null text is scored as an empty one; repeated rows are scored alike, and each is learned from.  Raw scores that fall
+    into one bin get one score.  Whole texts are read, however long; extra columns of both tables are ignored; an empty
+    table gives no rows.
+    """
     stats = Workspace(docs.sparkSession, "quality").save(described(docs), "stats")
     return score(stats, fit(stats, labels, **fitting))

@@ -1,9 +1,9 @@
 """Sharding by a keyed permutation of global row numbers.
 
-Rows are numbered from 0 in the order of doc_id, size and text_crc32, those without an id last, by text_crc32 and size; the numbering is exact and does not
-depend on how Spark has dealt the rows.  A Feistel permutation with cycle walking maps row number r to p(r); the shard is
-p(r) modulo the number of shards and the slot p(r) div it, so both can be computed from the row number alone, counts
-differ by one at most, and slots have no gaps.
+Rows are numbered from 0 in the order of doc_id, text_crc32 and size, those without an id last; the numbering is exact
+and does not depend on how Spark has dealt the rows.  A Feistel permutation with cycle walking maps row number r to
+p(r); the shard is p(r) modulo the number of shards and the slot p(r) div it, so both can be computed from the row number
+alone, counts differ by one at most, and slots have no gaps.
 """
 
 from __future__ import annotations
@@ -13,41 +13,49 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_key
+from .common import Workspace, text_key, unroll
 from .permute import permute
 
-#: Rows without an id come last, in the order of the checksum; these are the ranges of it that bound their buckets.
-NULL_RANGES = 64
+#: Ranges of the checksum that the rows of one id, or those without one, are dealt to where they are many.
+RANGES = 64
 
 
 def numbered(rows: DataFrame, ws: Workspace, bucket_rows: int = 50_000) -> tuple[DataFrame, int]:
     """``rows(doc_id, size, text_crc32, ...)`` with their global ``row`` numbers, and their count.
 
-    Buckets are ranges of doc_id between approximate quantiles; any bounds give the same numbers.
+    Equal rows are counted first and numbered as one.  Buckets are ranges of doc_id between approximate quantiles; an id
+    that is several quantiles has buckets of its own, ranges of the checksum.  Any bounds give the same numbers.
     """
-    n = rows.count()
-    parts = max(1, min(20_000, n // bucket_rows * 4 + 8))
-    bounds = rows.where("doc_id is not null").agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts).alias("q")).first()["q"] if parts > 1 else []
-    bounds = sorted(set(bounds or []))
-    @F.pandas_udf("int")
+    groups = ws.save(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")), "groups")
+    n, different, most = (x or 0 for x in groups.agg(F.sum("copies"), F.count("*"), F.max("copies")).first())
+    parts = max(1, min(20_000, different // bucket_rows * 4 + 8))
+    found = groups.where("doc_id is not null").agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts).alias("q")).first()["q"] if parts > 1 else []
+    bounds, times = np.unique(np.array(found or [], np.int64), return_counts=True)
+
+    @F.pandas_udf("long")
     def bucket(doc_id: pd.Series, crc: pd.Series) -> pd.Series:
-        null = doc_id.isna().to_numpy()
-        out = np.searchsorted(np.array(bounds, np.int64), doc_id.fillna(0).astype("int64").to_numpy())
-        return pd.Series(np.where(null, len(bounds) + 1 + crc.to_numpy() * NULL_RANGES // 2**32, out).astype("int32"))
+        null, ids, part = doc_id.isna().to_numpy(), doc_id.fillna(0).astype("int64").to_numpy(), crc.to_numpy() * (RANGES - 1) // 2**32 + 1
+        at = np.searchsorted(bounds, ids)
+        near = np.minimum(at, max(0, len(bounds) - 1))
+        hot = (bounds[near] == ids) & (times[near] > 1) if len(bounds) else np.zeros(len(ids), bool)
+        return pd.Series(np.where(null, (len(bounds) + 1) * RANGES + part, at * RANGES + np.where(hot, part, 0)))
 
-    dealt = ws.save(rows.withColumn("_bucket", bucket("doc_id", "text_crc32")), "dealt")
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("_bucket").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    inside = Window.partitionBy("_bucket").orderBy(F.col("doc_id").asc_nulls_last(), F.when(F.col("doc_id").isNull(), F.col("text_crc32")), "size", "text_crc32")
-    out = dealt.withColumn("_at", F.row_number().over(inside) - 1).join(F.broadcast(starts), "_bucket")
-    return out.withColumn("row", F.col("_start") + F.col("_at")).drop("_bucket", "_start", "_at"), n
+    dealt = ws.save(groups.withColumn("_bucket", bucket("doc_id", "text_crc32")), "dealt")
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as there are buckets
+    starts = dealt.groupBy("_bucket").agg(F.sum("copies").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rest = [x for x in rows.columns if x not in ("doc_id", "size", "text_crc32")]
+    inside = Window.partitionBy("_bucket").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size", *rest).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumn("_at", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(F.broadcast(starts), "_bucket")
+    out = unroll(out, "copies", "_copy", n) if most > 1 else out.withColumn("_copy", F.lit(0))
+    return out.select(*rows.columns, (F.col("_start") + F.col("_at") + F.col("_copy")).alias("row")), n
 
 
 def shards(docs: DataFrame, n_shards: int = 16, seed: int = 9) -> DataFrame:
     """doc_id, text_key, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs(doc_id, text)``.
 
     A null text has no bytes: size 1, checksum 0.  Repeated rows take numbers of their own; which of two equal rows has
-    which makes no difference.  An empty table gives no rows.
+    which makes no difference.  Whole texts are summed, however long.  Extra columns are ignored; an empty table gives no
+    rows.
     """
     data = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
     rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), (F.length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))

@@ -62,19 +62,36 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return acc
 
 
-def repeat_words(h: np.ndarray, n: int = 3) -> int:
-    """Words that stand in a window of n words found twice or more, the first included; each word counts once."""
+def repeat_words(h: np.ndarray, counts: np.ndarray | None = None, n: int = 3) -> int | np.ndarray:
+    """Words that stand in a window of n words found twice or more in their text, the first included; each counts once.
+
+    With ``counts`` the hashes are those of several texts of so many words, and there is a number for each text.
+    """
+    sizes = np.array([len(h)]) if counts is None else np.asarray(counts, np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     w = windows(h, n)
-    if len(w) < 2:
-        return 0
-    order = np.argsort(w, kind="stable")
-    same = w[order][1:] == w[order][:-1]
-    if not same.any():
-        return 0
-    twice = np.zeros(len(w), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
     inside = np.zeros(len(h), bool)
-    for i in range(n):
-        inside[i : len(w) + i] |= twice
-    return int(inside.sum())
+    if len(w):
+        start = np.flatnonzero(owner[: len(w)] == owner[n - 1 :])  # windows of one text
+        keys = w[start] ^ (owner[start].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort(keys, kind="stable")
+        same = keys[order][1:] == keys[order][:-1]
+        twice = np.unique(np.concatenate([order[1:][same], order[:-1][same]]))
+        for i in range(n):
+            inside[start[twice] + i] = True
+    found = np.bincount(owner[inside], minlength=len(sizes))
+    return int(found[0]) if counts is None else found
+
+
+def pieces(items: list, size, most: int = 1 << 20):
+    """Runs of a list, each of at most ``most`` in size or of one item."""
+    out, held = [], 0
+    for x in items:
+        n = size(x)
+        if out and held + n > most:
+            yield out
+            out, held = [], 0
+        out.append(x)
+        held += n
+    if out:
+        yield out

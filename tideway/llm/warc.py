@@ -1,10 +1,11 @@
 """WARC archives: a writer with revisit records and a salvage reader.
 
 The writer gives every page a record in a gzip member of its own (or plain), one archive or more per task; the archives
-that count are those named by tasks that succeeded.  The reader checks each member and record: the member must inflate
-with its checksum, the record must begin with a version line, have the length it states and the block digest it names.
+that count are those named by tasks that succeeded.  The reader checks each member and record: the record must begin with
+a version line, have the length it states and the block digest it names; without a digest, its member must inflate with
+its checksum.  A member may hold any number of records, and those before and after damage in it are recovered too.
 After a failed check it searches on for the next gzip member or version line from which a whole record can be read,
-and logs the bytes between as a quarantined gap; later records are recovered.  Archives are read as streams.
+and logs the bytes between as a quarantined gap; later records are recovered.  Archives and members are read as streams.
 """
 
 from __future__ import annotations
@@ -123,8 +124,8 @@ class Stream:
         self.file, self.size, self.at, self.held = file, file.size(), 0, bytearray()
 
     def drop(self, to: int) -> None:
-        """Nothing before ``to`` is asked for again."""
-        if to - self.at <= len(self.held):
+        """What lies before ``to`` is not needed for now."""
+        if 0 <= to - self.at <= len(self.held):
             del self.held[: to - self.at]
         else:
             self.held = bytearray()
@@ -138,6 +139,51 @@ class Stream:
             self.held += self.file.read(max(to - have, CHUNK))
         return to <= self.at + len(self.held)
 
+    def bytes(self, lo: int, hi: int) -> bytes:
+        if lo < self.at:
+            self.drop(lo)
+        self.fill(hi)
+        return bytes(self.held[lo - self.at : hi - self.at])
+
+
+class Inflated:
+    """The content of the gzip member at ``start`` of a stream, inflated as far as it is asked for and can be.
+
+    ``end`` is where the member ends, if it does so with the right checksum; else ``reason`` says why not.
+    """
+
+    def __init__(self, stream: Stream, start: int):
+        self.stream, self.to, self.z = stream, start, zlib.decompressobj(31)
+        self.at, self.held, self.end, self.reason = 0, bytearray(), None, None
+
+    def drop(self, to: int) -> None:
+        del self.held[: to - self.at]
+        self.at = to
+
+    def fill(self, to: int) -> bool:
+        while to > self.at + len(self.held) and self.end is None and self.reason is None:
+            self.stream.drop(self.to)
+            part = self.z.unconsumed_tail or self.stream.bytes(self.to, self.to + CHUNK)
+            fresh = not self.z.unconsumed_tail
+            if not part:
+                self.reason = "truncated member"
+                break
+            before = self.z.copy()
+            try:
+                self.held += self.z.decompress(part, 4 * CHUNK)
+            except zlib.error:
+                self.reason = "member does not inflate"
+                try:
+                    for k in range(0, len(part), 16):  # what comes before the damage
+                        self.held += before.decompress(part[k : k + 16])
+                except zlib.error:
+                    pass
+                break
+            self.to += len(part) if fresh else 0
+            if self.z.eof:
+                self.end = self.to - len(self.z.unused_data)
+        return to <= self.at + len(self.held)
+
     def bytes(self, lo: int, hi: int) -> bytes:
         self.fill(hi)
         return bytes(self.held[lo - self.at : hi - self.at])
@@ -147,19 +193,13 @@ class BadRecord(ValueError):
     pass
 
 
-def _inflate(s: Stream, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at`` and its end."""
-    z, out, to = zlib.decompressobj(31), [], at
-    try:
-        while not z.eof:
-            part = s.bytes(to, to + CHUNK)
-            if not part:
-                raise BadRecord("truncated member")
-            out.append(z.decompress(part))
-            to += len(part)
-    except zlib.error as e:
-        raise BadRecord("member does not inflate") from e
-    return b"".join(out), to - len(z.unused_data)
+def _intact(file, at: int) -> bool:
+    """Whether the gzip member at ``at`` inflates to its end."""
+    content, to = Inflated(Stream(file), at), 0
+    while content.fill(to + CHUNK):
+        to += CHUNK
+        content.drop(to)
+    return content.end is not None
 
 
 def _head(data: bytes) -> tuple[dict[str, str], int]:
@@ -201,26 +241,20 @@ def _checked(fields: dict[str, str], block: bytes) -> dict:
     refers = re.fullmatch(r"<urn:page:(-?\d+)>", fields.get("warc-refers-to", ""))
     return {
         "record_type": kind, "record_id": fields.get("warc-record-id"), "uri": fields.get("warc-target-uri"), "page_id": int(page[1]) if page else None, "payload_bytes": n, "payload_digest": digest,
-        "refers_to": int(refers[1]) if refers else None, "payload": None if kind == "revisit" else payload,
+        "refers_to": int(refers[1]) if refers else None, "payload": None if kind == "revisit" else payload, "sure": want.startswith("sha1:"), "inner": None,
     }
 
 
-def _read(s: Stream, at: int) -> tuple[dict, int]:
-    """The record at ``at``, a gzip member or plain, and where the next is to begin."""
-    if s.bytes(at, at + 3) == MEMBER:
-        data, end = _inflate(s, at)
-        fields, begin = _head(data)
-        if len(data) != begin + int(fields["content-length"]) + 4 or data[-4:] != b"\r\n\r\n":
-            raise BadRecord("length differs")
-        return _checked(fields, data[begin:-4]), end
+def _read(s: Stream | Inflated, at: int) -> tuple[dict, int]:
+    """The plain record at ``at`` and where the next is to begin."""
     if not _VERSION_LINE.match(s.bytes(at, at + 10)):
-        raise BadRecord("neither member nor version line")
+        raise BadRecord("no version line")
     to = at + 4096
-    while b"\r\n\r\n" not in s.bytes(at, to) and to < s.size and to - at < 1 << 20:
+    while b"\r\n\r\n" not in s.bytes(at, to) and s.fill(to) and to - at < 1 << 20:
         to += 4096
     fields, begin = _head(s.bytes(at, to))
     end = at + begin + int(fields["content-length"]) + 4
-    if end > s.size:
+    if not s.fill(end):
         raise BadRecord("truncated record")
     data = s.bytes(at + begin, end)
     if data[-4:] != b"\r\n\r\n":
@@ -228,24 +262,84 @@ def _read(s: Stream, at: int) -> tuple[dict, int]:
     return _checked(fields, data[:-4]), end
 
 
+def _next(s: Stream | Inflated, at: int, pattern: re.Pattern) -> int:
+    """The next place after ``at`` where a record may begin, or the end."""
+    at += 1
+    while s.fill(at + 1):
+        s.drop(at)
+        window = s.bytes(at, at + CHUNK)
+        if found := pattern.search(window):
+            return at + found.start()
+        at += max(1, len(window) - 9)
+    return at
+
+
+def _member(s: Stream, start: int):
+    """The records of the gzip member at ``start``: (place in the content, row); last comes (end or None, reason or None).
+
+    A record without a digest counts only if its member is intact.
+    """
+    content, at, reason, intact = Inflated(s, start), 0, None, None
+    while content.fill(at + 1):
+        content.drop(at)
+        try:
+            row, end = _read(content, at)
+            if not row["sure"]:
+                intact = _intact(s.file, start) if intact is None else intact
+                if not intact:
+                    raise BadRecord("no digest in a damaged member")
+        except BadRecord as e:
+            reason = reason or str(e)
+            at = _next(content, at, _VERSION_LINE)
+            continue
+        yield at, row
+        at = end
+    yield content.end, content.reason or reason or (None if at else "empty member")
+
+
 def scan(file):
-    """("record", offset, length, row) and ("gap", offset, length, reason) of an archive, in order."""
+    """("record", offset, length, row) and ("gap", offset, length, reason) of an archive, in order.
+
+    Of a member with several records, all have the offset of the member and the last one has its length; a damaged member
+    is a gap after the records that were recovered from it.
+    """
     s, at, gap, reason = Stream(file), 0, None, ""
+
+    def bad(why: str) -> None:
+        nonlocal gap, reason, at
+        if gap is None:
+            gap, reason = at, why
+        at = _next(s, at, _NEXT)
+
     while at < s.size:
         s.drop(at)
+        if s.bytes(at, at + 3) == MEMBER:
+            held, end, why = None, None, None
+            for place, what in _member(s, at):
+                if not isinstance(what, dict):
+                    end, why = place, what
+                    continue
+                if gap is not None:
+                    yield "gap", gap, at - gap, reason
+                    gap = None
+                if held:
+                    yield "record", at, 0, held
+                held = what | {"inner": place}
+            whole = end is not None and why is None
+            if held:
+                yield "record", at, end - at if whole else 0, held
+            if whole:
+                at = end
+            elif end is not None and held:  # it inflates; only some of its content is bad
+                yield "gap", at, end - at, why
+                at = end
+            else:
+                bad(why)
+            continue
         try:
             row, end = _read(s, at)
         except BadRecord as e:
-            if gap is None:
-                gap, reason = at, str(e)
-            at += 1
-            while at < s.size:  # to the next place where a record may begin
-                s.drop(at)
-                window = s.bytes(at, at + CHUNK)
-                if found := _NEXT.search(window):
-                    at += found.start()
-                    break
-                at += max(1, len(window) - 9)
+            bad(str(e))
             continue
         if gap is not None:
             yield "gap", gap, at - gap, reason
@@ -256,17 +350,18 @@ def scan(file):
         yield "gap", gap, s.size - gap, reason
 
 
-FOUND = "path string, kind string, offset long, length long, reason string, record_type string, record_id string, uri string, page_id long, payload_bytes long, payload_digest string, refers_to long, payload binary"
+FOUND = "path string, kind string, offset long, length long, inner long, reason string, record_type string, record_id string, uri string, page_id long, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
 def salvage(archives: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """Rows of kind ``record`` and ``gap`` (the quarantine log) of the archives named by ``archives(path)``.
 
-    Every record that passes its checks is there, whatever lies between; an empty archive has no rows.  A null path is
-    passed over.
+    Every record that passes its checks is there, whatever lies between; an empty archive has no rows.  ``inner`` is the
+    place of a record in the content of its gzip member.  A null path is passed over, a repeated one is read again; extra
+    columns are ignored.
     """
     names = [f.split()[0] for f in FOUND.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds)], names)
@@ -294,7 +389,12 @@ def salvage(archives: DataFrame, folder: str, with_payload: bool = True) -> Data
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, compress: bool = True) -> DataFrame:
-    """Writes every page to archives in the shared folder and reads them back: the rows of ``salvage``."""
+    """Writes every row of ``pages(page_id, url, html)`` to archives in the shared folder and reads them back: the rows of
+    ``salvage``.
+
+    A null html is an empty payload; repeated rows are records of their own; payloads are written whole, however long; an
+    empty table gives no rows; extra columns are ignored.
+    """
     ws = Workspace(pages.sparkSession, "warc")
     folder = f"{ws.root}/archives"
     archives = ws.save(write(with_revisits(pages, ws, least_bytes), folder, compress=compress), "manifest")
