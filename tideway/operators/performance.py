@@ -72,32 +72,44 @@ def after_tax(series: DataFrame, keys: list[str], model: str = "annual_net", rat
     return rows.withColumn("net_after_tax", c("ret") - c("tax_paid"))
 
 
+#: Codes of a verdict in their order, each with its severity and what to do about it.
+FINDINGS = (
+    ("DATA_FRESHNESS_FAILED", "reject", "refresh_data"), ("CACHE_ISOLATION_FAILED", "reject", "rebuild_isolated_cache"), ("TOO_FEW_US_TICKERS", "reject", "review_lead_tickers"), ("TOO_FEW_JP_TICKERS", "reject", "review_lag_tickers"),
+    ("SEVERELY_NEGATIVE_AFTER_TAX_RETURN", "reject", "revise_strategy"), ("LOW_AFTER_TAX_RETURN", "warn", "tune_quantile"), ("LOW_AFTER_TAX_RR", "warn", "tune_window_and_lambda"), ("DEEP_AFTER_TAX_DRAWDOWN", "warn", "control_exposure"),
+    ("HIGH_COST_DRAG", "warn", "review_costs"), ("HIGH_TAX_DRAG", "warn", "review_tax_model"), ("DAILY_SIGNAL_NOT_READY", "warn", "synchronise_daily_data"), ("NON_STRICT_FILL_POLICY", "warn", "use_strict_fill"), ("CACHE_DATES_NOT_ALIGNED", "warn", "align_cache_dates"),
+)
+GO_ON = "continue_forward_test"
+
+
 def verdict(metrics: DataFrame, least_ar: float = 3.0, least_rr: float = 0.30, most_mdd: float = -25.0, most_cost: float = 3.0, most_tax: float = 5.0, least_lead: int = 8, least_lag: int = 12) -> DataFrame:
-    """Scores, grades and the decision.
+    """Scores, grades, reasons (code:severity), actions (each once, in the order of the reasons) and the decision.
 
     ``metrics``: keys..., gross_ar, net_pre_tax_ar, net_after_tax_ar, net_after_tax_rr, net_after_tax_mdd (per cent), and
-    the flags freshness_ok, cache_isolated, dates_aligned, signal_ready, strict_fill, stale, usable_lead, usable_lag.
+    the flags freshness_ok, cache_isolated, dates_aligned, signal_ready, strict_fill, stale, usable_lead, usable_lag.  A
+    flag that is missing is false, a count that is missing 0.
     """
     ar, rr, mdd = c("net_after_tax_ar"), c("net_after_tax_rr"), c("net_after_tax_mdd")
     cost, tax = c("gross_ar") - c("net_pre_tax_ar"), c("net_pre_tax_ar") - ar
-    few = (c("usable_lead") < least_lead) | (c("usable_lag") < least_lag)
-    off = lambda flag, n: F.when(flag, n).otherwise(0)
+    yes, n = (lambda x: F.coalesce(c(x), F.lit(False))), (lambda x: F.coalesce(c(x), F.lit(0)))
+    few_lead, few_lag = n("usable_lead") < least_lead, n("usable_lag") < least_lag
+    off = lambda flag, points: F.when(flag, points).otherwise(0)
     out = metrics.withColumns({
         "profitability": F.greatest(F.lit(0), steps(ar, RETURN_STEPS) - F.when(rr < 0, 8).when(rr < least_rr * 0.5, 6).when(rr < least_rr, 4).otherwise(0)),
         "stability": F.greatest(F.lit(0), steps(mdd, DRAWDOWN_STEPS) - F.when(rr < least_rr * 0.5, 3).when(rr < least_rr, 2).otherwise(0)),
         "cost_resilience": steps(cost, COST_STEPS, below=True) + steps(tax, TAX_STEPS, below=True),
-        "executability": 10 - off(~c("signal_ready"), 5) - off(few, 5),
-        "data_reliability": 15 - off(~c("freshness_ok"), 6) - off(~c("strict_fill"), 3) - off(~c("cache_isolated"), 3) - off(~c("dates_aligned"), 2) - off(c("stale"), 2),
-    }).withColumn("data_reliability", F.greatest(F.lit(0), "data_reliability"))
-    named = lambda pairs: F.filter(F.array(*[F.when(p, F.lit(n)) for n, p in pairs]), lambda x: x.isNotNull())
-    rejects = named([("DATA_FRESHNESS_FAILED", ~c("freshness_ok")), ("CACHE_ISOLATION_FAILED", ~c("cache_isolated")), ("TOO_FEW_US_TICKERS", c("usable_lead") < least_lead), ("TOO_FEW_JP_TICKERS", c("usable_lag") < least_lag), ("SEVERELY_NEGATIVE_AFTER_TAX_RETURN", ar < -5.0)])
-    warns = named([
-        ("LOW_AFTER_TAX_RETURN", ar < least_ar), ("LOW_AFTER_TAX_RR", rr < least_rr), ("DEEP_AFTER_TAX_DRAWDOWN", mdd < most_mdd), ("HIGH_COST_DRAG", cost > most_cost), ("HIGH_TAX_DRAG", tax > most_tax),
-        ("DAILY_SIGNAL_NOT_READY", ~c("signal_ready")), ("NON_STRICT_FILL_POLICY", ~c("strict_fill")), ("CACHE_DATES_NOT_ALIGNED", ~c("dates_aligned")),
-    ])
+        "executability": 10 - off(~yes("signal_ready"), 5) - off(few_lead | few_lag, 5),
+        "data_reliability": F.greatest(F.lit(0), 15 - off(~yes("freshness_ok"), 6) - off(~yes("strict_fill"), 3) - off(~yes("cache_isolated"), 3) - off(~yes("dates_aligned"), 2) - off(yes("stale"), 2)),
+    })
+    applies = (
+        ~yes("freshness_ok"), ~yes("cache_isolated"), few_lead, few_lag, ar < -5.0, ar < least_ar, rr < least_rr, mdd < most_mdd, cost > most_cost, tax > most_tax, ~yes("signal_ready"), ~yes("strict_fill"), ~yes("dates_aligned"),
+    )
+    found = F.array_compact(F.array(*[F.when(a, F.struct(F.lit(x).alias("code"), F.lit(y).alias("severity"), F.lit(z).alias("action"))) for a, (x, y, z) in zip(applies, FINDINGS)]))
     parts = {"profitability": 30, "stability": 25, "cost_resilience": 20, "executability": 10, "data_reliability": 15}
-    out = out.withColumns({"overall_score": sum((c(p) for p in parts), F.lit(0)), "rejects": rejects, "warns": warns} | {f"{p}_grade": grade(c(p), n) for p, n in parts.items()})
-    critical = (cost > most_cost) & (tax > most_tax)
-    score = c("overall_score")
-    decision = F.when(F.size("rejects") > 0, "reject").when((score >= 80) & ~critical, "pass").when((score >= 75) & (F.size("warns") <= 1) & ~critical, "pass").when(score >= 60, "hold").otherwise("reject")
-    return out.withColumns({"overall_decision": decision, "reasons": F.array_join(F.concat("rejects", "warns"), "|")}).drop("rejects", "warns")
+    out = out.withColumns({"found": found, "overall_score": sum((c(p) for p in parts), F.lit(0))} | {f"{p}_grade": grade(c(p), most) for p, most in parts.items()})
+    count = lambda severity: F.size(F.filter("found", lambda x: x["severity"] == severity))
+    critical = F.coalesce((cost > most_cost) & (tax > most_tax), F.lit(False))
+    score, todo = c("overall_score"), F.array_distinct(F.transform("found", lambda x: x["action"]))
+    decision = F.when(count("reject") > 0, "reject").when((score >= 80) & ~critical, "pass").when((score >= 75) & (count("warn") <= 1) & ~critical, "pass").when(score >= 60, "hold").otherwise("reject")
+    return out.withColumns({
+        "overall_decision": decision, "reasons": F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["code"], x["severity"])), "|"), "actions": F.when(F.size(todo) > 0, F.array_join(todo, "|")).otherwise(GO_ON),
+    }).drop("found")

@@ -23,8 +23,8 @@ def regimes(rets: DataFrame, signals: DataFrame, width: int = 20, least: int = 1
     rotation = signals.groupBy("universe_id", "date").agg(F.stddev_samp("signal").alias("rotation_std"))
     rows = proxy.join(rotation, ["universe_id", "date"], "full")
     q = lambda x: F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
-    cuts = rows.groupBy("universe_id").agg(q("vol20").alias("v"), q("rotation_std").alias("r"))
-    rows = rows.join(F.broadcast(cuts), "universe_id")  # one row per universe
+    w = Window.partitionBy("universe_id")  # a row per date, so few that the quantiles need no join
+    rows = rows.withColumns({"v": q("vol20").over(w), "r": q("rotation_std").over(w)})
     return rows.select(
         "universe_id", "date", F.when(c("cum20_return") > TREND, "uptrend").when(c("cum20_return") < -TREND, "downtrend").otherwise("sideways").alias("trend_regime"),
         quantile_label(c("vol20"), c("v")[0], c("v")[1], "low_vol", "mid_vol", "high_vol").alias("vol_regime"),
@@ -40,3 +40,11 @@ def warning_reasons(trend: Column, vol: Column) -> Column:
 def warnings(regime: DataFrame) -> DataFrame:
     reasons = warning_reasons(c("trend_regime"), c("vol_regime"))
     return regime.select("universe_id", "date", (F.size(reasons) > 0).alias("regime_warning"), F.array_join(reasons, "|").alias("reasons"))
+
+
+def snapshots(regime: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The labels of ``wanted(universe_id, date)``; a date that has none is sideways, mid_vol and mid_rotation."""
+    rows = wanted.select("universe_id", "date").join(regime.select("universe_id", "date", "trend_regime", "vol_regime", "rotation_regime"), ["universe_id", "date"], "left")
+    for name, label in (("trend_regime", "sideways"), ("vol_regime", "mid_vol"), ("rotation_regime", "mid_rotation")):
+        rows = rows.withColumn(name, F.coalesce(name, F.lit(label)))
+    return rows

@@ -31,8 +31,8 @@ def returns(dense: DataFrame) -> DataFrame:
 
 def covered(rets: DataFrame, ratio: float = 0.8) -> DataFrame:
     """Rows of dates that both sides have, with at least ``ratio`` of each side's tickers present."""
-    names = rets.groupBy("universe_id", "side").agg(F.countDistinct("ticker").alias("names"))
-    days = rets.groupBy("universe_id", "date", "side").agg(F.count("ret_cc").alias("n")).join(F.broadcast(names), ["universe_id", "side"])
+    # a dense panel has a row for every ticker of the side
+    days = rets.groupBy("universe_id", "date", "side").agg(F.count("ret_cc").alias("n"), F.count("*").alias("names"))
     good = days.groupBy("universe_id", "date").agg(F.countDistinct("side").alias("sides"), F.min((c("n") >= ratio * c("names")).cast("int")).alias("ok")).where("sides = 2 and ok = 1")
     return rets.join(good.select("universe_id", "date"), ["universe_id", "date"], "left_semi").select("universe_id", "date", "ticker", "ord", "side", F.col("ret_cc").alias("ret"))
 
@@ -44,7 +44,7 @@ def complete(rows: DataFrame) -> DataFrame:
 
 
 def joint(rets: DataFrame, ratio: float = 0.8, fill: str = "strict", width: int = 5) -> DataFrame:
-    """The joint matrix.  ``rolling_mean`` fills a missing return by the mean of the present ones of the last ``width``
+    """The joint matrix; ``ratio`` 0 asks only for dates that both sides have.  ``rolling_mean`` fills a missing return by the mean of the present ones of the last ``width``
     rows; then, as with ``strict``, dates with a missing return go."""
     rows = covered(rets, ratio)
     if fill == "rolling_mean":
@@ -75,9 +75,12 @@ def rolling_zscore(rows: DataFrame, length: int) -> DataFrame:
 
 
 def correlations(rows: DataFrame) -> DataFrame:
-    """Correlation of each pair of tickers over all rows, upper triangle; pairs come from an equi-join on the date."""
+    """Correlation of each pair of tickers over all rows, upper triangle; pairs come from an equi-join on the date.
+
+    A ticker that never moves has none."""
     a, b = rows.select("universe_id", "date", c("ord").alias("i"), c("ret").alias("x")), rows.select("universe_id", "date", c("ord").alias("j"), c("ret").alias("y"))
-    return a.join(b, ["universe_id", "date"]).where("i < j").groupBy("universe_id", "i", "j").agg(F.corr("x", "y").alias("corr"), F.count("*").alias("n"))
+    corr = F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y"))
+    return a.join(b, ["universe_id", "date"]).where("i < j").groupBy("universe_id", "i", "j").agg(corr.alias("corr"), F.count("*").alias("n"))
 
 
 def rolling_correlations(rows: DataFrame, length: int) -> DataFrame:
@@ -85,4 +88,5 @@ def rolling_correlations(rows: DataFrame, length: int) -> DataFrame:
     a, b = rows.select("universe_id", "date", c("ord").alias("i"), c("ret").alias("x")), rows.select("universe_id", "date", c("ord").alias("j"), c("ret").alias("y"))
     w = Window.partitionBy("universe_id", "i", "j").orderBy("date").rowsBetween(-length, -1)
     pairs = a.join(b, ["universe_id", "date"]).where("i < j")
-    return pairs.select("universe_id", "date", "i", "j", F.corr("x", "y").over(w).alias("corr"), F.count("*").over(w).alias("n")).where(c("n") == length).drop("n")
+    corr = F.try_divide(F.covar_samp("x", "y").over(w), F.stddev_samp("x").over(w) * F.stddev_samp("y").over(w))
+    return pairs.select("universe_id", "date", "i", "j", corr.alias("corr"), F.count("*").over(w).alias("n")).where(c("n") == length).drop("n")

@@ -15,6 +15,11 @@ SCENARIOS = (
     ("S06_Curr1D", "orig", "ret_hold", "none"), ("S08_GapOvht05", "orig", "next_oc", "both"), ("S09_LGapFlt05", "orig", "next_oc", "long"), ("S10_ShortOnly", "short_only", "next_oc", "none"),
 )
 BASELINE = "S01_CurrOC"
+#: The scenarios of the recovery study, with the days that they are limited to.
+RECOVERY = tuple((*s, "all") for s in SCENARIOS) + (
+    ("S07_GapFlt05", "orig", "next_oc", "abs", "all"), ("S11_FlipLGapFlt", "flip_l", "next_oc", "both", "all"), ("S12_HighVol", "orig", "next_oc", "none", "high_vol"), ("S13_NoMidVol", "orig", "next_oc", "none", "not_mid_vol"),
+    ("S14_FlipL_HiVol", "flip_l", "next_oc", "none", "high_vol"), ("S15_HighSig", "orig", "next_oc", "none", "high_sig"),
+)
 ROUND_TRIP = 0.001
 
 
@@ -25,16 +30,17 @@ def scenario_returns(signals: DataFrame, rets: DataFrame, q: float = 0.3, min_lo
     shuffle; dates with fewer than three signals are reported, not dropped.
     """
     facts = signals.where("signal is not null").join(rets.select(*KEY, "ticker", "next_oc", "next_cc", "ret_oo", "ret_hold", "next_gap"), [*KEY, "ticker"], "left")
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("scenario_id"), F.lit(d).alias("direction"), c(r).alias("ret"), F.lit(g).alias("filter")) for i, d, r, g in scenarios]))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("scenario_id"), F.lit(d).alias("direction"), c(r).alias("ret"), F.lit(g).alias("filter")) for i, d, r, g, *_ in scenarios]))
     rows = facts.select(*KEY, "ticker", "signal", "next_gap", each.alias("s")).select(*KEY, "ticker", "signal", "next_gap", "s.*")
     keys = [*KEY, "scenario_id"]
     heads = rows.groupBy(*keys, "direction").agg(F.count("*").alias("n_signal"), F.count("ret").alias("n_ret"))
-    common = rows.where("ret is not null")
-    cut = common.groupBy(*keys).agg(F.percentile("signal", F.array(F.lit(q), F.lit(1.0 - q))).alias("p"))
-    common = common.join(cut, keys)
+    p = F.percentile("signal", F.array(F.lit(q), F.lit(1.0 - q))).over(Window.partitionBy(*keys))
+    common = rows.where("ret is not null").withColumn("p", p)
     gap = F.coalesce("next_gap", F.lit(0.0))
     common = common.withColumns({"cl": (c("signal") >= c("p")[1]) & (c("signal") >= min_long), "cs": (c("signal") <= c("p")[0]) & (c("signal") <= max_short)})
-    common = common.withColumns({"l": c("cl") & ((c("filter") == "none") | (gap <= gap_limit)), "s": c("cs") & ((c("filter") != "both") | (gap >= -gap_limit))})
+    long_ok = F.when(c("filter") == "abs", F.abs(gap) <= gap_limit).otherwise((c("filter") == "none") | (gap <= gap_limit))
+    short_ok = F.when(c("filter") == "abs", F.abs(gap) <= gap_limit).otherwise((c("filter") != "both") | (gap >= -gap_limit))
+    common = common.withColumns({"l": c("cl") & long_ok, "s": c("cs") & short_ok})
     legs = common.groupBy(*keys).agg(
         F.count_if("cl").alias("cl"), F.count_if("cs").alias("cs"), F.count_if("l").alias("nl"), F.count_if("s").alias("ns"), F.avg(F.when(c("l"), c("ret"))).alias("lr"), F.avg(F.when(c("s"), c("ret"))).alias("sr"),
     )
@@ -68,7 +74,7 @@ def period_bounds(signals: DataFrame, periods: dict[str, int | None]) -> DataFra
 
 def period_days(scenarios: DataFrame, bounds: DataFrame) -> DataFrame:
     """Facts in per cent of each date, scenario and period; taxes are those of the slice."""
-    rows = scenarios.join(F.broadcast(bounds), "universe_id").where(c("date").between(c("start_date"), c("end_date")))  # a few rows a universe
+    rows = scenarios.join(bounds, "universe_id").where(c("date").between(c("start_date"), c("end_date")))  # a few rows a universe
     keys = ["universe_id", "period_label", "scenario_id"]
     rows = rows.withColumn("ret", c("gross") - F.when(c("tradeable"), ROUND_TRIP).otherwise(0.0))
     rows = after_tax(rows, keys)
@@ -133,3 +139,35 @@ def lag_features(signals: DataFrame, rets: DataFrame, q: float = 0.3) -> DataFra
         F.avg("next_gap").alias("gap_mean"), F.avg("next_oc").alias("oc_mean"), F.avg("next_cc").alias("cc_mean"), F.avg(F.when(c("cand_long"), c("next_gap"))).alias("long_gap_mean"), F.avg(F.when(c("cand_short"), c("next_gap"))).alias("short_gap_mean"),
     )
     return out.withColumn("gap_to_oc_reversal", c("oc_mean") - c("gap_mean"))
+
+
+def limited(returns: DataFrame, regime: DataFrame, strength: DataFrame, scenarios=RECOVERY, high: float = 0.3) -> DataFrame:
+    """Scenario returns on the days that each scenario is limited to: all, those of high or not of middle volatility, or
+    those whose candidates' strength is at least ``high``."""
+    days = F.create_map(*[F.lit(x) for s in scenarios for x in (s[0], s[4])])[c("scenario_id")]
+    rows = returns.join(regime.select(*KEY, "vol_regime"), KEY, "left").join(strength.select(*KEY, "candidate_strength"), KEY, "left")
+    ok = F.when(days == "high_vol", c("vol_regime") == "high_vol").when(days == "not_mid_vol", c("vol_regime") != "mid_vol").when(days == "high_sig", c("candidate_strength") >= high).otherwise(True)
+    return rows.where(ok).drop("vol_regime", "candidate_strength")
+
+
+def ranking(days: DataFrame, weights: dict[str, float], per_year: int = 252) -> DataFrame:
+    """Scenarios by the weighted mean of their annual net returns over several periods, with the shares of months and years
+    that end above zero over the longest one (that named first) and a judgement.
+
+    ``days``: facts in per cent of each date, scenario and period.  Go: the returns of the first three periods and half of
+    the months are above zero; Hold: three of these four are; else No-Go.
+    """
+    keys = ["universe_id", "scenario_id"]
+    first, *_ = weights
+    top3 = list(weights)[:3]
+    annual = days.groupBy(*keys, "period_label").agg((F.avg("net_after_tax_pct") * per_year).alias("ar"))
+    value = lambda p: F.max(F.when(c("period_label") == p, c("ar")))
+    score = annual.groupBy(*keys).agg(*[value(p).alias(f"ar_{p}") for p in weights])
+    total = sum(weights.values())
+    score = score.withColumn("score", sum((F.coalesce(f"ar_{p}", F.lit(0.0)) * w for p, w in weights.items()), F.lit(0.0)) / total)
+    for name, by in (("month", F.date_format("date", "yyyy-MM")), ("year", F.year("date"))):
+        sums = days.where(c("period_label") == first).groupBy(*keys, by.alias("by")).agg(F.sum("net_after_tax_pct").alias("s"))
+        score = score.join(sums.groupBy(*keys).agg(F.avg((c("s") > 0).cast("double")).alias(f"{name}_rate")), keys, "left")
+    good = sum((F.coalesce((c(f"ar_{p}") > 0).cast("int"), F.lit(0)) for p in top3), F.coalesce((c("month_rate") >= 0.5).cast("int"), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("universe_id").orderBy(F.desc("score"), "scenario_id"))
+    return score.withColumns({"judge": F.when(good == 4, "Go").when(good == 3, "Hold").otherwise("No-Go"), "rank": rank})

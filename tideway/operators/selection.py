@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import sure
@@ -16,11 +16,14 @@ NEAR = 0.03
 KEY = ["universe_id", "date"]
 
 
-def quantile_masks(rows: DataFrame, q: float = 0.3, least: int = 3) -> DataFrame:
-    """Adds lo, hi and the candidate masks of each date with at least ``least`` signals (exact, interpolated quantiles)."""
-    rows = rows.where(c("signal").isNotNull())
-    cut = rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.percentile("signal", F.array(F.lit(q), F.lit(1.0 - q))).alias("p")).where(c("n") >= least)
-    out = rows.join(cut.select(*KEY, "n", c("p")[0].alias("lo"), c("p")[1].alias("hi")), KEY)
+def quantile_masks(rows: DataFrame, q: float = 0.3, least: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds n, lo, hi and the candidate masks of each date (and ``keys``) with at least ``least`` signals.
+
+    Quantiles are exact and interpolated; all come from one window over the rows of a date, without a join.
+    """
+    w = Window.partitionBy(*KEY, *keys)
+    out = rows.where(c("signal").isNotNull()).withColumns({"n": F.count("*").over(w), "p": F.percentile("signal", F.array(F.lit(q), F.lit(1.0 - q))).over(w)})
+    out = out.where(c("n") >= least).withColumns({"lo": c("p")[0], "hi": c("p")[1]}).drop("p")
     return out.withColumns({"cand_long": c("signal") >= c("hi"), "cand_short": c("signal") <= c("lo")})
 
 

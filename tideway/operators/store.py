@@ -1,4 +1,4 @@
-"""The price store: upsert, range scan, freshness, missing tickers, execution plan and order documents."""
+"""The price store: upsert, range scan, tail, fetch plan, missing tickers, calendars, factor files, corporate actions."""
 
 from __future__ import annotations
 
@@ -37,10 +37,22 @@ def date_range(panel: DataFrame) -> DataFrame:
 
 
 def fetch_plan(ranges: DataFrame, wanted: DataFrame, start: str, overlap_days: int = 7) -> DataFrame:
-    """From when each wanted ticker is to be read: its last date less an overlap if it reaches back to the start."""
+    """From when each group of ``wanted(group, ticker)`` is to be read: if every ticker has prices and the earliest of them
+    reaches back to the start, from the least last date less an overlap, but not before the start; else from the start."""
     begin = F.lit(start).cast("date")
-    have = c("first_date").isNotNull() & (c("first_date") <= F.date_add(begin, overlap_days))
-    return wanted.join(ranges, "ticker", "left").select("ticker", F.when(have, F.greatest(F.date_sub("last_date", overlap_days), begin)).otherwise(begin).alias("from_date"))
+    rows = wanted.join(ranges, "ticker", "left").groupBy("group").agg(F.count("*").alias("tickers"), F.count("last_date").alias("known"), F.min("first_date").alias("first"), F.min("last_date").alias("last"))
+    full = (c("known") == c("tickers")) & (c("first") <= begin)
+    return rows.select("group", "tickers", F.when(full, F.greatest(F.date_sub("last", overlap_days), begin)).otherwise(begin).alias("from_date"))
+
+
+def tail(rows: DataFrame, tickers: list[str], since: str) -> DataFrame:
+    """Prices from a date on, by ticker and date; no tickers give no rows."""
+    return rows.where(c("ticker").isin(tickers or [""]) & (c("date") >= F.lit(since).cast("date"))).select("ticker", "date", "open", "close").orderBy("ticker", "date")
+
+
+def migrated(rows: DataFrame) -> DataFrame:
+    """A store as it is now kept; one of before price modes is begun anew."""
+    return rows if "price_mode" in rows.columns else rows.sparkSession.createDataFrame([], PRICES)
 
 
 def freshness(panel: DataFrame, required: Column) -> DataFrame:
@@ -67,39 +79,47 @@ def next_session(days: DataFrame) -> DataFrame:
     return d.withColumn("next_lag_date", F.min(F.when(c("side") == "lag", c("date"))).over(w)).where("side = 'lead'").drop("side")
 
 
-def lots(positions: DataFrame, prices: DataFrame) -> DataFrame:
-    """Lots of ten that bring each position's value near the dearest one's, and equal weights in per cent."""
-    w_all, w_side = Window.partitionBy("universe_id", "date"), Window.partitionBy("universe_id", "date", "position")
-    rows = positions.where("position <> 'neutral'").join(prices, ["universe_id", "date", "ticker"])
-    rows = rows.withColumn("lots", F.greatest(F.lit(1), F.bround(F.max("close").over(w_all) / c("close")).cast("int")))
-    return rows.select("universe_id", "date", "ticker", "position", "lots", F.bround(c("lots") * c("close") * 10).cast("long").alias("purchase"), F.round(100 / F.count("*").over(w_side), 1).alias("weight_pct"))
-
-
-def order_document(plan: DataFrame) -> DataFrame:
-    """One JSON document of orders per date."""
-    order = F.struct(F.regexp_replace("ticker", r"\.T$", "").alias("code"), F.when(c("position") == "LONG", "buy").otherwise("sell").alias("kind"), "lots")
-    return plan.groupBy("universe_id", "date").agg(F.to_json(F.struct(F.array_sort(F.collect_list(order)).alias("orders"))).alias("payload"))
-
-
 def factor_csv(spark: SparkSession, path: str) -> DataFrame:
     """The first block of daily rows (yyyymmdd and percentages) of a factor file: date, then the columns as fractions.
 
     A missing value is -99.99.  Header text and later blocks are passed over; the header is the line before the block.
+    The block's bounds are two minima over the numbered lines; no line is sorted or sent to one task.
     """
     lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
     data = F.col("value").rlike(r"^\s*\d{8}\s*,")
-    w = Window.orderBy("at")
-    rows = lines.withColumns({"data": data, "head": F.lag("value").over(w), "block": F.sum((~data).cast("int")).over(w)})
-    first = rows.where("data").agg(F.min_by(F.struct("block", "head"), "at").alias("f")).first()["f"]
-    names = [x.strip().lower().replace("-", "_") for x in first["head"].split(",")[1:]]
+    first = lines.where(data).agg(F.min("at").alias("first"))
+    bounds = lines.join(F.broadcast(first)).agg(F.max(F.when(c("at") < c("first"), F.struct("at", "value"))).alias("head"), F.min("first").alias("first"), F.min(F.when((c("at") > c("first")) & ~data, c("at"))).alias("end")).first()
+    if bounds["first"] is None:
+        return spark.createDataFrame([], "date date")
+    header = bounds["head"]["value"] if bounds["head"] else ""
+    names = [x.strip().lower().replace("-", "_").replace(" ", "_") for x in header.split(",")[1:]]
     cells = F.split("value", r"\s*,\s*")
     value = lambda i: F.when(F.trim(cells[i]).cast("double") > -99.0, F.trim(cells[i]).cast("double") / 100)
-    return rows.where(c("data") & (c("block") == first["block"])).select(F.to_date(F.trim(cells[0]), "yyyyMMdd").alias("date"), *[value(i + 1).alias({"wml": "mom"}.get(n, n)) for i, n in enumerate(names)])
+    block = (c("at") >= bounds["first"]) & (F.lit(True) if bounds["end"] is None else c("at") < bounds["end"])
+    return lines.where(data & block).select(F.to_date(F.trim(cells[0]), "yyyyMMdd").alias("date"), *[value(i + 1).alias({"wml": "mom"}.get(n, n)) for i, n in enumerate(names)])
+
+
+def carhart(ff3: DataFrame, momentum: DataFrame) -> DataFrame:
+    """Three factors and momentum, on the dates that both have."""
+    name = next(x for x in momentum.columns if x != "date")
+    return ff3.join(momentum.select("date", c(name).alias("mom")), "date")
+
+
+def load_factors(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The stored factors (CSV with a header), four of them before three; None if there are none."""
+    for name in ("carhart4_japan_daily.csv", "ff3_japan_daily.csv"):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            rows = spark.read.option("header", True).csv(f"{folder}/{name}")
+            first = "date" if "date" in rows.columns else rows.columns[0]
+            return rows.select(F.to_date(first).alias("date"), *[c(x).cast("double").alias({"wml": "mom"}.get(x.strip().lower(), x.strip().lower())) for x in rows.columns if x != first])
+    return None
 
 
 def corporate_actions(wide: DataFrame, source: str) -> DataFrame:
     """(ticker, date, dividend, split) as rows of positive values."""
-    return wide.unpivot(["ticker", "date"], ["dividend", "split"], "action_type", "value").where("value > 0").withColumn("source", F.lit(source))
+    keys = [x for x in wide.columns if x not in ("dividend", "split")]
+    return wide.unpivot(keys, ["dividend", "split"], "action_type", "value").where("value > 0").withColumn("source", F.lit(source))
 
 
 def weekday_calendar(spark: SparkSession, start: str, end: str, holidays: list[str] = ()) -> DataFrame:

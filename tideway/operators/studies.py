@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .selection import KEY, quantile_masks
@@ -43,21 +43,106 @@ def anomaly_days(scenarios: DataFrame, limit: float = 0.03, last: int = 252, a:
     return rows.withColumn("back", F.row_number().over(order)).where((c("back") <= last) & (F.abs("diff") >= limit)).drop("back")
 
 
-def lead_features(rows: DataFrame) -> DataFrame:
-    """Cross-section of the lead returns of each date; skewness and kurtosis are those of the population."""
-    r = c("ret_cc")
-    best = F.sort_array(F.collect_list(r), asc=False)
-    mean3 = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+#: Numbers of the lead tickers of each group; those of a real universe are given by ticker.
+GROUPS = {"financial": (1,), "energy": (2, 3), "growth": (4,), "consumer": (5, 6)}
+
+
+def lead_features(rows: DataFrame, groups: dict[str, tuple[int, ...]] = GROUPS) -> DataFrame:
+    """Cross-section of the lead returns of each date: market, dispersion, leadership and concentration.
+
+    Skewness and kurtosis are those of the population; shares are of the sum of absolute returns, null if that is 0;
+    ``groups`` names tickers by their ``ord``.
+    """
+    r, a = c("ret_cc"), F.abs("ret_cc")
+    best, big = F.sort_array(F.collect_list(r), asc=False), F.sort_array(F.collect_list(a), asc=False)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    mean3 = lambda x: total(x) / F.size(x)
     p = F.percentile("ret_cc", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    inside = {n: F.avg(F.when(c("ord").isin(*v), r)) for n, v in groups.items()}
+    outside = {n: F.avg(F.when(~c("ord").isin(*v), r)) for n, v in groups.items()}
     out = rows.where("side = 'lead' and ret_cc is not null").groupBy(*KEY).agg(
-        F.avg(r).alias("mean"), p.alias("p"), F.avg((r > 0).cast("double")).alias("breadth"), mean3(F.slice(best, 1, 3)).alias("top3"), mean3(F.slice(best, -F.least(F.lit(3), F.size(best)), F.lit(3))).alias("bottom3"), F.stddev_samp(r).alias("sd"),
-        (F.max(r) - F.min(r)).alias("range"), F.avg(F.abs(r)).alias("abs_mean"), F.avg(F.when(c("cyc") == 1, r)).alias("cyclical"), F.avg(F.when(c("cyc") == -1, r)).alias("defensive"), F.kurtosis(r).alias("kurt"),
+        F.avg(r).alias("mean"), p.alias("p"), F.avg((r > 0).cast("double")).alias("breadth"), F.avg((r < 0).cast("double")).alias("breadth_down"), mean3(F.slice(best, 1, 3)).alias("top3"), mean3(F.slice(best, -F.least(F.lit(3), F.size(best)), F.lit(3))).alias("bottom3"), F.stddev_samp(r).alias("sd"),
+        (F.max(r) - F.min(r)).alias("range"), F.avg(a).alias("abs_mean"), F.avg(F.when(c("cyc") == 1, r)).alias("cyclical"), F.avg(F.when(c("cyc") == -1, r)).alias("defensive"), F.skewness(r).alias("skew"), F.kurtosis(r).alias("kurt"),
+        F.sum(a).alias("moved"), F.max(a).alias("top1"), total(F.slice(big, 1, 3)).alias("big3"), F.min(a).alias("least1"), F.count("*").alias("n"), *[inside[g].alias(g) for g in groups], (inside["energy"] - outside["energy"]).alias("energy_vs_rest"), (inside["financial"] - outside["financial"]).alias("financial_vs_rest"),
     )
+    share = lambda x: F.when(c("moved") > 0, c(x) / c("moved"))
     return out.select(
-        *KEY, "mean", c("p")[1].alias("median"), (c("p")[2] - c("p")[0]).alias("iqr"), "breadth", "top3", "bottom3", "sd", "range", "abs_mean", "cyclical", "defensive", (c("cyclical") - c("defensive")).alias("spread"), "kurt",
+        *KEY, "mean", c("p")[1].alias("median"), (c("p")[2] - c("p")[0]).alias("iqr"), "breadth", "breadth_down", "top3", "bottom3", (c("top3") - c("bottom3")).alias("top_bottom_spread"), "sd", "range", "abs_mean", "skew", "kurt",
+        "cyclical", "defensive", *groups, (c("cyclical") - c("defensive")).alias("spread"), (c("growth") - c("defensive")).alias("growth_vs_def"), "energy_vs_rest", "financial_vs_rest",
+        share("top1").alias("top1_share"), share("big3").alias("top3_share"), share("least1").alias("bottom1_share"), (share("top1") * c("n")).alias("narrowness"),
     )
 
 
+def spreads(rets: DataFrame, signals: DataFrame, names: DataFrame) -> DataFrame:
+    """Cyclical less defensive: of the lead returns and of the lag signals of each date, and whether both have one sign.
+
+    ``names(universe_id, ticker, cyc)``; a side without both groups has no spread, which never agrees.
+    """
+    spread = lambda x: F.avg(F.when(c("cyc") == 1, c(x))) - F.avg(F.when(c("cyc") == -1, c(x)))
+    lead = rets.where("side = 'lead'").groupBy(*KEY).agg(spread("ret_cc").alias("lead_spread"))
+    lag = signals.join(names.select("universe_id", "ticker", "cyc").distinct(), ["universe_id", "ticker"]).groupBy(*KEY).agg(spread("signal").alias("lag_spread"))
+    return lead.join(lag, KEY).withColumn("agree", F.coalesce((c("lead_spread") > 0) == (c("lag_spread") > 0), F.lit(False)))
+
+
+def rolling_difference(returns: DataFrame, a: str, b: str, width: int = 20) -> DataFrame:
+    """Mean over the last ``width`` dates of what scenario b earns more than a."""
+    rows = returns.where(c("scenario_id").isin(a, b)).groupBy(*KEY).agg((F.max(F.when(c("scenario_id") == b, c("gross"))) - F.max(F.when(c("scenario_id") == a, c("gross")))).alias("diff"))
+    w = Window.partitionBy("universe_id").orderBy("date").rowsBetween(1 - width, 0)
+    return rows.withColumn("rolling", F.avg("diff").over(w))
+
+
+def signal_scale(positions: DataFrame, adaptive: DataFrame, regime: DataFrame) -> DataFrame:
+    """Scale of the signals and shares of days with both sides, under fixed and adaptive thresholds, by volatility and trend.
+
+    ``positions`` and ``adaptive`` have signal and position.
+    """
+    both = lambda rows, name: rows.groupBy(*KEY).agg(F.min(F.abs("signal")).alias("_x"), (F.max((c("position") == "LONG").cast("int")) * F.max((c("position") == "SHORT").cast("int"))).alias(name))
+    days = positions.groupBy(*KEY).agg(F.avg(F.abs("signal")).alias("abs_mean"), F.percentile("signal", F.lit(0.5)).alias("median"), F.max("signal").alias("top1"), F.max((c("position") == "LONG").cast("int")).alias("has_long"))
+    days = days.join(both(positions, "fixed").drop("_x"), KEY).join(both(adaptive, "adaptive").drop("_x"), KEY).join(regime.select(*KEY, "trend_regime", "vol_regime"), KEY)
+    out = days.groupingSets([["universe_id", "vol_regime"], ["universe_id", "trend_regime"], ["universe_id", "trend_regime", "vol_regime"]], "universe_id", "trend_regime", "vol_regime")
+    return out.agg(F.count("*").alias("days"), F.avg("abs_mean").alias("abs_mean"), F.avg("median").alias("median"), F.avg("top1").alias("top1"), F.avg("fixed").alias("fixed_rate"), F.avg("adaptive").alias("adaptive_rate"), (1 - F.avg("has_long")).alias("no_long_rate"))
+
+
+#: Settings of the position filters: (name, least spread, least long signal, largest short signal).
+SETTINGS = (("base", 0.0, 0.0, 0.0), ("spread", 0.0951, 0.0, 0.0), ("var_a", 0.0, 0.05, -0.05), ("var_b", 0.0, 0.1, -0.1), ("both_a", 0.0951, 0.05, -0.05), ("both_b", 0.0951, 0.1, -0.1))
+
+
+def position_filters(masks: DataFrame, settings=SETTINGS) -> DataFrame:
+    """For each setting: mean counts, returns on traded and on all days, win rate, compound, and longest runs.
+
+    ``masks``: candidate rows with next_oc.  A day is traded if it has a long and its spread reaches the least one.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("setting"), F.lit(s).alias("least"), F.lit(lo).alias("min_long"), F.lit(hi).alias("max_short")) for n, s, lo, hi in settings]))
+    rows = masks.select("*", each.alias("g")).select(*KEY, "signal", "next_oc", "g.*", (c("cand_long") & (c("signal") >= c("g.min_long"))).alias("l"), (c("cand_short") & (c("signal") <= c("g.max_short"))).alias("s"))
+    mean = lambda m, x: F.avg(F.when(c(m), c(x)))
+    keys = ["universe_id", "setting"]
+    days = rows.groupBy(*keys, "date", "least").agg(F.count_if("l").alias("nl"), F.count_if("s").alias("ns"), mean("l", "next_oc").alias("lr"), mean("s", "next_oc").alias("sr"), (mean("l", "signal") - mean("s", "signal")).alias("strength"))
+    days = days.withColumns({"traded": (c("nl") > 0) & (F.coalesce("strength", F.lit(0.0)) >= c("least")), "ret": F.coalesce("lr", F.lit(0.0)) - F.coalesce("sr", F.lit(0.0))})
+    w, v = Window.partitionBy(*keys).orderBy("date"), Window.partitionBy(*keys, "kind").orderBy("date")
+    days = days.withColumn("kind", F.when(~c("traded"), "skip").when(c("ret") > 0, "win").otherwise("loss")).withColumn("island", F.row_number().over(w) - F.row_number().over(v))
+    runs = days.groupBy(*keys, "kind", "island").agg(F.count("*").alias("n")).groupBy(*keys).agg(*[F.coalesce(F.max(F.when(c("kind") == k, c("n"))), F.lit(0)).alias(f"longest_{k}") for k in ("loss", "skip")])
+    t = lambda x: F.when(c("traded"), x)
+    out = days.groupBy(*keys).agg(
+        F.avg("nl").alias("long_count"), F.avg("ns").alias("short_count"), F.avg(t(c("ret"))).alias("traded_mean"), F.avg(F.when(c("traded"), c("ret")).otherwise(0.0)).alias("all_mean"), F.avg(t((c("ret") > 0).cast("double"))).alias("win_rate"),
+        (F.product(1 + F.when(c("traded"), c("ret")).otherwise(0.0)) - 1).alias("compound"), F.avg(t(F.coalesce("lr", F.lit(0.0)))).alias("long_mean"), F.avg(t(-F.coalesce("sr", F.lit(0.0)))).alias("short_mean"),
+    )
+    return out.join(runs, keys)
+
+
+def worst_days(features: DataFrame, days: DataFrame, value: str, names: tuple[str, ...], shares: tuple[float, ...] = (0.2, 0.1)) -> DataFrame:
+    """Means of features over the dates whose value is in the worst share, and over all (share 1)."""
+    rows = features.join(days.select(*KEY, value), KEY).withColumn("at", F.percent_rank().over(Window.partitionBy("universe_id").orderBy(value, "date")))
+    each = F.explode(F.array(*map(F.lit, (1.0, *shares))))
+    rows = rows.select("*", each.alias("share")).where(c("at") <= c("share"))
+    return rows.groupBy("universe_id", "share").agg(F.count("*").alias("n"), F.avg(value).alias("value_mean"), *[F.avg(x).alias(x) for x in names])
+
+
+def best_scenarios(returns: DataFrame) -> DataFrame:
+    """The scenario that earned most on each tradeable date, ties by name."""
+    order = Window.partitionBy(*KEY).orderBy(F.desc("gross"), "scenario_id")
+    return returns.where("tradeable").withColumn("r", F.row_number().over(order)).where("r = 1").select(*KEY, "scenario_id", "gross")
+
+
 def quintile_map(features: DataFrame, days: DataFrame, feature: str, value: str, n: int = 5) -> DataFrame:
     """Mean of a daily value by quantile group of a feature (ties by date)."""
     w = Window.partitionBy("universe_id").orderBy(feature, "date")
@@ -92,6 +177,43 @@ def spearman(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return rows.select(*keys, a, b).na.drop().withColumns({"ra": rank(a), "rb": rank(b)}).groupBy(*keys).agg(F.corr("ra", "rb").alias("rho"), F.count("*").alias("n"))
 
 
+def correlation_p(rows: DataFrame, steps: int = 2000) -> DataFrame:
+    """Adds t and the two-sided p of a correlation ``rho`` of ``n`` rows: t has n - 2 degrees of freedom.
+
+    With t = sqrt(v) tan(x), the share of t's distribution between -t and t is a ratio of integrals of cos(x)^(v - 1), which
+    Simpson's rule gives; null with fewer than three rows.
+    """
+    v = c("n") - 2
+    t = c("rho") * F.sqrt(v / (1 - c("rho") * c("rho")))
+    end = F.when(F.abs("rho") >= 1, F.lit(1.5707963267948966)).otherwise(F.atan(F.abs(t) / F.sqrt(v)))
+
+    def area(upper: Column) -> Column:
+        height = lambda i: F.pow(F.cos(upper * i / steps), v - 1) * F.when((i == 0) | (i == steps), 1).when(i % 2 == 1, 4).otherwise(2)
+        return upper * F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), lambda s, i: s + height(i))
+
+    p = F.when(v >= 1, F.greatest(F.lit(0.0), 1 - area(end) / area(F.lit(1.5707963267948966))))
+    return rows.withColumns({"t": F.when((v >= 1) & (F.abs("rho") < 1), t), "p": p})
+
+
+#: The columns of the factor models.
+MODELS = {"ff3": ("mkt_rf", "smb", "hml"), "carhart4": ("mkt_rf", "smb", "hml", "mom")}
+
+
+def excess(rows: DataFrame, value: str, rate: str = "rf") -> DataFrame:
+    """``value`` less the risk-free rate of the date."""
+    return rows.withColumn(value, c(value) - F.coalesce(c(rate), F.lit(0.0)) if rate in rows.columns else c(value))
+
+
+def factor_models(returns: DataFrame, factors: DataFrame, value: str, keys: tuple[str, ...] = ("universe_id",)) -> DataFrame | None:
+    """Regressions of each model whose columns the factors have, on the dates that both have; None if there is none."""
+    rows, out = returns.join(factors, "date"), None
+    for model, xs in MODELS.items():
+        if all(x in factors.columns for x in xs):
+            part = ols(rows, list(keys), value, list(xs)).withColumn("model", F.lit(model))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def ols(rows: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:
     """Least squares with intercept: coefficients, t values, R squared and n for each key.
 
@@ -127,11 +249,17 @@ def ols(rows: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:
     return sums.mapInArrow(solve, kind)
 
 
-def readiness(rows: DataFrame, y: str, xs: list[str], least: int = 60) -> DataFrame:
-    """Whether a regression can be run, and the first reason why not."""
-    missing = [x for x in xs if x not in rows.columns]
+def readiness(returns: DataFrame | None, factors: DataFrame | None, value: str, least: int = 60) -> DataFrame:
+    """Whether a regression on three factors can be run, and the first reason why not; n and the range of the dates."""
+    spark = (returns if returns is not None else factors).sparkSession if (returns is not None or factors is not None) else SparkSession.getActiveSession()
+    said = lambda reason: spark.createDataFrame([(0, reason, False)], "n long, reason string, ready boolean").withColumns({"start": F.lit(None).cast("date"), "end": F.lit(None).cast("date")})
+    if factors is None or factors.isEmpty():
+        return said("factor_data_unavailable")
+    missing = sorted(x.upper() for x in MODELS["ff3"] if x not in factors.columns)
     if missing:
-        return rows.sparkSession.createDataFrame([(0, "missing_columns:" + ",".join(missing), False)], "n long, reason string, ready boolean")
-    n = rows.select(y, *xs).na.drop().agg(F.count("*").alias("n"))
-    reason = F.when(c("n") < least, "insufficient_observations")
-    return n.select("n", reason.alias("reason"), reason.isNull().alias("ready"))
+        return said("missing_columns:" + ",".join(missing))
+    if returns is None or returns.isEmpty():
+        return said("returns_unavailable")
+    n = returns.join(factors, "date").select("date", value, *MODELS["ff3"]).na.drop().agg(F.count("*").alias("n"), F.min("date").alias("start"), F.max("date").alias("end"))
+    few = c("n") < least
+    return n.select("n", F.when(few, F.concat(F.lit("insufficient_observations:"), c("n"))).otherwise("ok").alias("reason"), (~few).alias("ready"), F.when(~few, c("start")).alias("start"), F.when(~few, c("end")).alias("end"))

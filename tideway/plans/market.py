@@ -11,33 +11,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rules import RULES, rolling_selector
-from ..operators import performance, portfolio, regime, returns, scenarios, selection, signals, store, studies
-from ..sources import market
-from .sql import LENGTH, statement
+from ..operators import daily, performance, portfolio, regime, returns, scenarios, selection, signals, status, store, studies
+from ..operators.work import Saved
+from ..sources import documents, market
+from .sql import LENGTH, for_universes, scenario_chain, statement
 
 c = F.col
 DIGITS = 7
 PERIODS = {"full_period": None, "trailing_5y": 60, "trailing_3y": 36, "trailing_2y": 24, "trailing_1y": 12}
 LIMITS = {"min_long": 0.02, "max_short": -0.02}
+REQUIRED = "2001-11-01"
+RANKS = {"full_period": 4.0, "trailing_5y": 3.0, "trailing_3y": 2.0, "trailing_2y": 1.5, "trailing_1y": 0.5}
+K = ["universe_id", "date"]
 
 
 class Market:
-    """The intermediate tables that queries share; each is lazy, and built only if a query asks for it."""
+    """The intermediate tables that queries share; each is built only if a query asks for it.
+
+    The panel and the returns, a few rows per ticker and period, are written once to the shared folder where several
+    tables are made of them, so that the order lines are read once; so are other tables that are read several times.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, by: str | None = None):
+        self.spark, self.sf_dir, self.by, self.save = spark, sf_dir, by, Saved(spark, "market")
 
     @cached_property
     def panel(self):
-        return market.order_panel(self.spark, self.sf_dir)
+        return market.order_panel(self.spark, self.sf_dir, by=self.by)
+
+    @cached_property
+    def saved_panel(self):
+        return self.save(self.panel, "panel")
 
     @cached_property
     def rets(self):
-        return returns.returns(market.dense(self.panel))
+        return self.save(returns.returns(market.dense(self.saved_panel)), "returns")
 
     @cached_property
     def joint(self):
-        return returns.joint(self.rets)
+        return self.save(returns.joint(self.rets), "joint")
+
+    @cached_property
+    def names(self):
+        return self.saved_panel.select("universe_id", "ticker", "ord", "side", "cyc").distinct()
 
     @cached_property
     def signal(self):
@@ -45,11 +61,10 @@ class Market:
 
     @cached_property
     def subspace(self):
-        return self.eigen()
+        return self.save(self.eigen(), "subspace")
 
     def eigen(self, lam: float = 0.9, matrix: bool = False):
-        names = self.panel.select("universe_id", "ticker", "ord", "side", "cyc").distinct()
-        return signals.subspace_signals(self.joint, names, LENGTH, lam=lam, matrix=matrix)
+        return signals.subspace_signals(self.joint, self.names, LENGTH, lam=lam, matrix=matrix)
 
     @cached_property
     def regime(self):
@@ -95,7 +110,7 @@ class Market:
 
     @cached_property
     def scenarios(self):
-        return scenarios.scenario_returns(self.signal, self.rets, **LIMITS)
+        return self.save(scenarios.scenario_returns(self.signal, self.rets, **LIMITS), "scenarios")
 
     @cached_property
     def bounds(self):
@@ -103,7 +118,7 @@ class Market:
 
     @cached_property
     def period_days(self):
-        return scenarios.period_days(self.scenarios, self.bounds)
+        return self.save(scenarios.period_days(self.scenarios, self.bounds), "period-days")
 
     @cached_property
     def summary(self):
@@ -113,6 +128,57 @@ class Market:
     def lead_features(self):
         return studies.lead_features(self.rets)
 
+    @cached_property
+    def strength(self):
+        return scenarios.signal_features(self.signal, **LIMITS)
+
+    @cached_property
+    def wanted(self):
+        """The tickers that are tracked: all brands up to 26, one more than there are."""
+        n = self.spark.range(1, 27).select(c("id").cast("int").alias("ord"))
+        ids = self.saved_panel.select("universe_id").distinct()
+        return ids.crossJoin(n).select("universe_id", F.concat(F.lit("Brand#"), "ord").alias("ticker"), "ord", F.when(c("ord") <= market.LAST_LEAD, "lead").otherwise("lag").alias("side"))
+
+    def cache(self, required: str = REQUIRED, last: int = 25):
+        return status.summary(self.saved_panel, self.wanted.where(c("ord") <= last), F.lit(required).cast("date"))
+
+    @cached_property
+    def flags(self):
+        """What a verdict and the tradeability need to know about the data, one row per universe."""
+        fresh = status.freshness(self.cache()).select("universe_id", "freshness_ok", (F.size("stale") + F.size("missing") > 0).alias("stale"))
+        quality = returns.joint_quality(self.rets).select("universe_id", "usable_lead", "usable_lag")
+        return self.cache().select("universe_id", c("aligned").alias("dates_aligned"), "signal_ready").join(fresh, "universe_id").join(quality, "universe_id", "left")
+
+    @cached_property
+    def sectors(self):
+        return self.spark.range(1, 21).select(F.concat(F.lit("Brand#"), "id").alias("ticker"), F.concat(F.lit("Sector "), c("id") % 5).alias("sector"))
+
+    @cached_property
+    def plan(self):
+        return daily.plan(daily.named(self.positions, self.sectors), self.saved_panel)
+
+    @cached_property
+    def traded(self):
+        """Tradeability of each date by its candidates and the data, with what the active rule says about it."""
+        stats = self.stats.join(self.flags, "universe_id").join(store.next_session(self.saved_panel), K, "left").join(regime.warnings(self.regime), K)
+        stats = stats.withColumn("no_trade", selection.no_trade_class(c("adopted_long"), c("adopted_short"), c("long_gap_max"), c("short_gap_max"), c("regime_warning")))
+        rows = selection.tradeability(stats, c("freshness_ok"), c("dates_aligned"), c("usable_lead"), c("usable_lag"), c("next_lag_date"), F.lit("jpx_calendar"), least_spread=0.08, least_long=2, least_short=2)
+        shadow = daily.shadow_decisions(self.decisions, "rule_406_no_flip").drop("shadow")
+        return daily.skip_override(rows.join(shadow, K, "left"))
+
+    @cached_property
+    def factors(self):
+        """Factor columns for the regressions, made of the lead features (fractions by date)."""
+        rows = self.lead_features.select("universe_id", "date", c("mean").alias("mkt_rf"), c("spread").alias("smb"), c("sd").alias("hml"), c("breadth").alias("mom"), (c("abs_mean") / 100).alias("rf"))
+        return rows.where("universe_id = 'all'").drop("universe_id")
+
+    @cached_property
+    def actions(self):
+        """Dividends of the tickers in March and September and splits where an open halves or doubles a close."""
+        month = F.month("date")
+        wide = self.saved_panel.select("universe_id", "ticker", "date", F.when(month.isin(3, 9), c("close") / 100).alias("dividend"), F.when((month == 6) & (c("open") > c("close") * 1.05), 2.0).alias("split"))
+        return store.corporate_actions(wide, "orders")
+
 
 @dataclass
 class Query:
@@ -120,24 +186,23 @@ class Query:
     sql: str | None = None
     doubles: tuple[str, ...] = ()
     dates: tuple[str, ...] = ("date",)
+    by: str | None = None  # the column of the universes, if there are several
 
 
 def presented(df: DataFrame) -> DataFrame:
-    """Doubles rounded, so that the order of a sum does not show, and dates as text."""
+    """Doubles rounded to seven places, large ones to ten digits, so that the order of a sum does not show; dates as text."""
     out = []
     for f in df.schema.fields:
         x: Column = c(f.name)
         if isinstance(f.dataType, T.DoubleType):
-            x = F.round(x, DIGITS) + F.lit(0.0)
+            unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - 9)
+            x = F.when(F.abs(x) >= 1e6, F.round(x / unit) * unit).otherwise(F.round(x, DIGITS)) + F.lit(0.0)
         elif isinstance(f.dataType, T.DateType):
             x = x.cast("string")
         out.append(x.alias(f.name))
     return df.select(*out)
 
 
-K = ["universe_id", "date"]
-
-
 def _one_return(name: str, side: str = "lag") -> Query:
     return Query(lambda m: m.rets.where((c("side") == side) & c(name).isNotNull()).select(*K, "ticker", name), f"SELECT universe_id, date, ticker, {name} FROM rets WHERE side = '{side}' AND {name} IS NOT NULL", (name,))
 
@@ -168,7 +233,7 @@ STATS_D = ("signal_max", "signal_min", "signal_p25", "signal_p50", "signal_p75",
 AGG_D = ("gross_avg_pct", "gross_cumulative_pct", "net_avg_pct", "net_cumulative_pct", "win_rate", "long_sum_pct", "short_sum_pct", "mdd_pct")
 SUM_D = ("gross_avg_pct", "gross_cumulative_pct", "net_pre_tax_avg_pct", "net_pre_tax_cumulative_pct", "net_avg_pct", "net_cumulative_pct", "median_pct", "win_rate", "long_avg_pct", "short_avg_pct", "mdd_pct")
 DELTAS = ("gross_avg_pct", "gross_cumulative_pct", "net_avg_pct", "net_cumulative_pct", "win_rate", "mdd_pct", "long_avg_pct", "short_avg_pct")
-LEAD_D = ("mean", "median", "iqr", "breadth", "top3", "bottom3", "sd", "range", "abs_mean", "cyclical", "defensive", "spread", "kurt")
+LEAD_D = ("mean", "median", "iqr", "breadth", "breadth_down", "top3", "bottom3", "top_bottom_spread", "sd", "range", "abs_mean", "skew", "kurt", "cyclical", "defensive", "financial", "energy", "growth", "consumer", "spread", "growth_vs_def", "energy_vs_rest", "financial_vs_rest", "top1_share", "top3_share", "bottom1_share", "narrowness")
 
 
 def _aggregate_sql(by: str, name: str) -> str:
@@ -185,39 +250,115 @@ def _upsert(m: Market) -> DataFrame:
 
 
 def _verdict(m: Market) -> DataFrame:
-    p = m.performance()
     value = lambda s, x, n: F.round(F.max(F.when(c("set_name") == s, c(x))), n)
-    metrics = p.groupBy("universe_id").agg(
+    metrics = m.performance().groupBy("universe_id").agg(
         value("gross", "ar", 2).alias("gross_ar"), value("net_pre_tax", "ar", 2).alias("net_pre_tax_ar"), value("net_after_tax", "ar", 2).alias("net_after_tax_ar"), value("net_after_tax", "rr", 3).alias("net_after_tax_rr"), value("net_after_tax", "mdd", 2).alias("net_after_tax_mdd"),
     )
-    flags = {"freshness_ok": True, "cache_isolated": True, "dates_aligned": True, "signal_ready": True, "strict_fill": True, "stale": False, "usable_lead": 11, "usable_lag": 14}
-    return performance.verdict(metrics.withColumns({k: F.lit(v) for k, v in flags.items()})).drop(*flags)
+    flags = m.flags.withColumns({"cache_isolated": F.lit(True), "strict_fill": F.lit(True)})  # one price mode, the policy of the joint matrix
+    return performance.verdict(metrics.join(flags, "universe_id", "left"))
 
 
+SCORES = ("profitability", "stability", "cost_resilience", "executability", "data_reliability", "overall_score")
 VERDICT_SQL = """
-SELECT *, CASE WHEN ar < -5 THEN 'reject' WHEN overall_score >= 80 AND NOT critical THEN 'pass' WHEN overall_score >= 75 AND warns <= 1 AND NOT critical THEN 'pass' WHEN overall_score >= 60 THEN 'hold' ELSE 'reject' END AS overall_decision
-FROM (SELECT *, profitability + stability + cost_resilience + executability + data_reliability AS overall_score, cost > 3 AND tax > 5 AS critical, (ar < 3)::INT + (rr < 0.3)::INT + (mdd < -25)::INT + (cost > 3)::INT + (tax > 5)::INT AS warns FROM (
+SELECT universe_id, profitability::INT AS profitability, stability::INT AS stability, cost_resilience::INT AS cost_resilience, executability::INT AS executability, data_reliability::INT AS data_reliability, overall_score::INT AS overall_score,
+  CASE WHEN rejects > 0 THEN 'reject' WHEN overall_score >= 80 AND NOT critical THEN 'pass' WHEN overall_score >= 75 AND warns <= 1 AND NOT critical THEN 'pass' WHEN overall_score >= 60 THEN 'hold' ELSE 'reject' END AS overall_decision, reasons
+FROM (SELECT *, profitability + stability + cost_resilience + executability + data_reliability AS overall_score, cost > 3 AND tax > 5 AS critical, (ar < 3)::INT + (rr < 0.3)::INT + (mdd < -25)::INT + (cost > 3)::INT + (tax > 5)::INT + (NOT ready)::INT + (NOT aligned)::INT AS warns,
+    (NOT fresh)::INT + (lead_n < 8)::INT + (lag_n < 12)::INT + (ar < -5)::INT AS rejects, concat_ws('|', CASE WHEN NOT fresh THEN 'DATA_FRESHNESS_FAILED:reject' END, CASE WHEN lead_n < 8 THEN 'TOO_FEW_US_TICKERS:reject' END, CASE WHEN lag_n < 12 THEN 'TOO_FEW_JP_TICKERS:reject' END,
+      CASE WHEN ar < -5 THEN 'SEVERELY_NEGATIVE_AFTER_TAX_RETURN:reject' END, CASE WHEN ar < 3 THEN 'LOW_AFTER_TAX_RETURN:warn' END, CASE WHEN rr < 0.3 THEN 'LOW_AFTER_TAX_RR:warn' END, CASE WHEN mdd < -25 THEN 'DEEP_AFTER_TAX_DRAWDOWN:warn' END, CASE WHEN cost > 3 THEN 'HIGH_COST_DRAG:warn' END,
+      CASE WHEN tax > 5 THEN 'HIGH_TAX_DRAG:warn' END, CASE WHEN NOT ready THEN 'DAILY_SIGNAL_NOT_READY:warn' END, CASE WHEN NOT aligned THEN 'CACHE_DATES_NOT_ALIGNED:warn' END) AS reasons FROM (
   SELECT *, greatest(0, CASE WHEN ar >= 10 THEN 30 WHEN ar >= 8 THEN 28 WHEN ar >= 6 THEN 24 WHEN ar >= 4 THEN 20 WHEN ar >= 3 THEN 18 WHEN ar >= 1 THEN 12 WHEN ar >= 0 THEN 8 ELSE 0 END - CASE WHEN rr < 0 THEN 8 WHEN rr < 0.15 THEN 6 WHEN rr < 0.3 THEN 4 ELSE 0 END) AS profitability,
     greatest(0, CASE WHEN mdd >= -10 THEN 25 WHEN mdd >= -12.5 THEN 22 WHEN mdd >= -15 THEN 20 WHEN mdd >= -17.5 THEN 18 WHEN mdd >= -20 THEN 16 WHEN mdd >= -22.5 THEN 13 WHEN mdd >= -25 THEN 10 ELSE 0 END - CASE WHEN rr < 0.15 THEN 3 WHEN rr < 0.3 THEN 2 ELSE 0 END) AS stability,
-    CASE WHEN cost < 1 THEN 12 WHEN cost < 2 THEN 9 WHEN cost < 3 THEN 6 WHEN cost < 4 THEN 3 ELSE 0 END + CASE WHEN tax < 1 THEN 8 WHEN tax < 2.5 THEN 6 WHEN tax < 5 THEN 3 ELSE 0 END AS cost_resilience, 10 AS executability, 15 AS data_reliability
+    CASE WHEN cost < 1 THEN 12 WHEN cost < 2 THEN 9 WHEN cost < 3 THEN 6 WHEN cost < 4 THEN 3 ELSE 0 END + CASE WHEN tax < 1 THEN 8 WHEN tax < 2.5 THEN 6 WHEN tax < 5 THEN 3 ELSE 0 END AS cost_resilience,
+    10 - CASE WHEN ready THEN 0 ELSE 5 END - CASE WHEN lead_n < 8 OR lag_n < 12 THEN 5 ELSE 0 END AS executability, 15 - CASE WHEN fresh THEN 0 ELSE 6 END - CASE WHEN aligned THEN 0 ELSE 2 END - CASE WHEN behind THEN 2 ELSE 0 END AS data_reliability
   FROM (SELECT *, g - p AS cost, p - ar AS tax FROM (
-    SELECT universe_id, max(round(ar, 2)) FILTER (set_name = 'gross') AS g, max(round(ar, 2)) FILTER (set_name = 'net_pre_tax') AS p, max(round(ar, 2)) FILTER (set_name = 'net_after_tax') AS ar, max(round(rr, 3)) FILTER (set_name = 'net_after_tax') AS rr, max(round(mdd, 2)) FILTER (set_name = 'net_after_tax') AS mdd FROM perf GROUP BY ALL))))
+    SELECT universe_id, max(round(ar, 2)) FILTER (set_name = 'gross') AS g, max(round(ar, 2)) FILTER (set_name = 'net_pre_tax') AS p, max(round(ar, 2)) FILTER (set_name = 'net_after_tax') AS ar, max(round(rr, 3)) FILTER (set_name = 'net_after_tax') AS rr, max(round(mdd, 2)) FILTER (set_name = 'net_after_tax') AS mdd FROM perf GROUP BY ALL)
+    JOIN flags USING (universe_id))))
 """
 
 
+#: The universes of the queries on several: order lines by return flag.
+UNIVERSES = ("A", "N", "R")
+GRID_Q, GRID_BPS = (0.15, 0.2, 0.25, 0.3), (1.0, 3.0, 5.0)
+
+
 def _grid(m: Market) -> DataFrame:
-    """Portfolio performance for a grid of quantiles and costs: parameters multiply the rows and are part of every key."""
+    """Portfolio performance for a grid of quantiles, slippage and shorts: parameters multiply the rows and are part of
+    every key; the bounds of all quantiles come from one window."""
+    rows = m.signal.join(m.rets.where("next_oc is not null").select(*K, "ticker", "next_oc"), [*K, "ticker"])
+    w = Window.partitionBy(*K)
+    rows = rows.withColumns({"n": F.count("*").over(w), "p": F.percentile("signal", F.array(*[F.lit(x) for q in GRID_Q for x in (q, 1 - q)])).over(w)}).where("n >= 3")
+    each = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), c("p")[2 * i].alias("lo"), c("p")[2 * i + 1].alias("hi")) for i, q in enumerate(GRID_Q)]))
+    rows = rows.select(*K, "signal", "next_oc", each.alias("g")).select(*K, "signal", "next_oc", "g.*")
+    rows = rows.withColumns({"long": (c("signal") >= c("hi")) & (c("signal") >= 0), "short": (c("signal") <= c("lo")) & (c("signal") <= 0)})
+    costs = F.explode(F.array(*[F.struct(F.lit(b).alias("slippage_bps"), F.lit(a).alias("allow_short")) for b in GRID_BPS for a in (True, False)]))
+    days = rows.groupBy(*K, "q").agg(F.avg(F.when(c("long"), c("next_oc"))).alias("l"), F.avg(F.when(c("short"), c("next_oc"))).alias("s"), F.max("long").alias("has_long"), F.max("short").alias("has_short")).where("has_long")
+    days = days.select("*", costs.alias("g")).select("universe_id", "date", "q", "l", "s", "has_short", "g.*")
+    ns = (c("has_short") & c("allow_short")).cast("double")
+    ret = c("l") - F.when(c("allow_short"), F.coalesce("s", F.lit(0.0))).otherwise(0.0) - (5.0 + c("slippage_bps")) / 1e4 * 2 * (1 + ns) - 0.015 / 252 * ns
+    return performance.performance(days.withColumn("ret", ret), ["universe_id", "q", "slippage_bps", "allow_short"], 12)
+
+
+def _lambda_grid(m: Market) -> DataFrame:
+    """Performance of the subspace signal for several weights of the prior."""
+    out = None
+    for lam in (0.7, 0.8, 0.9):  # at 1 the signals of tickers with one label are equal
+        days = portfolio.portfolio(m.save(m.eigen(lam), f"lambda-{lam}"), m.rets).select(*K, F.lit(lam).alias("lambda"), c("net_pre_tax_return").alias("ret"))
+        out = days if out is None else out.unionByName(days)
+    return performance.performance(out, ["universe_id", "lambda"], 12)
+
+
+def _windows(m: Market) -> DataFrame:
+    """Performance of the momentum signal for several lengths of its window."""
     out = None
-    for q in (0.15, 0.2, 0.25, 0.3):
-        for bps in (1.0, 3.0, 5.0):
-            days = portfolio.portfolio(m.signal, m.rets, q, portfolio.Costs(slippage_bps=bps)).select("universe_id", "date", F.lit(q).alias("q"), F.lit(bps).alias("slippage_bps"), c("net_pre_tax_return").alias("ret"))
-            out = days if out is None else out.unionByName(days)
-    return performance.performance(out, ["universe_id", "q", "slippage_bps"], 12)
+    for length in WINDOWS:
+        days = portfolio.portfolio(signals.momentum(m.rets, length), m.rets).select(*K, F.lit(length).alias("length"), c("gross_return").alias("ret"))
+        out = days if out is None else out.unionByName(days)
+    return performance.performance(out, ["universe_id", "length"], 12)
+
+
+WINDOWS = (6, 12, 18)
+
+
+def _adaptive(m: Market) -> DataFrame:
+    return selection.positions(m.masks.join(m.regime.select(*K, "vol_regime"), K), *selection.thresholds(c("vol_regime"), 0.02, -0.02, True))
+
+
+def _checks(m: Market) -> DataFrame:
+    fresh = status.freshness(m.cache()).select("universe_id", "freshness_ok", "latest_lead", "latest_lag")
+    quality = returns.joint_quality(m.rets).select("universe_id", "filled_cells")
+    rows = m.stats.join(m.regime.select(*K, "trend_regime", "vol_regime"), K).join(regime.warnings(m.regime), K).join(fresh, "universe_id").join(quality, "universe_id")
+    rows = rows.withColumns({"fill_policy": F.lit("strict"), "price_mode": F.lit("raw"), "n_long": c("adopted_long"), "n_short": c("adopted_short"), "min_long": F.lit("0.0"), "max_short": F.lit("0.0")})
+    return daily.execution_checks(rows)
+
+
+def _log(m: Market) -> DataFrame:
+    """Log rows of all dates; what the log writes is the classification before the rule."""
+    rows = m.traded.drop("no_trade").join(daily.tickers(m.plan), K, "left").join(m.regime.select(*K, "trend_regime", "vol_regime", "rotation_regime"), K)
+    cls = selection.no_trade_class(c("adopted_long"), c("adopted_short"), c("long_gap_max"), c("short_gap_max"), c("regime_warning"))
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({
+        "signal_reference_us_date": c("date").cast("string"), "execution_target_jp_date": c("next_lag_date").cast("string"), "execution_target_jp_date_source": F.lit("jpx_calendar"), "operation_mode": F.lit("production"), "trade_signal_strength": F.round("trade_strength", 6), "trade_block_reason": c("block_reason"),
+        "min_signal_spread_used": F.lit(0.08), "min_long_signal_used": F.lit(0.0), "max_short_signal_used": F.lit(0.0), "min_adopted_long_count_used": F.lit(2), "min_adopted_short_count_used": F.lit(2), "candidate_long_count": c("candidate_long"), "candidate_short_count": c("candidate_short"),
+        "adopted_long_count": c("adopted_long"), "adopted_short_count": c("adopted_short"), "latest_dates_aligned": c("dates_aligned"), "usable_us_tickers": c("usable_lead"), "usable_jp_tickers": c("usable_lag"), "candidate_signal_strength": F.round("candidate_strength", 6), "no_trade_classification": cls,
+        "threshold_gap_long_max": c("long_gap_max"), "threshold_gap_short_max": c("short_gap_max"), "long_tickers": F.coalesce("long_tickers", none), "short_tickers": F.coalesce("short_tickers", none), "regime_warning_reason": F.split("reasons", "[|]"),
+    })
+    return daily.log_rows(rows, F.lit("1970-01-01T00:00:00+00:00"))
+
+
+def _history(m: Market) -> DataFrame:
+    rows = m.traded.select(*K, c("date").cast("string").alias("signal_date"), c("next_lag_date").cast("string").alias("exec_date"), "tradeable").join(daily.tickers(m.plan), K, "left")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({x: F.coalesce(x, none) for x in ("long_tickers", "short_tickers")})
+    return daily.history(rows).select(*K, "dedupe_key")
 
 
-def _market_beta(m: Market, xs: list[str]) -> DataFrame:
-    days = m.portfolio.select(*K, "gross_return").join(m.lead_features.select(*K, "mean", "spread", "sd"), K)
-    return studies.ols(days, ["universe_id"], "gross_return", xs)
+def _readiness(m: Market) -> DataFrame:
+    """Roll-up for each universe: are factors, regression, adjusted prices and a report there?"""
+    ready = studies.readiness(m.portfolio.where("universe_id = 'all'").select("date", "gross_return"), m.factors, "gross_return")
+    checked = status.verification(m.actions, m.wanted.where("ord <= 25").groupBy("universe_id").agg(F.count("*").alias("tickers")), F.lit("1995-01-01").cast("date"), F.lit("2001-09-01").cast("date"))
+    rows = checked.select("universe_id", c("verified").alias("adjusted_verification_ready"), "reason_code").crossJoin(ready.select(c("ready").alias("factor_regression_ready"), c("reason").alias("regression_reason"), c("n").alias("n_obs")))
+    rows = rows.withColumns({"factor_data_ready": F.lit(True), "report_available": F.lit(False)}).join(m.cache().select("universe_id", "signal_ready"), "universe_id")
+    return status.roll_up(rows)
 
 
 QUERIES: dict[str, Query] = {
@@ -258,9 +399,6 @@ QUERIES: dict[str, Query] = {
     "no_trade_class": Query(lambda m: m.stats.join(regime.warnings(m.regime), K).select(*K, selection.no_trade_class(c("adopted_long"), c("adopted_short"), c("long_gap_max"), c("short_gap_max"), c("regime_warning")).alias("no_trade")), """
       SELECT universe_id, date, CASE WHEN adopted_long >= 1 AND adopted_short >= 1 THEN NULL WHEN adopted_long >= 1 OR adopted_short >= 1 THEN 'one_side_only' WHEN (trend_regime = 'downtrend' OR vol_regime = 'high_vol') AND nl AND ns THEN 'regime_blocked' WHEN nl OR ns THEN 'near_miss_threshold' ELSE 'hard_no_signal' END AS no_trade
       FROM (SELECT *, coalesce(long_gap_max > -0.03, false) AS nl, coalesce(short_gap_max > -0.03, false) AS ns FROM stats JOIN regime USING (universe_id, date))"""),
-    "tradeability": Query(lambda m: selection.tradeability(m.stats, F.lit(True), F.lit(True), F.lit(11), F.lit(14), c("date"), F.lit("jpx_calendar"), least_spread=0.08, least_long=2, least_short=2).select(*K, "trade_strength", "block_reason", "tradeable", "calendar_warning"), """
-      SELECT *, block_reason IS NULL AS tradeable, false AS calendar_warning FROM (SELECT universe_id, date, trade_strength, CASE WHEN candidate_long > 0 AND adopted_long = 0 THEN 'no_long_candidates_after_threshold' WHEN candidate_short > 0 AND adopted_short = 0 THEN 'no_short_candidates_after_threshold'
-      WHEN adopted_long = 0 OR adopted_short = 0 THEN 'too_few_usable_tickers' WHEN adopted_long < 2 OR adopted_short < 2 THEN 'insufficient_positions_after_threshold' WHEN trade_strength < 0.08 THEN 'signal_spread_too_small' END AS block_reason FROM stats)""", ("trade_strength",)),
     "strategy_context": Query(lambda m: m.contexts[1].drop("candidate_signal_strength"), "SELECT * EXCLUDE (candidate_signal_strength) FROM context", ("open_gap", "long_gap", "short_gap")),
     **{r: _rule(r) for r in RULES},
     "rule_rolling3": Query(lambda m: m.contexts[1].select(*K, rolling_selector({1997: "rule_13", 1999: "rule_87", 2000: "none"}, F.year("date")).alias("strategy")), """
@@ -280,7 +418,6 @@ QUERIES: dict[str, Query] = {
     "tax_daily_positive": Query(lambda m: performance.after_tax(m.portfolio.select(*K, c("net_pre_tax_return").alias("ret")), ["universe_id"], "daily_positive_only"), "SELECT universe_id, date, ret, greatest(ret, 0) * 0.20315 AS tax_paid, ret - greatest(ret, 0) * 0.20315 AS net_after_tax FROM net", ("ret", "tax_paid", "net_after_tax")),
     "tax_annual_net": Query(lambda m: performance.after_tax(m.portfolio.select(*K, c("net_pre_tax_return").alias("ret")), ["universe_id"]), "SELECT * FROM taxed", ("ret", "tax_paid", "net_after_tax")),
     "tax_yearly_pnl": Query(lambda m: performance.yearly_tax(m.portfolio.select(*K, c("net_pre_tax_return").alias("ret")), ["universe_id"]).select("universe_id", "year", c("pnl").alias("pre_tax"), c("tax").alias("tax_paid"), (c("pnl") - c("tax")).alias("after_tax")), "SELECT universe_id, year::INT AS year, pnl AS pre_tax, tax AS tax_paid, pnl - tax AS after_tax FROM fold", ("pre_tax", "tax_paid", "after_tax"), ()),
-    "judge_scores": Query(lambda m: _verdict(m).select("universe_id", "profitability", "stability", "cost_resilience", "executability", "data_reliability", "overall_score", "overall_decision"), f"SELECT universe_id, profitability::INT AS profitability, stability::INT AS stability, cost_resilience::INT AS cost_resilience, executability::INT AS executability, data_reliability::INT AS data_reliability, overall_score::INT AS overall_score, overall_decision FROM ({VERDICT_SQL})", (), ()),
     "scenario_returns": Query(lambda m: m.scenarios.where("tradeable").drop("skip_reason"), "SELECT * EXCLUDE (skip_reason) FROM sc WHERE tradeable", ("gross", "long_contrib", "short_contrib")),
     "scenario_skip_reasons": Query(lambda m: m.scenarios.where("not tradeable").select(*K, "scenario_id", "skip_reason", "cand_long", "cand_short"), "SELECT universe_id, date, scenario_id, skip_reason, cand_long, cand_short FROM sc WHERE NOT tradeable"),
     "period_bounds": Query(lambda m: m.bounds, "SELECT * FROM bounds", (), ("start_date", "end_date")),
@@ -295,15 +432,9 @@ QUERIES: dict[str, Query] = {
     "period_summary": Query(lambda m: m.summary, "SELECT * FROM summary", SUM_D, ("start_date", "end_date")),
     "baseline_delta": Query(lambda m: scenarios.baseline_deltas(m.summary), f"SELECT s.universe_id, s.period_label, s.scenario_id, {', '.join(f's.{x} - b.{x} AS delta_{x}' for x in DELTAS)} FROM summary s JOIN summary b ON b.period_label = s.period_label AND b.scenario_id = 'S01_CurrOC'", tuple(f"delta_{x}" for x in DELTAS), ()),
     "max_consecutive": Query(lambda m: performance.longest_runs(m.period_days.select("universe_id", "period_label", "scenario_id", "date", c("gross_pct").alias("ret")), ["universe_id", "period_label", "scenario_id"]), "SELECT * FROM pd_runs", (), ()),
-    "lots_plan": Query(lambda m: store.lots(m.positions, m.panel.select(*K, "ticker", "close")), """
-      SELECT universe_id, date, ticker, position, greatest(1, round_even(max(close) OVER (PARTITION BY date) / close, 0)::INT) AS lots, round_even(greatest(1, round_even(max(close) OVER (PARTITION BY date) / close, 0)::INT) * close * 10, 0)::BIGINT AS purchase, round(100.0::DOUBLE / count(*) OVER (PARTITION BY date, position), 1) AS weight_pct
-      FROM positions JOIN panel USING (universe_id, date, ticker) WHERE position <> 'neutral'""", ("weight_pct",)),
-    "order_documents": Query(lambda m: store.order_document(store.lots(m.positions, m.panel.select(*K, "ticker", "close")))),
     "cache_freshness": Query(lambda m: store.freshness(m.panel, F.lit("2001-11-01").cast("date")), "SELECT universe_id, ticker, max(date) AS last_date, max(date) < DATE '2001-11-01' AS stale FROM panel WHERE close IS NOT NULL GROUP BY ALL", (), ("last_date",)),
     "cache_sides": Query(lambda m: store.side_summary(m.panel), "SELECT universe_id, side, count(*) AS tickers, min(l) AS oldest_last, max(l) AS newest_last, min(l) = max(l) AS aligned FROM (SELECT universe_id, side, ticker, max(date) AS l FROM panel WHERE close IS NOT NULL GROUP BY ALL) GROUP BY ALL", (), ("oldest_last", "newest_last")),
     "missing_tickers": Query(lambda m: store.missing(m.spark.range(1, 31).select(F.concat(F.lit("Brand#"), "id").alias("ticker")), m.panel), "SELECT 'Brand#' || i AS ticker FROM range(1, 31) t(i) WHERE 'Brand#' || i NOT IN (SELECT ticker FROM panel WHERE close IS NOT NULL)", (), ()),
-    "fetch_plan": Query(lambda m: store.fetch_plan(store.date_range(m.panel), m.spark.range(1, 31).select(F.concat(F.lit("Brand#"), "id").alias("ticker")), "1995-01-01"), """
-      SELECT 'Brand#' || i AS ticker, CASE WHEN f <= DATE '1995-01-08' THEN greatest(l - 7, DATE '1995-01-01') ELSE DATE '1995-01-01' END AS from_date FROM range(1, 31) t(i) LEFT JOIN (SELECT ticker, min(date) AS f, max(date) AS l FROM panel WHERE close IS NOT NULL GROUP BY ALL) p ON p.ticker = 'Brand#' || i""", (), ("from_date",)),
     "upsert_dedup": Query(_upsert, "SELECT ticker, date, 'raw' AS price_mode, CASE WHEN date >= DATE '2000-01-01' AND open IS NOT NULL THEN open * 2 ELSE open END AS open, CASE WHEN date >= DATE '2000-01-01' AND open IS NOT NULL THEN NULL ELSE close END AS close FROM panel", ("open", "close")),
     "next_session": Query(lambda m: store.next_session(m.panel), "SELECT universe_id, date, (SELECT min(b.date) FROM panel b WHERE b.side = 'lag' AND b.date > a.date) AS next_lag_date FROM (SELECT DISTINCT universe_id, date FROM panel WHERE side = 'lead') a", (), ("date", "next_lag_date")),
     "sign_consistency": Query(lambda m: studies.sign_consistency(m.signal, m.rets), """
@@ -329,21 +460,125 @@ QUERIES: dict[str, Query] = {
     "anomaly_days": Query(lambda m: studies.anomaly_days(m.scenarios, 0.05), "SELECT universe_id, date, diff FROM (SELECT universe_id, date, max(gross) FILTER (scenario_id = 'S02_FlipL_OC') - max(gross) FILTER (scenario_id = 'S01_CurrOC') AS diff, row_number() OVER (ORDER BY date DESC) AS b FROM sc GROUP BY universe_id, date) WHERE b <= 252 AND abs(diff) >= 0.05", ("diff",)),
     "ols_single_factor": Query(lambda m: m.portfolio.join(m.lead_features, K).groupBy("universe_id").agg(F.regr_slope("gross_return", "mean").alias("slope"), F.regr_intercept("gross_return", "mean").alias("intercept"), F.regr_r2("gross_return", "mean").alias("r2"), F.regr_count("gross_return", "mean").alias("n")), """
       SELECT universe_id, regr_slope(gross_return, mean) AS slope, regr_intercept(gross_return, mean) AS intercept, regr_r2(gross_return, mean) AS r2, regr_count(gross_return, mean)::BIGINT AS n FROM pf JOIN leadf USING (universe_id, date) GROUP BY ALL""", ("slope", "intercept", "r2"), ()),
-    "ols_ff3": Query(lambda m: _market_beta(m, ["mean", "spread", "sd"])),
     "spearman": Query(lambda m: studies.spearman(m.portfolio.join(m.lead_features, K), ["universe_id"], "gross_return", "breadth"), """
       SELECT universe_id, corr(ra, rb) AS rho, count(*) AS n FROM (SELECT universe_id, rank() OVER (ORDER BY gross_return) + (count(*) OVER (PARTITION BY gross_return) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY breadth) + (count(*) OVER (PARTITION BY breadth) - 1) / 2.0::DOUBLE AS rb FROM pf JOIN leadf USING (universe_id, date)) GROUP BY ALL""", ("rho",), ()),
-    "param_grid": Query(_grid),
+    "lots_plan": Query(lambda m: m.plan.na.drop(subset=["lots"]).select(*K, "ticker", "position", "sector", "latest_price", "weight_pct", "min_purchase", "lots", "purchase"), "SELECT * EXCLUDE (signal), lots * latest_price AS purchase FROM plan WHERE lots IS NOT NULL", ("weight_pct",)),
+    "order_documents": Query(lambda m: daily.order_documents(m.positions, m.plan), """
+      SELECT universe_id, date, '{"common":{"market":"TKY","price_type":"market","validity":"this_day","skip_estimate":true,"trade_password":""},"orders":[' || coalesce(o, '') || ']}' AS payload FROM (SELECT DISTINCT universe_id, date FROM positions) LEFT JOIN (
+      SELECT date, string_agg('{"stock_code":"' || replace(ticker, '.T', '') || '","order_kind":"' || CASE WHEN position = 'LONG' THEN 'genbutsu_buy' ELSE 'shinyo_sell' END || '","quantity":' || coalesce(lots, 1) || CASE WHEN position = 'LONG' THEN '' ELSE ',"payment_limit":"day"' END || ',"nariyuki_condition":"寄成","sor_enabled":false,"note":"'
+        || position || ' / ' || sector || ' / ' || coalesce(lots, 1) || '口"}', ',' ORDER BY position, signal DESC, ticker) AS o FROM plan GROUP BY date) USING (date)"""),
+    "fetch_plan": Query(lambda m: store.fetch_plan(store.date_range(m.saved_panel), m.wanted.where("ticker not in ('Brand#3', 'Brand#7')").select(F.concat_ws("-", "side", F.when(c("ord") % 2 == 0, "even").otherwise("odd")).alias("group"), "ticker").unionByName(m.wanted.where("ord <= 5").select(F.lit("first five").alias("group"), "ticker")), "1995-01-01"), """
+      SELECT g AS "group", count(*) AS tickers, CASE WHEN count(l) = count(*) AND min(f) <= DATE '1995-01-01' THEN greatest(min(l) - 7, DATE '1995-01-01') ELSE DATE '1995-01-01' END AS from_date FROM (
+        SELECT CASE WHEN i <= 11 THEN 'lead' ELSE 'lag' END || '-' || CASE WHEN i % 2 = 0 THEN 'even' ELSE 'odd' END AS g, 'Brand#' || i AS ticker FROM range(1, 27) t(i) WHERE i NOT IN (3, 7) UNION ALL SELECT 'first five', 'Brand#' || i FROM range(1, 6) t(i))
+      LEFT JOIN (SELECT ticker, min(date) AS f, max(date) AS l FROM panel WHERE close IS NOT NULL GROUP BY ticker) USING (ticker) GROUP BY g""", (), ("from_date",)),
+    "tradeability": Query(lambda m: m.traded.select(*K, "next_lag_date", "tradeable", "block_reason", "no_trade"), "SELECT universe_id, date, next_lag_date, tradeable, block_reason, no_trade FROM traded", (), ("date", "next_lag_date")),
+    "shadow_decisions": Query(lambda m: daily.shadow_decisions(m.decisions, "rule_406_no_flip").select(*K, "active_strategy", F.array_join(F.transform(F.map_entries("shadow"), lambda e: F.concat_ws("=", e["key"], e["value"])), "|").alias("shadow")), """
+      SELECT universe_id, date, max(strategy) FILTER (rule_id = 'rule_406_no_flip') AS active_strategy, string_agg(rule_id || '=' || strategy, '|' ORDER BY rule_id) FILTER (rule_id <> 'rule_406_no_flip') AS shadow FROM decisions GROUP BY ALL"""),
+    "gap_pick": Query(lambda m: daily.pick_gaps(m.rets.where("side = 'lag'"), m.saved_panel.select("universe_id").distinct().select("universe_id", F.explode(F.array(*[F.lit(x).cast("date") for x in ("1997-05-01", "1997-05-02")])).alias("execution_date"))), """
+      SELECT universe_id, DATE '1997-05-01' AS execution_date, date, ticker, gap FROM rets WHERE side = 'lag' AND date = DATE '1997-05-01' UNION ALL
+      SELECT universe_id, DATE '1997-05-02', date, ticker, gap FROM rets WHERE side = 'lag' AND date = (SELECT max(date) FROM rets WHERE side = 'lag')
+      UNION ALL SELECT universe_id, DATE '1997-05-01', date, ticker, gap FROM rets WHERE side = 'lag' AND date = (SELECT max(date) FROM rets WHERE side = 'lag') AND NOT EXISTS (FROM rets WHERE side = 'lag' AND date = DATE '1997-05-01')""", ("gap",), ("date", "execution_date")),
+    "execution_checks": Query(_checks, """
+      SELECT universe_id, date, n::INT AS n, level, message FROM (SELECT universe_id, date, unnest(range(0, 7)) AS n, unnest(['ok', 'ok', 'ok', 'ok', CASE WHEN adopted_short = 0 THEN 'ok' ELSE 'warn' END, 'ok', CASE WHEN trend_regime = 'downtrend' OR vol_regime = 'high_vol' THEN 'warn' END]) AS lv,
+        unnest([CASE WHEN fresh THEN 'ok' ELSE 'warn' END, 'ok', 'ok', 'ok', CASE WHEN adopted_short = 0 THEN 'ok' ELSE 'warn' END, 'ok', CASE WHEN trend_regime = 'downtrend' OR vol_regime = 'high_vol' THEN 'warn' END]) AS level,
+        unnest(['data freshness: ' || CASE WHEN fresh THEN 'OK' ELSE 'Warning' END || ' (lead=' || lead_max || ', lag=' || lag_max || ')', 'fill policy: strict / filled cells=' || (SELECT count(*) FROM covered c JOIN filled f USING (date, ticker) WHERE c.ret IS NULL AND f.ret IS NOT NULL),
+          'long/short: ' || adopted_long || ' / ' || adopted_short || ' (candidates: ' || candidate_long || ' / ' || candidate_short || ')', 'thresholds: long>=0.0, short<=0.0', 'shorts need margin or borrowed stock', 'price mode: raw', 'regime: ' || trend_regime || ' x ' || vol_regime]) AS message
+        FROM stats JOIN regime USING (universe_id, date) JOIN flags USING (universe_id)) WHERE level IS NOT NULL"""),
+    "cache_summary": Query(lambda m: m.cache().withColumns({x: F.array_join(x, "|") for x in ("missing", "stale")}), "SELECT *, coalesce(lead_min = lead_max, false) AND coalesce(lag_min = lag_max, false) AS aligned, missing = '' AND stale = '' AND coalesce(lead_min = lead_max, false) AND coalesce(lag_min = lag_max, false) AS signal_ready FROM cache", (), ("lead_min", "lead_max", "lag_min", "lag_max")),
+    "cache_summary_late": Query(lambda m: m.cache("2099-01-01", 26).select("universe_id", "aligned", "signal_ready", F.size("missing").alias("missing"), F.size("stale").alias("stale")), """
+      SELECT 'all' AS universe_id, coalesce(min(last) FILTER (side = 'lead') = max(last) FILTER (side = 'lead'), false) AND coalesce(min(last) FILTER (side = 'lag') = max(last) FILTER (side = 'lag'), false) AS aligned, false AS signal_ready, (count(*) FILTER (last IS NULL) + 1)::INT AS missing, count(last)::INT AS stale FROM tracked""", (), ()),
+    "freshness_report": Query(lambda m: status.freshness(m.cache()).withColumns({x: F.array_join(x, "|") for x in ("missing", "stale")}), "SELECT universe_id, fresh AS freshness_ok, f.lead_max AS latest_lead, f.lag_max AS latest_lag, stale, missing FROM flags f JOIN cache USING (universe_id)", (), ("latest_lead", "latest_lag")),
+    "corporate_actions": Query(lambda m: m.actions, "SELECT * FROM actions", ("value",)),
+    "actions_verification": Query(lambda m: status.verification(m.actions, m.wanted.where("ord <= 25").groupBy("universe_id").agg(F.count("*").alias("tickers")), F.lit("1995-01-01").cast("date"), F.lit("2001-09-01").cast("date")), "SELECT *, reason_code = 'ok' AS verified FROM verified", ("coverage_ratio",), ("actions_start", "actions_end")),
+    "data_status": Query(_readiness, """
+      SELECT universe_id, v.reason_code = 'ok' AS adjusted_verification_ready, v.reason_code, n >= 60 AS factor_regression_ready, CASE WHEN n >= 60 THEN 'ok' ELSE 'insufficient_observations:' || n END AS regression_reason, n AS n_obs, true AS factor_data_ready, false AS report_available, f.ready AS signal_ready, false AS paper_reproduction_ready,
+        'missing_requirements:' || concat_ws(',', CASE WHEN n < 60 THEN 'factor_regression_ready' END, CASE WHEN v.reason_code <> 'ok' THEN 'adjusted_verification_ready' END, 'report_available') AS paper_reproduction_reason
+      FROM verified v JOIN flags f USING (universe_id), (SELECT count(*) AS n FROM pf JOIN leadf USING (universe_id, date) WHERE gross_return IS NOT NULL AND mean IS NOT NULL AND spread IS NOT NULL AND sd IS NOT NULL)""", (), ()),
+    "judge_scores": Query(lambda m: _verdict(m).select("universe_id", *SCORES, "overall_decision", "reasons"), VERDICT_SQL, (), ()),
+    "judge_universes": Query(lambda m: _verdict(m).select("universe_id", *SCORES, "overall_decision", "reasons"), VERDICT_SQL, (), (), "l_returnflag"),
+    "portfolio_universes": Query(lambda m: m.portfolio, "SELECT * FROM pf", PF_D, ("date",), "l_returnflag"),
+    "regime_universes": Query(lambda m: m.regime, "SELECT * FROM regime", ("cum20_return", "vol20", "rotation_std"), ("date",), "l_returnflag"),
+    "rule_portfolio_universes": Query(lambda m: m.rule_portfolio, f"SELECT universe_id, date, rule_id, strategy_decision, {PF} FROM rule_pf", PF_D, ("date",), "l_returnflag"),
+    "regime_snapshots": Query(lambda m: regime.snapshots(m.regime, m.saved_panel.select("universe_id").distinct().select("universe_id", F.explode(F.array(*[F.lit(x).cast("date") for x in ("1998-03-01", "2031-01-01")])).alias("date"))), """
+      SELECT 'all' AS universe_id, d AS date, coalesce(trend_regime, 'sideways') AS trend_regime, coalesce(vol_regime, 'mid_vol') AS vol_regime, coalesce(rotation_regime, 'mid_rotation') AS rotation_regime FROM (VALUES (DATE '1998-03-01'), (DATE '2031-01-01')) t(d) LEFT JOIN regime ON date = d"""),
+    "joint_uncovered_fill": Query(lambda m: returns.joint(m.rets, 0.0, "rolling_mean"), """
+      SELECT * FROM (SELECT universe_id, date, ticker, ord, side, coalesce(ret_cc, avg(ret_cc) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) AS ret FROM rets WHERE date IN (SELECT date FROM rets GROUP BY date HAVING count(DISTINCT side) = 2))
+      WHERE date NOT IN (SELECT date FROM (SELECT date, coalesce(ret_cc, avg(ret_cc) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) AS r FROM rets WHERE date IN (SELECT date FROM rets GROUP BY date HAVING count(DISTINCT side) = 2)) WHERE r IS NULL)""", ("ret",)),
+    "daily_log": Query(lambda m: _log(m).select("signal_reference_us_date", "execution_target_jp_date", "trade_signal_strength", "tradeable", "trade_block_reason", "candidate_long_count", "adopted_short_count", "freshness_ok", "n_long", "n_short", "long_tickers", "short_tickers", "regime_warning", "regime_warning_reason", "no_trade_classification"), """
+      SELECT CAST(date AS VARCHAR) AS signal_reference_us_date, CAST(t.next_lag_date AS VARCHAR) AS execution_target_jp_date, round(trade_strength, 6) AS trade_signal_strength, tradeable, block_reason AS trade_block_reason, candidate_long AS candidate_long_count, adopted_short AS adopted_short_count, fresh AS freshness_ok,
+        adopted_long::INT AS n_long, adopted_short::INT AS n_short, coalesce(replace(replace(longs, '"', ''), ',', '|'), '') AS long_tickers, coalesce(replace(replace(shorts, '"', ''), ',', '|'), '') AS short_tickers, trend_regime = 'downtrend' OR vol_regime = 'high_vol' AS regime_warning,
+        concat_ws('|', CASE WHEN trend_regime = 'downtrend' THEN 'downtrend' END, CASE WHEN vol_regime = 'high_vol' THEN 'high_vol' END, CASE WHEN trend_regime = 'downtrend' AND vol_regime = 'high_vol' THEN 'downtrend_high_vol' END) AS regime_warning_reason, cls AS no_trade_classification
+      FROM traded t JOIN stats USING (universe_id, date) JOIN flags USING (universe_id) JOIN regime USING (universe_id, date) LEFT JOIN held USING (date)""", ("trade_signal_strength",), ()),
+    "history_entries": Query(_history, """
+      SELECT universe_id, date, '{"signalDate":"' || date || '","execJpDate":' || coalesce('"' || next_lag_date || '"', 'null') || ',"tradeable":' || tradeable || ',"longTickers":[' || coalesce(longs, '') || '],"shortTickers":[' || coalesce(shorts, '') || ']}' AS dedupe_key FROM traded LEFT JOIN held USING (date)"""),
+    "store_tail": Query(lambda m: store.tail(m.panel, ["Brand#3", "Brand#20", "Brand#99"], "2001-06-01"), "SELECT ticker, date, open, close FROM panel WHERE ticker IN ('Brand#3', 'Brand#20') AND date >= DATE '2001-06-01'", ("open", "close")),
+    "business_days": Query(lambda m: store.weekday_calendar(m.spark, "1999-12-20", "2000-01-10", ["1999-12-31", "2000-01-03"]), "SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '1999-12-20', DATE '2000-01-10', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6 AND CAST(d AS DATE) NOT IN (DATE '1999-12-31', DATE '2000-01-03')"),
+    "long_details": Query(lambda m: documents.last_closes(m.saved_panel, m.positions), """
+      SELECT universe_id, date, ticker, close, previous, (close / previous - 1) * 100 AS change_pct, date + 1 AS execution_date FROM positions JOIN (SELECT universe_id, date, ticker, close, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS previous FROM panel WHERE close IS NOT NULL) USING (universe_id, date, ticker) WHERE position = 'LONG'""", ("close", "previous", "change_pct"), ("date", "execution_date")),
+    "sector_spreads": Query(lambda m: studies.spreads(m.rets, m.signal, m.names), """
+      SELECT universe_id, date, lead_spread, lag_spread, coalesce((lead_spread > 0) = (lag_spread > 0), false) AS agree FROM (SELECT universe_id, date, avg(ret_cc) FILTER (cyc = 1) - avg(ret_cc) FILTER (cyc = -1) AS lead_spread FROM rets WHERE side = 'lead' GROUP BY ALL)
+      JOIN (SELECT universe_id, date, avg(signal) FILTER (CAST(regexp_extract(ticker, '(\\d+)$', 1) AS INTEGER) % 3 = 2) - avg(signal) FILTER (CAST(regexp_extract(ticker, '(\\d+)$', 1) AS INTEGER) % 3 = 0) AS lag_spread FROM signal GROUP BY ALL) USING (universe_id, date)""", ("lead_spread", "lag_spread")),
+    "rolling_flip_difference": Query(lambda m: studies.rolling_difference(m.scenarios, "S01_CurrOC", "S02_FlipL_OC"), """
+      SELECT *, avg(diff) OVER (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS rolling FROM (SELECT universe_id, date, max(gross) FILTER (scenario_id = 'S02_FlipL_OC') - max(gross) FILTER (scenario_id = 'S01_CurrOC') AS diff FROM sc GROUP BY ALL)""", ("diff", "rolling")),
+    "quarterly_metrics": Query(lambda m: scenarios.aggregates(m.period_days, F.concat_ws("-Q", F.year("date"), F.quarter("date")), "quarter"), _aggregate_sql("year(date) || '-Q' || quarter(date)", "quarter"), AGG_D, ()),
+    "best_scenario": Query(lambda m: studies.best_scenarios(m.scenarios), "SELECT universe_id, date, scenario_id, gross FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY gross DESC, scenario_id) AS r FROM sc WHERE tradeable) WHERE r = 1", ("gross",)),
+    "worst_days": Query(lambda m: studies.worst_days(m.lead_features, m.portfolio, "gross_return", ("mean", "sd", "breadth", "narrowness")), """
+      SELECT universe_id, share, count(*) AS n, avg(gross_return) AS value_mean, avg(mean) AS mean, avg(sd) AS sd, avg(breadth) AS breadth, avg(narrowness) AS narrowness FROM (SELECT *, percent_rank() OVER (ORDER BY gross_return, date) AS place FROM leadf JOIN pf USING (universe_id, date)), (VALUES (1.0::DOUBLE), (0.2::DOUBLE), (0.1::DOUBLE)) s(share)
+      WHERE place <= share GROUP BY ALL""", ("share", "value_mean", "mean", "sd", "breadth", "narrowness"), ()),
+    "signal_scale": Query(lambda m: studies.signal_scale(selection.positions(m.masks, 0.02, -0.02), _adaptive(m), m.regime), """
+      SELECT universe_id, trend_regime, vol_regime, count(*) AS days, avg(abs_mean) AS abs_mean, avg(median) AS median, avg(top1) AS top1, avg(fixed) AS fixed_rate, avg(adaptive) AS adaptive_rate, 1 - avg(has_long) AS no_long_rate FROM (
+        SELECT universe_id, date, avg(abs(signal)) AS abs_mean, quantile_cont(signal, 0.5::DOUBLE) AS median, max(signal) AS top1, max((cand_long AND signal >= 0.02 AND NOT (cand_short AND signal <= -0.02))::INT) AS has_long, max((cand_long AND signal >= 0.02)::INT) * max((cand_short AND signal <= -0.02)::INT) AS fixed,
+          max((cand_long AND signal >= t)::INT) * max((cand_short AND signal <= -t)::INT) AS adaptive, trend_regime, vol_regime FROM (SELECT *, CASE vol_regime WHEN 'low_vol' THEN 0.12::DOUBLE WHEN 'mid_vol' THEN 0.10::DOUBLE ELSE 0.06::DOUBLE END AS t FROM mask_all JOIN regime USING (universe_id, date)) GROUP BY universe_id, date, trend_regime, vol_regime)
+      GROUP BY GROUPING SETS ((universe_id, vol_regime), (universe_id, trend_regime), (universe_id, trend_regime, vol_regime))""", ("abs_mean", "median", "top1", "fixed_rate", "adaptive_rate", "no_long_rate"), ()),
+    "position_filter_grid": Query(lambda m: studies.position_filters(m.contexts[0]), """
+      SELECT a.*, longest_loss, longest_skip FROM (SELECT universe_id, setting, avg(nl) AS long_count, avg(ns) AS short_count, avg(ret) FILTER (traded) AS traded_mean, avg(CASE WHEN traded THEN ret ELSE 0 END) AS all_mean, avg((ret > 0)::INT) FILTER (traded) AS win_rate, product(1 + CASE WHEN traded THEN ret ELSE 0 END) - 1 AS compound,
+        avg(coalesce(lr, 0)) FILTER (traded) AS long_mean, avg(-coalesce(sr, 0)) FILTER (traded) AS short_mean FROM filter_days GROUP BY ALL) a JOIN (SELECT universe_id, setting, coalesce(max(n) FILTER (kind = 'loss'), 0) AS longest_loss, coalesce(max(n) FILTER (kind = 'skip'), 0) AS longest_skip FROM (
+        SELECT universe_id, setting, kind, i, count(*) AS n FROM (SELECT universe_id, setting, kind, row_number() OVER (PARTITION BY setting ORDER BY date) - row_number() OVER (PARTITION BY setting, kind ORDER BY date) AS i FROM filter_days) GROUP BY ALL) GROUP BY ALL) USING (universe_id, setting)""".replace("filter_days", """(
+        SELECT *, CASE WHEN NOT traded THEN 'skip' WHEN ret > 0 THEN 'win' ELSE 'loss' END AS kind FROM (SELECT *, nl > 0 AND coalesce(strength, 0) >= least AS traded, coalesce(lr, 0) - coalesce(sr, 0) AS ret FROM (
+          SELECT universe_id, date, setting, least, count(*) FILTER (l) AS nl, count(*) FILTER (s) AS ns, avg(next_oc) FILTER (l) AS lr, avg(next_oc) FILTER (s) AS sr, avg(signal) FILTER (l) - avg(signal) FILTER (s) AS strength FROM (
+            SELECT *, cand_long AND signal >= lo2 AS l, cand_short AND signal <= hi2 AS s FROM mask, (VALUES ('base', 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('spread', 0.0951, 0.0, 0.0), ('var_a', 0.0, 0.05, -0.05), ('var_b', 0.0, 0.1, -0.1), ('both_a', 0.0951, 0.05, -0.05), ('both_b', 0.0951, 0.1, -0.1)) g(setting, least, lo2, hi2)) GROUP BY ALL)))"""),
+      ("long_count", "short_count", "traded_mean", "all_mean", "win_rate", "compound", "long_mean", "short_mean"), ()),
+    "recovery_scenarios": Query(lambda m: scenarios.limited(scenarios.scenario_returns(m.signal, m.rets, **LIMITS, scenarios=scenarios.RECOVERY), m.regime, m.strength, high=0.05).select(*K, "scenario_id", "gross", "tradeable", "adopt_long", "adopt_short"), f"""
+      WITH {scenario_chain("recovery", "rec")} SELECT universe_id, date, scenario_id, gross, tradeable, adopt_long, adopt_short FROM rec_sc LEFT JOIN (SELECT date, vol_regime FROM regime) USING (date) LEFT JOIN (SELECT date, avg(signal) FILTER (cand_long) - avg(signal) FILTER (cand_short) AS strength FROM mask_all GROUP BY date) USING (date)
+      WHERE CASE WHEN scenario_id IN ('S12_HighVol', 'S14_FlipL_HiVol') THEN vol_regime = 'high_vol' WHEN scenario_id = 'S13_NoMidVol' THEN vol_regime <> 'mid_vol' WHEN scenario_id = 'S15_HighSig' THEN strength >= 0.05 ELSE true END""", ("gross",)),
+    "scenario_ranking": Query(lambda m: scenarios.ranking(m.period_days, RANKS, 12), """
+      SELECT *, row_number() OVER (ORDER BY score DESC, scenario_id)::INT AS rank FROM (SELECT *, CASE good WHEN 4 THEN 'Go' WHEN 3 THEN 'Hold' ELSE 'No-Go' END AS judge FROM (SELECT *, coalesce((ar_full_period > 0)::INT, 0) + coalesce((ar_trailing_5y > 0)::INT, 0) + coalesce((ar_trailing_3y > 0)::INT, 0) + coalesce((month_rate >= 0.5)::INT, 0) AS good FROM (
+        SELECT *, (coalesce(ar_full_period, 0) * 4 + coalesce(ar_trailing_5y, 0) * 3 + coalesce(ar_trailing_3y, 0) * 2 + coalesce(ar_trailing_2y, 0) * 1.5 + coalesce(ar_trailing_1y, 0) * 0.5) / 11 AS score FROM (
+          SELECT universe_id, scenario_id, avg(net_after_tax_pct) FILTER (period_label = 'full_period') * 12 AS ar_full_period, avg(net_after_tax_pct) FILTER (period_label = 'trailing_5y') * 12 AS ar_trailing_5y, avg(net_after_tax_pct) FILTER (period_label = 'trailing_3y') * 12 AS ar_trailing_3y,
+            avg(net_after_tax_pct) FILTER (period_label = 'trailing_2y') * 12 AS ar_trailing_2y, avg(net_after_tax_pct) FILTER (period_label = 'trailing_1y') * 12 AS ar_trailing_1y FROM pd GROUP BY ALL)
+        JOIN (SELECT scenario_id, avg((s > 0)::INT) AS month_rate FROM (SELECT scenario_id, strftime(date, '%Y-%m') AS m, sum(net_after_tax_pct) AS s FROM pd WHERE period_label = 'full_period' GROUP BY ALL) GROUP BY ALL) USING (scenario_id)
+        JOIN (SELECT scenario_id, avg((s > 0)::INT) AS year_rate FROM (SELECT scenario_id, year(date) AS y, sum(net_after_tax_pct) AS s FROM pd WHERE period_label = 'full_period' GROUP BY ALL) GROUP BY ALL) USING (scenario_id))))""".replace("SELECT *, row_number() OVER (ORDER BY score", "SELECT * EXCLUDE (good), row_number() OVER (ORDER BY score"),
+      ("ar_full_period", "ar_trailing_5y", "ar_trailing_3y", "ar_trailing_2y", "ar_trailing_1y", "score", "month_rate", "year_rate"), ()),
+    "param_grid": Query(_grid, """
+      SELECT universe_id, q, slippage_bps, allow_short, avg(ret) * 12 * 100 AS ar, stddev_samp(ret) * sqrt(12) * 100 AS risk, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) * 12 / (stddev_samp(ret) * sqrt(12)) END AS rr, min(e / m - 1) * 100 AS mdd, count(*) AS n_days FROM (SELECT *, max(e) OVER (PARTITION BY q, slippage_bps, allow_short ORDER BY date ROWS UNBOUNDED PRECEDING) AS m FROM (
+        SELECT *, product(1 + ret) OVER (PARTITION BY q, slippage_bps, allow_short ORDER BY date ROWS UNBOUNDED PRECEDING) AS e FROM (
+          SELECT universe_id, date, q, slippage_bps, allow_short, l - CASE WHEN allow_short THEN coalesce(s, 0) ELSE 0 END - (5 + slippage_bps) / 10000 * 2 * (1 + ns) - 0.015::DOUBLE / 252 * ns AS ret FROM (
+            SELECT universe_id, date, q, slippage_bps, allow_short, avg(next_oc) FILTER (signal >= hi AND signal >= 0) AS l, avg(next_oc) FILTER (signal <= lo AND signal <= 0) AS s, CASE WHEN allow_short AND count(*) FILTER (signal <= lo AND signal <= 0) > 0 THEN 1 ELSE 0 END AS ns
+            FROM (SELECT universe_id, date, ticker, signal, next_oc FROM common) JOIN (SELECT date, q, quantile_cont(signal, q) AS lo, quantile_cont(signal, 1 - q) AS hi FROM (SELECT date, signal, 0.15::DOUBLE AS q FROM common) GROUP BY date, q HAVING count(*) >= 3 UNION ALL SELECT date, 0.2::DOUBLE, quantile_cont(signal, 0.2::DOUBLE), quantile_cont(signal, 1 - 0.2::DOUBLE) FROM common GROUP BY date HAVING count(*) >= 3
+              UNION ALL SELECT date, 0.25::DOUBLE, quantile_cont(signal, 0.25::DOUBLE), quantile_cont(signal, 1 - 0.25::DOUBLE) FROM common GROUP BY date HAVING count(*) >= 3 UNION ALL SELECT date, 0.3::DOUBLE, quantile_cont(signal, 0.3::DOUBLE), quantile_cont(signal, 1 - 0.3::DOUBLE) FROM common GROUP BY date HAVING count(*) >= 3) USING (date),
+              (VALUES (1.0::DOUBLE), (3.0::DOUBLE), (5.0::DOUBLE)) b(slippage_bps), (VALUES (true), (false)) a(allow_short) GROUP BY universe_id, date, q, slippage_bps, allow_short) WHERE l IS NOT NULL))) GROUP BY ALL""".replace("quantile_cont(signal, q) AS lo, quantile_cont(signal, 1 - q) AS hi", "quantile_cont(signal, 0.15::DOUBLE) AS lo, quantile_cont(signal, 1 - 0.15::DOUBLE) AS hi"), ("q", "slippage_bps", "ar", "risk", "rr", "mdd"), ()),
+    "window_sensitivity": Query(_windows, " UNION ALL ".join(f"""
+      SELECT universe_id, {n} AS length, avg(ret) * 12 * 100 AS ar, stddev_samp(ret) * sqrt(12) * 100 AS risk, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) * 12 / (stddev_samp(ret) * sqrt(12)) END AS rr, min(e / m - 1) * 100 AS mdd, count(*) AS n_days FROM (SELECT *, max(e) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS m FROM (SELECT *, product(1 + ret) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS e FROM (
+        SELECT universe_id, date, coalesce(avg(next_oc) FILTER (signal >= hi AND signal >= 0), 0) - coalesce(avg(next_oc) FILTER (signal <= lo AND signal <= 0), 0) AS ret FROM sig_{n} JOIN (SELECT date, quantile_cont(signal, 0.3::DOUBLE) AS lo, quantile_cont(signal, 1.0::DOUBLE - 0.3::DOUBLE) AS hi FROM sig_{n} GROUP BY date HAVING count(*) >= 3) USING (date)
+        GROUP BY ALL HAVING count(*) FILTER (signal >= hi AND signal >= 0) > 0))) GROUP BY ALL""".replace(f"sig_{n}", f"""(SELECT universe_id, date, ticker, signal, next_oc FROM (SELECT universe_id, date, ticker, next_oc, count(ret_cc) OVER w AS n, avg(ret_cc) OVER w AS signal FROM rets WHERE side = 'lag' WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)) WHERE n = {n} AND next_oc IS NOT NULL)""") for n in WINDOWS), ("ar", "risk", "rr", "mdd"), ()),
+    "excess_returns": Query(lambda m: studies.excess(m.portfolio.select(*K, "gross_return").join(m.factors.select("date", "rf"), "date"), "gross_return").select(*K, "gross_return"), "SELECT universe_id, date, gross_return - abs_mean / 100 AS gross_return FROM pf JOIN leadf USING (universe_id, date)", ("gross_return",)),
+    "factor_models": Query(lambda m: studies.factor_models(m.portfolio.select(*K, "gross_return"), m.factors, "gross_return")),
+    "spearman_p": Query(lambda m: studies.correlation_p(studies.spearman(m.portfolio.join(m.lead_features, K), ["universe_id"], "gross_return", "breadth")), """
+      SELECT universe_id, rho, n, t, greatest(0, 1 - 2 * k / sqrt(v * pi()) * (SELECT sum(pow(1 + pow(abs(t) * (i + 0.5) / 20000, 2) / v, -(v + 1) / 2)) * abs(t) / 20000 FROM range(20000) g(i))) AS p FROM (SELECT *, n - 2 AS v, rho * sqrt((n - 2) / (1 - rho * rho)) AS t, exp(lgamma((n - 1) / 2) - lgamma((n - 2) / 2)) AS k FROM (
+      SELECT universe_id, corr(ra, rb) AS rho, count(*) AS n FROM (SELECT universe_id, rank() OVER (ORDER BY gross_return) + (count(*) OVER (PARTITION BY gross_return) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY breadth) + (count(*) OVER (PARTITION BY breadth) - 1) / 2.0::DOUBLE AS rb FROM pf JOIN leadf USING (universe_id, date)) GROUP BY ALL))""", ("rho", "t", "p"), ()),
+    "lambda_grid": Query(_lambda_grid),
     "backtest_pca": Query(lambda m: m.performance(portfolio.portfolio(m.subspace, m.rets))),
     "daily_signal": Query(lambda m: selection.positions(selection.quantile_masks(m.subspace)).withColumn("r", F.dense_rank().over(Window.partitionBy("universe_id").orderBy(F.desc("date")))).where("r = 1").select(*K, "ticker", "signal", "position")),
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, q=q: presented(q.build(Market(spark, sf_dir)))) for name, q in QUERIES.items()}
+    return {name: (lambda spark, sf_dir, q=q: presented(q.build(Market(spark, sf_dir, q.by)))) for name, q in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: statement(q.sql, q.doubles, DIGITS, q.dates) for name, q in QUERIES.items() if q.sql}
+    made = {name: statement(q.sql, q.doubles, DIGITS, q.dates) for name, q in QUERIES.items() if q.sql}
+    return {name: for_universes(sql, QUERIES[name].by, UNIVERSES) if QUERIES[name].by else sql for name, sql in made.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 LENGTH = 12
 
 CTES = r"""
@@ -151,14 +153,73 @@ summary AS (
       avg(net_after_tax_pct) AS net_avg_pct, (product(1 + net_after_tax_pct / 100) - 1) * 100 AS net_cumulative_pct, quantile_cont(gross_pct, 0.5::DOUBLE) AS median_pct, avg(CASE WHEN gross_pct > 0 THEN 1.0::DOUBLE ELSE 0 END) AS win_rate, avg(long_pct) AS long_avg_pct, avg(short_pct) AS short_avg_pct FROM pd GROUP BY ALL)
     USING (universe_id, period_label, scenario_id) LEFT JOIN pd_dd USING (period_label, scenario_id) LEFT JOIN pd_runs USING (universe_id, period_label, scenario_id)),
 leadf AS (
-  SELECT universe_id, date, avg(ret_cc) AS mean, quantile_cont(ret_cc, 0.5::DOUBLE) AS median, quantile_cont(ret_cc, 0.75::DOUBLE) - quantile_cont(ret_cc, 0.25::DOUBLE) AS iqr, avg(CASE WHEN ret_cc > 0 THEN 1.0::DOUBLE ELSE 0 END) AS breadth,
-    list_avg((list(ret_cc ORDER BY ret_cc DESC))[1:3]) AS top3, list_avg((list(ret_cc ORDER BY ret_cc))[1:3]) AS bottom3, stddev_samp(ret_cc) AS sd, max(ret_cc) - min(ret_cc) AS range, avg(abs(ret_cc)) AS abs_mean, avg(ret_cc) FILTER (cyc = 1) AS cyclical, avg(ret_cc) FILTER (cyc = -1) AS defensive,
-    avg(ret_cc) FILTER (cyc = 1) - avg(ret_cc) FILTER (cyc = -1) AS spread, kurtosis_pop(ret_cc) AS kurt
-  FROM rets WHERE side = 'lead' AND ret_cc IS NOT NULL GROUP BY ALL)
+  SELECT universe_id, date, mean, median, iqr, breadth, breadth_down, top3, bottom3, top3 - bottom3 AS top_bottom_spread, sd, range, abs_mean, skew, kurt, cyclical, defensive, financial, energy, growth, consumer, cyclical - defensive AS spread, growth - defensive AS growth_vs_def, energy - rest_e AS energy_vs_rest,
+    financial - rest_f AS financial_vs_rest, top1 / nullif(moved, 0) AS top1_share, big3 / nullif(moved, 0) AS top3_share, least1 / nullif(moved, 0) AS bottom1_share, top1 / nullif(moved, 0) * n AS narrowness
+  FROM (SELECT universe_id, date, avg(ret_cc) AS mean, quantile_cont(ret_cc, 0.5::DOUBLE) AS median, quantile_cont(ret_cc, 0.75::DOUBLE) - quantile_cont(ret_cc, 0.25::DOUBLE) AS iqr, avg(CASE WHEN ret_cc > 0 THEN 1.0::DOUBLE ELSE 0 END) AS breadth, avg(CASE WHEN ret_cc < 0 THEN 1.0::DOUBLE ELSE 0 END) AS breadth_down,
+      list_avg((list(ret_cc ORDER BY ret_cc DESC))[1:3]) AS top3, list_avg((list(ret_cc ORDER BY ret_cc))[1:3]) AS bottom3, stddev_samp(ret_cc) AS sd, max(ret_cc) - min(ret_cc) AS range, avg(abs(ret_cc)) AS abs_mean, avg(ret_cc) FILTER (cyc = 1) AS cyclical, avg(ret_cc) FILTER (cyc = -1) AS defensive,
+      (avg(ret_cc * ret_cc * ret_cc) - 3 * avg(ret_cc) * avg(ret_cc * ret_cc) + 2 * pow(avg(ret_cc), 3)) / pow(stddev_pop(ret_cc), 3) AS skew, kurtosis_pop(ret_cc) AS kurt, avg(ret_cc) FILTER (ord = 1) AS financial, avg(ret_cc) FILTER (ord IN (2, 3)) AS energy, avg(ret_cc) FILTER (ord = 4) AS growth, avg(ret_cc) FILTER (ord IN (5, 6)) AS consumer,
+      avg(ret_cc) FILTER (ord NOT IN (2, 3)) AS rest_e, avg(ret_cc) FILTER (ord <> 1) AS rest_f, sum(abs(ret_cc)) AS moved, max(abs(ret_cc)) AS top1, list_sum((list(abs(ret_cc) ORDER BY abs(ret_cc) DESC))[1:3]) AS big3, min(abs(ret_cc)) AS least1, count(*) AS n
+    FROM rets WHERE side = 'lead' AND ret_cc IS NOT NULL GROUP BY ALL)),
+tracked AS (
+  SELECT 'Brand#' || i AS ticker, CASE WHEN i <= 11 THEN 'lead' ELSE 'lag' END AS side, n, last FROM range(1, 26) t(i)
+  LEFT JOIN (SELECT ticker, count(*) AS n, max(date) AS last FROM panel WHERE open IS NOT NULL OR close IS NOT NULL GROUP BY ticker) p ON p.ticker = 'Brand#' || i),
+cache AS (
+  SELECT 'all' AS universe_id, coalesce(sum(n), 0)::BIGINT AS rows, min(last) FILTER (side = 'lead') AS lead_min, max(last) FILTER (side = 'lead') AS lead_max, min(last) FILTER (side = 'lag') AS lag_min, max(last) FILTER (side = 'lag') AS lag_max,
+    coalesce(string_agg(ticker, '|' ORDER BY ticker) FILTER (last IS NULL), '') AS missing, coalesce(string_agg(ticker, '|' ORDER BY ticker) FILTER (last < DATE '2001-11-01'), '') AS stale FROM tracked),
+flags AS (
+  SELECT universe_id, coalesce(lead_min = lead_max, false) AND coalesce(lag_min = lag_max, false) AS aligned, missing = '' AND stale = '' AND coalesce(lead_min = lead_max, false) AND coalesce(lag_min = lag_max, false) AS ready, missing = '' AND stale = '' AND lead_max IS NOT NULL AND lag_max IS NOT NULL AS fresh,
+    missing <> '' OR stale <> '' AS behind, lead_max, lag_max, (SELECT count(*) FROM (SELECT ticker FROM covered WHERE side = 'lead' GROUP BY ticker HAVING count(ret) > 0)) AS lead_n, (SELECT count(*) FROM (SELECT ticker FROM covered WHERE side = 'lag' GROUP BY ticker HAVING count(ret) > 0)) AS lag_n FROM cache),
+plan0 AS (
+  SELECT p.universe_id, p.date, p.ticker, p.position, p.signal, CASE WHEN CAST(regexp_extract(p.ticker, '(\d+)$', 1) AS INTEGER) <= 20 THEN 'Sector ' || (CAST(regexp_extract(p.ticker, '(\d+)$', 1) AS INTEGER) % 5) ELSE p.ticker END AS sector, close, round_even(close, 0)::BIGINT AS latest_price
+  FROM positions p LEFT JOIN panel USING (universe_id, date, ticker) WHERE p.position <> 'neutral'),
+plan AS (
+  SELECT * EXCLUDE (close), round(100.0::DOUBLE / count(*) OVER (PARTITION BY date, position), 1) AS weight_pct, round_even(close * 10, 0)::BIGINT AS min_purchase,
+    CASE WHEN latest_price > 0 THEN greatest(1, round_even(max(latest_price) OVER (PARTITION BY date) / latest_price, 0)::BIGINT) END AS lots FROM plan0),
+sessions AS (SELECT date, (SELECT min(b.date) FROM panel b WHERE b.side = 'lag' AND b.date > a.date) AS next_lag_date FROM (SELECT DISTINCT date FROM panel WHERE side = 'lead') a),
+trade0 AS (
+  SELECT s.*, next_lag_date, CASE WHEN NOT fresh THEN 'freshness_not_ok' WHEN NOT aligned THEN 'cache_dates_not_aligned' WHEN lead_n < 1 OR lag_n < 1 THEN 'too_few_usable_tickers' WHEN next_lag_date IS NULL THEN 'no_execution_target_date' WHEN candidate_long > 0 AND adopted_long = 0 THEN 'no_long_candidates_after_threshold'
+      WHEN candidate_short > 0 AND adopted_short = 0 THEN 'no_short_candidates_after_threshold' WHEN adopted_long = 0 OR adopted_short = 0 THEN 'too_few_usable_tickers' WHEN adopted_long < 2 OR adopted_short < 2 THEN 'insufficient_positions_after_threshold' WHEN trade_strength < 0.08 THEN 'signal_spread_too_small' END AS reason,
+    CASE WHEN adopted_long >= 1 AND adopted_short >= 1 THEN NULL WHEN adopted_long >= 1 OR adopted_short >= 1 THEN 'one_side_only' WHEN (trend_regime = 'downtrend' OR vol_regime = 'high_vol') AND coalesce(long_gap_max > -0.03, false) AND coalesce(short_gap_max > -0.03, false) THEN 'regime_blocked'
+      WHEN coalesce(long_gap_max > -0.03, false) OR coalesce(short_gap_max > -0.03, false) THEN 'near_miss_threshold' ELSE 'hard_no_signal' END AS cls, coalesce(d.strategy = 'skip', false) AS skip
+  FROM stats s JOIN flags USING (universe_id) JOIN regime USING (universe_id, date) LEFT JOIN sessions USING (date) LEFT JOIN (SELECT date, strategy FROM decisions WHERE rule_id = 'rule_406_no_flip') d USING (date)),
+traded AS (
+  SELECT universe_id, date, next_lag_date, NOT skip AND reason IS NULL AS tradeable, CASE WHEN skip THEN 'strategy_rule_skip' ELSE reason END AS block_reason,
+    CASE WHEN skip AND adopted_long >= 1 AND adopted_short >= 1 THEN 'strategy_rule_skip_with_candidates' WHEN skip THEN 'strategy_rule_skip' ELSE cls END AS no_trade, cls FROM trade0),
+held AS (SELECT date, string_agg('"' || ticker || '"', ',' ORDER BY ticker) FILTER (position = 'LONG') AS longs, string_agg('"' || ticker || '"', ',' ORDER BY ticker) FILTER (position = 'SHORT') AS shorts FROM plan GROUP BY date),
+actions AS (
+  SELECT universe_id, ticker, date, 'dividend' AS action_type, close / 100 AS value, 'orders' AS source FROM panel WHERE month(date) IN (3, 9) AND close / 100 > 0
+  UNION ALL SELECT universe_id, ticker, date, 'split', 2.0::DOUBLE, 'orders' FROM panel WHERE month(date) = 6 AND open > close * 1.05::DOUBLE),
+verified AS (
+  SELECT universe_id, coverage_ratio, covered, total, actions_start, actions_end, least_events, CASE WHEN total = 0 THEN 'actions_data_unavailable' WHEN NOT (actions_start <= DATE '1995-01-01' AND actions_end >= DATE '2001-09-01') THEN 'required_range_not_covered' WHEN coverage_ratio < 0.6 THEN 'coverage_ratio_below_threshold' WHEN total < least_events THEN 'insufficient_actions_events' ELSE 'ok' END AS reason_code
+  FROM (SELECT 'all' AS universe_id, count(DISTINCT ticker) / 25.0::DOUBLE AS coverage_ratio, count(DISTINCT ticker) AS covered, count(*) AS total, min(date) AS actions_start, max(date) AS actions_end, 10::BIGINT AS least_events FROM actions)),
+recovery AS (
+  SELECT * FROM scenario UNION ALL SELECT * FROM (VALUES ('S07_GapFlt05', 'orig', 'oc', 'abs'), ('S11_FlipLGapFlt', 'flip_l', 'oc', 'both'), ('S12_HighVol', 'orig', 'oc', 'none'), ('S13_NoMidVol', 'orig', 'oc', 'none'), ('S14_FlipL_HiVol', 'flip_l', 'oc', 'none'), ('S15_HighSig', 'orig', 'oc', 'none')) t(scenario_id, direction, horizon, filter_))
 """
 
 
+#: The chain from scenarios to their summary.
+_CHAIN = ("sc_rows", "sc_head", "sc_mask", "sc_legs", "sc0", "sc1", "sc")
+
+
+def scenario_chain(table: str, prefix: str) -> str:
+    """The expressions of the scenario chain over another table of scenarios, their names with a prefix."""
+    start, end = CTES.index("sc_rows AS ("), CTES.index("bounds AS (")
+    text = CTES[start:end].strip().rstrip(",").replace("rets r USING (universe_id, date, ticker), scenario c)", f"rets r USING (universe_id, date, ticker), {table} c)")
+    text = text.replace("(filter_ = 'none' OR g <= 0.005)", "CASE WHEN filter_ = 'abs' THEN abs(g) <= 0.005 ELSE filter_ = 'none' OR g <= 0.005 END").replace("(filter_ <> 'both' OR g >= -0.005)", "CASE WHEN filter_ = 'abs' THEN abs(g) <= 0.005 ELSE filter_ <> 'both' OR g >= -0.005 END")
+    for name in _CHAIN:
+        text = re.sub(rf"\b{name}\b(?= AS \()|(?<=FROM ){name}\b|(?<=JOIN ){name}\b", f"{prefix}_{name}", text)
+    return text
+
+
+def for_universes(sql: str, column: str, values: tuple[str, ...]) -> str:
+    """A statement over the whole panel as the union of those over the universes that a column of lineitem names."""
+    each = [sql.replace("'all' AS universe_id", f"'{v}' AS universe_id").replace("ON l_partkey = p_partkey GROUP BY ALL", f"ON l_partkey = p_partkey WHERE {column} = '{v}' GROUP BY ALL") for v in values]
+    return " UNION ALL ".join(f"SELECT * FROM ({x})" for x in each)
+
+
 def statement(final: str, doubles: tuple[str, ...], digits: int, dates: tuple[str, ...]) -> str:
     """``final`` over the expressions, its doubles rounded and its dates as text, as ``presented`` does for a query."""
-    changes = [f"round(CAST({d} AS DOUBLE), {digits}) + 0.0::DOUBLE AS {d}" for d in doubles] + [f"CAST({d} AS VARCHAR) AS {d}" for d in dates]
+    unit = "pow(10.0::DOUBLE, floor(log10(abs({d}::DOUBLE))) - 9)"
+    rounded = f"CASE WHEN abs({{d}}::DOUBLE) >= 1e6 THEN round({{d}}::DOUBLE / {unit}) * {unit} ELSE round({{d}}::DOUBLE, {digits}) END"
+    changes = [f"{rounded.format(d=d)} + 0.0::DOUBLE AS {d}" for d in doubles] + [f"CAST({d} AS VARCHAR) AS {d}" for d in dates]
     return f"WITH RECURSIVE {CTES.strip()}\nSELECT * {f'REPLACE ({", ".join(changes)})' if changes else ''} FROM ({final})"

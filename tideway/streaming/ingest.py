@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.store import PRICES, latest, upsert, write_store
@@ -11,20 +12,19 @@ from ..operators.store import PRICES, latest, upsert, write_store
 def ingest(spark: SparkSession, landing: str, store: str, checkpoint: str) -> StreamingQuery:
     """Upserts every new file of ``landing`` (Parquet) into ``store`` and stops; a batch that is run again changes nothing.
 
-    Only the price modes of a batch are rewritten, from a copy that is read before they are replaced.
+    Of rows with one key, that of the newest file counts.  Only the price modes of a batch are rewritten, from a copy that
+    is read before they are replaced.
     """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        fresh = latest(batch.dropDuplicates(), ["ticker", "date", "price_mode"], "close")
-        modes = [r.price_mode for r in fresh.select("price_mode").distinct().collect()]
-        try:
-            old = spark.read.schema(PRICES).parquet(store)
-        except Exception as e:  # the store does not exist yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = spark.createDataFrame([], PRICES)
+        fresh = latest(batch, ["ticker", "date", "price_mode"], "written").drop("written")
+        modes = [r.price_mode for r in fresh.select("price_mode").distinct().collect()]  # a few, the partitions of the store
+        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        old = spark.read.schema(PRICES).parquet(store) if there else spark.createDataFrame([], PRICES)
         old = old.where(old.price_mode.isin(modes))
         write_store(upsert(old, fresh).checkpoint(), store)
 
     stream = spark.readStream.schema(PRICES).parquet(landing)
+    stream = stream.withColumn("written", F.struct("_metadata.file_modification_time", "_metadata.file_path"))
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
