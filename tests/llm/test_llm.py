@@ -747,3 +747,74 @@ def test_pipeline_keeps_one_of_near_copies_without_or_with_the_same_id(spark, sf
     group = lambda t: next((k for k in range(5) if t and t.lower().split()[:50] == texts[k][:50]), t)
     want = [(None, 0), (7, 1), (1, 2), (None, 3), (9, 4), (9, rows[-4][1]), (None, None), (None, " "), (8, None)]
     assert sorted(((i, group(t)) for i, t in out), key=str) == sorted(want, key=str)
+
+
+CLASHES = ("_id", "_k", "_lang", "_rid", "_rkey", "l", "r", "again", "key", "own", "row", "rejected", "text_key", "k", "x", "y", "part", "copies", "start", "terms", "size", "comp", "fp", "node", "bits", "kept_text", "times", "line", "h")
+
+
+def test_columns_of_any_name_clash_with_nothing(spark, sf, docs, labels):
+    plain = docs.where("doc_id < 150").select(*corpus_pipeline.COLUMNS)
+    extra = {n: F.lit("clash") for n in CLASHES}
+    wide = plain.withColumns(extra)
+    same = lambda f: [sorted(map(tuple, f(d).collect()), key=str) for d in (plain, wide)]
+    for _, stage in corpus_pipeline.STAGES:
+        a, b = same(lambda d, stage=stage: stage(spark, d, sf))
+        assert a == b and a
+    noisy = labels.withColumns({n: F.lit("clash") for n in (*CLASHES, "text", "source")})
+    a, b = [sorted(map(tuple, quality.quality_scores(d, lab).collect())) for d, lab in ((plain, labels), (wide, noisy))]
+    assert a == b
+    a, b = [sorted(map(tuple, linecrf.judge(d, linecrf.fit(d, lab)).collect())) for d, lab in ((plain, labels), (wide, noisy))]
+    assert a == b
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    a, b = [sorted(map(tuple, decontam.contaminated(d, i).collect())) for d, i in ((plain, items), (wide, items.withColumns(extra | {"doc_id": F.lit(1)})))]
+    assert a == b and a
+
+
+def test_very_long_texts_and_urls(spark):
+    rng = random.Random(2)
+    long = "\n".join(" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(20)) for _ in range(12_000))  # 1.7 MB
+    item = " ".join("".join(rng.choices("ijklmn", k=7)) for _ in range(25))
+    docs = spark.createDataFrame([(1, f"{long}\n{item}\n{long}", "en", "a", 1), (2, long, "en", "a", 1), (3, long + " end", "de", "b", 1)], DOCS)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r.n_words for r in linecrf.judge(docs, linecrf.fit(docs, labels)).collect()}
+    assert got == {1: 480_025, 2: 240_000, 3: 240_001}
+    assert quality.quality_scores(docs, labels).count() == 3 == langid.identify(docs, langid.fit(docs, Workspace(spark, "t"))).count()
+    assert [(r.doc_id, r.item_id) for r in decontam.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()] == [(1, 7)]
+    assert {r.doc_id: r.component_id for r in dedup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 1}  # the same lines twice
+    rows = mixing.taken(mixing.mix(docs)).collect()
+    assert all(r.taken <= 2 * r["size"] for r in rows) and sum(r.taken for r in rows) == pytest.approx(1.5 * 960_026, rel=0.02)
+    assert sorted(r["size"] for r in sharding.shards(docs).collect()) == sorted(len(r.text.encode()) + 1 for r in docs.collect())
+    pages = spark.createDataFrame([(1, "http://a.com/" + "p" * 300_000)], "page_id long, url string")
+    assert len(urlfilter.judge(pages).first().path) == 300_001
+    turns = spark.createDataFrame([(k, t, "user", f"{long[:500_000]}{k if t else ''}") for k in (0, 1) for t in (0, 1)], "conv_id long, turn int, role string, text string")
+    assert preference.preferences(preference.neighbours(turns)).first().prompt_turns == 1
+
+
+def test_op10_rules_of_one_length_and_op9_op2_ties(spark):
+    rules = (("block", "a.com", "/x"), ("allow", "b.com", "/x"), ("allow", "com", "/y/zz"), ("block", "a.com", "/y/"))
+    df = spark.createDataFrame([(1, "http://s.a.com/x"), (2, "http://b.com/x1"), (3, "http://a.com/y/zz")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(df, rules=rules).collect()}
+    assert got == {1: ("a.com/x", "block"), 2: ("b.com/x", "allow"), 3: ("a.com/y/", "block")}  # of one length the first by text
+
+
+def test_pipeline_of_an_empty_table(spark, none, tmp_path, sf):
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
+    Session.sparkContext.master = "local[4]"
+    assert common.shared_dir(Session).startswith("file:///tmp/")

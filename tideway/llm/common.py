@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +25,7 @@ RUN = 10_000
 
 #: What an Arrow batch holds at most on its way to a Python worker, unless the session sets its own: whole texts come in
 #: few megabytes at a time, however long they are.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
 
 _shipped: set[str] = set()
 
@@ -41,6 +44,19 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+def lean(run: Callable) -> Callable:
+    """A task function that gives memory back to the system when its task ends: Python workers stay for further tasks, and
+    an executor has several that wait."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return whole
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

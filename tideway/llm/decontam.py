@@ -29,7 +29,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_key
+from .common import Workspace, lean, text_key
 from .textstats import WordHasher
 from .warc import open_folder
 
@@ -237,7 +237,7 @@ def build(benchmark: DataFrame, ws: Workspace, k1: float, b: float, part_items:
             yield pa.RecordBatch.from_arrays(cols, ["item_id", "text", "terms", "length"])
 
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
-    items = items.mapInArrow(counted, "item_id long, text string, terms map<long,long>, length long").where("length > 0")
+    items = items.mapInArrow(lean(counted), "item_id long, text string, terms map<long,long>, length long").where("length > 0")
     items = ws.save(items.withColumn("row", F.monotonically_increasing_id()), "items")
     n, words, longest = items.agg(F.count("*"), F.sum("length"), F.max("length")).first()
     if not n:
@@ -318,7 +318,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
             kinds = [pa.int64()] * 3 + [pa.float64()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [c.split()[0] for c in KEYS.split(", ")])
 
-    return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(run, KEYS)
+    return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(lean(run), KEYS)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], threshold: float = 0.5, overlap: float = 0.5, k1: float = 1.2, b: float = 0.75, block_items: int = 2_000) -> DataFrame:
@@ -336,4 +336,4 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, keep: tuple[str,
             hit = {i for i, _ in _searched(batch.column("text").to_pylist(), parts, hasher, threshold, overlap, first=True)}
             yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in hit], pa.int64()))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(lean(run), rows.schema)

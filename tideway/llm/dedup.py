@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded, text_key
+from .common import Workspace, bounded, lean, text_key
 from .textstats import WordHasher, windows
 
 COORDS = 64
@@ -126,7 +126,7 @@ def sketches(docs: DataFrame, width: int = 2, seed: int = 5) -> DataFrame:
             sig = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, COORDS), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), sig, pa.array(low, pa.binary())], ["doc_id", "text_key", "n", "fp", "sig", "sk"])
 
-    return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n long, fp binary, sig array<int>, sk binary")
+    return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(lean(run), "doc_id long, text_key long, n long, fp binary, sig array<int>, sk binary")
 
 
 def shingle_sets(docs: DataFrame, width: int = 2) -> DataFrame:
@@ -146,7 +146,7 @@ def shingle_sets(docs: DataFrame, width: int = 2) -> DataFrame:
                 part = sets[lo : lo + 2000]
                 yield pa.RecordBatch.from_arrays([pa.array(fps[lo : lo + 2000], pa.binary()), pa.ListArray.from_arrays(pa.array(ends[lo : lo + len(part) + 1] - ends[lo], pa.int32()), pa.array(np.concatenate(part)))], ["fp", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "fp binary, tokens array<long>")
+    return docs.select("text").mapInArrow(lean(run), "fp binary, tokens array<long>")
 
 
 def _roots(classes: DataFrame, trees: int) -> DataFrame:
@@ -238,7 +238,7 @@ def _candidates(rows: DataFrame, share: int) -> DataFrame:
         return None
 
     names = ["node", "rid", "n", "sk", "comp", "side"]
-    return rows.select(*names).repartition("node").sortWithinPartitions("node", "rid").mapInArrow(lambda it: _by_node(it, names, work), "node long, a long, b long, side boolean").distinct()
+    return rows.select(*names).repartition("node").sortWithinPartitions("node", "rid").mapInArrow(lean(lambda it: _by_node(it, names, work)), "node long, a long, b long, side boolean").distinct()
 
 
 def _links_within(rows: DataFrame, share: int) -> DataFrame:
@@ -261,7 +261,7 @@ def _links_within(rows: DataFrame, share: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"]) if out_a else None
 
     names = ["node", "rid", "n", "sk", "comp", "side", "tokens"]
-    return rows.select(*names).repartition("node").sortWithinPartitions("node", "rid").mapInArrow(lambda it: _by_node(it, names, work), "a long, b long").distinct()
+    return rows.select(*names).repartition("node").sortWithinPartitions("node", "rid").mapInArrow(lean(lambda it: _by_node(it, names, work)), "a long, b long").distinct()
 
 
 def _full_sets(rids: DataFrame, classes: DataFrame, docs: DataFrame, ws: Workspace, name: str, width: int) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, bounded, crc_mod, text_key
+from .common import Workspace, bounded, crc_mod, lean, text_key
 
 PLACES = 1 << 16
 UNDETERMINED = "und"
@@ -96,7 +96,7 @@ def fit(docs: DataFrame, ws: Workspace, per_language: int = 400, landmarks: int
                 packed.append(np.packbits(mask).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(packed, pa.binary())], ["doc_id", "lang", "bits"])
 
-    got = rows.select("doc_id", "lang", "text").mapInArrow(bits, "doc_id long, lang string, bits binary").collect()
+    got = rows.select("doc_id", "lang", "text").mapInArrow(lean(bits), "doc_id long, lang string, bits binary").collect()
     ws.drop("picked")
     got.sort(key=lambda r: (r.lang, r.doc_id, r.bits))
     languages = sorted({r.lang for r in got})
@@ -148,5 +148,5 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ())
                 cols = [own.column("doc_id"), own.column("text_key"), pa.array(names[best], pa.string()), pa.array(score), *[own.column(f"kept_{n}") for n in keep]]
                 yield pa.RecordBatch.from_arrays(cols, out.names)
 
-    found = rows.mapInArrow(run, out)
+    found = rows.mapInArrow(lean(run), out)
     return found

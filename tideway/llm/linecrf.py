@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded, text_key
+from .common import Workspace, bounded, lean, text_key
 from .textstats import DIGIT, GAP, KINDS, LEAD, LOWER, REST, STOP, SYMBOL, UPPER, WordHasher, kinds, pieces, repeat_words
 
 CONTENT, BOILERPLATE = 0, 1
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, texts: int = 1500, lines: int = 200,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.binary()] * 2)], ["doc_id", "k", "at", "x", "y"])
 
     found = []
-    for r in sorted(rows.mapInArrow(sequences, "doc_id long, k long, at long, x binary, y binary").collect()):
+    for r in sorted(rows.mapInArrow(lean(sequences), "doc_id long, k long, at long, x binary, y binary").collect()):
         y = np.frombuffer(r.y, np.uint8).astype(int)
         found.append((np.unpackbits(np.frombuffer(r.x, np.uint8), count=len(y) * FEATURES).reshape(len(y), FEATURES).astype(float), y))
     return train(found)
@@ -233,4 +233,4 @@ def judge(docs: DataFrame, chain: Chain, least_share: float = 0.5, least_words:
                 cols = [pa.array(np.concatenate(c)) for c in zip(*found)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *cols], [c.split()[0] for c in RULES.split(", ")])
 
-    return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(run, RULES)
+    return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(lean(run), RULES)

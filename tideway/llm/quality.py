@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, crc_mod, text_key
+from .common import Workspace, crc_mod, lean, text_key
 from .textstats import DIGIT, GAP, KINDS, LEAD, LOWER, OTHER, REST, STOP, SYMBOL, UPPER, WordHasher, kinds, repeat_words
 
 STATISTICS = ("log_words", "word_length", "upper", "digit", "symbol", "stop", "other", "wide", "distinct", "dup_lines", "repeats", "line_words", "top_word", "long_words")
@@ -46,7 +46,7 @@ def described(docs: DataFrame) -> DataFrame:
             x = [statistics((t or "").encode("utf-8", "surrogatepass"), hasher) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "text_key", "x"])
 
-    return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, x array<double>")
+    return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(lean(run), "doc_id long, text_key long, x array<double>")
 
 
 def isotonic(low: np.ndarray, weight: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,10 +127,10 @@ def fit(stats: DataFrame, labels: DataFrame, width: int = 256, gamma: float = 0.
             yield pa.RecordBatch.from_arrays([pa.array([left.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], ["a", "b"])
 
     kind = "a binary, b binary"
-    tree = rows.mapInArrow(sums, kind)
+    tree = rows.mapInArrow(lean(sums), kind)
     tasks = rows.rdd.getNumPartitions()
     for wide in ([math.isqrt(tasks)] if tasks > groups**2 else []) + [groups]:  # a task adds few blocks on each level
-        tree = tree.repartition(wide).mapInArrow(added, kind)
+        tree = tree.repartition(wide).mapInArrow(lean(added), kind)
     parts = tree.collect()  # `groups` blocks at most
     left = sum(np.frombuffer(r.a) for r in parts).reshape(k, k)
     right = sum(np.frombuffer(r.b) for r in parts)
@@ -145,7 +145,7 @@ def fit(stats: DataFrame, labels: DataFrame, width: int = 256, gamma: float = 0.
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at]), pa.array(s[at])], ["bin", "w", "s"])
 
-    bins = rows.mapInArrow(binned, "bin long, w double, s double").groupBy("bin").agg(F.sum("w").alias("w"), F.sum("s").alias("s")).orderBy("bin").collect()
+    bins = rows.mapInArrow(lean(binned), "bin long, w double, s double").groupBy("bin").agg(F.sum("w").alias("w"), F.sum("s").alias("s")).orderBy("bin").collect()
     at = np.array([r.bin for r in bins])
     model.knots = isotonic(LOW + at * (HIGH - LOW) / BINS, np.array([r.w for r in bins]), np.array([r.s for r in bins]))
     return model
@@ -159,7 +159,7 @@ def score(stats: DataFrame, model: QualityModel, cut: float = 0.3) -> DataFrame:
             s = model.score(_matrix(b))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "text_key", "score", "predicted"])
 
-    return stats.mapInArrow(run, "doc_id long, text_key long, score double, predicted int")
+    return stats.mapInArrow(lean(run), "doc_id long, text_key long, score double, predicted int")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:

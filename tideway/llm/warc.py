@@ -21,7 +21,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded
+from .common import Workspace, bounded, lean
 
 VERSION = b"WARC/1.1"
 MEMBER = b"\x1f\x8b\x08"
@@ -111,7 +111,7 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = 64 << 20, compress
         cols = list(zip(*done)) or [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"])
 
-    return pages.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(run, "path string, records long, bytes long")
+    return pages.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(lean(run), "path string, records long, bytes long")
 
 
 # ---------------------------------------------------------------- reading
@@ -385,7 +385,7 @@ def salvage(archives: DataFrame, folder: str, with_payload: bool = True) -> Data
                             held, size = [], 0
         yield batch(held)
 
-    return archives.select("path").mapInArrow(run, FOUND)
+    return archives.select("path").mapInArrow(lean(run), FOUND)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, compress: bool = True) -> DataFrame:
