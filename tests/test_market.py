@@ -404,9 +404,9 @@ def test_factor_file(spark, tmp_path):
     both_ = store.carhart(store.factor_csv(spark, str(tmp_path / "f.csv")), store.factor_csv(spark, str(tmp_path / "m.csv")))
     assert [(r.date, r.mom) for r in both_.collect()] == [(dt.date(2024, 1, 3), 0.02)]
     assert store.load_factors(spark, str(tmp_path)) is None
-    (tmp_path / "ff3_japan_daily.csv").write_text("date,mkt_rf,smb,hml,rf\n2024-01-03,0.01,0.02,0.03,0\n")
+    (tmp_path / "ff3.csv").write_text("date,mkt_rf,smb,hml,rf\n2024-01-03,0.01,0.02,0.03,0\n")
     assert store.load_factors(spark, str(tmp_path)).columns == ["date", "mkt_rf", "smb", "hml", "rf"]
-    (tmp_path / "carhart4_japan_daily.csv").write_text("date,mkt_rf,smb,hml,rf,wml\n2024-01-03,0.01,0.02,0.03,0,0.04\n")
+    (tmp_path / "carhart4.csv").write_text("date,mkt_rf,smb,hml,rf,wml\n2024-01-03,0.01,0.02,0.03,0,0.04\n")
     assert store.load_factors(spark, str(tmp_path)).first().mom == 0.04
 
 

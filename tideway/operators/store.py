@@ -105,9 +105,9 @@ def carhart(ff3: DataFrame, momentum: DataFrame) -> DataFrame:
     return ff3.join(momentum.select("date", c(name).alias("mom")), "date")
 
 
-def load_factors(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The stored factors (CSV with a header), four of them before three; None if there are none."""
-    for name in ("carhart4_japan_daily.csv", "ff3_japan_daily.csv"):
+def load_factors(spark: SparkSession, folder: str, names: tuple[str, ...] = ("carhart4.csv", "ff3.csv")) -> DataFrame | None:
+    """The first of the stored factor files (CSV with a header) that there is; None if there is none."""
+    for name in names:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
         if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             rows = spark.read.option("header", True).csv(f"{folder}/{name}")

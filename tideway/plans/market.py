@@ -562,6 +562,7 @@ QUERIES: dict[str, Query] = {
         SELECT universe_id, date, coalesce(avg(next_oc) FILTER (signal >= hi AND signal >= 0), 0) - coalesce(avg(next_oc) FILTER (signal <= lo AND signal <= 0), 0) AS ret FROM sig_{n} JOIN (SELECT date, quantile_cont(signal, 0.3::DOUBLE) AS lo, quantile_cont(signal, 1.0::DOUBLE - 0.3::DOUBLE) AS hi FROM sig_{n} GROUP BY date HAVING count(*) >= 3) USING (date)
         GROUP BY ALL HAVING count(*) FILTER (signal >= hi AND signal >= 0) > 0))) GROUP BY ALL""".replace(f"sig_{n}", f"""(SELECT universe_id, date, ticker, signal, next_oc FROM (SELECT universe_id, date, ticker, next_oc, count(ret_cc) OVER w AS n, avg(ret_cc) OVER w AS signal FROM rets WHERE side = 'lag' WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)) WHERE n = {n} AND next_oc IS NOT NULL)""") for n in WINDOWS), ("ar", "risk", "rr", "mdd"), ()),
     "excess_returns": Query(lambda m: studies.excess(m.portfolio.select(*K, "gross_return").join(m.factors.select("date", "rf"), "date"), "gross_return").select(*K, "gross_return"), "SELECT universe_id, date, gross_return - abs_mean / 100 AS gross_return FROM pf JOIN leadf USING (universe_id, date)", ("gross_return",)),
+    "ols_ff3": Query(lambda m: studies.ols(m.portfolio.select(*K, "gross_return").join(m.lead_features.select(*K, "mean", "spread", "sd"), K), ["universe_id"], "gross_return", ["mean", "spread", "sd"])),
     "factor_models": Query(lambda m: studies.factor_models(m.portfolio.select(*K, "gross_return"), m.factors, "gross_return")),
     "spearman_p": Query(lambda m: studies.correlation_p(studies.spearman(m.portfolio.join(m.lead_features, K), ["universe_id"], "gross_return", "breadth")), """
       SELECT universe_id, rho, n, t, greatest(0, 1 - 2 * k / sqrt(v * pi()) * (SELECT sum(pow(1 + pow(abs(t) * (i + 0.5) / 20000, 2) / v, -(v + 1) / 2)) * abs(t) / 20000 FROM range(20000) g(i))) AS p FROM (SELECT *, n - 2 AS v, rho * sqrt((n - 2) / (1 - rho * rho)) AS t, exp(lgamma((n - 1) / 2) - lgamma((n - 2) / 2)) AS k FROM (
