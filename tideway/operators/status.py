@@ -29,10 +29,14 @@ def summary(panel: DataFrame, wanted: DataFrame, required: Column) -> DataFrame:
     return out.withColumn("aligned", aligned).withColumn("signal_ready", (F.size("missing") == 0) & (F.size("stale") == 0) & c("aligned"))
 
 
+def is_fresh() -> Column:
+    """Over a summary: no ticker is missing or stale and each side has one."""
+    return (F.size("missing") == 0) & (F.size("stale") == 0) & c("lead_max").isNotNull() & c("lag_max").isNotNull()
+
+
 def freshness(summary_: DataFrame) -> DataFrame:
-    """Both sides together: fresh if no ticker is missing or stale and each side has one."""
-    ok = (F.size("missing") == 0) & (F.size("stale") == 0) & c("lead_max").isNotNull() & c("lag_max").isNotNull()
-    return summary_.select("universe_id", ok.alias("freshness_ok"), c("lead_max").alias("latest_lead"), c("lag_max").alias("latest_lag"), "stale", "missing")
+    """Both sides together, with their last dates and the tickers that are stale or missing."""
+    return summary_.select("universe_id", is_fresh().alias("freshness_ok"), c("lead_max").alias("latest_lead"), c("lag_max").alias("latest_lag"), "stale", "missing")
 
 
 def verification(actions: DataFrame, expected: DataFrame, start: Column, end: Column) -> DataFrame:

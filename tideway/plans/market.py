@@ -100,7 +100,7 @@ class Market:
 
     def sets(self, days: DataFrame | None = None):
         """gross, net_pre_tax and net_after_tax returns of a portfolio as one series table."""
-        days = self.portfolio if days is None else days
+        days = self.save(self.portfolio if days is None else days, "portfolio")
         taxed = performance.after_tax(days.select("universe_id", "date", c("net_pre_tax_return").alias("ret"), "gross_return"), ["universe_id"])
         each = F.explode(F.array(*[F.struct(F.lit(n).alias("set_name"), c(v).alias("ret")) for n, v in (("gross", "gross_return"), ("net_pre_tax", "pre"), ("net_after_tax", "net_after_tax"))]))
         return taxed.withColumnRenamed("ret", "pre").select("universe_id", "date", each.alias("s")).select("universe_id", "date", "s.*")
@@ -145,9 +145,8 @@ class Market:
     @cached_property
     def flags(self):
         """What a verdict and the tradeability need to know about the data, one row per universe."""
-        fresh = status.freshness(self.cache()).select("universe_id", "freshness_ok", (F.size("stale") + F.size("missing") > 0).alias("stale"))
-        quality = returns.joint_quality(self.rets).select("universe_id", "usable_lead", "usable_lag")
-        return self.cache().select("universe_id", c("aligned").alias("dates_aligned"), "signal_ready").join(fresh, "universe_id").join(quality, "universe_id", "left")
+        known = self.cache().select("universe_id", c("aligned").alias("dates_aligned"), "signal_ready", status.is_fresh().alias("freshness_ok"), (F.size("stale") + F.size("missing") > 0).alias("stale"))
+        return known.join(returns.joint_quality(self.rets).select("universe_id", "usable_lead", "usable_lag"), "universe_id", "left")
 
     @cached_property
     def sectors(self):
