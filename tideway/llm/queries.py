@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, langid, linecrf, mixing, preference, quality, sharding, urlfilter, warc
+from . import decontam, dedup, langid, licenses, linecrf, mixing, preference, quality, sharding, spelling, statements, urlfilter, vectors, warc
 from .common import Workspace, crc_mod, table
 
 
@@ -59,6 +59,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.labelled(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.compressed(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 QUERIES = {
     "op1_line_crf": op1_line_crf,
     "op2_mixing": op2_mixing,
@@ -70,9 +82,15 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_url_filter": op10_url_filter,
+    "op11_licenses": op11_licenses,
+    "op12_spelling": op12_spelling,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 SQL = {
+    "op11_licenses": statements.licenses(),
+    "op12_spelling": statements.SPELLING,
+    "op13_vector_codes": statements.vector_codes(),
     "op5_near_duplicates": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
