@@ -6,6 +6,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 
 
 def rows(df) -> list[tuple]:
@@ -14,7 +15,7 @@ def rows(df) -> list[tuple]:
     for r in df[names].itertuples(index=False):
         row = []
         for x in r:
-            if x is None or x != x:
+            if x is None or x is pd.NA or x != x:
                 row.append(None)
             elif isinstance(x, float) or hasattr(x, "dtype") and x.dtype.kind == "f":
                 row.append(round(float(x), 6))
