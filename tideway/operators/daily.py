@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import sure
-from ..functions.rules import SKIP
-from .selection import KEY
+from ..functions.rules import BASE, FLIP, LONG_GAP, SHORT_ONLY, SKIP
+from .selection import KEY, apply_decision, no_trade_class
 
 c = F.col
 MIN_LOT = 10
@@ -69,6 +69,55 @@ def pick_gaps(gaps: DataFrame, wanted: DataFrame) -> DataFrame:
     return picked.join(gaps.select(*KEY, "ticker", "gap"), KEY)
 
 
+def contexts(positions: DataFrame, gaps: DataFrame, stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rule context of each signal date of a daily run.
+
+    Gaps are those that the run picks (``gaps``: universe_id, date, ticker, gap): over all tickers, over the candidate longs
+    and over the candidate shorts; a ticker that is taken short is no long candidate.  The candidates' strength is that of
+    ``stats``, to six places, and unknown if it is zero.  ``labels`` has the regimes; a date without any has the middle ones.
+    """
+    rows = positions.join(gaps.select(*KEY, "ticker", "gap"), [*KEY, "ticker"], "left")
+    turned = (c("position") == "SHORT") & c("cand_long") & (c("signal") >= c("long_threshold"))
+    sides = rows.groupBy(*KEY).agg(F.avg(F.when(c("cand_long") & ~turned, c("gap"))).alias("long_gap"), F.avg(F.when(c("cand_short"), c("gap"))).alias("short_gap"))
+    overall = gaps.groupBy(*KEY).agg(F.avg("gap").alias("open_gap"))
+    strength = F.round("candidate_strength", 6)
+    out = stats.select(*KEY, F.when(strength != 0, strength).alias("candidate_signal_strength")).join(overall, KEY, "left").join(sides, KEY, "left")
+    label = lambda x, other: F.coalesce(x, F.lit(other)).alias(x)
+    labels = labels.select(*KEY, "trend_regime", "vol_regime", "rotation_regime")
+    return out.join(labels, KEY, "left").select(
+        *KEY, "open_gap", "long_gap", "short_gap", "candidate_signal_strength", label("trend_regime", "sideways"), label("vol_regime", "mid_vol"), label("rotation_regime", "mid_rotation"),
+    )
+
+
+def after_rule(positions: DataFrame, decided: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Positions after the decision of ``decided(universe_id, date, strategy)``, with the one before in ``position_before``.
+
+    A date without a decision keeps its positions; a ticker without a gap keeps its position.
+    """
+    rows = positions.join(decided.select(*KEY, "strategy"), KEY, "left").join(gaps.select(*KEY, "ticker", c("gap").alias("run_gap")), [*KEY, "ticker"], "left")
+    after = F.coalesce(apply_decision(c("position"), c("strategy"), c("run_gap")), "position")
+    return rows.withColumns({"position_before": c("position"), "position": after})
+
+
+def taken(after: DataFrame) -> DataFrame:
+    """Counts and strength of what a date's positions after the rule hold; a missing side has strength 0."""
+    mean = lambda s: F.avg(F.when(c("position") == s, c("signal")))
+    out = after.groupBy(*KEY).agg(F.count_if(c("position") == "LONG").alias("n_long"), F.count_if(c("position") == "SHORT").alias("n_short"), mean("LONG").alias("l"), mean("SHORT").alias("s"))
+    return out.select(*KEY, "n_long", "n_short", F.coalesce(c("l") - c("s"), F.lit(0.0)).alias("strength_after"))
+
+
+def action(strategy: Column) -> Column:
+    """What a decision does: skip, override (another direction or filter than the default) or execute."""
+    return F.when(strategy == SKIP, "skip").when(strategy.isin(FLIP, SHORT_ONLY, LONG_GAP), "override").otherwise("execute")
+
+
+def class_after(strategy: Column, before: Column, n_long: Column, n_short: Column, long_gap: Column, short_gap: Column) -> Column:
+    """The classification that a log row has: with the counts after the rule; a rule that changes nothing keeps that of the
+    signal."""
+    kept = strategy.isNull() | (strategy == BASE)
+    return F.when(kept, before).otherwise(no_trade_class(n_long, n_short, long_gap, short_gap, F.lit(False)))
+
+
 def shadow_decisions(decided: DataFrame, active: str) -> DataFrame:
     """For each date the active rule's strategy and those of all other rules, as a map."""
     rule = F.struct(c("rule_id"), c("strategy"))
@@ -79,7 +128,7 @@ def shadow_decisions(decided: DataFrame, active: str) -> DataFrame:
 def skip_override(rows: DataFrame) -> DataFrame:
     """A skip of the active rule overrides what else forbids or allows a trade.
 
-    ``rows``: tradeable, block_reason, no_trade, adopted_long, adopted_short (before the rule) and active_strategy.
+    ``rows``: tradeable, block_reason, no_trade, adopted_long, adopted_short (all before the rule) and active_strategy.
     """
     skip = sure(c("active_strategy") == SKIP)
     both = (c("adopted_long") >= 1) & (c("adopted_short") >= 1)
@@ -119,8 +168,8 @@ def tickers(planned: DataFrame) -> DataFrame:
 
 
 def log_rows(rows: DataFrame, created_at: Column) -> DataFrame:
-    """The log's columns in their order; arrays are joined by ``|``, what ``rows`` lacks is null, counts are those of the
-    tickers."""
+    """The log's columns in their order; tickers are joined by ``|``, reasons and details are JSON lists, what ``rows`` lacks
+    is null, counts are those of the tickers."""
     have = set(rows.columns)
 
     def field(name: str) -> Column:
@@ -128,8 +177,13 @@ def log_rows(rows: DataFrame, created_at: Column) -> DataFrame:
             return created_at
         if name in ("n_long", "n_short"):
             return F.size(name.removeprefix("n_") + "_tickers")
-        if name in ("long_tickers", "short_tickers", "regime_warning_reason") and name in have:
+        if name in ("long_tickers", "short_tickers") and name in have:
             return F.array_join(name, "|")
+        if name == "regime_warning_reason" and name in have:
+            quoted = F.transform(F.coalesce(name, F.array().cast("array<string>")), lambda x: F.concat(F.lit('"'), x, F.lit('"')))
+            return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+        if name == "details_json" and name not in have:
+            return F.lit("[]")
         return c(name) if name in have else F.lit(None).cast("string")
 
     return rows.select(*[field(n).alias(n) for n in LOG_FIELDS])

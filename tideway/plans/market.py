@@ -10,17 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.predicates import sure
 from ..functions.rules import RULES, rolling_selector
-from ..operators import daily, performance, portfolio, regime, returns, scenarios, selection, signals, status, store, studies
+from ..operators import daily, performance, portfolio, regime, returns, scenarios, selection, sessions, signals, status, store, studies
 from ..operators.work import Saved
 from ..sources import documents, market
-from .sql import LENGTH, for_universes, scenario_chain, statement
+from .sql import LENGTH, for_universes, gates_sql, scenario_chain, statement
 
 c = F.col
 DIGITS = 7
 PERIODS = {"full_period": None, "trailing_5y": 60, "trailing_3y": 36, "trailing_2y": 24, "trailing_1y": 12}
 LIMITS = {"min_long": 0.02, "max_short": -0.02}
 REQUIRED = "2001-11-01"
+#: The rule that daily runs follow.
+ACTIVE = "rule_406_no_flip"
 RANKS = {"full_period": 4.0, "trailing_5y": 3.0, "trailing_3y": 2.0, "trailing_2y": 1.5, "trailing_1y": 0.5}
 K = ["universe_id", "date"]
 
@@ -152,18 +155,57 @@ class Market:
     def sectors(self):
         return self.spark.range(1, 21).select(F.concat(F.lit("Brand#"), "id").alias("ticker"), F.concat(F.lit("Sector "), c("id") % 5).alias("sector"))
 
+    @cached_property
+    def runs(self):
+        """The signal dates with their execution dates, from the calendar of the lag side."""
+        return self.save(sessions.execution_dates(self.stats, self.saved_panel.where("side = 'lag'")), "runs")
+
+    @cached_property
+    def run_gaps(self):
+        return self.save(sessions.gaps_as_of(self.rets.where("side = 'lag'"), self.runs), "run-gaps")
+
+    @cached_property
+    def run_contexts(self):
+        return daily.contexts(self.positions, self.run_gaps, self.stats, self.regime)
+
+    @cached_property
+    def run_decisions(self):
+        return self.save(portfolio.decisions(self.run_contexts, {n: f() for n, f in RULES.items()}), "run-decisions")
+
+    @cached_property
+    def after(self):
+        """Positions of each date after the active rule's decision."""
+        return self.save(daily.after_rule(self.positions, self.run_decisions.where(c("rule_id") == ACTIVE), self.run_gaps), "after")
+
+    @cached_property
+    def known(self):
+        """What each run knows of the data: last prices, freshness, usable tickers."""
+        prices = sessions.known_prices(self.saved_panel, self.wanted.where("ord <= 25"), self.runs)
+        usable = sessions.usable_as_of(returns.covered(self.rets), self.runs)
+        return self.save(sessions.freshness_as_of(prices).join(usable, K), "known")
+
     @cached_property
     def plan(self):
-        return daily.plan(daily.named(self.positions, self.sectors), self.saved_panel)
+        return daily.plan(daily.named(self.after, self.sectors), self.saved_panel)
+
+    def gated(self, after: DataFrame, stats: DataFrame | None = None, mode: str = "production", spread: float = 0.08, least: int = 2):
+        """Tradeability of each date by what its run knows and holds after the rule, which overrides it with a skip.
+
+        ``adopted_long`` and ``adopted_short`` are the counts before the rule, ``n_long`` and ``n_short`` those after it.
+        """
+        rows = (self.stats if stats is None else stats).join(self.runs, K).join(self.known, K).join(daily.taken(after), K)
+        rows = rows.join(regime.warnings(self.regime), K, "left").join(after.select(*K, "strategy").distinct(), K, "left")
+        rows = rows.withColumn("no_trade", selection.no_trade_class(c("adopted_long"), c("adopted_short"), c("long_gap_max"), c("short_gap_max"), sure(c("regime_warning"))))
+        rows = rows.withColumn("class_after", daily.class_after(c("strategy"), c("no_trade"), c("n_long"), c("n_short"), c("long_gap_max"), c("short_gap_max")))
+        held = rows.withColumnsRenamed({"adopted_long": "before_long", "adopted_short": "before_short", "trade_strength": "adopted_strength"})
+        held = held.withColumnsRenamed({"n_long": "adopted_long", "n_short": "adopted_short", "strength_after": "trade_strength"})
+        held = selection.tradeability(held, c("freshness_ok"), c("dates_aligned"), c("usable_lead"), c("usable_lag"), c("execution_date"), c("source"), mode, spread, least, least)
+        held = held.withColumnsRenamed({"adopted_long": "n_long", "adopted_short": "n_short"}).withColumnsRenamed({"before_long": "adopted_long", "before_short": "adopted_short"})
+        return daily.skip_override(held.withColumn("active_strategy", c("strategy")))
 
     @cached_property
     def traded(self):
-        """Tradeability of each date by its candidates and the data, with what the active rule says about it."""
-        stats = self.stats.join(self.flags, "universe_id").join(store.next_session(self.saved_panel), K, "left").join(regime.warnings(self.regime), K)
-        stats = stats.withColumn("no_trade", selection.no_trade_class(c("adopted_long"), c("adopted_short"), c("long_gap_max"), c("short_gap_max"), c("regime_warning")))
-        rows = selection.tradeability(stats, c("freshness_ok"), c("dates_aligned"), c("usable_lead"), c("usable_lag"), c("next_lag_date"), F.lit("jpx_calendar"), least_spread=0.08, least_long=2, least_short=2)
-        shadow = daily.shadow_decisions(self.decisions, "rule_406_no_flip").drop("shadow")
-        return daily.skip_override(rows.join(shadow, K, "left"))
+        return self.save(self.gated(self.after), "traded")
 
     @cached_property
     def factors(self):
@@ -323,32 +365,47 @@ def _adaptive(m: Market) -> DataFrame:
 
 
 def _checks(m: Market) -> DataFrame:
-    fresh = status.freshness(m.cache()).select("universe_id", "freshness_ok", "latest_lead", "latest_lag")
     quality = returns.joint_quality(m.rets).select("universe_id", "filled_cells")
-    rows = m.stats.join(m.regime.select(*K, "trend_regime", "vol_regime"), K).join(regime.warnings(m.regime), K).join(fresh, "universe_id").join(quality, "universe_id")
-    rows = rows.withColumns({"fill_policy": F.lit("strict"), "price_mode": F.lit("raw"), "n_long": c("adopted_long"), "n_short": c("adopted_short"), "min_long": F.lit("0.0"), "max_short": F.lit("0.0")})
+    rows = m.traded.drop("regime_warning").join(regime.snapshots(m.regime, m.runs), K).join(regime.warnings(m.regime), K, "left").join(quality, "universe_id")
+    rows = rows.withColumns({"fill_policy": F.lit("strict"), "price_mode": F.lit("raw"), "latest_lead": c("lead_max"), "latest_lag": c("lag_max"), "min_long": F.lit("0.0"), "max_short": F.lit("0.0")})
     return daily.execution_checks(rows)
 
 
 def _log(m: Market) -> DataFrame:
-    """Log rows of all dates; what the log writes is the classification before the rule."""
-    rows = m.traded.drop("no_trade").join(daily.tickers(m.plan), K, "left").join(m.regime.select(*K, "trend_regime", "vol_regime", "rotation_regime"), K)
-    cls = selection.no_trade_class(c("adopted_long"), c("adopted_short"), c("long_gap_max"), c("short_gap_max"), c("regime_warning"))
+    """Log rows of all dates: counts, tickers and classification after the rule."""
+    rows = m.traded.drop("no_trade").join(daily.tickers(m.plan), K, "left").join(regime.snapshots(m.regime, m.runs), K)
     none = F.array().cast("array<string>")
     rows = rows.withColumns({
-        "signal_reference_us_date": c("date").cast("string"), "execution_target_jp_date": c("next_lag_date").cast("string"), "execution_target_jp_date_source": F.lit("jpx_calendar"), "operation_mode": F.lit("production"), "trade_signal_strength": F.round("trade_strength", 6), "trade_block_reason": c("block_reason"),
+        "signal_reference_us_date": c("date").cast("string"), "execution_target_jp_date": c("execution_date").cast("string"), "execution_target_jp_date_source": c("source"), "operation_mode": F.lit("production"), "trade_signal_strength": F.round("trade_strength", 6), "trade_block_reason": c("block_reason"),
         "min_signal_spread_used": F.lit(0.08), "min_long_signal_used": F.lit(0.0), "max_short_signal_used": F.lit(0.0), "min_adopted_long_count_used": F.lit(2), "min_adopted_short_count_used": F.lit(2), "candidate_long_count": c("candidate_long"), "candidate_short_count": c("candidate_short"),
-        "adopted_long_count": c("adopted_long"), "adopted_short_count": c("adopted_short"), "latest_dates_aligned": c("dates_aligned"), "usable_us_tickers": c("usable_lead"), "usable_jp_tickers": c("usable_lag"), "candidate_signal_strength": F.round("candidate_strength", 6), "no_trade_classification": cls,
-        "threshold_gap_long_max": c("long_gap_max"), "threshold_gap_short_max": c("short_gap_max"), "long_tickers": F.coalesce("long_tickers", none), "short_tickers": F.coalesce("short_tickers", none), "regime_warning_reason": F.split("reasons", "[|]"),
+        "adopted_long_count": c("n_long"), "adopted_short_count": c("n_short"), "latest_dates_aligned": c("dates_aligned"), "usable_us_tickers": c("usable_lead"), "usable_jp_tickers": c("usable_lag"), "candidate_signal_strength": F.round("candidate_strength", 6), "adopted_signal_strength": F.round("adopted_strength", 6),
+        "no_trade_classification": c("class_after"), "threshold_gap_long_max": c("long_gap_max"), "threshold_gap_short_max": c("short_gap_max"), "long_tickers": F.coalesce("long_tickers", none), "short_tickers": F.coalesce("short_tickers", none), "regime_warning_reason": F.filter(F.split("reasons", "[|]"), lambda x: x != ""),
     })
     return daily.log_rows(rows, F.lit("1970-01-01T00:00:00+00:00"))
 
 
 def _history(m: Market) -> DataFrame:
-    rows = m.traded.select(*K, c("date").cast("string").alias("signal_date"), c("next_lag_date").cast("string").alias("exec_date"), "tradeable").join(daily.tickers(m.plan), K, "left")
+    """History entries of all dates: what was held after the rule, and what the rule decided."""
+    rows = m.traded.withColumns({"signal_date": c("date").cast("string"), "exec_date": c("execution_date").cast("string")}).join(daily.tickers(m.plan), K, "left")
     none = F.array().cast("array<string>")
     rows = rows.withColumns({x: F.coalesce(x, none) for x in ("long_tickers", "short_tickers")})
-    return daily.history(rows).select(*K, "dedupe_key")
+    return daily.history(rows).select(*K, "dedupe_key", c("source").alias("exec_source"), "tradeable", "block_reason", "n_long", "n_short", "freshness_ok", "dates_aligned", "usable_lead", "usable_lag", "no_trade", F.lit(ACTIVE).alias("rule_id"), c("strategy").alias("selected_strategy"), daily.action(c("strategy")).alias("action"))
+
+
+#: Settings that the gate is tried with: name, mode, whether the rule holds, thresholds (both sides), least spread and count.
+GATES = (("as run", "production", True, 0.0, 0.08, 2), ("no rule", "production", False, 0.0, 0.0, 1), ("development", "development", False, 0.0, 0.0, 1), ("wide", "production", False, 0.0, 0.15, 1), ("many", "production", False, 0.0, 0.0, 5), ("strict", "production", False, 0.05, 0.0, 1))
+
+
+def _gates(m: Market) -> DataFrame:
+    """The gate under several settings; the setting is part of every key, so all share one pass for positions and one for
+    the gate's inputs."""
+    out = None
+    for name, mode, rule, threshold, spread, least in GATES:
+        pos = selection.positions(m.masks, threshold, -threshold)
+        after = daily.after_rule(pos, m.run_decisions.where((c("rule_id") == ACTIVE) & F.lit(rule)), m.run_gaps)
+        rows = m.gated(after, selection.candidate_stats(pos), mode, spread, least).select(*K, F.lit(name).alias("setting"), "tradeable", "block_reason", "no_trade", "calendar_warning", "n_long", "n_short")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _readiness(m: Market) -> DataFrame:
@@ -462,7 +519,7 @@ QUERIES: dict[str, Query] = {
     "spearman": Query(lambda m: studies.spearman(m.portfolio.join(m.lead_features, K), ["universe_id"], "gross_return", "breadth"), """
       SELECT universe_id, corr(ra, rb) AS rho, count(*) AS n FROM (SELECT universe_id, rank() OVER (ORDER BY gross_return) + (count(*) OVER (PARTITION BY gross_return) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY breadth) + (count(*) OVER (PARTITION BY breadth) - 1) / 2.0::DOUBLE AS rb FROM pf JOIN leadf USING (universe_id, date)) GROUP BY ALL""", ("rho",), ()),
     "lots_plan": Query(lambda m: m.plan.na.drop(subset=["lots"]).select(*K, "ticker", "position", "sector", "latest_price", "weight_pct", "min_purchase", "lots", "purchase"), "SELECT * EXCLUDE (signal), lots * latest_price AS purchase FROM plan WHERE lots IS NOT NULL", ("weight_pct",)),
-    "order_documents": Query(lambda m: daily.order_documents(m.positions, m.plan), """
+    "order_documents": Query(lambda m: daily.order_documents(m.after, m.plan), """
       SELECT universe_id, date, '{"common":{"market":"TKY","price_type":"market","validity":"this_day","skip_estimate":true,"trade_password":""},"orders":[' || coalesce(o, '') || ']}' AS payload FROM (SELECT DISTINCT universe_id, date FROM positions) LEFT JOIN (
       SELECT date, string_agg('{"stock_code":"' || replace(ticker, '.T', '') || '","order_kind":"' || CASE WHEN position = 'LONG' THEN 'genbutsu_buy' ELSE 'shinyo_sell' END || '","quantity":' || coalesce(lots, 1) || CASE WHEN position = 'LONG' THEN '' ELSE ',"payment_limit":"day"' END || ',"nariyuki_condition":"寄成","sor_enabled":false,"note":"'
         || position || ' / ' || sector || ' / ' || coalesce(lots, 1) || '口"}', ',' ORDER BY position, signal DESC, ticker) AS o FROM plan GROUP BY date) USING (date)"""),
@@ -470,19 +527,25 @@ QUERIES: dict[str, Query] = {
       SELECT g AS "group", count(*) AS tickers, CASE WHEN count(l) = count(*) AND min(f) <= DATE '1995-01-01' THEN greatest(min(l) - 7, DATE '1995-01-01') ELSE DATE '1995-01-01' END AS from_date FROM (
         SELECT CASE WHEN i <= 11 THEN 'lead' ELSE 'lag' END || '-' || CASE WHEN i % 2 = 0 THEN 'even' ELSE 'odd' END AS g, 'Brand#' || i AS ticker FROM range(1, 27) t(i) WHERE i NOT IN (3, 7) UNION ALL SELECT 'first five', 'Brand#' || i FROM range(1, 6) t(i))
       LEFT JOIN (SELECT ticker, min(date) AS f, max(date) AS l FROM panel WHERE close IS NOT NULL GROUP BY ticker) USING (ticker) GROUP BY g""", (), ("from_date",)),
-    "tradeability": Query(lambda m: m.traded.select(*K, "next_lag_date", "tradeable", "block_reason", "no_trade"), "SELECT universe_id, date, next_lag_date, tradeable, block_reason, no_trade FROM traded", (), ("date", "next_lag_date")),
-    "shadow_decisions": Query(lambda m: daily.shadow_decisions(m.decisions, "rule_406_no_flip").select(*K, "active_strategy", F.array_join(F.transform(F.map_entries("shadow"), lambda e: F.concat_ws("=", e["key"], e["value"])), "|").alias("shadow")), """
-      SELECT universe_id, date, max(strategy) FILTER (rule_id = 'rule_406_no_flip') AS active_strategy, string_agg(rule_id || '=' || strategy, '|' ORDER BY rule_id) FILTER (rule_id <> 'rule_406_no_flip') AS shadow FROM decisions GROUP BY ALL"""),
+    "tradeability": Query(lambda m: m.traded.select(*K, "execution_date", "source", "tradeable", "block_reason", "no_trade", "n_long", "n_short", "trade_strength"), "SELECT universe_id, date, execution_date, source, tradeable, block_reason, no_trade, n_long, n_short, strength AS trade_strength FROM traded", ("trade_strength",), ("date", "execution_date")),
+    "tradeability_settings": Query(_gates, gates_sql(GATES)),
+    "calendar_sources": Query(lambda m: m.runs, "SELECT * FROM runs", (), ("date", "execution_date")),
+    "freshness_daily": Query(lambda m: m.known.withColumns({x: F.array_join(x, "|") for x in ("missing", "stale")}), "SELECT * FROM known", (), ("date", "lead_min", "lead_max", "lag_min", "lag_max")),
+    "gaps_as_of": Query(lambda m: m.run_gaps, "SELECT * FROM run_gaps", ("gap",), ("date", "gap_date")),
+    "strategy_context_daily": Query(lambda m: m.run_contexts, "SELECT * FROM run_context", ("open_gap", "long_gap", "short_gap", "candidate_signal_strength")),
+    "daily_positions": Query(lambda m: m.after.select(*K, "ticker", "signal", "strategy", "position_before", "position"), "SELECT universe_id, date, ticker, signal, strategy, before AS position_before, position FROM after_rule", ("signal",)),
+    "shadow_decisions": Query(lambda m: daily.shadow_decisions(m.run_decisions, ACTIVE).select(*K, "active_strategy", F.array_join(F.transform(F.map_entries("shadow"), lambda e: F.concat_ws("=", e["key"], e["value"])), "|").alias("shadow")), """
+      SELECT universe_id, date, max(strategy) FILTER (rule_id = 'rule_406_no_flip') AS active_strategy, string_agg(rule_id || '=' || strategy, '|' ORDER BY rule_id) FILTER (rule_id <> 'rule_406_no_flip') AS shadow FROM run_decisions GROUP BY ALL"""),
     "gap_pick": Query(lambda m: daily.pick_gaps(m.rets.where("side = 'lag'"), m.saved_panel.select("universe_id").distinct().select("universe_id", F.explode(F.array(*[F.lit(x).cast("date") for x in ("1997-05-01", "1997-05-02")])).alias("execution_date"))), """
       SELECT universe_id, DATE '1997-05-01' AS execution_date, date, ticker, gap FROM rets WHERE side = 'lag' AND date = DATE '1997-05-01' UNION ALL
       SELECT universe_id, DATE '1997-05-02', date, ticker, gap FROM rets WHERE side = 'lag' AND date = (SELECT max(date) FROM rets WHERE side = 'lag')
       UNION ALL SELECT universe_id, DATE '1997-05-01', date, ticker, gap FROM rets WHERE side = 'lag' AND date = (SELECT max(date) FROM rets WHERE side = 'lag') AND NOT EXISTS (FROM rets WHERE side = 'lag' AND date = DATE '1997-05-01')""", ("gap",), ("date", "execution_date")),
     "execution_checks": Query(_checks, """
-      SELECT universe_id, date, n::INT AS n, level, message FROM (SELECT universe_id, date, unnest(range(0, 7)) AS n, unnest(['ok', 'ok', 'ok', 'ok', CASE WHEN adopted_short = 0 THEN 'ok' ELSE 'warn' END, 'ok', CASE WHEN trend_regime = 'downtrend' OR vol_regime = 'high_vol' THEN 'warn' END]) AS lv,
-        unnest([CASE WHEN fresh THEN 'ok' ELSE 'warn' END, 'ok', 'ok', 'ok', CASE WHEN adopted_short = 0 THEN 'ok' ELSE 'warn' END, 'ok', CASE WHEN trend_regime = 'downtrend' OR vol_regime = 'high_vol' THEN 'warn' END]) AS level,
-        unnest(['data freshness: ' || CASE WHEN fresh THEN 'OK' ELSE 'Warning' END || ' (lead=' || lead_max || ', lag=' || lag_max || ')', 'fill policy: strict / filled cells=' || (SELECT count(*) FROM covered c JOIN filled f USING (date, ticker) WHERE c.ret IS NULL AND f.ret IS NOT NULL),
-          'long/short: ' || adopted_long || ' / ' || adopted_short || ' (candidates: ' || candidate_long || ' / ' || candidate_short || ')', 'thresholds: long>=0.0, short<=0.0', 'shorts need margin or borrowed stock', 'price mode: raw', 'regime: ' || trend_regime || ' x ' || vol_regime]) AS message
-        FROM stats JOIN regime USING (universe_id, date) JOIN flags USING (universe_id)) WHERE level IS NOT NULL"""),
+      SELECT universe_id, date, n::INT AS n, level, message FROM (SELECT universe_id, date, unnest(range(0, 7)) AS n,
+        unnest([CASE WHEN freshness_ok THEN 'ok' ELSE 'warn' END, 'ok', 'ok', 'ok', CASE WHEN n_short = 0 THEN 'ok' ELSE 'warn' END, 'ok', CASE WHEN trend_regime = 'downtrend' OR vol_regime = 'high_vol' THEN 'warn' END]) AS level,
+        unnest(['data freshness: ' || CASE WHEN freshness_ok THEN 'OK' ELSE 'Warning' END || ' (lead=' || lead_max || ', lag=' || lag_max || ')', 'fill policy: strict / filled cells=' || (SELECT count(*) FROM covered c JOIN filled f USING (date, ticker) WHERE c.ret IS NULL AND f.ret IS NOT NULL),
+          'long/short: ' || n_long || ' / ' || n_short || ' (candidates: ' || candidate_long || ' / ' || candidate_short || ')', 'thresholds: long>=0.0, short<=0.0', 'shorts need margin or borrowed stock', 'price mode: raw', 'regime: ' || trend_regime || ' x ' || vol_regime]) AS message
+        FROM stats JOIN run_context USING (universe_id, date) JOIN known USING (universe_id, date) JOIN traded USING (universe_id, date)) WHERE level IS NOT NULL"""),
     "cache_summary": Query(lambda m: m.cache().withColumns({x: F.array_join(x, "|") for x in ("missing", "stale")}), "SELECT *, coalesce(lead_min = lead_max, false) AND coalesce(lag_min = lag_max, false) AS aligned, missing = '' AND stale = '' AND coalesce(lead_min = lead_max, false) AND coalesce(lag_min = lag_max, false) AS signal_ready FROM cache", (), ("lead_min", "lead_max", "lag_min", "lag_max")),
     "cache_summary_late": Query(lambda m: m.cache("2099-01-01", 26).select("universe_id", "aligned", "signal_ready", F.size("missing").alias("missing"), F.size("stale").alias("stale")), """
       SELECT 'all' AS universe_id, coalesce(min(last) FILTER (side = 'lead') = max(last) FILTER (side = 'lead'), false) AND coalesce(min(last) FILTER (side = 'lag') = max(last) FILTER (side = 'lag'), false) AS aligned, false AS signal_ready, (count(*) FILTER (last IS NULL) + 1)::INT AS missing, count(last)::INT AS stale FROM tracked""", (), ()),
@@ -503,13 +566,18 @@ QUERIES: dict[str, Query] = {
     "joint_uncovered_fill": Query(lambda m: returns.joint(m.rets, 0.0, "rolling_mean"), """
       SELECT * FROM (SELECT universe_id, date, ticker, ord, side, coalesce(ret_cc, avg(ret_cc) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) AS ret FROM rets WHERE date IN (SELECT date FROM rets GROUP BY date HAVING count(DISTINCT side) = 2))
       WHERE date NOT IN (SELECT date FROM (SELECT date, coalesce(ret_cc, avg(ret_cc) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) AS r FROM rets WHERE date IN (SELECT date FROM rets GROUP BY date HAVING count(DISTINCT side) = 2)) WHERE r IS NULL)""", ("ret",)),
-    "daily_log": Query(lambda m: _log(m).select("signal_reference_us_date", "execution_target_jp_date", "trade_signal_strength", "tradeable", "trade_block_reason", "candidate_long_count", "adopted_short_count", "freshness_ok", "n_long", "n_short", "long_tickers", "short_tickers", "regime_warning", "regime_warning_reason", "no_trade_classification"), """
-      SELECT CAST(date AS VARCHAR) AS signal_reference_us_date, CAST(t.next_lag_date AS VARCHAR) AS execution_target_jp_date, round(trade_strength, 6) AS trade_signal_strength, tradeable, block_reason AS trade_block_reason, candidate_long AS candidate_long_count, adopted_short AS adopted_short_count, fresh AS freshness_ok,
-        adopted_long::INT AS n_long, adopted_short::INT AS n_short, coalesce(replace(replace(longs, '"', ''), ',', '|'), '') AS long_tickers, coalesce(replace(replace(shorts, '"', ''), ',', '|'), '') AS short_tickers, trend_regime = 'downtrend' OR vol_regime = 'high_vol' AS regime_warning,
-        concat_ws('|', CASE WHEN trend_regime = 'downtrend' THEN 'downtrend' END, CASE WHEN vol_regime = 'high_vol' THEN 'high_vol' END, CASE WHEN trend_regime = 'downtrend' AND vol_regime = 'high_vol' THEN 'downtrend_high_vol' END) AS regime_warning_reason, cls AS no_trade_classification
-      FROM traded t JOIN stats USING (universe_id, date) JOIN flags USING (universe_id) JOIN regime USING (universe_id, date) LEFT JOIN held USING (date)""", ("trade_signal_strength",), ()),
+    "daily_log": Query(lambda m: _log(m).drop("created_at", "min_signal_spread_used", "min_long_signal_used", "max_short_signal_used", "min_adopted_long_count_used", "min_adopted_short_count_used", "long_contribution_pct", "short_contribution_pct", "total_return_pct"), """
+      SELECT CAST(date AS VARCHAR) AS signal_reference_us_date, CAST(execution_date AS VARCHAR) AS execution_target_jp_date, source AS execution_target_jp_date_source, 'production' AS operation_mode, round(strength, 6) AS trade_signal_strength, tradeable, block_reason AS trade_block_reason,
+        candidate_long AS candidate_long_count, candidate_short AS candidate_short_count, n_long AS adopted_long_count, n_short AS adopted_short_count, freshness_ok, dates_aligned AS latest_dates_aligned, usable_lead AS usable_us_tickers, usable_lag AS usable_jp_tickers,
+        n_long::INT AS n_long, n_short::INT AS n_short, coalesce(replace(replace(longs, '"', ''), ',', '|'), '') AS long_tickers, coalesce(replace(replace(shorts, '"', ''), ',', '|'), '') AS short_tickers, '[]' AS details_json, trend_regime, vol_regime, rotation_regime,
+        trend_regime = 'downtrend' OR vol_regime = 'high_vol' AS regime_warning, '[' || concat_ws(', ', CASE WHEN trend_regime = 'downtrend' THEN '"downtrend"' END, CASE WHEN vol_regime = 'high_vol' THEN '"high_vol"' END, CASE WHEN trend_regime = 'downtrend' AND vol_regime = 'high_vol' THEN '"downtrend_high_vol"' END) || ']' AS regime_warning_reason,
+        round(candidate_strength, 6) AS candidate_signal_strength, round(trade_strength, 6) AS adopted_signal_strength, long_gap_max AS threshold_gap_long_max, short_gap_max AS threshold_gap_short_max, class_after AS no_trade_classification
+      FROM traded JOIN stats USING (universe_id, date) JOIN known USING (universe_id, date) JOIN (SELECT universe_id, date, trend_regime, vol_regime, rotation_regime FROM run_context) USING (universe_id, date) LEFT JOIN held USING (date)""",
+      ("trade_signal_strength", "candidate_signal_strength", "adopted_signal_strength", "threshold_gap_long_max", "threshold_gap_short_max"), ()),
     "history_entries": Query(_history, """
-      SELECT universe_id, date, '{"signalDate":"' || date || '","execJpDate":' || coalesce('"' || next_lag_date || '"', 'null') || ',"tradeable":' || tradeable || ',"longTickers":[' || coalesce(longs, '') || '],"shortTickers":[' || coalesce(shorts, '') || ']}' AS dedupe_key FROM traded LEFT JOIN held USING (date)"""),
+      SELECT universe_id, date, '{"signalDate":"' || date || '","execJpDate":' || coalesce('"' || execution_date || '"', 'null') || ',"tradeable":' || tradeable || ',"longTickers":[' || coalesce(longs, '') || '],"shortTickers":[' || coalesce(shorts, '') || ']}' AS dedupe_key,
+        source AS exec_source, tradeable, block_reason, n_long, n_short, freshness_ok, dates_aligned, usable_lead, usable_lag, no_trade, 'rule_406_no_flip' AS rule_id, strategy AS selected_strategy, CASE strategy WHEN 'skip' THEN 'skip' ELSE 'execute' END AS action
+      FROM traded JOIN known USING (universe_id, date) LEFT JOIN held USING (date)"""),
     "store_tail": Query(lambda m: store.tail(m.panel, ["Brand#3", "Brand#20", "Brand#99"], "2001-06-01"), "SELECT ticker, date, open, close FROM panel WHERE ticker IN ('Brand#3', 'Brand#20') AND date >= DATE '2001-06-01'", ("open", "close")),
     "business_days": Query(lambda m: store.weekday_calendar(m.spark, "1999-12-20", "2000-01-10", ["1999-12-31", "2000-01-03"]), "SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '1999-12-20', DATE '2000-01-10', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6 AND CAST(d AS DATE) NOT IN (DATE '1999-12-31', DATE '2000-01-03')"),
     "long_details": Query(lambda m: documents.last_closes(m.saved_panel, m.positions), """

@@ -6,7 +6,7 @@ import re
 
 LENGTH = 12
 
-CTES = r"""
+_CTES = r"""
 panel AS (
   SELECT 'all' AS universe_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, p_brand AS ticker, CAST(regexp_extract(p_brand, '(\d+)$', 1) AS INTEGER) AS ord,
     CASE WHEN CAST(regexp_extract(p_brand, '(\d+)$', 1) AS INTEGER) <= 11 THEN 'lead' ELSE 'lag' END AS side, CAST(CAST(regexp_extract(p_brand, '(\d+)$', 1) AS INTEGER) % 3 - 1 AS INTEGER) AS cyc,
@@ -169,22 +169,47 @@ cache AS (
 flags AS (
   SELECT universe_id, coalesce(lead_min = lead_max, false) AND coalesce(lag_min = lag_max, false) AS aligned, missing = '' AND stale = '' AND coalesce(lead_min = lead_max, false) AND coalesce(lag_min = lag_max, false) AS ready, missing = '' AND stale = '' AND lead_max IS NOT NULL AND lag_max IS NOT NULL AS fresh,
     missing <> '' OR stale <> '' AS behind, lead_max, lag_max, (SELECT count(*) FROM (SELECT ticker FROM covered WHERE side = 'lead' GROUP BY ticker HAVING count(ret) > 0)) AS lead_n, (SELECT count(*) FROM (SELECT ticker FROM covered WHERE side = 'lag' GROUP BY ticker HAVING count(ret) > 0)) AS lag_n FROM cache),
+runs AS (
+  SELECT universe_id, date, CASE WHEN nxt IS NULL THEN date + 1 + CASE WHEN isodow(date + 1) > 5 THEN (8 - isodow(date + 1))::INT ELSE 0 END WHEN nxt - date <= 366 THEN nxt END AS execution_date,
+    CASE WHEN nxt IS NULL THEN 'weekday_fallback' WHEN nxt - date <= 366 THEN 'jpx_calendar' ELSE 'jpx_calendar_unavailable' END AS source, CASE WHEN nxt - date <= 14 THEN 14 WHEN nxt - date <= 60 THEN 60 WHEN nxt - date <= 366 THEN 366 END AS horizon
+  FROM (SELECT universe_id, date, (SELECT min(b.date) FROM panel b WHERE b.side = 'lag' AND b.date > a.date) AS nxt FROM (SELECT DISTINCT universe_id, date FROM mask_all) a)),
+run_gaps AS (
+  SELECT universe_id, r.date, gap_date, ticker, gap FROM (SELECT r.universe_id, r.date, max(h.date) AS gap_date FROM runs r JOIN (SELECT DISTINCT date FROM rets WHERE side = 'lag') h ON r.execution_date IS NULL OR h.date <= r.execution_date GROUP BY ALL) r
+  JOIN (SELECT date AS gap_date, ticker, gap FROM rets WHERE side = 'lag') g USING (gap_date)),
+run_context AS (
+  SELECT universe_id, date, open_gap, long_gap, short_gap, nullif(round(candidate_strength, 6), 0.0::DOUBLE) AS candidate_signal_strength, coalesce(trend_regime, 'sideways') AS trend_regime, coalesce(vol_regime, 'mid_vol') AS vol_regime, coalesce(rotation_regime, 'mid_rotation') AS rotation_regime
+  FROM stats LEFT JOIN (SELECT date, avg(gap) AS open_gap FROM run_gaps GROUP BY date) USING (date) LEFT JOIN (
+    SELECT p.date, avg(gap) FILTER (cand_long AND NOT (position = 'SHORT' AND signal >= lt)) AS long_gap, avg(gap) FILTER (cand_short) AS short_gap FROM positions p LEFT JOIN run_gaps g USING (universe_id, date, ticker) GROUP BY p.date) USING (date)
+  LEFT JOIN (SELECT date, trend_regime, vol_regime, rotation_regime FROM regime) USING (date)),
+run_decisions AS (
+  SELECT universe_id, date, unnest(['rule_406', 'rule_406_no_flip', 'rule_399', 'rule_13', 'rule_87', 'rule_1357']) AS rule_id, unnest([
+    CASE WHEN NOT coalesce(abs(open_gap) <= 0.015, false) OR coalesce(rotation_regime = 'weak_rotation', false) THEN 'skip' WHEN coalesce(abs(short_gap) > 0.010, false) THEN 'long_flip_oc' ELSE 'gap_ovht_oc' END,
+    CASE WHEN NOT coalesce(abs(open_gap) <= 0.015, false) OR coalesce(rotation_regime = 'weak_rotation', false) THEN 'skip' ELSE 'gap_ovht_oc' END,
+    CASE WHEN NOT coalesce(candidate_signal_strength >= 0.3, false) THEN 'skip' WHEN coalesce(vol_regime = 'high_vol' AND abs(open_gap) > 0.005, false) THEN 'long_flip_oc' ELSE 'gap_ovht_oc' END,
+    CASE WHEN NOT coalesce(vol_regime = 'high_vol' OR rotation_regime = 'strong_rotation', false) THEN 'skip' WHEN coalesce(abs(short_gap) > 0.010, false) THEN 'short_only_oc' ELSE 'gap_ovht_oc' END,
+    CASE WHEN NOT coalesce(vol_regime = 'high_vol' OR rotation_regime = 'strong_rotation', false) THEN 'skip' WHEN coalesce(abs(short_gap) > 0.0075, false) THEN 'lgap_oc' ELSE 'gap_ovht_oc' END,
+    CASE WHEN NOT coalesce(trend_regime IN ('uptrend', 'downtrend'), false) THEN 'skip' WHEN coalesce(abs(open_gap) > 0.0075, false) THEN 'lgap_oc' ELSE 'gap_ovht_oc' END]) AS strategy
+  FROM run_context),
+after_rule AS (
+  SELECT p.* EXCLUDE (position), position AS before, strategy, CASE WHEN strategy = 'skip' THEN 'neutral' WHEN strategy = 'gap_ovht_oc' AND (position = 'LONG' AND coalesce(gap > 0.005, false) OR position = 'SHORT' AND coalesce(gap < -0.005, false)) THEN 'neutral' ELSE position END AS position
+  FROM positions p LEFT JOIN (SELECT universe_id, date, strategy FROM run_decisions WHERE rule_id = 'rule_406_no_flip') USING (universe_id, date) LEFT JOIN run_gaps USING (universe_id, date, ticker)),
 plan0 AS (
   SELECT p.universe_id, p.date, p.ticker, p.position, p.signal, CASE WHEN CAST(regexp_extract(p.ticker, '(\d+)$', 1) AS INTEGER) <= 20 THEN 'Sector ' || (CAST(regexp_extract(p.ticker, '(\d+)$', 1) AS INTEGER) % 5) ELSE p.ticker END AS sector, close, round_even(close, 0)::BIGINT AS latest_price
-  FROM positions p LEFT JOIN panel USING (universe_id, date, ticker) WHERE p.position <> 'neutral'),
+  FROM after_rule p LEFT JOIN panel USING (universe_id, date, ticker) WHERE p.position <> 'neutral'),
 plan AS (
   SELECT * EXCLUDE (close), round(100.0::DOUBLE / count(*) OVER (PARTITION BY date, position), 1) AS weight_pct, round_even(close * 10, 0)::BIGINT AS min_purchase,
     CASE WHEN latest_price > 0 THEN greatest(1, round_even(max(latest_price) OVER (PARTITION BY date) / latest_price, 0)::BIGINT) END AS lots FROM plan0),
-sessions AS (SELECT date, (SELECT min(b.date) FROM panel b WHERE b.side = 'lag' AND b.date > a.date) AS next_lag_date FROM (SELECT DISTINCT date FROM panel WHERE side = 'lead') a),
-trade0 AS (
-  SELECT s.*, next_lag_date, CASE WHEN NOT fresh THEN 'freshness_not_ok' WHEN NOT aligned THEN 'cache_dates_not_aligned' WHEN lead_n < 1 OR lag_n < 1 THEN 'too_few_usable_tickers' WHEN next_lag_date IS NULL THEN 'no_execution_target_date' WHEN candidate_long > 0 AND adopted_long = 0 THEN 'no_long_candidates_after_threshold'
-      WHEN candidate_short > 0 AND adopted_short = 0 THEN 'no_short_candidates_after_threshold' WHEN adopted_long = 0 OR adopted_short = 0 THEN 'too_few_usable_tickers' WHEN adopted_long < 2 OR adopted_short < 2 THEN 'insufficient_positions_after_threshold' WHEN trade_strength < 0.08 THEN 'signal_spread_too_small' END AS reason,
-    CASE WHEN adopted_long >= 1 AND adopted_short >= 1 THEN NULL WHEN adopted_long >= 1 OR adopted_short >= 1 THEN 'one_side_only' WHEN (trend_regime = 'downtrend' OR vol_regime = 'high_vol') AND coalesce(long_gap_max > -0.03, false) AND coalesce(short_gap_max > -0.03, false) THEN 'regime_blocked'
-      WHEN coalesce(long_gap_max > -0.03, false) OR coalesce(short_gap_max > -0.03, false) THEN 'near_miss_threshold' ELSE 'hard_no_signal' END AS cls, coalesce(d.strategy = 'skip', false) AS skip
-  FROM stats s JOIN flags USING (universe_id) JOIN regime USING (universe_id, date) LEFT JOIN sessions USING (date) LEFT JOIN (SELECT date, strategy FROM decisions WHERE rule_id = 'rule_406_no_flip') d USING (date)),
-traded AS (
-  SELECT universe_id, date, next_lag_date, NOT skip AND reason IS NULL AS tradeable, CASE WHEN skip THEN 'strategy_rule_skip' ELSE reason END AS block_reason,
-    CASE WHEN skip AND adopted_long >= 1 AND adopted_short >= 1 THEN 'strategy_rule_skip_with_candidates' WHEN skip THEN 'strategy_rule_skip' ELSE cls END AS no_trade, cls FROM trade0),
+known0 AS (
+  SELECT r.universe_id, r.date, t.side, t.ticker, count(p.date) AS rows, max(p.date) AS last
+  FROM runs r CROSS JOIN (SELECT 'Brand#' || i AS ticker, CASE WHEN i <= 11 THEN 'lead' ELSE 'lag' END AS side FROM range(1, 26) g(i)) t
+  LEFT JOIN panel p ON p.ticker = t.ticker AND (p.open IS NOT NULL OR p.close IS NOT NULL) AND p.date <= CASE WHEN t.side = 'lag' THEN coalesce(r.execution_date, r.date) ELSE r.date END GROUP BY ALL),
+known1 AS (
+  SELECT universe_id, date, sum(rows)::BIGINT AS rows, min(last) FILTER (side = 'lead') AS lead_min, max(last) FILTER (side = 'lead') AS lead_max, min(last) FILTER (side = 'lag') AS lag_min, max(last) FILTER (side = 'lag') AS lag_max,
+    coalesce(string_agg(ticker, '|' ORDER BY ticker) FILTER (last IS NULL), '') AS missing, coalesce(string_agg(ticker, '|' ORDER BY ticker) FILTER (last < date), '') AS stale FROM known0 GROUP BY ALL),
+known AS (
+  SELECT *, coalesce(lead_min = lead_max, false) AND coalesce(lag_min = lag_max, false) AS dates_aligned, missing = '' AND stale = '' AND coalesce(lead_min = lead_max, false) AND coalesce(lag_min = lag_max, false) AS signal_ready,
+    missing = '' AND stale = '' AND lead_max IS NOT NULL AND lag_max IS NOT NULL AS freshness_ok, (SELECT count(DISTINCT ticker) FROM covered c WHERE c.side = 'lead' AND c.ret IS NOT NULL AND c.date <= k.date) AS usable_lead,
+    (SELECT count(DISTINCT ticker) FROM covered c WHERE c.side = 'lag' AND c.ret IS NOT NULL AND c.date <= k.date) AS usable_lag FROM known1 k),
 held AS (SELECT date, string_agg('"' || ticker || '"', ',' ORDER BY ticker) FILTER (position = 'LONG') AS longs, string_agg('"' || ticker || '"', ',' ORDER BY ticker) FILTER (position = 'SHORT') AS shorts FROM plan GROUP BY date),
 actions AS (
   SELECT universe_id, ticker, date, 'dividend' AS action_type, close / 100 AS value, 'orders' AS source FROM panel WHERE month(date) IN (3, 9) AND close / 100 > 0
@@ -197,6 +222,48 @@ recovery AS (
 """
 
 
+def _between(start: str, end: str) -> str:
+    """The text of an expression, without its name and brackets."""
+    at = _CTES.index(f"{start} AS (") + len(start) + 5
+    return _CTES[at : _CTES.index(f"{end} AS (", at)].strip().rstrip(",").removesuffix(")")
+
+
+def _held(after: str) -> str:
+    return f"SELECT universe_id, date, max(strategy) AS strategy, count(*) FILTER (position = 'LONG') AS n_long, count(*) FILTER (position = 'SHORT') AS n_short, coalesce(avg(signal) FILTER (position = 'LONG') - avg(signal) FILTER (position = 'SHORT'), 0) AS strength FROM ({after}) GROUP BY ALL"
+
+
+def _class(long: str, short: str, warning: str) -> str:
+    near = "coalesce(long_gap_max > -0.03, false)", "coalesce(short_gap_max > -0.03, false)"
+    return f"CASE WHEN {long} >= 1 AND {short} >= 1 THEN NULL WHEN {long} >= 1 OR {short} >= 1 THEN 'one_side_only' WHEN {warning} AND {near[0]} AND {near[1]} THEN 'regime_blocked' WHEN {near[0]} OR {near[1]} THEN 'near_miss_threshold' ELSE 'hard_no_signal' END"
+
+
+def gate(after: str, stats: str, mode: str, spread: float, least: int) -> str:
+    """Tradeability after the rule: ``after`` has the positions that are held, ``stats`` the counts before the rule."""
+    warning = "coalesce(trend_regime = 'downtrend' OR vol_regime = 'high_vol', false)"
+    return f"""
+  SELECT universe_id, date, execution_date, source, NOT skip AND reason IS NULL AS tradeable, CASE WHEN skip THEN 'strategy_rule_skip' ELSE reason END AS block_reason,
+    CASE WHEN skip AND adopted_long >= 1 AND adopted_short >= 1 THEN 'strategy_rule_skip_with_candidates' WHEN skip THEN 'strategy_rule_skip' ELSE cls END AS no_trade,
+    CASE WHEN strategy IS NULL OR strategy = 'curr_oc' THEN cls ELSE cls_after END AS class_after, '{mode}' = 'development' AND source = 'weekday_fallback' AS calendar_warning, n_long, n_short, strength, strategy
+  FROM (SELECT *, coalesce(strategy = 'skip', false) AS skip, {_class("adopted_long", "adopted_short", warning)} AS cls, {_class("n_long", "n_short", "false")} AS cls_after,
+      CASE WHEN NOT freshness_ok THEN 'freshness_not_ok' WHEN NOT dates_aligned THEN 'cache_dates_not_aligned' WHEN usable_lead < 1 OR usable_lag < 1 THEN 'too_few_usable_tickers' WHEN execution_date IS NULL THEN 'no_execution_target_date'
+        WHEN '{mode}' = 'production' AND source <> 'jpx_calendar' THEN 'calendar_source_untrusted' WHEN candidate_long > 0 AND n_long = 0 THEN 'no_long_candidates_after_threshold' WHEN candidate_short > 0 AND n_short = 0 THEN 'no_short_candidates_after_threshold'
+        WHEN n_long = 0 OR n_short = 0 THEN 'too_few_usable_tickers' WHEN n_long < {least} OR n_short < {least} THEN 'insufficient_positions_after_threshold' WHEN strength < {spread} THEN 'signal_spread_too_small' END AS reason
+    FROM ({stats}) JOIN runs USING (universe_id, date) JOIN known USING (universe_id, date) JOIN ({_held(after)}) USING (universe_id, date) LEFT JOIN (SELECT universe_id, date, trend_regime, vol_regime FROM regime) USING (universe_id, date))"""
+
+
+def gates_sql(settings) -> str:
+    """The gate under several settings (name, mode, whether the rule holds, threshold, least spread, least count)."""
+    each = []
+    for name, mode, rule, t, spread, least in settings:
+        positions = f"SELECT * EXCLUDE (position, lt, st), CASE WHEN cand_short AND signal <= -{t} THEN 'SHORT' WHEN cand_long AND signal >= {t} THEN 'LONG' ELSE 'neutral' END AS position, {t}::DOUBLE AS lt, -{t}::DOUBLE AS st FROM positions"
+        after = _between("after_rule", "plan0").replace("FROM positions p", f"FROM ({positions}) p").replace("rule_id = 'rule_406_no_flip'", "rule_id = 'rule_406_no_flip'" if rule else "false")
+        stats = _between("stats", "pf0").replace("FROM positions", f"FROM ({positions})")
+        each.append(f"SELECT universe_id, date, '{name}' AS setting, tradeable, block_reason, no_trade, calendar_warning, n_long, n_short FROM ({gate(after, stats, mode, spread, least)})")
+    return " UNION ALL ".join(each)
+
+
+CTES = _CTES.replace("held AS (SELECT", f"traded AS ({gate('SELECT * FROM after_rule', 'SELECT * FROM stats', 'production', 0.08, 2)}),\nheld AS (SELECT")
+
 #: The chain from scenarios to their summary.
 _CHAIN = ("sc_rows", "sc_head", "sc_mask", "sc_legs", "sc0", "sc1", "sc")
 
