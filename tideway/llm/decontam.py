@@ -2,11 +2,13 @@
 
 The inverted index holds, for each term, the items with the term and their BM25 impacts, divided by the item's score
 against itself, so that a passage with the whole item scores 1 and one threshold fits items of every length.  Items
-lie in blocks, and each term keeps its largest impact in each block.  A document is cut into half passages; two
-neighbours are a passage, so that each stretch of text is whole in some passage up to half its length.  The sum of a
-passage's block maxima, computed for all passages of a document at once, bounds the score of every item of the block;
-only blocks whose bound reaches the threshold are walked by WAND, which moves its postings to the next item that can
-still reach it.  There is no top-k: all items above the threshold are retrieved.  Each is then verified by the shares
+lie in blocks of one length class, and each term keeps its largest impact in each block that has it.  For each class a
+document is cut into half passages, as long as half of the class's longest items; two neighbours are a passage, so that
+each stretch of text is whole in some passage up to half its length, and what an item is compared with depends on its own
+length alone.  The sum of a passage's block maxima, computed for many passages of a document at once, bounds the score of
+every item of the block; only blocks whose bound reaches the threshold are walked by WAND, which moves its postings to the
+next item that can still reach it.  There is no top-k: all items above the threshold are retrieved.  Each is then verified
+by the shares
 of the five-word shingles of its question and of its answer that stand in the passage and its neighbourhood: that of the
 question, that of both together, or that of an answer of at least five words must reach the overlap.
 
@@ -37,8 +39,12 @@ from .warc import open_folder
 _CLEAN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 BLOCK = 4
 OVERLAP_WORDS = 5
-#: Half passages whose bounds are held at once.
-HALVES = 256
+#: Half passages, and bounds of them, that are held at once.
+HALVES, BOUNDS = 256, 1 << 20
+#: The half passage of the shortest items.
+LEAST_HALF = 16
+#: Bytes of an index that a task holds, and of texts that meet each part before the next one is read where it can't hold all.
+MOST_HELD, GROUP_BYTES = 96 << 20, 32 << 20
 _next_item = itemgetter(0)
 
 
@@ -77,25 +83,60 @@ def impact(n, length, df, items, mean, k1: float, b: float):
     return log(1 + (items - df + 0.5) / (df + 0.5)) * n * (k1 + 1) / (n + k1 * (1 - b + b * length / mean))
 
 
+def half_of(length: int) -> int:
+    """Words of half a passage for an item of so many words: its length class."""
+    return max(LEAST_HALF, 1 << (-(-length // 2) - 1).bit_length())
+
+
+class Maxima:
+    """The largest impact of each term in each block that has it, by rows of terms; only those are kept."""
+
+    def __init__(self, term: np.ndarray, block: np.ndarray, impact: np.ndarray, terms: int, blocks: int):
+        at, where = np.unique(term.astype(np.int64) * max(1, blocks) + block, return_inverse=True)
+        self.values, self.blocks = np.zeros(len(at), np.float32), blocks
+        np.maximum.at(self.values, where, impact.astype(np.float32))
+        self.block = (at % max(1, blocks)).astype(np.int32)
+        self.ends = np.searchsorted(at // max(1, blocks), np.arange(terms + 1))
+
+    def of(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For an array of terms: the place in it, the block and the value of each entry of theirs."""
+        n = self.ends[term + 1] - self.ends[term]
+        at = np.arange(n.sum()) + np.repeat(self.ends[term] - (np.cumsum(n) - n), n)
+        return np.repeat(np.arange(len(term)), n), self.block[at], self.values[at]
+
+    def __getitem__(self, term) -> np.ndarray:
+        """Rows of terms over all blocks."""
+        many = np.atleast_1d(np.asarray(term, np.int64))
+        row, block, value = self.of(many)
+        out = np.zeros((len(many), self.blocks), np.float32)
+        out[row, block] = value
+        return out if np.ndim(term) else out[0]
+
+
 class ItemIndex:
     """A part of the index: items (item_id, text, {hash of a term: impact}), whose impacts sum to one for each item.
 
-    ``longest`` is the length in words of the longest of all items, whatever the part they lie in.
+    The items of a length class fill blocks of their own; the last one may have empty places.
     """
 
-    def __init__(self, items: list[tuple[int, str, dict[int, float]]], longest: int):
-        items = sorted(items, key=lambda x: (len(terms(x[1])), x[0], x[1]))  # blocks hold items of about one length
-        self.ids, self.texts, self.longest = [i for i, _, _ in items], [t for _, t, _ in items], longest
-        rows = sorted((t, k, x) for k, (_, _, own) in enumerate(items) for t, x in own.items())
+    def __init__(self, items: list[tuple[int, str, dict[int, float]]]):
+        found: dict[int, list] = {}
+        for n, x in sorted(((len(terms(x[1])), x) for x in items), key=lambda x: (x[0], *x[1][:2])):
+            found.setdefault(half_of(n), []).append(x)
+        places, self.classes = [], []  # (half, first block, last)
+        for half, own in sorted(found.items()):
+            first = len(places) // BLOCK
+            places += own + [(None, "", {})] * (-len(own) % BLOCK)
+            self.classes.append((half, first, len(places) // BLOCK))
+        self.ids, self.texts = [i for i, _, _ in places], [t for _, t, _ in places]
+        rows = sorted((t, k, x) for k, (_, _, own) in enumerate(places) for t, x in own.items())
         self.vocabulary = np.unique(np.array([t for t, _, _ in rows], np.uint64))
         term = np.searchsorted(self.vocabulary, np.array([t for t, _, _ in rows], np.uint64))
         self.ends = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
-        self.items, self.impacts = np.array([k for _, k, _ in rows], np.int32), np.array([x for _, _, x in rows])
-        self.most = np.zeros(len(self.vocabulary) + 1)
+        self.items, self.impacts = np.array([k for _, k, _ in rows], np.int32), np.array([x for _, _, x in rows], float)
+        self.most = np.zeros(len(self.vocabulary))
         np.maximum.at(self.most, term, self.impacts)
-        # the last row is that of the words that no item has
-        self.block_most = np.zeros((len(self.vocabulary) + 1, -(-len(items) // BLOCK)), np.float32)
-        np.maximum.at(self.block_most, (term, self.items // BLOCK), self.impacts.astype(np.float32))
+        self.block_most = Maxima(term, self.items // BLOCK, self.impacts, len(self.vocabulary), len(places) // BLOCK)
         self.lists, self.wanted = {}, {}
 
     @classmethod
@@ -110,7 +151,7 @@ class ItemIndex:
             x = {h: impact(n, own.total(), df[h], len(counts), mean, k1, b) for h, n in own.items()}
             total = sum(x.values())
             out.append((i, t, {h: v / total for h, v in x.items()}))
-        return cls(out, max((own.total() for _, _, own in counts), default=0))
+        return cls(out)
 
     def __getstate__(self):
         return self.__dict__ | {"lists": {}, "wanted": {}}
@@ -143,7 +184,7 @@ class ItemIndex:
             p[1] = k = bisect_left(p[2], to, p[1])
             p[0] = p[2][k] if k < len(p[2]) else end
 
-        most, block_most = {p[4]: float(self.most[p[4]]) for p in lists}, self.block_most
+        most, block_most = {p[4]: float(self.most[p[4]]) for p in lists}, dict(zip(query, self.block_most[query]))
         while True:
             lists = sorted((p for p in lists if p[0] < end), key=_next_item)
             bound, pivot = 0.0, -1
@@ -186,35 +227,38 @@ class ItemIndex:
         """
         if not words or not self.ids:
             return
-        none, half = len(self.vocabulary), max(16, -(-self.longest // 2))
+        none = len(self.vocabulary)
         tid = np.minimum(np.searchsorted(self.vocabulary, hashes), none - 1)
-        tid[self.vocabulary[tid] != hashes] = none
-        known = np.flatnonzero(tid < none)
-        slots = np.unique(known // half * (none + 1) + tid[known])  # distinct terms of each half
-        at, term = slots // (none + 1), slots % (none + 1)
+        known = np.flatnonzero(self.vocabulary[tid] == hashes)
+        if not len(known):
+            return
         best: dict[int, tuple[tuple[float, float, float], float]] = {}
-        for lo in range(0, len(words) // half + 1, HALVES):  # the bounds of so many passages are held at once
-            part = slice(*np.searchsorted(at, (lo, lo + HALVES + 1)))
-            if part.start == part.stop:
-                continue
-            near_at = at[part] - lo
-            bound = np.zeros((HALVES + 1, self.block_most.shape[1]), np.float32)
-            starts = np.flatnonzero(np.diff(near_at, prepend=-1))
-            bound[near_at[starts]] = np.add.reduceat(self.block_most[term[part]], starts, axis=0)
-            bound = bound[:-1] + bound[1:]  # of the passage of a half and the next
-            for h in lo + np.flatnonzero((bound >= threshold * 0.9999).any(axis=1)):
-                query = np.unique(term[np.searchsorted(at, h) : np.searchsorted(at, h + 2)]).tolist()
-                exact = self.block_most[query].sum(axis=0)  # a term of both halves counts once
-                blocks = np.flatnonzero(exact >= threshold * 0.9999)
-                near = Near(words[max(0, (h - 2) * half) : (h + 4) * half])
-                for item, score in self.search(query, threshold, blocks.tolist()) if len(blocks) else ():
-                    question, answer = self.shingles_of(item)
-                    asked = near.share(question)
-                    answered = near.share(answer) if answer else asked
-                    both = (asked * len(question) + answered * len(answer)) / (len(question) + len(answer))
-                    long = len(next(iter(answer), ())) == OVERLAP_WORDS  # a few words are found anywhere
-                    if (asked >= overlap or both >= overlap or long and answered >= overlap) and (both, asked, score) > best.get(item, ((),))[0]:
-                        best[item] = ((both, asked, score), answered)
+        for half, first, last in self.classes:
+            slots = np.unique(known // half * none + tid[known])  # distinct terms of each half
+            at, term = slots // none, slots % none
+            step, blocks_here = max(1, min(HALVES, BOUNDS // (last - first))), last - first
+            for lo in range(0, int(at[-1]) + 1, step):  # the bounds of so many passages are held at once
+                part = slice(*np.searchsorted(at, (lo, lo + step + 1)))
+                if part.start == part.stop:
+                    continue
+                row, block, value = self.block_most.of(term[part])
+                own = (first <= block) & (block < last)
+                where = (at[part] - lo)[row[own]] * blocks_here + block[own] - first
+                bound = np.bincount(where, value[own], (step + 1) * blocks_here).reshape(step + 1, blocks_here)
+                bound = bound[:-1] + bound[1:]  # of the passage of a half and the next
+                for h in lo + np.flatnonzero((bound >= threshold * 0.9999).any(axis=1)):
+                    query = np.unique(term[np.searchsorted(at, h) : np.searchsorted(at, h + 2)])
+                    exact = self.block_most[query][:, first:last].sum(axis=0)  # a term of both halves counts once
+                    blocks = first + np.flatnonzero(exact >= threshold * 0.9999)
+                    near = Near(words[max(0, (h - 2) * half) : (h + 4) * half])
+                    for item, score in self.search(query.tolist(), threshold, blocks.tolist()) if len(blocks) else ():
+                        question, answer = self.shingles_of(item)
+                        asked = near.share(question)
+                        answered = near.share(answer) if answer else asked
+                        both = (asked * len(question) + answered * len(answer)) / (len(question) + len(answer))
+                        long = len(next(iter(answer), ())) == OVERLAP_WORDS  # a few words are found anywhere
+                        if (asked >= overlap or both >= overlap or long and answered >= overlap) and (both, asked, score) > best.get(item, ((),))[0]:
+                            best[item] = ((both, asked, score), answered)
         for item, ((_, asked, score), answered) in best.items():
             yield self.ids[item], score, asked, answered
 
@@ -223,8 +267,9 @@ class ItemIndex:
         return list(self.matches(words, WordHasher()(words), threshold, overlap))
 
 
-def build(benchmark: DataFrame, ws: Workspace, k1: float, b: float, part_items: int) -> list[str]:
-    """Files of the parts of an index of all ``benchmark(item_id, text)``, of about ``part_items`` items each.
+def build(benchmark: DataFrame, ws: Workspace, k1: float, b: float, part_items: int) -> list[tuple[str, int]]:
+    """Files, with their sizes, of the parts of an index of all ``benchmark(item_id, text)``, of about ``part_items`` items
+    each.
 
     Equal rows count once; rows without an id, a text or a term are left out.  Extra columns are ignored.
     """
@@ -239,7 +284,7 @@ def build(benchmark: DataFrame, ws: Workspace, k1: float, b: float, part_items:
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
     items = items.mapInArrow(lean(counted), "item_id long, text string, terms map<long,long>, length long").where("length > 0")
     items = ws.save(items.withColumn("row", F.monotonically_increasing_id()), "items")
-    n, words, longest = items.agg(F.count("*"), F.sum("length"), F.max("length")).first()
+    n, words = items.agg(F.count("*"), F.sum("length")).first()
     if not n:
         return []
     each = items.select("row", "length", F.explode("terms").alias("term", "n"))
@@ -254,30 +299,51 @@ def build(benchmark: DataFrame, ws: Workspace, k1: float, b: float, part_items:
         for i, t, x in zip(*(table.column(c).to_pylist() for c in ("item_id", "text", "x"))):
             total = sum(sorted(v["x"] for v in x))
             own.append((i, t, {v["term"] % 2**64: v["x"] / total for v in x}))
-        data = pickle.dumps(ItemIndex(own, longest))
+        data = pickle.dumps(ItemIndex(own))
         return pa.table({"part": table.column("part").slice(0, 1), "data": pa.array([data], pa.binary())})
 
     made = rows.groupBy("part").applyInArrow(indexed, "part int, data binary")
     path = f"{ws.root}/index"
     made.repartition(parts, "part").write.option("maxRecordsPerFile", 1).parquet(path)
-    return sorted(ws.spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f")).distinct().toPandas()["f"])
+    files = ws.spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("n")).distinct()
+    return sorted((r.f, r.n) for r in files.collect())
 
 
 class Parts:
-    """The parts of an index in a task: those read last are held, at most ``most`` of them."""
+    """The parts of an index in a task: those read last are held, up to MOST_HELD bytes of them or one.
 
-    def __init__(self, files: list[str], most: int = 4):
-        self.files, self.most, self.held = files, most, {}
+    Block maxima are kept where there are any, so an index of 100,000 items of 40 words has some 100 MB in all.
+    """
+
+    def __init__(self, files: list[tuple[str, int]], most: int | None = None):
+        self.files, self.most, self.held = files, MOST_HELD if most is None else most, {}
+
+    def fits(self) -> bool:
+        return sum(n for _, n in self.files) <= self.most
 
     def __iter__(self):
-        for f in self.files:
+        for f, n in self.files:
             if f not in self.held:
-                if len(self.held) >= self.most:
+                while self.held and sum(k for k, _ in self.held.values()) + n > self.most:
                     self.held.pop(next(reversed(self.held)))  # the earlier ones come first again
                 store, at = open_folder(f)
                 with store.open_input_file(at) as file:
-                    self.held[f] = pickle.loads(pq.read_table(file).column("data")[0].as_py())
-            yield self.held[f]
+                    self.held[f] = n, pickle.loads(pq.read_table(file).column("data")[0].as_py())
+            yield self.held[f][1]
+
+    def groups(self, batches):
+        """The batches, joined to groups of GROUP_BYTES where parts have to be read again for each."""
+        if self.fits():
+            yield from batches
+            return
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.nbytes for x in held) >= GROUP_BYTES:
+                yield pa.concat_batches(held)
+                held = []
+        if held:
+            yield pa.concat_batches(held)
 
 
 KEYS = "doc_id long, text_key long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -300,7 +366,7 @@ def _searched(texts: list[str | None], parts: Parts, hasher: WordHasher, thresho
                 left.remove(i)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5, k1: float = 1.2, b: float = 0.75, block_items: int = 2_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5, k1: float = 1.2, b: float = 0.75, block_items: int = 8_000) -> DataFrame:
     """doc_id, text_key, item_id, score, question_overlap, answer_overlap for each row of ``docs`` and item it contains.
 
     Empty and null texts and an empty benchmark give no rows; a repeated row gives its rows again, and an item_id that
@@ -311,7 +377,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
 
     def run(batches):
         parts, hasher = Parts(files), WordHasher()
-        for batch in batches:
+        for batch in parts.groups(batches):
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
             rows = [(ids[i], keys[i], *h) for i, h in _searched(batch.column("text").to_pylist(), parts, hasher, threshold, overlap)]
             cols = list(zip(*rows)) or [()] * 6
@@ -321,7 +387,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(lean(run), KEYS)
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], threshold: float = 0.5, overlap: float = 0.5, k1: float = 1.2, b: float = 0.75, block_items: int = 2_000) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], threshold: float = 0.5, overlap: float = 0.5, k1: float = 1.2, b: float = 0.75, block_items: int = 8_000) -> DataFrame:
     """The columns ``keep`` of the rows of ``docs`` that contain no item, by the rule of ``contaminated``.
 
     Rows are judged and passed on in one scan; neither they nor keys of them are shuffled.  Rows with null or empty
@@ -332,7 +398,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, keep: tuple[str,
 
     def run(batches):
         parts, hasher = Parts(files), WordHasher()
-        for batch in batches:
+        for batch in parts.groups(batches):
             hit = {i for i, _ in _searched(batch.column("text").to_pylist(), parts, hasher, threshold, overlap, first=True)}
             yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in hit], pa.int64()))
 
