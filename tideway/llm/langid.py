@@ -22,6 +22,7 @@ from .common import Workspace, bounded, crc_mod, lean, text_key
 
 PLACES = 1 << 16
 UNDETERMINED = "und"
+MOST_LANGUAGES = 256
 
 
 class Spectrum:
@@ -63,27 +64,35 @@ class LanguageModel:
 
 
 def chosen(rows: DataFrame, per_language: int) -> DataFrame:
-    """lang, doc_id, k of at most ``per_language`` different (doc_id, k) of each lang, those with the least hashes.
+    """lang, doc_id, k of the ``per_language`` different (doc_id, k) of each lang whose hashes are least; all, if there are
+    no more.
 
-    The least row of each range of hashes is taken before the shuffle, so that of a language with any number of rows, or
-    of a row repeated any number of times, a few thousand keys are all that meets.
+    Rows that are repeated are one before they are shuffled.  The least of each of 4096 ranges of hashes are taken first,
+    then those of all, so that a language of any number of rows is dealt to as many tasks.
     """
-    h = F.xxhash64("doc_id", "k")
-    least = rows.select("lang", F.shiftrightunsigned(h, 52).alias("range"), F.struct(h.alias("h"), "doc_id", "k").alias("row"))  # 4096 ranges
-    least = least.groupBy("lang", "range").agg(F.min("row").alias("row"))
-    order = Window.partitionBy("lang").orderBy("range", "row")
-    return least.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("lang", "row.doc_id", "row.k")
+    keys = rows.select("lang", "doc_id", "k").distinct().withColumn("h", F.xxhash64("doc_id", "k"))
+    order = [F.col(n) for n in ("h", "doc_id", "k")]
+    within = Window.partitionBy("lang", F.shiftright("h", 52)).orderBy(*order)
+    least = keys.withColumn("r", F.row_number().over(within)).where(F.col("r") <= per_language)
+    return least.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= per_language).select("lang", "doc_id", "k")
 
 
-def fit(docs: DataFrame, ws: Workspace, per_language: int = 400, landmarks: int = 256, ridge: float = 0.1, held_out: int = 2, folds: int = 4) -> LanguageModel:
+def fit(docs: DataFrame, ws: Workspace, per_language: int = 400, landmarks: int = 256, ridge: float = 0.1, held_out: int = 2, folds: int = 4, most_texts: int = 16_000) -> LanguageModel:
     """Learns from at most ``per_language`` texts of each language, those whose hashes are least, outside the held-out fold.
 
+    Beyond 40 languages there are fewer of each, ``most_texts`` in all; 8 KB of each come to the driver (128 MB at most),
+    where blocks of 256 are unpacked at a time, and the landmarks (one of each language at least) as floats, 256 KB each.
+    ValueError beyond MOST_LANGUAGES, at which the model that tasks are sent has 64 MB.
+
     Rows with a null lang or a null doc_id are not learned from; a row that is repeated is learned from once.  Extra
     columns are ignored.
     """
     ok = F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), folds) != held_out)
     own = docs.select("doc_id", "lang", "text").where(ok).withColumn("k", text_key(F.col("text")))
-    picked = bounded(ws.save(chosen(own.select("doc_id", "lang", "k"), per_language), "picked"))
+    n = own.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if n > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    picked = bounded(ws.save(chosen(own.select("doc_id", "lang", "k"), max(1, min(per_language, most_texts // max(1, n)))), "picked"))
     rows = own.join(picked, ["doc_id", "k", "lang"], "left_semi").dropDuplicates(["doc_id", "k", "lang"])
 
     def bits(batches):
@@ -103,19 +112,21 @@ def fit(docs: DataFrame, ws: Workspace, per_language: int = 400, landmarks: int
     if not languages:
         return LanguageModel([], np.zeros((PLACES, 0), np.float32))
     y = np.array([languages.index(r.lang) for r in got])
-    x = np.unpackbits(np.frombuffer(b"".join(r.bits for r in got), np.uint8).reshape(len(got), -1), axis=1)
-    norm = np.sqrt(np.maximum(x.sum(axis=1, dtype=np.int64), 1))
+    packed = np.frombuffer(b"".join(r.bits for r in got), np.uint8).reshape(len(got), -1)
+    rows_of = lambda at: np.unpackbits(packed[at], axis=1).astype(np.float32)
+    blocks = [np.arange(i, min(i + 256, len(packed))) for i in range(0, len(packed), 256)]
+    norm = np.sqrt(np.maximum(np.concatenate([rows_of(at).sum(axis=1) for at in blocks]), 1))
     each = max(1, landmarks // len(languages))
     marks = np.concatenate([np.flatnonzero(y == c)[:each] for c in range(len(languages))])
-    land = x[marks].astype(np.float32) / norm[marks, None].astype(np.float32)
-    k = np.concatenate([(x[i : i + 256].astype(np.float32) @ land.T) / norm[i : i + 256, None] for i in range(0, len(x), 256)]).astype(np.float64)
+    land = rows_of(marks) / norm[marks, None]
+    k = np.concatenate([(rows_of(at) @ land.T) / norm[at, None] for at in blocks]).astype(np.float64)
     values, vectors = np.linalg.eigh(k[marks])
     good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])
     phi = k @ root
     target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
     weight = 1.0 / np.bincount(y, minlength=len(languages))[y] / len(languages)  # every language counts the same
-    left = phi.T @ (phi * weight[:, None]) + ridge / len(x) * np.eye(phi.shape[1])
+    left = phi.T @ (phi * weight[:, None]) + ridge / len(packed) * np.eye(phi.shape[1])
     beta = root @ np.linalg.solve(left, phi.T @ (target * weight[:, None]))
     return LanguageModel(languages, (land.T @ beta.astype(np.float32)).astype(np.float32))
 
