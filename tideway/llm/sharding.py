@@ -13,39 +13,48 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_key, unroll
+from .common import Workspace, bounded, text_key, unroll
 from .permute import permute
 
-#: Ranges of the checksum that the rows of one id, or those without one, are dealt to where they are many.
-RANGES = 64
+#: Buckets of ids, and of rows without one, at most.
+MOST_BUCKETS = 20_000
 
 
 def numbered(rows: DataFrame, ws: Workspace, bucket_rows: int = 50_000) -> tuple[DataFrame, int]:
     """``rows(doc_id, size, text_crc32, ...)`` with their global ``row`` numbers, and their count.
 
     Equal rows are counted first and numbered as one.  Buckets are ranges of doc_id between approximate quantiles; an id
-    that is several quantiles has buckets of its own, ranges of the checksum.  Any bounds give the same numbers.
+    that is several quantiles, and the rows without an id, have as many buckets of their own as their number asks for:
+    ranges of the checksum.  Any bounds give the same numbers.
     """
     groups = ws.save(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")), "groups")
-    n, different, most = (x or 0 for x in groups.agg(F.sum("copies"), F.count("*"), F.max("copies")).first())
-    parts = max(1, min(20_000, different // bucket_rows * 4 + 8))
+    n, different, nulls, most = (x or 0 for x in groups.agg(F.sum("copies"), F.count("*"), F.count_if(F.col("doc_id").isNull()), F.max("copies")).first())
+    parts = max(1, min(MOST_BUCKETS, different // bucket_rows * 4 + 8))
     found = groups.where("doc_id is not null").agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts).alias("q")).first()["q"] if parts > 1 else []
     bounds, times = np.unique(np.array(found or [], np.int64), return_counts=True)
+    # each bound's range of ids is a bucket; one more for each quantile that the bound itself is, and four, as it is rounded
+    own = np.where(times > 1, times * 2 + 4, 0)
+    first = np.concatenate([[0], np.cumsum(own + 1)])  # of each range; the last is that of the ids above all bounds
+    last = max(1, min(MOST_BUCKETS, -(-nulls * 2 // bucket_rows)))
 
     @F.pandas_udf("long")
     def bucket(doc_id: pd.Series, crc: pd.Series) -> pd.Series:
-        null, ids, part = doc_id.isna().to_numpy(), doc_id.fillna(0).astype("int64").to_numpy(), crc.to_numpy() * (RANGES - 1) // 2**32 + 1
+        null, ids, sums = doc_id.isna().to_numpy(), doc_id.fillna(0).astype("int64").to_numpy(), crc.to_numpy()
         at = np.searchsorted(bounds, ids)
-        near = np.minimum(at, max(0, len(bounds) - 1))
-        hot = (bounds[near] == ids) & (times[near] > 1) if len(bounds) else np.zeros(len(ids), bool)
-        return pd.Series(np.where(null, (len(bounds) + 1) * RANGES + part, at * RANGES + np.where(hot, part, 0)))
+        out = first[at]
+        if len(bounds):
+            near = np.minimum(at, len(bounds) - 1)
+            hot = (bounds[near] == ids) & (own[near] > 0)
+            out = np.where(hot, out + 1 + sums * own[near] // 2**32, out)
+        return pd.Series(np.where(null, first[-1] + 1 + sums * last // 2**32, out))
 
     dealt = ws.save(groups.withColumn("_bucket", bucket("doc_id", "text_crc32")), "dealt")
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as there are buckets
     starts = dealt.groupBy("_bucket").agg(F.sum("copies").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = ws.save(starts, "starts")
     rest = [x for x in rows.columns if x not in ("doc_id", "size", "text_crc32")]
     inside = Window.partitionBy("_bucket").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size", *rest).rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.withColumn("_at", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(F.broadcast(starts), "_bucket")
+    out = dealt.withColumn("_at", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(bounded(starts), "_bucket")
     out = unroll(out, "copies", "_copy", n) if most > 1 else out.withColumn("_copy", F.lit(0))
     return out.select(*rows.columns, (F.col("_start") + F.col("_at") + F.col("_copy")).alias("row")), n
 
