@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, Workspace, bounded, n_words, table_bytes, text_key, unroll
@@ -34,6 +34,14 @@ class Mix:
     rows: DataFrame  # source_index, start, doc_id, text_key, size, copies (equal rows), source_size, target
     segments: DataFrame  # shard, slot, source_index, block, epoch, start, first_word (in the document), words
     sources: DataFrame  # source, source_index, source_size, target, blocks
+    told_by: tuple[str, ...] = ()  # columns that tell rows apart, besides doc_id, text and source
+
+
+def row_key(told_by: tuple[str, ...]) -> Column:
+    """Tells apart rows that repeat a doc_id, by the text and the named columns; a null is a value of its own."""
+    if not told_by:
+        return text_key(F.col("text"))
+    return F.xxhash64("text", *[x for name in told_by for x in (F.col(name).isNull(), F.col(name))])
 
 
 def targets(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
@@ -91,18 +99,19 @@ def draw(quota: np.ndarray, capacity: np.ndarray, shards: int, seed: int) -> np.
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 64, shards: int | None = None, seed: int = 2) -> Mix:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 64, shards: int | None = None, seed: int = 2, told_by: tuple[str, ...] = ()) -> Mix:
     """Plans the mix of ``docs(doc_id, text, source)``.
 
     The number of sources must fit the driver; a null source is one of its own and comes last.  Null texts and texts
-    without words have size 0 and are never taken.  Rows that are equal in doc_id, text and source are documents of their
-    own side by side, which nothing tells apart: they are counted first, so that any number of them may be equal.  No
+    without words have size 0 and are never taken.  Rows that are equal in doc_id, text, source and the columns ``told_by``
+    are documents of their own side by side, which nothing tells apart: they are counted first, so that any number of them
+    may be equal.  No
     document is taken more than ``most`` (a whole number) times; long texts lie in many blocks.  An empty table gives
     empty results; extra columns are ignored.  Without ``shards`` their number grows with the blocks.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "mixing")
-    sized = docs.select("source", "doc_id", text_key(F.col("text")).alias("text_key"), n_words(F.col("text")).alias("size"))
+    sized = docs.select("source", "doc_id", row_key(told_by).alias("text_key"), n_words(F.col("text")).alias("size"))
     groups = ws.save(sized.groupBy("source", "doc_id", "text_key", "size").agg(F.count("*").alias("copies")), "groups")
     found = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("s"), F.sum("copies").alias("n"), F.max("copies").alias("most")).collect()
     by_source = sorted(((r.source, r.s, r.n) for r in found), key=lambda r: (r[0] is None, r[0] or ""))
@@ -153,7 +162,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     )
     # the planner sees the few runs, not the slots that they unroll to, and would broadcast those
     segments = drawn.hint("merge").join(lies, ["source_index", "block"])
-    return Mix(placed.unionByName(empty), segments, sources)
+    return Mix(placed.unionByName(empty), segments, sources, told_by)
 
 
 def taken(mixed: Mix) -> DataFrame:
@@ -166,14 +175,15 @@ def mixed_documents(mixed: Mix, docs: DataFrame, columns: tuple[str, ...]) -> Da
     """``columns`` of the documents, each as often as a slot takes the block that its first word lies in.
 
     So documents stay whole, follow the drawn blocks, and meet the targets of their sources on average; none comes more
-    often than a block may.  Equal rows are passed on as one of them repeated.
+    often than a block may.  Rows that are equal in all that the mix tells rows by are passed on as one of them repeated: a
+    mix that is told by all of ``columns`` loses none that differs.
     """
     ws = Workspace(docs.sparkSession, "mixed")
     got = mixed.segments.where("first_word = 0").groupBy("source_index", "start").agg(F.count("*").alias("times"))
     got = mixed.rows.select("source_index", "start", "doc_id", "text_key", "copies").join(got, ["source_index", "start"])
     got = got.groupBy("source_index", "doc_id", "text_key", "copies").agg(F.sum("times").alias("times")).join(mixed.sources.select("source_index", "source"), "source_index")
     got = ws.save(got.select(F.struct("source", "doc_id", "text_key").alias("key"), "copies", "times"), "times")
-    rows = docs.select(F.struct(*columns).alias("row"), F.struct("source", "doc_id", text_key(F.col("text")).alias("text_key")).alias("own"))
+    rows = docs.select(F.struct(*columns).alias("row"), F.struct("source", "doc_id", row_key(mixed.told_by).alias("text_key")).alias("own"))
     same = lambda a, b: (F.col(a)["text_key"] == F.col(b)["text_key"]) & F.col(a)["doc_id"].eqNullSafe(F.col(b)["doc_id"]) & F.col(a)["source"].eqNullSafe(F.col(b)["source"])
     size = got.select("key.*", "copies", "times")
     few = table_bytes(size) <= BROADCAST_BYTES
@@ -191,8 +201,12 @@ def mixed_documents(mixed: Mix, docs: DataFrame, columns: tuple[str, ...]) -> Da
 
 
 def block_texts(mixed: Mix, docs: DataFrame) -> DataFrame:
-    """shard, slot, source_index, text: the words of every slot, joined by spaces."""
-    own = docs.select(F.struct("doc_id", "source", text_key(F.col("text")).alias("text_key")).alias("own"), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)).alias("w")).dropDuplicates(["own"])
+    """shard, slot, source_index, text: the words of every slot, joined by spaces.
+
+    Null and empty texts stand in no slot; of equal rows one's words are read; a long text is cut into words once.  Columns
+    of ``docs`` besides those that the mix was made of are ignored; an empty table gives no rows.
+    """
+    own = docs.select(F.struct("doc_id", "source", row_key(mixed.told_by).alias("text_key")).alias("own"), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)).alias("w")).dropDuplicates(["own"])
     rows = mixed.rows.join(mixed.sources.select("source_index", "source"), "source_index").select("source_index", "start", "doc_id", "source", "text_key")
     same = (F.col("own.text_key") == rows["text_key"]) & F.col("own.doc_id").eqNullSafe(rows["doc_id"]) & F.col("own.source").eqNullSafe(rows["source"])
     words = rows.join(own, same).select("source_index", "start", "w")
