@@ -71,10 +71,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes the block that its first word lies in.
 
-    Texts without words are in no block and go; of equal rows each is counted; long texts stay whole.  An empty table
-    gives no rows; extra columns are left out.
+    Texts without words are in no block and go; rows that differ in any column are documents of their own, and of equal
+    rows each is counted; long texts stay whole.  An empty table gives no rows; extra columns are left out.
     """
-    return mixing.mixed_documents(mixing.mix(docs), docs, COLUMNS)
+    others = tuple(n for n in COLUMNS if n not in ("doc_id", "text", "source"))
+    return mixing.mixed_documents(mixing.mix(docs, told_by=others), docs, COLUMNS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
