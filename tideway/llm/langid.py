@@ -63,18 +63,22 @@ class LanguageModel:
         return out
 
 
-def chosen(rows: DataFrame, per_language: int) -> DataFrame:
+def chosen(rows: DataFrame, per_language: int, ws: Workspace | None = None) -> DataFrame:
     """lang, doc_id, k of the ``per_language`` different (doc_id, k) of each lang whose hashes are least; all, if there are
     no more.
 
-    Rows that are repeated are one before they are shuffled.  The least of each of 4096 ranges of hashes are taken first,
-    then those of all, so that a language of any number of rows is dealt to as many tasks.
+    Rows that are repeated are one before they are shuffled.  The hashes are cut into 4096 ranges and counted; only rows of
+    the ranges up to that in which the number is reached are ordered, so a task sees that number and one range at most.
     """
+    ws = ws or Workspace(rows.sparkSession, "langid-chosen")
     keys = rows.select("lang", "doc_id", "k").distinct().withColumn("h", F.xxhash64("doc_id", "k"))
-    order = [F.col(n) for n in ("h", "doc_id", "k")]
-    within = Window.partitionBy("lang", F.shiftright("h", 52)).orderBy(*order)
-    least = keys.withColumn("r", F.row_number().over(within)).where(F.col("r") <= per_language)
-    return least.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= per_language).select("lang", "doc_id", "k")
+    keys = ws.save(keys.withColumn("range", F.shiftright("h", 52)), "keys")
+    before = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = keys.groupBy("lang", "range").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    ranges = bounded(ws.save(ranges.where(F.col("before") < per_language).select("lang", "range"), "ranges"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "k")
+    least = keys.join(ranges, ["lang", "range"]).withColumn("r", F.row_number().over(order))
+    return least.where(F.col("r") <= per_language).select("lang", "doc_id", "k")
 
 
 def fit(docs: DataFrame, ws: Workspace, per_language: int = 400, landmarks: int = 256, ridge: float = 0.1, held_out: int = 2, folds: int = 4, most_texts: int = 16_000) -> LanguageModel:
@@ -92,7 +96,7 @@ def fit(docs: DataFrame, ws: Workspace, per_language: int = 400, landmarks: int
     n = own.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
     if n > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    picked = bounded(ws.save(chosen(own.select("doc_id", "lang", "k"), max(1, min(per_language, most_texts // max(1, n)))), "picked"))
+    picked = bounded(ws.save(chosen(own.select("doc_id", "lang", "k"), max(1, min(per_language, most_texts // max(1, n))), ws), "picked"))
     rows = own.join(picked, ["doc_id", "k", "lang"], "left_semi").dropDuplicates(["doc_id", "k", "lang"])
 
     def bits(batches):
@@ -106,7 +110,7 @@ def fit(docs: DataFrame, ws: Workspace, per_language: int = 400, landmarks: int
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(packed, pa.binary())], ["doc_id", "lang", "bits"])
 
     got = rows.select("doc_id", "lang", "text").mapInArrow(lean(bits), "doc_id long, lang string, bits binary").collect()
-    ws.drop("picked")
+    ws.drop("picked", "keys", "ranges")
     got.sort(key=lambda r: (r.lang, r.doc_id, r.bits))
     languages = sorted({r.lang for r in got})
     if not languages:
