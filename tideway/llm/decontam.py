@@ -22,7 +22,6 @@ import pickle
 import re
 from bisect import bisect_left
 from collections import Counter
-from itertools import islice
 from operator import itemgetter
 
 import numpy as np
@@ -32,15 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, lean, text_key
-from .textstats import WordHasher
+from .textstats import WordHasher, pieces
 from .warc import open_folder
 
 #: Letters and digits stay, other ASCII bytes part words, other bytes belong to words.
 _CLEAN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 BLOCK = 4
 OVERLAP_WORDS = 5
-#: Half passages, and bounds of them, that are held at once.
-HALVES, BOUNDS = 256, 1 << 20
+#: Bounds that are held at once, and words of the documents that are searched together (or one document).
+BOUNDS, WORDS = 1 << 20, 1 << 18
 #: The half passage of the shortest items.
 LEAST_HALF = 16
 #: Bytes of an index that a task holds, and of texts that meet each part before the next one is read where it can't hold all.
@@ -220,51 +219,61 @@ class ItemIndex:
                 for p in lists[:pivot]:
                     skip(p, item)
 
-    def matches(self, words: list[bytes], hashes: np.ndarray, threshold: float, overlap: float):
-        """(item_id, score, question overlap, answer overlap) of each verified item of a document, at its best passage.
+    def matches(self, words: list[list[bytes]], hashes: list[np.ndarray], threshold: float, overlap: float, first: bool = False) -> list[dict]:
+        """For each document {item: ((both overlaps, question overlap, score), answer overlap)} of its verified items, at the
+        best passage of each.  With ``first``, a document that has one is not searched on.
 
-        Every retrieved passage is verified: one that scores as high may hold the item's words in another order.
+        The passages of all documents given are bounded together.  Every retrieved passage is verified: one that scores as
+        high may hold the item's words in another order.
         """
-        if not words or not self.ids:
-            return
-        none = len(self.vocabulary)
-        tid = np.minimum(np.searchsorted(self.vocabulary, hashes), none - 1)
-        known = np.flatnonzero(self.vocabulary[tid] == hashes)
-        if not len(known):
-            return
-        best: dict[int, tuple[tuple[float, float, float], float]] = {}
-        for half, first, last in self.classes:
-            slots = np.unique(known // half * none + tid[known])  # distinct terms of each half
+        best: list[dict[int, tuple[tuple[float, float, float], float]]] = [{} for _ in words]
+        sizes, none = np.array([len(h) for h in hashes], np.int64), len(self.vocabulary)
+        if not none or not sizes.sum():
+            return best
+        every = np.concatenate(hashes)
+        tid = np.minimum(np.searchsorted(self.vocabulary, every), none - 1)
+        known = np.flatnonzero(self.vocabulary[tid] == every)
+        tid = tid[known]
+        doc = np.repeat(np.arange(len(words)), sizes)[known]
+        place = known - (np.cumsum(sizes) - sizes)[doc]
+        for half, low, high in self.classes:
+            halves = sizes // half + 2  # the last one is empty, so that no passage spans two documents
+            starts = np.cumsum(halves) - halves
+            slots = np.unique((starts[doc] + place // half) * none + tid)  # distinct terms of each half
             at, term = slots // none, slots % none
-            step, blocks_here = max(1, min(HALVES, BOUNDS // (last - first))), last - first
-            for lo in range(0, int(at[-1]) + 1, step):  # the bounds of so many passages are held at once
+            step = max(1, min(int(halves.sum()), BOUNDS // (high - low)))
+            for lo in range(0, int(halves.sum()), step):  # the bounds of so many passages are held at once
                 part = slice(*np.searchsorted(at, (lo, lo + step + 1)))
-                if part.start == part.stop:
-                    continue
                 row, block, value = self.block_most.of(term[part])
-                own = (first <= block) & (block < last)
-                where = (at[part] - lo)[row[own]] * blocks_here + block[own] - first
-                bound = np.bincount(where, value[own], (step + 1) * blocks_here).reshape(step + 1, blocks_here)
+                own = (low <= block) & (block < high)
+                where = (at[part] - lo)[row[own]] * (high - low) + block[own] - low
+                bound = np.bincount(where, value[own], (step + 1) * (high - low)).reshape(step + 1, high - low)
                 bound = bound[:-1] + bound[1:]  # of the passage of a half and the next
-                for h in lo + np.flatnonzero((bound >= threshold * 0.9999).any(axis=1)):
-                    query = np.unique(term[np.searchsorted(at, h) : np.searchsorted(at, h + 2)])
-                    exact = self.block_most[query][:, first:last].sum(axis=0)  # a term of both halves counts once
-                    blocks = first + np.flatnonzero(exact >= threshold * 0.9999)
-                    near = Near(words[max(0, (h - 2) * half) : (h + 4) * half])
+                for g in lo + np.flatnonzero((bound >= threshold * 0.9999).any(axis=1)):
+                    i = int(np.searchsorted(starts, g, "right")) - 1
+                    if first and best[i]:
+                        continue
+                    h = int(g - starts[i])
+                    query = np.unique(term[np.searchsorted(at, g) : np.searchsorted(at, g + 2)])
+                    exact = self.block_most[query][:, low:high].sum(axis=0)  # a term of both halves counts once
+                    blocks = low + np.flatnonzero(exact >= threshold * 0.9999)
+                    near = Near(words[i][max(0, (h - 2) * half) : (h + 4) * half])
                     for item, score in self.search(query.tolist(), threshold, blocks.tolist()) if len(blocks) else ():
                         question, answer = self.shingles_of(item)
                         asked = near.share(question)
                         answered = near.share(answer) if answer else asked
                         both = (asked * len(question) + answered * len(answer)) / (len(question) + len(answer))
                         long = len(next(iter(answer), ())) == OVERLAP_WORDS  # a few words are found anywhere
-                        if (asked >= overlap or both >= overlap or long and answered >= overlap) and (both, asked, score) > best.get(item, ((),))[0]:
-                            best[item] = ((both, asked, score), answered)
-        for item, ((_, asked, score), answered) in best.items():
-            yield self.ids[item], score, asked, answered
+                        if (asked >= overlap or both >= overlap or long and answered >= overlap) and (both, asked, score) > best[i].get(item, ((),))[0]:
+                            best[i][item] = ((both, asked, score), answered)
+        return best
+
+    def hits(self, found: dict) -> list[tuple[int, float, float, float]]:
+        return [(self.ids[item], score, asked, answered) for item, ((_, asked, score), answered) in found.items()]
 
     def found(self, text: str | None, threshold: float = 0.5, overlap: float = 0.5) -> list[tuple[int, float, float, float]]:
         words = terms(text)
-        return list(self.matches(words, WordHasher()(words), threshold, overlap))
+        return self.hits(self.matches([words], [WordHasher()(words)], threshold, overlap)[0])
 
 
 def build(benchmark: DataFrame, ws: Workspace, k1: float, b: float, part_items: int) -> list[tuple[str, int]]:
@@ -358,12 +367,11 @@ def _searched(texts: list[str | None], parts: Parts, hasher: WordHasher, thresho
     hashes = [hasher(w) for w in words]
     left = list(range(len(texts)))
     for index in parts:
-        for i in list(left):
-            hits = index.matches(words[i], hashes[i], threshold, overlap)
-            hits = list(islice(hits, 1) if first else hits)
-            yield from ((i, h) for h in hits)
-            if first and hits:
-                left.remove(i)
+        for some in list(pieces(left, lambda i: 64 + len(hashes[i]), WORDS)):
+            for i, found in zip(some, index.matches([words[i] for i in some], [hashes[i] for i in some], threshold, overlap, first)):
+                yield from ((i, h) for h in index.hits(found)[: 1 if first else None])
+                if first and found:
+                    left.remove(i)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5, k1: float = 1.2, b: float = 0.75, block_items: int = 8_000) -> DataFrame:
