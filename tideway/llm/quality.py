@@ -87,13 +87,17 @@ def _matrix(batch) -> np.ndarray:
     return np.array(batch.column("x").to_pylist(), float).reshape(batch.num_rows, len(STATISTICS))
 
 
-def fit(stats: DataFrame, labels: DataFrame, width: int = 256, gamma: float = 0.08, ridge: float = 1e-3, held_out: int = 0, folds: int = 5, groups: int = 8, seed: int = 4) -> QualityModel:
+def fit(stats: DataFrame, labels: DataFrame, width: int = 256, gamma: float = 0.08, ridge: float = 1e-3, held_out: int = 0, folds: int = 5, groups: int = 8, seed: int = 4, parts: int = 4) -> QualityModel:
     """Learns from the labelled rows outside the held-out fold; rows without an id or a label are not learned from.
 
-    ``labels`` may repeat a document: its labels are averaged.  Without any label every score is 0.5.
+    The scores are calibrated on rows that they were not fitted on: the learned rows are dealt to ``parts`` by their ids, and
+    those of a part are scored by the ridge of all others, whose normal equations are the sums less the part's own.  The
+    model's own ridge is that of all learned rows.  ``labels`` may repeat a document: its labels are averaged; ties of raw
+    scores meet in a bin of their own.  Without any label, or for an empty table, every score is 0.5.
     """
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("y"))
-    rows = stats.where(crc_mod(F.col("doc_id"), folds) != held_out).join(known, "doc_id").select("x", F.col("y").cast("double"))
+    rows = stats.where(crc_mod(F.col("doc_id"), folds) != held_out).join(known, "doc_id")
+    rows = rows.select("x", F.col("y").cast("double"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"))
     rows = Workspace(stats.sparkSession, "quality-rows").save(rows, "learned")
     d = len(STATISTICS)
     m = rows.agg(F.count("*").alias("n"), *[f(F.col("x")[i]).alias(f"{g}{i}") for i in range(d) for g, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
@@ -105,41 +109,49 @@ def fit(stats: DataFrame, labels: DataFrame, width: int = 256, gamma: float = 0.
         return model
     k = width + 1
 
+    def blocks(found: dict) -> pa.RecordBatch:
+        cols = [pa.array(list(found), pa.int32()), pa.array([n for n, *_ in found.values()], pa.int64()), *(pa.array([v[i].tobytes() for v in found.values()], pa.binary()) for i in (1, 2))]
+        return pa.RecordBatch.from_arrays(cols, ["part", "n", "a", "b"])
+
     def sums(batches):
-        left, right = np.zeros((k, k)), np.zeros(k)
-        some = False
+        found: dict = {}
         for b in batches:
-            f, y = model.features(_matrix(b)), b.column("y").to_numpy()
-            left += f.T @ f
-            right += f.T @ y
-            some = some or len(y) > 0
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array([left.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], ["a", "b"])
+            f, y, part = model.features(_matrix(b)), b.column("y").to_numpy(), b.column("part").to_numpy()
+            for p in np.unique(part).tolist():
+                own = part == p
+                n, left, right = found.get(p, (0, 0.0, 0.0))
+                found[p] = n + int(own.sum()), left + f[own].T @ f[own], right + f[own].T @ y[own]
+        if found:
+            yield blocks(found)
 
     def added(batches):
-        left, right, some = np.zeros(k * k), np.zeros(k), False
+        found: dict = {}
         for b in batches:
-            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
-                left += np.frombuffer(x)
-                right += np.frombuffer(y)
-                some = True
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array([left.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], ["a", "b"])
-
-    kind = "a binary, b binary"
+            for p, n, x, y in zip(*(b.column(c).to_pylist() for c in ("part", "n", "a", "b"))):
+                own, left, right = found.get(p, (0, 0.0, 0.0))
+                found[p] = own + n, left + np.frombuffer(x), right + np.frombuffer(y)
+        if found:
+            yield blocks(found)
+
+    kind = "part int, n long, a binary, b binary"
     tree = rows.mapInArrow(lean(sums), kind)
     tasks = rows.rdd.getNumPartitions()
     for wide in ([math.isqrt(tasks)] if tasks > groups**2 else []) + [groups]:  # a task adds few blocks on each level
         tree = tree.repartition(wide).mapInArrow(lean(added), kind)
-    parts = tree.collect()  # `groups` blocks at most
-    left = sum(np.frombuffer(r.a) for r in parts).reshape(k, k)
-    right = sum(np.frombuffer(r.b) for r in parts)
-    model.beta = np.linalg.solve(left + ridge * m["n"] * np.diag([1.0] * width + [1e-9]), right)
+    n, left, right = np.zeros(parts), np.zeros((parts, k, k)), np.zeros((parts, k))
+    for r in tree.collect():  # `groups` x `parts` blocks at most
+        n[r.part] += r.n
+        left[r.part] += np.frombuffer(r.a).reshape(k, k)
+        right[r.part] += np.frombuffer(r.b)
+    solved = lambda use: np.linalg.solve(left[use].sum(axis=0) + ridge * max(1.0, n[use].sum()) * np.diag([1.0] * width + [1e-9]), right[use].sum(axis=0))
+    model.beta = solved(np.ones(parts, bool))
+    others = np.stack([solved(np.arange(parts) != p) if n[np.arange(parts) != p].sum() else model.beta for p in range(parts)])
 
     def binned(batches):
         w, s = np.zeros(BINS + 1), np.zeros(BINS + 1)
         for b in batches:
-            at = np.rint((model.raw(_matrix(b)) - LOW) / (HIGH - LOW) * BINS).astype(int)
+            raw = np.clip(np.einsum("ij,ij->i", model.features(_matrix(b)), others[b.column("part").to_numpy()]), LOW, HIGH)
+            at = np.rint((raw - LOW) / (HIGH - LOW) * BINS).astype(int)
             w += np.bincount(at, minlength=BINS + 1)
             s += np.bincount(at, b.column("y").to_numpy(), minlength=BINS + 1)
         at = np.flatnonzero(w)
@@ -152,7 +164,8 @@ def fit(stats: DataFrame, labels: DataFrame, width: int = 256, gamma: float = 0.
 
 
 def score(stats: DataFrame, model: QualityModel, cut: float = 0.3) -> DataFrame:
-    """doc_id, text_key, score, predicted for every described row."""
+    """doc_id, text_key, score, predicted for every described row; scores between two knots of the calibration are
+    interpolated, and rows with equal statistics have equal scores.  An empty table gives no rows."""
 
     def run(batches):
         for b in batches:
@@ -165,8 +178,7 @@ def score(stats: DataFrame, model: QualityModel, cut: float = 0.3) -> DataFrame:
 def quality_scores(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
     """Scores for every row of ``docs(doc_id, text)``, with a model learned from ``labels(doc_id, quality)``.
 
-    A null text is scored as an empty one; repeated rows are scored alike, and each is learned from.  Raw scores that fall
-    into one bin get one score.  Whole texts are read, however long; extra columns of both tables are ignored; an empty
+    A null text is scored as an empty one; repeated rows are scored alike, and each is learned from.  Whole texts are read, however long; extra columns of both tables are ignored; an empty
     table gives no rows.
     """
     stats = Workspace(docs.sparkSession, "quality").save(described(docs), "stats")
