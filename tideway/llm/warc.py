@@ -21,7 +21,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded, lean
+from .common import BROADCAST_BYTES, Workspace, lean, table_bytes
 
 VERSION = b"WARC/1.1"
 MEMBER = b"\x1f\x8b\x08"
@@ -29,6 +29,8 @@ _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 18
+#: A payload that more than one of so many pages have is shared by many; tasks that read archives, at most.
+LARGE, MOST_READERS = 1000, 20_000
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -77,8 +79,15 @@ def with_revisits(pages: DataFrame, ws: Workspace, least_bytes: int = 0) -> Data
     html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     keyed = pages.select("page_id", "url", "html", base32_of_hex(F.sha1(html)).alias("payload_digest"), F.length(html).alias("_n"))
     groups = keyed.where(F.col("_n") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("_rows"))
-    groups = bounded(ws.save(groups.where("_rows > 1 and _first is not null").select(F.col("payload_digest").alias("_digest"), "_first"), "groups"))
-    joined = keyed.join(groups, (F.col("payload_digest") == F.col("_digest")) & (F.col("_n") >= least_bytes), "left")
+    groups = ws.save(groups.where("_rows > 1 and _first is not null").select(F.col("payload_digest").alias("_digest"), "_first", "_rows"), "groups")
+    same = (F.col("payload_digest") == F.col("_digest")) & (F.col("_n") >= least_bytes)
+    if table_bytes(groups) <= BROADCAST_BYTES:
+        joined = keyed.join(F.broadcast(groups), same, "left")
+    else:  # payloads that many pages share meet their groups where they are, the rest are shuffled
+        large = F.col("_rows") * LARGE > keyed.count()
+        first = keyed.join(F.broadcast(groups.where(large)), same, "left")
+        rest = first.where("_digest is null").select(keyed.columns).join(groups.where(~large), same, "left")
+        joined = first.where("_digest is not null").unionByName(rest)
     return joined.select("page_id", "url", "html", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to"))
 
 
@@ -398,4 +407,4 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, compress: bool = True) ->
     ws = Workspace(pages.sparkSession, "warc")
     folder = f"{ws.root}/archives"
     archives = ws.save(write(with_revisits(pages, ws, least_bytes), folder, compress=compress), "manifest")
-    return salvage(archives.repartition(max(1, archives.count()), "path"), folder, with_payload=False)
+    return salvage(archives.repartition(max(1, min(MOST_READERS, archives.count())), "path"), folder, with_payload=False)
