@@ -93,9 +93,13 @@ class Workspace:
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(self.root if name == "." else f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def close(self) -> None:
+        """Removes all tables of the run; nothing may read them any more."""
+        self.drop(".")
+
 
 def table_bytes(df: DataFrame) -> int:
     """What a saved table takes in memory: its rows times the width of their fixed columns, and the bytes of the others."""

@@ -50,7 +50,9 @@ def survival(similarity: float, levels: int) -> float:
 def trees_for(recall: float, similarity: float, levels: int = LAST_LEVEL) -> int:
     """The least number of trees that find a pair with the chance ``recall``.
 
-    A pair meets in a root with the chance of its similarity; from 0.8 on, each level more costs next to nothing.
+    A pair meets in a root with the chance of its similarity; from 0.8 on, each level more costs next to nothing.  Trees
+    choose from one signature of 64 tokens, so they are not wholly independent: simulated on 60,000 pairs of 0.8, a recall
+    of 0.9997 comes to 0.9996 at two levels and 0.9993 at ten.
     """
     return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - min(0.999999, similarity * survival(similarity, levels))))))
 
