@@ -194,6 +194,16 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.select(*LOG_FIELDS).write.mode("append").option("header", True).csv(path)
 
 
+#: Where the clock of a daily run stands.
+ZONE = "Asia/Tokyo"
+
+
+def recorded(rows: DataFrame, now: Column) -> DataFrame:
+    """Adds the date and the time at which an entry is recorded, by the clock of the run: ``now`` is a time in UTC."""
+    here = F.from_utc_timestamp(now, ZONE)
+    return rows.withColumns({"cached_date": F.to_date(here), "recorded_at": F.date_format(here, "yyyy/MM/dd HH:mm:ss")})
+
+
 def history(rows: DataFrame) -> DataFrame:
     """Adds the key by which an entry counts once: compact JSON of dates, tradeability and sorted tickers.
 

@@ -36,12 +36,12 @@ def _legs(rows: DataFrame, keys: list[str], costs: Costs) -> DataFrame:
     return days.select(*keys, "gross_return", "commission_cost", "slippage_cost", "borrow_cost", net.alias("net_pre_tax_return"), "long_notional", "short_notional", "n_long", "n_short")
 
 
-def portfolio(signals: DataFrame, rets: DataFrame, q: float = 0.3, costs: Costs = Costs(), min_long: float = 0.0, max_short: float = 0.0, require_short: bool = False) -> DataFrame:
+def portfolio(signals: DataFrame, rets: DataFrame, q: float = 0.3, costs: Costs = Costs(), min_long: float = 0.0, max_short: float = 0.0, require_short: bool = False, params: tuple[str, ...] = ()) -> DataFrame:
     """Daily portfolio of the dates with three signals that have a next-session return, and a long leg (and, on request,
-    a short leg too)."""
+    a short leg too).  ``params`` are columns of the signals that tell series apart: each has portfolios of its own."""
     rows = signals.join(rets.where("next_oc is not null").select(*KEY, "ticker", "next_oc"), [*KEY, "ticker"])
-    rows = quantile_masks(rows, q).withColumns({"long": c("cand_long") & (c("signal") >= min_long), "short": shortable(c("cand_short") & (c("signal") <= max_short), costs.allow_short, costs.unshortable)})
-    days = _legs(rows, KEY, costs).where("n_long > 0")
+    rows = quantile_masks(rows, q, keys=params).withColumns({"long": c("cand_long") & (c("signal") >= min_long), "short": shortable(c("cand_short") & (c("signal") <= max_short), costs.allow_short, costs.unshortable)})
+    days = _legs(rows, [*KEY, *params], costs).where("n_long > 0")
     return days.where("n_short > 0") if require_short else days
 
 

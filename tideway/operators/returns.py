@@ -67,6 +67,40 @@ def joint_quality(rets: DataFrame, ratio: float = 0.8) -> DataFrame:
     return tickers.join(cells, "universe_id").join(kept, "universe_id", "left")
 
 
+def quality_records(rets: DataFrame, prices: DataFrame, sample: tuple[str | None, str | None] = (None, None), mode: str = "raw", ratio: float = 0.8, width: int = 5) -> DataFrame:
+    """The quality record of the joint matrix, one row for each universe and fill policy.
+
+    ``prices(universe_id, date, price_mode)`` is the store; its date range is that of the mode.  Both policies come from one
+    scan of the covered rows: a missing cell is filled by the policy or its date goes.  A universe without a covered date
+    has no row; sample bounds that aren't given are those of the joint rows.
+    """
+    rows = covered(rets, ratio).withColumn("mean", F.avg("ret").over(series().rowsBetween(1 - width, 0)))
+    rows = rows.select("*", F.explode(F.array(F.lit("strict"), F.lit("rolling_mean"))).alias("fill_policy"))
+    rows = rows.withColumn("value", F.when(c("fill_policy") == "strict", c("ret")).otherwise(F.coalesce("ret", "mean")))
+    keys = ["universe_id", "fill_policy"]
+    days = rows.groupBy(*keys, "date").agg(F.count_if(c("value").isNull()).alias("gaps"), F.count_if(c("ret").isNull() & c("value").isNotNull()).alias("filled"))
+    kept = lambda x: F.when(c("gaps") == 0, x)
+    out = days.groupBy(*keys).agg(F.sum("filled").alias("filled_cells"), F.min(kept(c("date"))).alias("effective_start"), F.max(kept(c("date"))).alias("effective_end"), F.count(kept(c("date"))).alias("joint_rows"))
+    names = rows.where("fill_policy = 'strict'").groupBy("universe_id", "side", "ticker").agg(F.count("ret").alias("n"))
+    side = lambda s, x: F.array_sort(F.collect_list(F.when((c("side") == s) & (c("n") == 0), x)))
+    names = names.groupBy("universe_id").agg(side("lead", c("ticker")).alias("dropped_lead"), side("lag", c("ticker")).alias("dropped_lag"), F.count_if(c("side") == "lead").alias("usable_lead"), F.count_if(c("side") == "lag").alias("usable_lag"))
+    held = prices.groupBy("universe_id").agg(F.min(F.when(c("price_mode") == mode, c("date"))).alias("cache_first_date"), F.max(F.when(c("price_mode") == mode, c("date"))).alias("cache_last_date"), (F.countDistinct("ticker", "date", "price_mode") == F.count("*")).alias("cache_isolated"))
+    bound = lambda given, other: F.coalesce(F.lit(given).cast("date"), c(other))
+    return out.join(names, "universe_id").join(held, "universe_id", "left").select(
+        "universe_id", bound(sample[0], "effective_start").alias("sample_start"), bound(sample[1], "effective_end").alias("sample_end"), "fill_policy", F.lit(mode).alias("price_mode"), "filled_cells", "dropped_lead", "dropped_lag", "effective_start", "effective_end", "joint_rows",
+        c("joint_rows").alias("effective_window_days"), "usable_lead", "usable_lag", "cache_first_date", "cache_last_date", F.lit(mode).alias("cache_price_mode"), F.coalesce("cache_isolated", F.lit(False)).alias("cache_isolated"),
+    )
+
+
+def effective_windows(joint_: DataFrame, dates: DataFrame, length: int) -> DataFrame:
+    """universe_id, date, joint_rows, effective_window_days: rows of the joint matrix up to each of ``dates``, and how many of
+    them its window of ``length`` rows has."""
+    days = joint_.select("universe_id", "date").distinct().withColumn("row", F.lit(1)).unionByName(dates.select("universe_id", "date").distinct().withColumn("row", F.lit(0)))
+    w = Window.partitionBy("universe_id").orderBy("date", F.desc("row")).rowsBetween(Window.unboundedPreceding, 0)
+    days = days.withColumn("joint_rows", F.sum("row").over(w)).where("row = 0")
+    return days.select("universe_id", "date", "joint_rows", F.least("joint_rows", F.lit(length).cast("long")).alias("effective_window_days"))
+
+
 def rolling_zscore(rows: DataFrame, length: int) -> DataFrame:
     """Each return standardised by the ``length`` rows strictly before it (population deviation)."""
     w = series().rowsBetween(-length, -1)

@@ -85,6 +85,31 @@ def period_days(scenarios: DataFrame, bounds: DataFrame) -> DataFrame:
     )
 
 
+#: Names of the scenarios.
+NAMES = {"S01_CurrOC": "current, open to close", "S02_FlipL_OC": "longs turned, open to close", "S03_CurrCC": "current, close to close", "S04_FlipL_CC": "longs turned, close to close", "S05_CurrOO": "current, open to open", "S06_Curr1D": "current, held a day", "S08_GapOvht05": "gap filter on both sides", "S09_LGapFlt05": "gap filter on the longs", "S10_ShortOnly": "shorts only"}
+#: The 27 columns of the period table.
+PERIOD_COLUMNS = (
+    "date", "period_label", "strategy_id", "strategy_name", "gross_return_pct", "net_pre_tax_return_pct", "net_after_tax_return_pct", "long_contribution_pct", "short_contribution_pct", "tradeable", "skip_reason",
+    "candidate_long_count", "candidate_short_count", "adopted_long_count", "adopted_short_count", "trade_signal_strength", "candidate_signal_strength", "adopted_signal_strength",
+    "jp_next_open_gap_mean", "jp_oc_mean", "jp_cc_mean", "jp_gap_to_oc_reversal", "jp_long_gap_mean", "jp_short_gap_mean", "trend_regime", "vol_regime", "rotation_regime",
+)
+
+
+def period_table(days: DataFrame, strength: DataFrame, features: DataFrame, regime: DataFrame) -> DataFrame:
+    """The period table: facts of each date, scenario and period with the date's signal and lag features and its regimes.
+
+    ``days``: ``period_days``; the others have a row a date at most, and a date that one lacks has nulls there.
+    """
+    rows = days.join(strength.select(*KEY, "candidate_strength", "adopted_strength"), KEY, "left").join(features, KEY, "left").join(regime.select(*KEY, "trend_regime", "vol_regime", "rotation_regime"), KEY, "left")
+    name = F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv])[c("scenario_id")]
+    renamed = {
+        "strategy_id": c("scenario_id"), "strategy_name": name, "gross_return_pct": c("gross_pct"), "net_pre_tax_return_pct": c("net_pre_tax_pct"), "net_after_tax_return_pct": c("net_after_tax_pct"), "long_contribution_pct": c("long_pct"), "short_contribution_pct": c("short_pct"),
+        "candidate_long_count": c("cand_long"), "candidate_short_count": c("cand_short"), "adopted_long_count": c("adopt_long"), "adopted_short_count": c("adopt_short"), "trade_signal_strength": c("adopted_strength"), "candidate_signal_strength": c("candidate_strength"), "adopted_signal_strength": c("adopted_strength"),
+        "jp_next_open_gap_mean": c("gap_mean"), "jp_oc_mean": c("oc_mean"), "jp_cc_mean": c("cc_mean"), "jp_gap_to_oc_reversal": c("gap_to_oc_reversal"), "jp_long_gap_mean": c("long_gap_mean"), "jp_short_gap_mean": c("short_gap_mean"),
+    }
+    return rows.select("universe_id", *[renamed.get(x, c(x)).alias(x) for x in PERIOD_COLUMNS])
+
+
 def _compound(x: str) -> Column:
     return (F.product(1 + c(x) / 100) - 1) * 100
 

@@ -7,12 +7,25 @@ from pyspark.sql import functions as F
 
 c = F.col
 PRICES = "ticker string, date date, price_mode string, open double, close double"
+#: What a store is partitioned by; a month is ``yyyy-MM``.
+PARTITIONS = ("price_mode", "month")
+
+
+def month(date: Column) -> Column:
+    return F.date_format(date, "yyyy-MM")
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a store, with their month."""
+    return spark.read.schema(f"{PRICES}, month string").parquet(path)
 
 
 def scan(spark: SparkSession, path: str, tickers: list[str], start: str, end: str, mode: str) -> DataFrame:
-    """Half-open date range of a store that is partitioned by price_mode; all three predicates reach the files."""
-    rows = spark.read.parquet(path)
-    return rows.where((c("price_mode") == mode) & c("ticker").isin(tickers) & (c("date") >= F.lit(start).cast("date")) & (c("date") < F.lit(end).cast("date"))).orderBy("ticker", "date")
+    """Half-open date range of a store: only the folders of its mode and months are read, the other predicates reach the
+    files."""
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    rows = stored(spark, path).where((c("price_mode") == mode) & (c("month") >= month(first)) & (c("month") <= month(F.date_sub(last, 1))))
+    return rows.where(c("ticker").isin(tickers) & (c("date") >= first) & (c("date") < last)).drop("month").orderBy("ticker", "date")
 
 
 def latest(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
@@ -28,8 +41,25 @@ def upsert(store: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def write_store(rows: DataFrame, path: str) -> None:
-    """Replaces the partitions (price modes) that ``rows`` has."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("price_mode").parquet(path)
+    """Replaces the folders (price modes and months) that ``rows`` has; no other file is touched.
+
+    Rows are dealt by folder, large ones to several tasks, so that a folder has few files.
+    """
+    rows = rows.select("ticker", "date", "price_mode", "open", "close", month(c("date")).alias("month")).hint("rebalance", *PARTITIONS)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+
+
+def touched(spark: SparkSession, path: str, fresh: DataFrame) -> DataFrame | None:
+    """The rows of the store's folders that ``fresh`` has rows for; None if there is no store."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    folders = fresh.select("price_mode", month(c("date")).alias("month")).distinct().groupBy("price_mode").agg(F.sort_array(F.collect_set("month")).alias("months")).collect()  # a few months a mode
+    rows = stored(spark, path)
+    wanted = F.lit(False)
+    for f in folders:
+        wanted = wanted | ((c("price_mode") == f.price_mode) & c("month").isin(f.months))
+    return rows.where(wanted).drop("month")
 
 
 def date_range(panel: DataFrame) -> DataFrame:
@@ -112,16 +142,47 @@ def load_factors(spark: SparkSession, folder: str, names: tuple[str, ...] = ("ca
         if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             rows = spark.read.option("header", True).csv(f"{folder}/{name}")
             first = "date" if "date" in rows.columns else rows.columns[0]
-            return rows.select(F.to_date(first).alias("date"), *[c(x).cast("double").alias({"wml": "mom"}.get(x.strip().lower(), x.strip().lower())) for x in rows.columns if x != first])
+            day = F.to_date(F.substring(F.trim(first), 1, 10))  # a zone behind the date is left out, not applied
+            return rows.select(day.alias("date"), *[c(x).cast("double").alias({"wml": "mom"}.get(x.strip().lower(), x.strip().lower())) for x in rows.columns if x != first])
     return None
 
 
+def write_factors(rows: DataFrame, folder: str, name: str) -> None:
+    """Factor columns (fractions) by date as CSV with a header, under one of the names that ``load_factors`` looks for."""
+    rows.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+
+
+def factor_status(factors: DataFrame | None, spark: SparkSession) -> DataFrame:
+    """One row: is there a stored factor file with rows, its model, number of rows, first and last date."""
+    if factors is None:
+        return spark.range(1).select(F.lit(False).alias("factor_data_ready"), F.lit(None).cast("string").alias("factor_model"), F.lit(0).cast("long").alias("factor_rows"), F.lit(None).cast("date").alias("factor_start"), F.lit(None).cast("date").alias("factor_end"))
+    model = F.lit("Carhart4" if "mom" in factors.columns else "FF3")
+    found = factors.agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
+    return found.select((c("n") > 0).alias("factor_data_ready"), F.when(c("n") > 0, model).alias("factor_model"), c("n").alias("factor_rows"), c("first").alias("factor_start"), c("last").alias("factor_end"))
+
+
 def corporate_actions(wide: DataFrame, source: str) -> DataFrame:
     """(ticker, date, dividend, split) as rows of positive values."""
     keys = [x for x in wide.columns if x not in ("dividend", "split")]
     return wide.unpivot(keys, ["dividend", "split"], "action_type", "value").where("value > 0").withColumn("source", F.lit(source))
 
 
+def action_tables(*sources: DataFrame) -> DataFrame:
+    """The actions of all sources as one table, each with the table it goes to (dividends or splits) and its place there by
+    ticker and date; rows that several sources have alike count once, other types are left out."""
+    rows = sources[0]
+    for more in sources[1:]:
+        rows = rows.unionByName(more)
+    rows = rows.dropDuplicates(["universe_id", "ticker", "date", "action_type", "value"])
+    table = F.when(c("action_type") == "dividend", "dividends").when(c("action_type") == "split", "splits")
+    return rows.withColumn("table", table).where("table is not null").select("universe_id", "table", "ticker", "date", "value")
+
+
+def write_actions(rows: DataFrame, folder: str) -> None:
+    """The tables of ``action_tables`` as CSV, a folder for each, sorted by ticker and date within their files."""
+    rows.hint("rebalance", "table").sortWithinPartitions("table", "ticker", "date").write.mode("overwrite").partitionBy("table").option("header", True).csv(folder)
+
+
 def weekday_calendar(spark: SparkSession, start: str, end: str, holidays: list[str] = ()) -> DataFrame:
     days = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("date"))
     return days.where((F.weekday("date") < 5) & ~c("date").cast("string").isin(list(holidays) or [""]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .performance import equity, longest_runs, performance
 from .selection import KEY, quantile_masks
 
 c = F.col
@@ -167,6 +168,135 @@ def spread_grid(stats: DataFrame, days: DataFrame, limits: list[float]) -> DataF
     )
 
 
+def parameter_grid(rows: DataFrame, quantiles: tuple[float, ...], slippage: tuple[float, ...], params: tuple[str, ...] = (), per_year: int = 252, commission: float = 5.0, borrow: float = 0.015) -> DataFrame:
+    """Portfolio performance for a grid of quantiles, slippage and shorts, and of ``params``, columns of the rows.
+
+    ``rows``: universe_id, date, signal, next_oc and the params.  Parameters multiply the rows and are part of every key, so
+    the grid is one pass; the bounds of all quantiles come from one window.
+    """
+    keys = [*KEY, *params]
+    w = Window.partitionBy(*keys)
+    rows = rows.where("signal is not null and next_oc is not null").withColumns({"n": F.count("*").over(w), "p": F.percentile("signal", F.array(*[F.lit(x) for q in quantiles for x in (q, 1 - q)])).over(w)}).where("n >= 3")
+    each = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), c("p")[2 * i].alias("lo"), c("p")[2 * i + 1].alias("hi")) for i, q in enumerate(quantiles)]))
+    rows = rows.select(*keys, "signal", "next_oc", each.alias("g")).select(*keys, "signal", "next_oc", "g.*")
+    rows = rows.withColumns({"long": (c("signal") >= c("hi")) & (c("signal") >= 0), "short": (c("signal") <= c("lo")) & (c("signal") <= 0)})
+    costs = F.explode(F.array(*[F.struct(F.lit(b).alias("slippage_bps"), F.lit(a).alias("allow_short")) for b in slippage for a in (True, False)]))
+    days = rows.groupBy(*keys, "q").agg(F.avg(F.when(c("long"), c("next_oc"))).alias("l"), F.avg(F.when(c("short"), c("next_oc"))).alias("s"), F.max("long").alias("has_long"), F.max("short").alias("has_short")).where("has_long")
+    days = days.select("*", costs.alias("g")).select(*keys, "q", "l", "s", "has_short", "g.*")
+    ns = (c("has_short") & c("allow_short")).cast("double")
+    ret = c("l") - F.when(c("allow_short"), F.coalesce("s", F.lit(0.0))).otherwise(0.0) - (commission + c("slippage_bps")) / 1e4 * 2 * (1 + ns) - borrow / 252 * ns
+    return performance(days.withColumn("ret", ret), ["universe_id", *params, "q", "slippage_bps", "allow_short"], per_year)
+
+
+def spread_study(days: DataFrame, limits: tuple[float, ...]) -> DataFrame:
+    """For each least signal spread: what is traded, its returns and win rates, risk, runs and contributions of the sides.
+
+    ``days``: universe_id, date, trade_strength, ret, long_contrib, short_contrib.  A date below the spread is skipped and
+    earns nothing.  A run of losses is one of traded dates that do not win; skipped ones end it.
+    """
+    keys = ["universe_id", "least_spread"]
+    rows = days.select(*KEY, "trade_strength", "ret", "long_contrib", "short_contrib", F.explode(F.array(*map(F.lit, limits))).alias("least_spread"))
+    rows = rows.withColumn("traded", c("trade_strength") >= c("least_spread"))
+    held = lambda x: F.when(c("traded"), c(x))
+    zero = lambda x: F.when(c("traded"), c(x)).otherwise(0.0)
+    rows = rows.withColumns({"kept": zero("ret"), "kind": F.when(~c("traded"), "skip").when(c("ret") > 0, "win").otherwise("loss")})
+    w, v = Window.partitionBy(*keys).orderBy("date"), Window.partitionBy(*keys, "kind").orderBy("date")
+    runs = rows.withColumn("island", F.row_number().over(w) - F.row_number().over(v)).groupBy(*keys, "kind", "island").agg(F.count("*").alias("n"))
+    runs = runs.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(c("kind") == k, c("n"))), F.lit(0)).alias(f"longest_{k}") for k in ("loss", "skip")])
+    out = rows.groupBy(*keys).agg(
+        F.count_if("traded").alias("traded_days"), F.count_if(~c("traded")).alias("skipped_days"), F.avg(c("traded").cast("double")).alias("pass_rate"), F.avg(held("ret")).alias("traded_mean"), F.avg("kept").alias("all_mean"),
+        F.avg(F.when(c("traded"), (c("ret") > 0).cast("double"))).alias("traded_win_rate"), F.avg((c("kept") > 0).cast("double")).alias("all_win_rate"), (F.product(1 + c("kept")) - 1).alias("compound"),
+        F.avg(held("long_contrib")).alias("traded_long"), F.avg(held("short_contrib")).alias("traded_short"), F.avg(zero("long_contrib")).alias("all_long"), F.avg(zero("short_contrib")).alias("all_short"),
+    )
+    falls = equity(rows.select(*keys, "date", c("kept").alias("ret")), keys).groupBy(*keys).agg(F.min("drawdown").alias("mdd"))
+    return out.join(falls, keys).join(runs, keys)
+
+
+def spread_bands(days: DataFrame, edges: tuple[float, ...]) -> DataFrame:
+    """Days, mean return and win rate of each band of the signal spread: from one edge up to the next, the last one open."""
+    bands = F.array(*map(F.lit, edges))
+    rows = days.select("universe_id", "ret", F.size(F.filter(bands, lambda e: e <= c("trade_strength"))).alias("band")).where("band > 0")
+    low, high = F.get(bands, c("band") - 1), F.get(bands, c("band"))
+    return rows.groupBy("universe_id", "band").agg(F.count("*").alias("days"), F.avg("ret").alias("mean"), F.avg((c("ret") > 0).cast("double")).alias("win_rate")).select("universe_id", low.alias("low"), high.alias("high"), "days", "mean", "win_rate")
+
+
+def threshold_comparison(masks: DataFrame, regime: DataFrame, settings: tuple[tuple[str, float | None], ...], adaptive: tuple[dict[str, float], dict[str, float]], per_year: int = 252, cost: float = 0.002, borrow: float = 0.015) -> DataFrame:
+    """Fixed thresholds against adaptive ones: shares of days that trade or have no long, and returns before and after costs,
+    over all dates, by volatility, and by trend and volatility.
+
+    ``masks``: candidate rows with next_oc; ``settings``: (name, threshold of both sides, None: by volatility).  A date
+    trades if it has a long and a short; its return counts if it has a long.
+    """
+    long_table, short_table = adaptive
+    of = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[c("vol_regime")]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("setting"), (F.lit(t) if t is not None else of(long_table)).alias("min_long"), (F.lit(-t) if t is not None else of(short_table)).alias("max_short")) for n, t in settings]))
+    rows = masks.join(regime.select(*KEY, "trend_regime", "vol_regime"), KEY)
+    rows = rows.select(*KEY, "trend_regime", "vol_regime", "signal", "next_oc", "cand_long", "cand_short", each.alias("g")).select("*", "g.*")
+    rows = rows.withColumns({"l": c("cand_long") & (c("signal") >= c("min_long")), "s": c("cand_short") & (c("signal") <= c("max_short"))})
+    mean = lambda m: F.coalesce(F.avg(F.when(c(m), c("next_oc"))), F.lit(0.0))
+    days = rows.groupBy(*KEY, "setting", "trend_regime", "vol_regime").agg(F.count_if("l").alias("nl"), F.count_if("s").alias("ns"), (mean("l") - mean("s")).alias("gross"))
+    has = lambda n: (c(n) > 0).cast("double")
+    days = days.withColumn("net", c("gross") - cost * (has("nl") + has("ns")) - borrow / 252 * has("ns"))
+    groups = F.explode(F.array(F.struct(F.lit(None).cast("string").alias("trend"), F.lit(None).cast("string").alias("vol")), F.struct(F.lit(None).cast("string").alias("trend"), c("vol_regime").alias("vol")), F.struct(c("trend_regime").alias("trend"), c("vol_regime").alias("vol"))))
+    days = days.select(*KEY, "setting", "nl", "ns", "gross", "net", groups.alias("g")).select(*KEY, "setting", "nl", "ns", "gross", "net", F.coalesce("g.trend", F.lit("all")).alias("trend_regime"), F.coalesce("g.vol", F.lit("all")).alias("vol_regime"))
+    keys = ["universe_id", "setting", "trend_regime", "vol_regime"]
+    shares = days.groupBy(*keys).agg(F.count("*").alias("days"), F.avg(((c("nl") > 0) & (c("ns") > 0)).cast("double")).alias("tradeable_rate"), F.avg((c("nl") == 0).cast("double")).alias("no_long_rate"))
+    held = days.where("nl > 0")
+    for name in ("gross", "net"):
+        one = performance(held.select(*keys, "date", c(name).alias("ret")), keys, per_year)
+        shares = shares.join(one.select(*keys, *[c(x).alias(f"{name}_{x}") for x in ("ar", "rr", "mdd")]), keys, "left")
+    return shares
+
+
+#: What each flip scenario does with the long and the short candidates (1: as signalled, -1: turned).
+FLIPS = (("A_orig", 1, 1), ("B_flip_L", -1, 1), ("C_flip_S", 1, -1), ("D_flip_B", -1, -1))
+
+
+def flip_study(masks: DataFrame, looks: dict[str, int], horizons: dict[str, str], flips=FLIPS) -> DataFrame:
+    """The flip scenarios over several look-backs (numbers of last dates) and horizons (name: return column).
+
+    ``masks``: candidate rows with the return columns.  A date's return is the half of both sides' contributions, or that of
+    the one side it has; dates without either are left out.  Scenario, look-back and horizon multiply the dates, which are
+    few, after one aggregation of the rows.
+    """
+    mean = lambda m, x: F.avg(F.when(c(m), c(x)))
+    days = masks.groupBy(*KEY).agg(*[x for n, v in horizons.items() for x in (mean("cand_long", v).alias(f"l_{n}"), mean("cand_short", v).alias(f"s_{n}"))])
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("horizon"), c(f"l_{n}").alias("l"), c(f"s_{n}").alias("s")) for n in horizons]))
+    days = days.select(*KEY, each.alias("g")).select(*KEY, "g.*").where("l is not null or s is not null")
+    days = days.withColumn("back", F.row_number().over(Window.partitionBy("universe_id", "horizon").orderBy(F.desc("date"))))
+    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("look"), F.lit(n).alias("last"), F.lit(i).alias("scenario"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for k, n in looks.items() for i, a, b in flips]))
+    days = days.select(*KEY, "horizon", "l", "s", "back", grid.alias("g")).select(*KEY, "horizon", "l", "s", "back", "g.*").where(c("back") <= c("last"))
+    long, short = c("l") * c("a"), -c("s") * c("b")
+    days = days.withColumns({"long": long, "short": short, "ret": F.coalesce((long + short) / 2, long, short)})
+    keys = ["universe_id", "horizon", "look", "scenario"]
+    out = days.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.avg((c("ret") > 0).cast("double")).alias("win_rate"), (F.product(1 + c("ret")) - 1).alias("compound"), F.avg("long").alias("long_mean"), F.avg("short").alias("short_mean"))
+    falls = equity(days.select(*keys, "date", "ret"), keys).groupBy(*keys).agg(F.min("drawdown").alias("mdd"))
+    runs = longest_runs(days.select(*keys, "date", "ret"), keys).select(*keys, c("max_losses").alias("longest_loss"))
+    return out.join(falls, keys).join(runs, keys)
+
+
+def annual_regression(returns: DataFrame, factors: DataFrame, value: str, rate: str = "rf", keys: tuple[str, ...] = ("universe_id",), per_year: int = 252) -> DataFrame:
+    """The regression of returns, less the risk-free rate if there is one, on all factors that are there.
+
+    One row for each key: n_obs, alpha_annual, t_alpha, r2, betas and t_stats (maps by factor), stars (** from a t of 2, * from
+    1.65) and error: ``insufficient observations: n=, k=`` unless there are more rows than coefficients.  Rows with a
+    missing value are left out; a key without any has no row.
+    """
+    xs = [x for x in factors.columns if x not in ("date", rate)]
+    rows = returns.select(*keys, "date", value).join(factors, "date").na.drop()
+    rows = excess(rows, value, rate)
+    k = len(xs) + 1
+    fitted = ols(rows, list(keys), value, xs)
+    beta = F.map_from_entries(F.sort_array(F.collect_list(F.when(c("term") != "alpha", F.struct("term", "coefficient")))))
+    t_of = F.map_from_entries(F.sort_array(F.collect_list(F.when(c("term") != "alpha", F.struct("term", "t_value")))))
+    alpha = lambda x: F.max(F.when(c("term") == "alpha", c(x)))
+    out = fitted.groupBy(*keys).agg(F.max("n").alias("n_obs"), (alpha("coefficient") * per_year).alias("alpha_annual"), alpha("t_value").alias("t_alpha"), F.max("r2").alias("r2"), beta.alias("betas"), t_of.alias("t_stats"))
+    few = c("n_obs") <= k
+    size = F.abs("t_alpha")
+    out = out.withColumns({"stars": F.when(size >= 2.0, "**").when(size >= 1.65, "*").otherwise(""), "error": F.when(few, F.format_string(f"insufficient observations: n=%d, k={k}", "n_obs"))})
+    return out.select(*keys, "n_obs", *[F.when(~few, c(x)).alias(x) for x in ("alpha_annual", "t_alpha", "r2", "betas", "t_stats", "stars")], "error")
+
+
 def spearman(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Rank correlation with average ranks for ties."""
 

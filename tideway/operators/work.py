@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Bytes up to which a measured table is broadcast.
-BROADCAST_BYTES = 16 << 20
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; where the session names none, a local one, but never on a cluster."""
@@ -21,6 +19,18 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints/tideway"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the Python workers, once for each application, in case it isn't installed there."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{root.name}-tideway", "zip", root, "tideway"))
+        _shipped.add(app)
+
+
 class Saved:
     """Writes a DataFrame that several others read as Parquet and reads it back: what is below it runs once, and lost
     executors cost only their own tasks."""
@@ -33,8 +43,8 @@ class Saved:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if its size, taken from its plan's statistics or the given number of rows, is bounded."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n * (24 + 16 * len(df.columns)) <= BROADCAST_BYTES else df
+    def close(self) -> None:
+        """Removes what was saved; nothing may read it any more."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 
 from ..functions.predicates import sure
 from ..functions.rules import RULES, rolling_selector
-from ..operators import daily, performance, portfolio, regime, returns, scenarios, selection, sessions, signals, status, store, studies
-from ..operators.work import Saved
+from ..operators import daily, performance, portfolio, regime, report, returns, scenarios, selection, sessions, signals, status, store, studies
+from ..operators.work import Saved, ship
 from ..sources import documents, market
-from .sql import LENGTH, for_universes, gates_sql, scenario_chain, statement
+from .sql import DAYS, LENGTH, PERIOD_D, PERIOD_TABLE, QUALITY, REPORT_SET, SPREAD_DAYS, flip_sql, for_days, for_universes, gates_sql, report_sql, scenario_chain, spread_sql, statement, status_sql, threshold_sql
 
 c = F.col
 DIGITS = 7
@@ -35,12 +35,14 @@ class Market:
     tables are made of them, so that the order lines are read once; so are other tables that are read several times.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, by: str | None = None):
-        self.spark, self.sf_dir, self.by, self.save = spark, sf_dir, by, Saved(spark, "market")
+    def __init__(self, spark: SparkSession, sf_dir: str, by: str | None = None, grain: str = "month"):
+        self.spark, self.sf_dir, self.by, self.grain, self.save = spark, sf_dir, by, grain, Saved(spark, "market")
+        ship(spark)
+        self.length, self.pretrain, self.per_year = (DAYS, 500, 252) if grain == "day" else (LENGTH, 36, 12)
 
     @cached_property
     def panel(self):
-        return market.order_panel(self.spark, self.sf_dir, by=self.by)
+        return market.order_panel(self.spark, self.sf_dir, self.grain, self.by)
 
     @cached_property
     def saved_panel(self):
@@ -60,14 +62,37 @@ class Market:
 
     @cached_property
     def signal(self):
-        return signals.momentum(self.rets, LENGTH)
+        return signals.momentum(self.rets, self.length)
+
+    @cached_property
+    def external(self):
+        """A folder for factor files and reports; empty until ``publish_external`` fills it."""
+        return f"{self.save.root}/external"
+
+    def publish_external(self):
+        store.write_factors(self.factors, self.external, "carhart4.csv")
+        documents.write_returns(self.portfolio.where("universe_id = 'all'").select("date", c("gross_return").alias("ret_sub")), f"{self.external}/report")
+
+    @cached_property
+    def store_rows(self):
+        """The panel as a price store: raw prices, and adjusted ones, which the splits and dividends make, of the first half."""
+        rows = self.saved_panel.where("open is not null or close is not null").select("universe_id", "ticker", "date", F.lit("raw").alias("price_mode"), "open", "close")
+        return rows.unionByName(rows.where("date < '1996-01-01'").withColumns({"price_mode": F.lit("adjusted"), "open": c("open") * 0.8, "close": c("close") * 0.8}))
+
+    @cached_property
+    def grid_signals(self):
+        """Subspace signals with next returns for all weights of the prior, from one pass."""
+        return self.with_next(signals.subspace_grid(self.joint, self.names, (LENGTH,), LAMBDAS).drop("length"))
+
+    def with_next(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.rets.where("next_oc is not null").select(*K, "ticker", "next_oc"), [*K, "ticker"])
 
     @cached_property
     def subspace(self):
         return self.save(self.eigen(), "subspace")
 
     def eigen(self, lam: float = 0.9, matrix: bool = False):
-        return signals.subspace_signals(self.joint, self.names, LENGTH, lam=lam, matrix=matrix)
+        return signals.subspace_signals(self.joint, self.names, self.length, lam=lam, pretrain=self.pretrain, matrix=matrix)
 
     @cached_property
     def regime(self):
@@ -109,7 +134,7 @@ class Market:
         return taxed.withColumnRenamed("ret", "pre").select("universe_id", "date", each.alias("s")).select("universe_id", "date", "s.*")
 
     def performance(self, days: DataFrame | None = None):
-        return performance.performance(self.sets(days), ["universe_id", "set_name"], 12)
+        return performance.performance(self.sets(days), ["universe_id", "set_name"], self.per_year)
 
     @cached_property
     def scenarios(self):
@@ -123,6 +148,10 @@ class Market:
     def period_days(self):
         return self.save(scenarios.period_days(self.scenarios, self.bounds), "period-days")
 
+    @cached_property
+    def period_table(self):
+        return scenarios.period_table(self.period_days, self.strength, scenarios.lag_features(self.signal, self.rets), self.regime)
+
     @cached_property
     def summary(self):
         return scenarios.summaries(self.period_days, self.bounds)
@@ -228,6 +257,7 @@ class Query:
     doubles: tuple[str, ...] = ()
     dates: tuple[str, ...] = ("date",)
     by: str | None = None  # the column of the universes, if there are several
+    grain: str = "month"
 
 
 def presented(df: DataFrame) -> DataFrame:
@@ -322,42 +352,38 @@ UNIVERSES = ("A", "N", "R")
 GRID_Q, GRID_BPS = (0.15, 0.2, 0.25, 0.3), (1.0, 3.0, 5.0)
 
 
+LAMBDAS = (0.7, 0.8, 0.9)  # at 1 the signals of tickers with one label are equal
+WINDOWS, EIGEN_WINDOWS = (6, 12, 18), (6, 9, 12, 18, 24)
+
+
 def _grid(m: Market) -> DataFrame:
-    """Portfolio performance for a grid of quantiles, slippage and shorts: parameters multiply the rows and are part of
-    every key; the bounds of all quantiles come from one window."""
-    rows = m.signal.join(m.rets.where("next_oc is not null").select(*K, "ticker", "next_oc"), [*K, "ticker"])
-    w = Window.partitionBy(*K)
-    rows = rows.withColumns({"n": F.count("*").over(w), "p": F.percentile("signal", F.array(*[F.lit(x) for q in GRID_Q for x in (q, 1 - q)])).over(w)}).where("n >= 3")
-    each = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), c("p")[2 * i].alias("lo"), c("p")[2 * i + 1].alias("hi")) for i, q in enumerate(GRID_Q)]))
-    rows = rows.select(*K, "signal", "next_oc", each.alias("g")).select(*K, "signal", "next_oc", "g.*")
-    rows = rows.withColumns({"long": (c("signal") >= c("hi")) & (c("signal") >= 0), "short": (c("signal") <= c("lo")) & (c("signal") <= 0)})
-    costs = F.explode(F.array(*[F.struct(F.lit(b).alias("slippage_bps"), F.lit(a).alias("allow_short")) for b in GRID_BPS for a in (True, False)]))
-    days = rows.groupBy(*K, "q").agg(F.avg(F.when(c("long"), c("next_oc"))).alias("l"), F.avg(F.when(c("short"), c("next_oc"))).alias("s"), F.max("long").alias("has_long"), F.max("short").alias("has_short")).where("has_long")
-    days = days.select("*", costs.alias("g")).select("universe_id", "date", "q", "l", "s", "has_short", "g.*")
-    ns = (c("has_short") & c("allow_short")).cast("double")
-    ret = c("l") - F.when(c("allow_short"), F.coalesce("s", F.lit(0.0))).otherwise(0.0) - (5.0 + c("slippage_bps")) / 1e4 * 2 * (1 + ns) - 0.015 / 252 * ns
-    return performance.performance(days.withColumn("ret", ret), ["universe_id", "q", "slippage_bps", "allow_short"], 12)
+    return studies.parameter_grid(m.with_next(m.signal), GRID_Q, GRID_BPS, per_year=12)
+
+
+def _eigen_grid(m: Market) -> DataFrame:
+    """The same for the subspace signal, with the weight of the prior as a further axis."""
+    return studies.parameter_grid(m.grid_signals, GRID_Q, GRID_BPS, ("lambda",), 12)
 
 
 def _lambda_grid(m: Market) -> DataFrame:
     """Performance of the subspace signal for several weights of the prior."""
-    out = None
-    for lam in (0.7, 0.8, 0.9):  # at 1 the signals of tickers with one label are equal
-        days = portfolio.portfolio(m.save(m.eigen(lam), f"lambda-{lam}"), m.rets).select(*K, F.lit(lam).alias("lambda"), c("net_pre_tax_return").alias("ret"))
-        out = days if out is None else out.unionByName(days)
-    return performance.performance(out, ["universe_id", "lambda"], 12)
+    rows = signals.subspace_grid(m.joint, m.names, (LENGTH,), LAMBDAS).drop("length")
+    days = portfolio.portfolio(rows, m.rets, params=("lambda",)).select(*K, "lambda", c("net_pre_tax_return").alias("ret"))
+    return performance.performance(days, ["universe_id", "lambda"], 12)
 
 
 def _windows(m: Market) -> DataFrame:
     """Performance of the momentum signal for several lengths of its window."""
-    out = None
-    for length in WINDOWS:
-        days = portfolio.portfolio(signals.momentum(m.rets, length), m.rets).select(*K, F.lit(length).alias("length"), c("gross_return").alias("ret"))
-        out = days if out is None else out.unionByName(days)
-    return performance.performance(out, ["universe_id", "length"], 12)
+    days = portfolio.portfolio(signals.momentum_grid(m.rets, WINDOWS), m.rets, params=("length",)).select(*K, "length", c("gross_return").alias("ret"))
+    return performance.performance(days, ["universe_id", "length"], 12)
 
 
-WINDOWS = (6, 12, 18)
+def _eigen_windows(m: Market) -> DataFrame:
+    """Performance of the subspace signal, before and after costs, for several lengths of its window; one pass for all."""
+    rows = signals.subspace_grid(m.joint, m.names, EIGEN_WINDOWS, (0.9,)).drop("lambda")
+    days = m.save(portfolio.portfolio(rows, m.rets, params=("length",)), "eigen-windows")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("set_name"), c(v).alias("ret")) for n, v in (("gross", "gross_return"), ("net_pre_tax", "net_pre_tax_return"))]))
+    return performance.performance(days.select(*K, "length", each.alias("s")).select(*K, "length", "s.*"), ["universe_id", "length", "set_name"], 12)
 
 
 def _adaptive(m: Market) -> DataFrame:
@@ -389,7 +415,7 @@ def _history(m: Market) -> DataFrame:
     rows = m.traded.withColumns({"signal_date": c("date").cast("string"), "exec_date": c("execution_date").cast("string")}).join(daily.tickers(m.plan), K, "left")
     none = F.array().cast("array<string>")
     rows = rows.withColumns({x: F.coalesce(x, none) for x in ("long_tickers", "short_tickers")})
-    return daily.history(rows).select(*K, "dedupe_key", c("source").alias("exec_source"), "tradeable", "block_reason", "n_long", "n_short", "freshness_ok", "dates_aligned", "usable_lead", "usable_lag", "no_trade", F.lit(ACTIVE).alias("rule_id"), c("strategy").alias("selected_strategy"), daily.action(c("strategy")).alias("action"))
+    return daily.recorded(daily.history(rows), F.lit("2026-08-20 21:30:00").cast("timestamp")).select(*K, "cached_date", "recorded_at", "dedupe_key", c("source").alias("exec_source"), "tradeable", "block_reason", "n_long", "n_short", "freshness_ok", "dates_aligned", "usable_lead", "usable_lag", "no_trade", F.lit(ACTIVE).alias("rule_id"), c("strategy").alias("selected_strategy"), daily.action(c("strategy")).alias("action"))
 
 
 #: Settings that the gate is tried with: name, mode, whether the rule holds, thresholds (both sides), least spread and count.
@@ -408,13 +434,82 @@ def _gates(m: Market) -> DataFrame:
     return out
 
 
-def _readiness(m: Market) -> DataFrame:
-    """Roll-up for each universe: are factors, regression, adjusted prices and a report there?"""
-    ready = studies.readiness(m.portfolio.where("universe_id = 'all'").select("date", "gross_return"), m.factors, "gross_return")
+def _readiness(m: Market, published: bool = False) -> DataFrame:
+    """Roll-up for each universe: are factors, regression, adjusted prices and a report there?  All is read from the files
+    of the external folder, the saved actions and the panel."""
+    if published:
+        m.publish_external()
+    factors, tested = store.load_factors(m.spark, m.external), documents.report_returns(m.spark, f"{m.external}/report")
+    found = store.factor_status(factors, m.spark).withColumn("report_available", F.lit(tested is not None))
+    ready = studies.readiness(tested, factors, "ret_sub").select(c("ready").alias("factor_regression_ready"), c("reason").alias("regression_reason"), c("n").alias("n_obs"))
     checked = status.verification(m.actions, m.wanted.where("ord <= 25").groupBy("universe_id").agg(F.count("*").alias("tickers")), F.lit("1995-01-01").cast("date"), F.lit("2001-09-01").cast("date"))
-    rows = checked.select("universe_id", c("verified").alias("adjusted_verification_ready"), "reason_code").crossJoin(ready.select(c("ready").alias("factor_regression_ready"), c("reason").alias("regression_reason"), c("n").alias("n_obs")))
-    rows = rows.withColumns({"factor_data_ready": F.lit(True), "report_available": F.lit(False)}).join(m.cache().select("universe_id", "signal_ready"), "universe_id")
-    return status.roll_up(rows)
+    rows = checked.select("universe_id", "coverage_ratio", "covered", (c("total") > 0).alias("actions_data_ready"), c("verified").alias("adjusted_verification_ready"), "reason_code").crossJoin(found).crossJoin(ready)  # one row each
+    return status.roll_up(rows.join(m.cache().select("universe_id", "signal_ready"), "universe_id"))
+
+
+def _report(m: Market) -> DataFrame:
+    paid = m.portfolio.groupBy("universe_id").agg(*[F.sum(x).alias(x) for x in ("commission_cost", "slippage_cost", "borrow_cost")], F.min("date").alias("eval_start"))
+    taxed = performance.after_tax(m.portfolio.select(*K, c("net_pre_tax_return").alias("ret")), ["universe_id"]).groupBy("universe_id").agg(F.sum("tax_paid").alias("tax_cost"))
+    params = {"signal": "momentum", "window_l": LENGTH, "commission_bps_per_side": 5, "slippage_bps_per_side": 5, "allow_short": True, "tax_model": "annual_net"}
+    tested = report.backtest(m.performance(), paid.join(taxed, "universe_id"), _verdict(m), params)
+    entries = m.traded.withColumns({"signal_date": c("date").cast("string"), "exec_date": c("execution_date").cast("string")}).join(daily.tickers(m.plan), K, "left")
+    none = F.array().cast("array<string>")
+    entries = daily.history(entries.withColumns({x: F.coalesce(x, none) for x in ("long_tickers", "short_tickers")}))
+    shadow = daily.shadow_decisions(m.run_decisions, ACTIVE)
+    rows = report.daily_report(m.traded.drop("regime_warning"), m.plan, m.run_contexts, shadow, tested, entries, F.lit("1970-01-01T00:00:00+00:00"), ACTIVE)
+    return documents.report_documents(rows, keys=("universe_id",))
+
+
+def _report_set(m: Market) -> DataFrame:
+    """Five tables of one run, read back from the files that the manifest names."""
+    days, bounds = m.period_days, m.save(m.bounds, "bounds")
+    summary = m.save(scenarios.summaries(days, bounds), "summary")
+    tables = {
+        "daily": m.period_table, "monthly": scenarios.aggregates(days, F.date_format("date", "yyyy-MM"), "year_month"), "yearly": scenarios.aggregates(days, F.year("date").cast("long"), "year"),
+        "summary": summary, "vs_baseline": scenarios.baseline_deltas(summary),
+    }
+    made = documents.ReportSet(m.spark, f"{m.save.root}/reports").publish(tables, "run-1")
+    return made.select("table", "period_label", "rows")
+
+
+def _legacy(m: Market) -> DataFrame:
+    """The last signal from a joint matrix without the share of present tickers and with filled gaps: for every pair of lag
+    and lead ticker its weight and the lead's return, and the lag ticker's signal."""
+    rows = m.save(returns.joint(m.rets, 0.0, "rolling_mean"), "legacy-joint")
+    weights = signals.subspace_signals(rows, m.names, LENGTH, matrix=True)
+    last = weights.groupBy("universe_id").agg(F.max("date").alias("date"))
+    weights = weights.join(F.broadcast(last), K)  # a row a universe
+    signal = signals.subspace_signals(rows, m.names, LENGTH).join(F.broadcast(last), K)
+    lead = rows.where("side = 'lead'").select(*K, c("ticker").alias("lead"), c("ret").alias("lead_return"))
+    return weights.join(lead, [*K, "lead"]).join(signal, [*K, "ticker"]).select(*K, "ticker", "lead", "weight", "lead_return", "signal")
+
+
+def _spread_days(m: Market) -> DataFrame:
+    sides = m.contexts[0].groupBy(*K).agg(F.avg(F.when(c("cand_long") & (c("signal") >= 0), c("next_oc"))).alias("l"), F.avg(F.when(c("cand_short") & (c("signal") <= 0), c("next_oc"))).alias("s"))
+    rows = m.portfolio.select(*K, c("net_pre_tax_return").alias("ret")).join(m.stats.select(*K, "trade_strength"), K).join(sides, K)
+    return rows.select(*K, "trade_strength", "ret", F.coalesce("l", F.lit(0.0)).alias("long_contrib"), F.coalesce(-c("s"), F.lit(0.0)).alias("short_contrib"))
+
+
+def _backtest_days(m: Market) -> DataFrame:
+    """The backtest of the day grain: performance of the subspace, plain and momentum signals, both eigen signals from one
+    pass over the joint matrix."""
+    eigen = m.save(signals.subspace_grid(m.joint, m.names, (m.length,), (0.0, 0.9), pretrain=m.pretrain), "eigen")
+    kinds = eigen.select(*K, F.when(c("lambda") > 0, "subspace").otherwise("plain").alias("signal_id"), "ticker", "signal").unionByName(m.signal.select(*K, F.lit("momentum").alias("signal_id"), "ticker", "signal"))
+    days = m.save(portfolio.portfolio(kinds, m.rets, params=("signal_id",)), "days")
+    taxed = performance.after_tax(days.select("universe_id", "signal_id", "date", c("net_pre_tax_return").alias("ret"), "gross_return"), ["universe_id", "signal_id"])
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("set_name"), c(v).alias("ret")) for n, v in (("gross", "gross_return"), ("net_pre_tax", "ret"), ("net_after_tax", "net_after_tax"))]))
+    sets = taxed.select("universe_id", "signal_id", "date", each.alias("s")).select("universe_id", "signal_id", "date", "s.*")
+    return performance.performance(sets, ["universe_id", "signal_id", "set_name"], m.per_year)
+
+
+def _run_days(m: Market) -> DataFrame:
+    """The daily run of the last signal date of the day grain: its gate, what is held after the rule, and its verdict."""
+    return m.traded.withColumn("r", F.dense_rank().over(Window.partitionBy("universe_id").orderBy(F.desc("date")))).where("r = 1").select(*K, "execution_date", "source", "tradeable", "block_reason", "no_trade", "n_long", "n_short", "freshness_ok", "dates_aligned").join(_verdict(m).select("universe_id", "overall_score", "overall_decision"), "universe_id")
+
+
+SPREADS = (0.0, 0.02, 0.04, 0.06, 0.08, 0.1)
+THRESHOLDS = (("fixed_10", 0.1), ("fixed_08", 0.08), ("fixed_02", 0.02), ("adaptive", None))
+LOOKS = {"6m": 6, "1y": 12, "2y": 24, "3y": 36, "5y": 60, "full": 100_000}
 
 
 QUERIES: dict[str, Query] = {
@@ -551,11 +646,31 @@ QUERIES: dict[str, Query] = {
       SELECT 'all' AS universe_id, coalesce(min(last) FILTER (side = 'lead') = max(last) FILTER (side = 'lead'), false) AND coalesce(min(last) FILTER (side = 'lag') = max(last) FILTER (side = 'lag'), false) AS aligned, false AS signal_ready, (count(*) FILTER (last IS NULL) + 1)::INT AS missing, count(last)::INT AS stale FROM tracked""", (), ()),
     "freshness_report": Query(lambda m: status.freshness(m.cache()).withColumns({x: F.array_join(x, "|") for x in ("missing", "stale")}), "SELECT universe_id, fresh AS freshness_ok, f.lead_max AS latest_lead, f.lag_max AS latest_lag, stale, missing FROM flags f JOIN cache USING (universe_id)", (), ("latest_lead", "latest_lag")),
     "corporate_actions": Query(lambda m: m.actions, "SELECT * FROM actions", ("value",)),
+    "action_tables": Query(lambda m: store.action_tables(m.actions, m.actions.where("action_type = 'split' or value > 400").withColumn("source", F.lit("again"))), "SELECT universe_id, action_type || 's' AS \"table\", ticker, date, value FROM actions", ("value",)),
     "actions_verification": Query(lambda m: status.verification(m.actions, m.wanted.where("ord <= 25").groupBy("universe_id").agg(F.count("*").alias("tickers")), F.lit("1995-01-01").cast("date"), F.lit("2001-09-01").cast("date")), "SELECT *, reason_code = 'ok' AS verified FROM verified", ("coverage_ratio",), ("actions_start", "actions_end")),
-    "data_status": Query(_readiness, """
-      SELECT universe_id, v.reason_code = 'ok' AS adjusted_verification_ready, v.reason_code, n >= 60 AS factor_regression_ready, CASE WHEN n >= 60 THEN 'ok' ELSE 'insufficient_observations:' || n END AS regression_reason, n AS n_obs, true AS factor_data_ready, false AS report_available, f.ready AS signal_ready, false AS paper_reproduction_ready,
-        'missing_requirements:' || concat_ws(',', CASE WHEN n < 60 THEN 'factor_regression_ready' END, CASE WHEN v.reason_code <> 'ok' THEN 'adjusted_verification_ready' END, 'report_available') AS paper_reproduction_reason
-      FROM verified v JOIN flags f USING (universe_id), (SELECT count(*) AS n FROM pf JOIN leadf USING (universe_id, date) WHERE gross_return IS NOT NULL AND mean IS NOT NULL AND spread IS NOT NULL AND sd IS NOT NULL)""", (), ()),
+    "data_status": Query(_readiness, status_sql(False), ("coverage_ratio",), ("factor_start", "factor_end")),
+    "data_status_published": Query(lambda m: _readiness(m, True), status_sql(True), ("coverage_ratio",), ("factor_start", "factor_end")),
+    "daily_reports": Query(_report, report_sql(VERDICT_SQL)),
+    "report_set": Query(_report_set, REPORT_SET, (), ()),
+    "period_table": Query(lambda m: m.period_table, PERIOD_TABLE, PERIOD_D, ("date",)),
+    "quality_records": Query(lambda m: returns.quality_records(m.rets, m.store_rows).withColumns({x: F.array_join(x, "|") for x in ("dropped_lead", "dropped_lag")}), QUALITY, (), ("sample_start", "sample_end", "effective_start", "effective_end", "cache_first_date", "cache_last_date")),
+    "effective_windows": Query(lambda m: returns.effective_windows(m.joint, m.saved_panel.where("side = 'lag'"), LENGTH), """
+      SELECT universe_id, date, n AS joint_rows, least(n, 12)::BIGINT AS effective_window_days FROM (SELECT universe_id, date, (SELECT count(DISTINCT j.date) FROM joint_strict j WHERE j.date <= d.date) AS n FROM (SELECT DISTINCT universe_id, date FROM panel WHERE side = 'lag') d)"""),
+    "spread_study": Query(lambda m: studies.spread_study(_spread_days(m), SPREADS), spread_sql(SPREADS), ("least_spread", "pass_rate", "traded_mean", "all_mean", "traded_win_rate", "all_win_rate", "compound", "traded_long", "traded_short", "all_long", "all_short", "mdd"), ()),
+    "spread_bands": Query(lambda m: studies.spread_bands(_spread_days(m), SPREADS), f"""
+      SELECT universe_id, low, high, count(*) AS days, avg(ret) AS mean, avg((ret > 0)::INT) AS win_rate FROM ({SPREAD_DAYS}) JOIN (VALUES {", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in zip(SPREADS, (*SPREADS[1:], "NULL")))}) g(low, high) ON strength >= low AND (high IS NULL OR strength < high) GROUP BY ALL""", ("low", "high", "mean", "win_rate"), ()),
+    "threshold_comparison": Query(lambda m: studies.threshold_comparison(m.contexts[0], m.regime, THRESHOLDS, (selection.ADAPTIVE_LONG, selection.ADAPTIVE_SHORT), 12), threshold_sql(THRESHOLDS), ("tradeable_rate", "no_long_rate", "gross_ar", "gross_rr", "gross_mdd", "net_ar", "net_rr", "net_mdd"), ()),
+    "flip_study": Query(lambda m: studies.flip_study(selection.quantile_masks(m.signal).join(m.rets.select(*K, "ticker", "next_oc", "next_cc"), [*K, "ticker"], "left"), LOOKS, {"oc": "next_oc", "cc": "next_cc"}), flip_sql(LOOKS), ("mean", "win_rate", "compound", "long_mean", "short_mean", "mdd"), ()),
+    "annual_regression": Query(lambda m: studies.annual_regression(m.portfolio.select(*K, "gross_return"), m.factors, "gross_return", per_year=12).withColumns({x: F.to_json(x) for x in ("betas", "t_stats")}).drop("betas", "t_stats")),
+    "panel_days": Query(lambda m: m.panel, "SELECT * FROM panel", ("open", "close"), grain="day"),
+    "portfolio_days": Query(lambda m: m.portfolio, "SELECT * FROM pf", PF_D, grain="day"),
+    "performance_days": Query(lambda m: m.performance(), "SELECT * FROM perf", ("ar", "risk", "rr", "mdd"), (), grain="day"),
+    "rule_portfolio_days": Query(lambda m: m.rule_portfolio, f"SELECT universe_id, date, rule_id, strategy_decision, {PF} FROM rule_pf", PF_D, grain="day"),
+    "backtest_days": Query(_backtest_days, grain="day"),
+    "daily_run_days": Query(_run_days, grain="day"),
+    "legacy_signal": Query(_legacy),
+    "parameter_grid_pca": Query(_eigen_grid),
+    "window_sensitivity_pca": Query(_eigen_windows),
     "judge_scores": Query(lambda m: _verdict(m).select("universe_id", *SCORES, "overall_decision", "reasons"), VERDICT_SQL, (), ()),
     "judge_universes": Query(lambda m: _verdict(m).select("universe_id", *SCORES, "overall_decision", "reasons"), VERDICT_SQL, (), (), "l_returnflag"),
     "portfolio_universes": Query(lambda m: m.portfolio, "SELECT * FROM pf", PF_D, ("date",), "l_returnflag"),
@@ -575,7 +690,7 @@ QUERIES: dict[str, Query] = {
       FROM traded JOIN stats USING (universe_id, date) JOIN known USING (universe_id, date) JOIN (SELECT universe_id, date, trend_regime, vol_regime, rotation_regime FROM run_context) USING (universe_id, date) LEFT JOIN held USING (date)""",
       ("trade_signal_strength", "candidate_signal_strength", "adopted_signal_strength", "threshold_gap_long_max", "threshold_gap_short_max"), ()),
     "history_entries": Query(_history, """
-      SELECT universe_id, date, '{"signalDate":"' || date || '","execJpDate":' || coalesce('"' || execution_date || '"', 'null') || ',"tradeable":' || tradeable || ',"longTickers":[' || coalesce(longs, '') || '],"shortTickers":[' || coalesce(shorts, '') || ']}' AS dedupe_key,
+      SELECT universe_id, date, '{"signalDate":"' || date || '","execJpDate":' || coalesce('"' || execution_date || '"', 'null') || ',"tradeable":' || tradeable || ',"longTickers":[' || coalesce(longs, '') || '],"shortTickers":[' || coalesce(shorts, '') || ']}' AS dedupe_key, '2026-08-21' AS cached_date, '2026/08/21 06:30:00' AS recorded_at,
         source AS exec_source, tradeable, block_reason, n_long, n_short, freshness_ok, dates_aligned, usable_lead, usable_lag, no_trade, 'rule_406_no_flip' AS rule_id, strategy AS selected_strategy, CASE strategy WHEN 'skip' THEN 'skip' ELSE 'execute' END AS action
       FROM traded JOIN known USING (universe_id, date) LEFT JOIN held USING (date)"""),
     "store_tail": Query(lambda m: store.tail(m.panel, ["Brand#3", "Brand#20", "Brand#99"], "2001-06-01"), "SELECT ticker, date, open, close FROM panel WHERE ticker IN ('Brand#3', 'Brand#20') AND date >= DATE '2001-06-01'", ("open", "close")),
@@ -641,11 +756,12 @@ QUERIES: dict[str, Query] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, q=q: presented(q.build(Market(spark, sf_dir, q.by)))) for name, q in QUERIES.items()}
+    return {name: (lambda spark, sf_dir, q=q: presented(q.build(Market(spark, sf_dir, q.by, q.grain)))) for name, q in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     made = {name: statement(q.sql, q.doubles, DIGITS, q.dates) for name, q in QUERIES.items() if q.sql}
+    made = {name: for_days(sql, DAYS) if QUERIES[name].grain == "day" else sql for name, sql in made.items()}
     return {name: for_universes(sql, QUERIES[name].by, UNIVERSES) if QUERIES[name].by else sql for name, sql in made.items()}
 
 

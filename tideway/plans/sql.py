@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-LENGTH = 12
+#: Rows of a signal's window, by months and by days.
+LENGTH, DAYS = 12, 60
 
 _CTES = r"""
 panel AS (
@@ -264,6 +265,136 @@ def gates_sql(settings) -> str:
 
 CTES = _CTES.replace("held AS (SELECT", f"traded AS ({gate('SELECT * FROM after_rule', 'SELECT * FROM stats', 'production', 0.08, 2)}),\nheld AS (SELECT")
 
+PERIOD_D = (
+    "gross_return_pct", "net_pre_tax_return_pct", "net_after_tax_return_pct", "long_contribution_pct", "short_contribution_pct", "trade_signal_strength", "candidate_signal_strength", "adopted_signal_strength",
+    "jp_next_open_gap_mean", "jp_oc_mean", "jp_cc_mean", "jp_gap_to_oc_reversal", "jp_long_gap_mean", "jp_short_gap_mean",
+)
+PERIOD_TABLE = """
+  SELECT pd.universe_id, pd.date, period_label, scenario_id AS strategy_id, strategy_name, gross_pct AS gross_return_pct, net_pre_tax_pct AS net_pre_tax_return_pct, net_after_tax_pct AS net_after_tax_return_pct, long_pct AS long_contribution_pct, short_pct AS short_contribution_pct,
+    tradeable, skip_reason, cand_long AS candidate_long_count, cand_short AS candidate_short_count, adopt_long AS adopted_long_count, adopt_short AS adopted_short_count, adopted AS trade_signal_strength, candidate AS candidate_signal_strength, adopted AS adopted_signal_strength,
+    jp_next_open_gap_mean, jp_oc_mean, jp_cc_mean, jp_gap_to_oc_reversal, jp_long_gap_mean, jp_short_gap_mean, trend_regime, vol_regime, rotation_regime
+  FROM pd JOIN (VALUES ('S01_CurrOC', 'current, open to close'), ('S02_FlipL_OC', 'longs turned, open to close'), ('S03_CurrCC', 'current, close to close'), ('S04_FlipL_CC', 'longs turned, close to close'), ('S05_CurrOO', 'current, open to open'), ('S06_Curr1D', 'current, held a day'),
+    ('S08_GapOvht05', 'gap filter on both sides'), ('S09_LGapFlt05', 'gap filter on the longs'), ('S10_ShortOnly', 'shorts only')) n(scenario_id, strategy_name) USING (scenario_id)
+  LEFT JOIN (SELECT date, avg(signal) FILTER (cand_long) - avg(signal) FILTER (cand_short) AS candidate, avg(signal) FILTER (cand_long AND signal >= 0.02) - avg(signal) FILTER (cand_short AND signal <= -0.02) AS adopted FROM mask_all GROUP BY date) a ON a.date = pd.date
+  LEFT JOIN (SELECT date, avg(next_gap) AS jp_next_open_gap_mean, avg(next_oc) AS jp_oc_mean, avg(next_cc) AS jp_cc_mean, avg(next_gap) FILTER (cand_long) AS jp_long_gap_mean, avg(next_gap) FILTER (cand_short) AS jp_short_gap_mean, avg(next_oc) - avg(next_gap) AS jp_gap_to_oc_reversal
+    FROM mask_all LEFT JOIN rets r USING (universe_id, date, ticker) GROUP BY date) f ON f.date = pd.date
+  LEFT JOIN (SELECT date, trend_regime, vol_regime, rotation_regime FROM regime) r ON r.date = pd.date"""
+
+REPORT_SET = """
+  SELECT "table", period_label, count(*) AS rows FROM (
+    SELECT 'daily' AS "table", period_label FROM pd UNION ALL SELECT 'monthly', period_label FROM (SELECT DISTINCT period_label, scenario_id, strftime(date, '%Y-%m') FROM pd) UNION ALL SELECT 'yearly', period_label FROM (SELECT DISTINCT period_label, scenario_id, year(date) FROM pd)
+    UNION ALL SELECT 'summary', period_label FROM summary UNION ALL SELECT 'vs_baseline', period_label FROM summary) GROUP BY ALL"""
+
+QUALITY = """
+  SELECT universe_id, effective_start AS sample_start, effective_end AS sample_end, fill_policy, 'raw' AS price_mode, filled_cells, dropped_lead, dropped_lag, effective_start, effective_end, joint_rows, joint_rows AS effective_window_days, usable_lead, usable_lag, cache_first_date, cache_last_date, 'raw' AS cache_price_mode, true AS cache_isolated
+  FROM (SELECT 'all' AS universe_id, 'strict' AS fill_policy, 0::BIGINT AS filled_cells, min(date) AS effective_start, max(date) AS effective_end, count(DISTINCT date) AS joint_rows FROM joint_strict
+    UNION ALL SELECT 'all', 'rolling_mean', (SELECT count(*) FROM covered c JOIN filled f USING (date, ticker) WHERE c.ret IS NULL AND f.ret IS NOT NULL)::BIGINT, min(date), max(date), count(DISTINCT date) FROM joint_fill),
+    (SELECT coalesce(string_agg(ticker, '|' ORDER BY ticker) FILTER (side = 'lead' AND n = 0), '') AS dropped_lead, coalesce(string_agg(ticker, '|' ORDER BY ticker) FILTER (side = 'lag' AND n = 0), '') AS dropped_lag, count(*) FILTER (side = 'lead') AS usable_lead, count(*) FILTER (side = 'lag') AS usable_lag
+      FROM (SELECT side, ticker, count(ret) AS n FROM covered GROUP BY ALL)), (SELECT min(date) AS cache_first_date, max(date) AS cache_last_date FROM panel WHERE open IS NOT NULL OR close IS NOT NULL)"""
+
+SPREAD_DAYS = """SELECT universe_id, date, trade_strength AS strength, net_pre_tax_return AS ret, long_contrib, short_contrib FROM pf JOIN stats USING (universe_id, date)
+    JOIN (SELECT universe_id, date, coalesce(avg(next_oc) FILTER (cand_long AND signal >= 0), 0) AS long_contrib, coalesce(-avg(next_oc) FILTER (cand_short AND signal <= 0), 0) AS short_contrib FROM mask GROUP BY ALL) USING (universe_id, date)"""
+
+
+def _grid_values(items) -> str:
+    return ", ".join(f"({', '.join(map(str, x))})" for x in items)
+
+
+def spread_sql(limits) -> str:
+    rows = f"""(SELECT *, CASE WHEN traded THEN ret ELSE 0 END AS kept, CASE WHEN NOT traded THEN 'skip' WHEN ret > 0 THEN 'win' ELSE 'loss' END AS kind FROM (
+      SELECT *, strength >= least_spread AS traded FROM ({SPREAD_DAYS}), (VALUES {_grid_values((f"{x}::DOUBLE",) for x in limits)}) g(least_spread)))"""
+    return f"""
+  SELECT a.*, mdd, longest_loss, longest_skip FROM (
+    SELECT universe_id, least_spread, count(*) FILTER (traded) AS traded_days, count(*) FILTER (NOT traded) AS skipped_days, avg(traded::INT) AS pass_rate, avg(ret) FILTER (traded) AS traded_mean, avg(kept) AS all_mean, avg((ret > 0)::INT) FILTER (traded) AS traded_win_rate, avg((kept > 0)::INT) AS all_win_rate,
+      product(1 + kept) - 1 AS compound, avg(long_contrib) FILTER (traded) AS traded_long, avg(short_contrib) FILTER (traded) AS traded_short, avg(CASE WHEN traded THEN long_contrib ELSE 0 END) AS all_long, avg(CASE WHEN traded THEN short_contrib ELSE 0 END) AS all_short FROM {rows} GROUP BY ALL) a
+  JOIN (SELECT universe_id, least_spread, min(e / m - 1) AS mdd FROM (SELECT *, max(e) OVER (PARTITION BY least_spread ORDER BY date ROWS UNBOUNDED PRECEDING) AS m FROM (SELECT *, product(1 + kept) OVER (PARTITION BY least_spread ORDER BY date ROWS UNBOUNDED PRECEDING) AS e FROM {rows})) GROUP BY ALL) b USING (universe_id, least_spread)
+  JOIN (SELECT universe_id, least_spread, coalesce(max(n) FILTER (kind = 'loss'), 0) AS longest_loss, coalesce(max(n) FILTER (kind = 'skip'), 0) AS longest_skip FROM (SELECT universe_id, least_spread, kind, i, count(*) AS n FROM (
+    SELECT universe_id, least_spread, kind, row_number() OVER (PARTITION BY least_spread ORDER BY date) - row_number() OVER (PARTITION BY least_spread, kind ORDER BY date) AS i FROM {rows}) GROUP BY ALL) GROUP BY ALL) d USING (universe_id, least_spread)"""
+
+
+def _performance(value: str, rows: str, keys: str) -> str:
+    return f"""SELECT {keys}, avg({value}) * 12 * 100 AS {value}_ar, CASE WHEN stddev_samp({value}) > 0 THEN avg({value}) * 12 / (stddev_samp({value}) * sqrt(12)) END AS {value}_rr, min(e / m - 1) * 100 AS {value}_mdd
+    FROM (SELECT *, max(e) OVER (PARTITION BY {keys} ORDER BY date ROWS UNBOUNDED PRECEDING) AS m FROM (SELECT *, product(1 + {value}) OVER (PARTITION BY {keys} ORDER BY date ROWS UNBOUNDED PRECEDING) AS e FROM {rows} WHERE nl > 0)) GROUP BY ALL"""
+
+
+def threshold_sql(settings) -> str:
+    adaptive = "CASE vol_regime WHEN 'low_vol' THEN 0.12::DOUBLE WHEN 'mid_vol' THEN 0.10::DOUBLE ELSE 0.06::DOUBLE END"
+    days = " UNION ALL ".join(f"""
+      SELECT universe_id, date, '{n}' AS setting, trend_regime, vol_regime, count(*) FILTER (cand_long AND signal >= {t}) AS nl, count(*) FILTER (cand_short AND signal <= -({t})) AS ns, coalesce(avg(next_oc) FILTER (cand_long AND signal >= {t}), 0) - coalesce(avg(next_oc) FILTER (cand_short AND signal <= -({t})), 0) AS gross
+      FROM mask JOIN regime USING (universe_id, date) GROUP BY universe_id, date, trend_regime, vol_regime""" for n, t in ((n, adaptive if t is None else f"{t}::DOUBLE") for n, t in settings))
+    rows = f"""(SELECT universe_id, date, setting, g.trend AS trend_regime, g.vol AS vol_regime, nl, ns, gross, gross - 0.002 * ((nl > 0)::INT + (ns > 0)::INT) - 0.015::DOUBLE / 252 * (ns > 0)::INT AS net
+      FROM (SELECT *, unnest([{{'trend': 'all', 'vol': 'all'}}, {{'trend': 'all', 'vol': vol_regime}}, {{'trend': trend_regime, 'vol': vol_regime}}]) AS g FROM ({days})))"""
+    keys = "universe_id, setting, trend_regime, vol_regime"
+    return f"""
+  SELECT * FROM (SELECT {keys}, count(*) AS days, avg((nl > 0 AND ns > 0)::INT) AS tradeable_rate, avg((nl = 0)::INT) AS no_long_rate FROM {rows} GROUP BY ALL)
+  LEFT JOIN ({_performance("gross", rows, keys)}) USING ({keys}) LEFT JOIN ({_performance("net", rows, keys)}) USING ({keys})"""
+
+
+def flip_sql(looks) -> str:
+    sides = " UNION ALL ".join(f"SELECT universe_id, date, '{n}' AS horizon, avg({v}) FILTER (cand_long) AS l, avg({v}) FILTER (cand_short) AS s FROM mask_all LEFT JOIN rets r USING (universe_id, date, ticker) GROUP BY ALL" for n, v in (("oc", "next_oc"), ("cc", "next_cc")))
+    keys = "universe_id, horizon, look, scenario"
+    rows = f"""(SELECT *, coalesce((l * a - s * b) / 2, l * a, -s * b) AS ret, l * a AS long, -s * b AS short FROM (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY date DESC) AS back FROM ({sides}) WHERE l IS NOT NULL OR s IS NOT NULL),
+      (VALUES {_grid_values((f"'{k}'", n) for k, n in looks.items())}) k(look, last), (VALUES ('A_orig', 1, 1), ('B_flip_L', -1, 1), ('C_flip_S', 1, -1), ('D_flip_B', -1, -1)) f(scenario, a, b) WHERE back <= last)"""
+    return f"""
+  SELECT * FROM (SELECT {keys}, count(*) AS n, avg(ret) AS mean, avg((ret > 0)::INT) AS win_rate, product(1 + ret) - 1 AS compound, avg(long) AS long_mean, avg(short) AS short_mean FROM {rows} GROUP BY ALL)
+  JOIN (SELECT {keys}, min(e / m - 1) AS mdd FROM (SELECT *, max(e) OVER (PARTITION BY {keys} ORDER BY date ROWS UNBOUNDED PRECEDING) AS m FROM (SELECT *, product(1 + ret) OVER (PARTITION BY {keys} ORDER BY date ROWS UNBOUNDED PRECEDING) AS e FROM {rows})) GROUP BY ALL) USING ({keys})
+  JOIN (SELECT {keys}, coalesce(max(k) FILTER (NOT win), 0) AS longest_loss FROM (SELECT {keys}, win, i, count(*) AS k FROM (SELECT {keys}, ret > 0 AS win, row_number() OVER (PARTITION BY {keys} ORDER BY date) - row_number() OVER (PARTITION BY {keys}, ret > 0 ORDER BY date) AS i FROM {rows}) GROUP BY ALL) GROUP BY ALL) USING ({keys})"""
+
+
+def status_sql(published: bool) -> str:
+    n = "(SELECT count(*) FROM pf JOIN leadf USING (universe_id, date) WHERE gross_return IS NOT NULL AND mean IS NOT NULL AND spread IS NOT NULL AND sd IS NOT NULL)" if published else "0::BIGINT"
+    factors = "true AS factor_data_ready, 'Carhart4' AS factor_model, (SELECT count(*) FROM leadf) AS factor_rows, (SELECT min(date) FROM leadf) AS factor_start, (SELECT max(date) FROM leadf) AS factor_end, true AS report_available" if published else (
+        "false AS factor_data_ready, NULL::VARCHAR AS factor_model, 0::BIGINT AS factor_rows, NULL::DATE AS factor_start, NULL::DATE AS factor_end, false AS report_available")
+    return f"""
+  SELECT *, factor_data_ready AND factor_regression_ready AND adjusted_verification_ready AND report_available AS paper_reproduction_ready, CASE WHEN factor_data_ready AND factor_regression_ready AND adjusted_verification_ready AND report_available THEN 'ok' ELSE 'missing_requirements:' ||
+    concat_ws(',', CASE WHEN NOT factor_data_ready THEN 'factor_data_ready' END, CASE WHEN NOT factor_regression_ready THEN 'factor_regression_ready' END, CASE WHEN NOT adjusted_verification_ready THEN 'adjusted_verification_ready' END, CASE WHEN NOT report_available THEN 'report_available' END) END AS paper_reproduction_reason
+  FROM (SELECT universe_id, coverage_ratio, covered, total > 0 AS actions_data_ready, v.reason_code = 'ok' AS adjusted_verification_ready, v.reason_code, {factors}, n_obs >= 60 AS factor_regression_ready,
+      CASE WHEN NOT {str(published).lower()} THEN 'factor_data_unavailable' WHEN n_obs >= 60 THEN 'ok' ELSE 'insufficient_observations:' || n_obs END AS regression_reason, n_obs, f.ready AS signal_ready
+    FROM verified v JOIN flags f USING (universe_id), (SELECT {n} AS n_obs))"""
+
+
+def report_sql(verdict: str) -> str:
+    """Report documents, put together as text; numbers have six places."""
+    num = lambda x: f"coalesce(CAST(CAST({x} AS DECIMAL(20,6)) AS VARCHAR), 'null')"
+    txt = lambda x: f"""coalesce('"' || {x} || '"', 'null')"""
+    whole = lambda x: f"coalesce(({x})::VARCHAR, 'null')"
+    listed = lambda x, sep: f"""'[' || CASE WHEN {x} = '' THEN '' ELSE '"' || replace({x}, '{sep}', '","') || '"' END || ']'"""
+
+    def record(**fields: str) -> str:
+        return "'{' || " + " || ',' || ".join(f"""'"{k}":' || {v}""" for k, v in fields.items()) + " || '}'"
+
+    one = lambda n: record(**{k: (f"(SELECT {num(v) if k != 'N_days' else whole(v)} FROM perf WHERE set_name = '{n}')") for k, v in (("AR", "ar"), ("Risk", "risk"), ("RR", "rr"), ("MDD", "mdd"), ("N_days", "n_days"))})
+    scores = ("overall_score", "overall_decision", "profitability", "stability", "cost_resilience", "executability", "data_reliability")
+    judge = record(**{x: (txt(x) if x == "overall_decision" else whole(x)) for x in scores}, reasons=listed("reasons", "|"))
+    costs = record(**{x: f"(SELECT {num(f'sum({x})')} FROM pf)" for x in ("commission_cost", "slippage_cost", "borrow_cost")}, tax_cost=f"(SELECT {num('sum(tax_paid)')} FROM taxed)")
+    params = record(signal="""'"momentum"'""", window_l="'12'", commission_bps_per_side="'5'", slippage_bps_per_side="'5'", allow_short="'true'", tax_model="""'"annual_net"'""")
+    tested = record(settings_name="""'"production"'""", params=params, judge=judge, performance_sets=record(**{n: one(n) for n in ("gross", "net_pre_tax", "net_after_tax")}), cost_breakdown=costs, eval_start=f"(SELECT {txt('min(date)')} FROM pf)")
+    entry = record(ticker=txt("ticker"), sector=txt("sector"), signal=num("signal"), weight=num("weight_pct"), latest_price_jpy=whole("latest_price"), min_lot="'10'", min_purchase_jpy=whole("min_purchase"), normalized_lots=whole("lots"), normalized_purchase_jpy=whole("lots * latest_price"))
+    sides = f"SELECT date, string_agg({entry}, ',' ORDER BY signal DESC, ticker) FILTER (position = 'LONG') AS long, string_agg({entry}, ',' ORDER BY signal DESC, ticker) FILTER (position = 'SHORT') AS short FROM plan GROUP BY date"
+    shadow = "SELECT date, '{' || string_agg('\"' || rule_id || '\":\"' || strategy || '\"', ',' ORDER BY rule_id) FILTER (rule_id <> 'rule_406_no_flip') || '}' AS shadow FROM run_decisions GROUP BY date".replace('\\"', '"')
+    gaps = "concat_ws(',', nullif(replace(missing, '|', ','), ''), nullif(replace(stale, '|', ','), ''))"
+    step = lambda s: record(status=f"""'"' || CASE WHEN {s}_max IS NULL THEN 'missing' WHEN {s}_min = {s}_max THEN 'ok' ELSE 'uneven' END || '"'""", latest=txt(f"{s}_max"))
+    key = """'{"signalDate":"' || date || '","execJpDate":' || coalesce('"' || execution_date || '"', 'null') || ',"tradeable":' || tradeable || ',"longTickers":[' || coalesce(longs, '') || '],"shortTickers":[' || coalesce(shorts, '') || ']}'"""
+    signal = record(
+        signal_reference_us_date=txt("date"), execution_target_jp_date=txt("execution_date"), execution_target_jp_date_source=txt("source"), operation_mode="""'"production"'""", tradeable=whole("tradeable"), trade_block_reason=txt("block_reason"), calendar_warning=whole("calendar_warning"),
+        trade_signal_strength=num("strength"), candidate_long_count=whole("candidate_long"), candidate_short_count=whole("candidate_short"), adopted_long_count=whole("n_long"), adopted_short_count=whole("n_short"), pre_rule_adopted_long_count=whole("adopted_long"), pre_rule_adopted_short_count=whole("adopted_short"),
+        no_trade_classification=txt("no_trade"), trend_regime=txt("trend_regime"), vol_regime=txt("vol_regime"), rotation_regime=txt("rotation_regime"), regime_warning=whole("(trend_regime = 'downtrend' OR vol_regime = 'high_vol')"),
+        execution_plan=record(n_long=whole("n_long"), n_short=whole("n_short"), long="'[' || coalesce(long, '') || ']'", short="'[' || coalesce(short, '') || ']'"), data_quality=record(usable_us_tickers=whole("usable_lead"), usable_jp_tickers=whole("usable_lag")),
+        freshness=record(freshness_ok=whole("freshness_ok"), latest_dates_aligned=whole("dates_aligned"), latest_us_date=txt("lead_max"), latest_jp_date=txt("lag_max"), stale_tickers=listed("stale", "|"), missing_tickers=listed("missing", "|")),
+        strategy_decision=record(rule_id="""'"rule_406_no_flip"'""", selected_strategy=txt("strategy"), action="""'"' || CASE strategy WHEN 'skip' THEN 'skip' ELSE 'execute' END || '"'"""),
+        strategy_context=record(**{x: num(x) for x in ("open_gap", "long_gap", "short_gap", "candidate_signal_strength")}), shadow_decisions="shadow",
+    )
+    document = record(
+        schema_version="'1'", date=txt("date"), generated_at_utc="""'"1970-01-01T00:00:00+00:00"'""", backtest="tested", daily_signal=signal,
+        fetch=record(status="""'"' || CASE WHEN freshness_ok THEN 'ok' ELSE 'partial' END || '"'""", error_summary=txt(f"nullif({gaps}, '')"), steps=record(lead=step("lead"), lag=step("lag"))),
+        history_entry=record(dedupe_key=f"""'"' || replace({key}, '"', '\\"') || '"'""", signal_date=txt("date"), exec_jp_date=txt("execution_date"), tradeable=whole("tradeable"), n_long=whole("n_long"), n_short=whole("n_short"), selected_strategy=txt("strategy")),
+        slack_fallback_text="""'"' || date || ': ' || strategy || ' / long ' || n_long || ' / short ' || n_short || CASE WHEN tradeable THEN '' ELSE ' / ' || block_reason END || '"'""",
+    )
+    return f"""
+  SELECT universe_id, date, {document} AS document FROM (SELECT * EXCLUDE (strength), strength, tested FROM traded JOIN (SELECT universe_id, date, candidate_long, candidate_short, adopted_long, adopted_short FROM stats) USING (universe_id, date) JOIN known USING (universe_id, date)
+    JOIN run_context USING (universe_id, date) LEFT JOIN ({sides}) USING (date) LEFT JOIN ({shadow}) USING (date) LEFT JOIN held USING (date), (SELECT {tested} AS tested FROM ({verdict})))"""
+
+
 #: The chain from scenarios to their summary.
 _CHAIN = ("sc_rows", "sc_head", "sc_mask", "sc_legs", "sc0", "sc1", "sc")
 
@@ -278,6 +409,20 @@ def scenario_chain(table: str, prefix: str) -> str:
     return text
 
 
+def for_days(sql: str, length: int) -> str:
+    """A statement over months as one over days, with windows of ``length`` rows and 252 rows a year."""
+    changes = (
+        ("CAST(date_trunc('month', l_shipdate) AS DATE) AS date", "CAST(l_shipdate AS DATE) AS date"), ("CASE WHEN day(l_shipdate) <= 15 THEN", "CASE WHEN l_linenumber <= 2 THEN"), ("CASE WHEN day(l_shipdate) > 15 THEN", "CASE WHEN l_linenumber > 2 THEN"),
+        ("ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)) WHERE n = 12)", f"ROWS BETWEEN {length} PRECEDING AND 1 PRECEDING)) WHERE n = {length})"), ("avg(ret) * 12 * 100 AS ar, stddev_samp(ret) * sqrt(12) * 100 AS risk, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) * 12 / (stddev_samp(ret) * sqrt(12)) END AS rr",
+        "avg(ret) * 252 * 100 AS ar, stddev_samp(ret) * sqrt(252) * 100 AS risk, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) * 252 / (stddev_samp(ret) * sqrt(252)) END AS rr"),
+    )
+    for old, new in changes:
+        if old not in sql:
+            raise ValueError(f"the statement has no {old!r}")
+        sql = sql.replace(old, new)
+    return sql
+
+
 def for_universes(sql: str, column: str, values: tuple[str, ...]) -> str:
     """A statement over the whole panel as the union of those over the universes that a column of lineitem names."""
     each = [sql.replace("'all' AS universe_id", f"'{v}' AS universe_id").replace("ON l_partkey = p_partkey GROUP BY ALL", f"ON l_partkey = p_partkey WHERE {column} = '{v}' GROUP BY ALL") for v in values]
