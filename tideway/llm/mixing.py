@@ -102,7 +102,8 @@ def draw(quota: np.ndarray, capacity: np.ndarray, shards: int, seed: int) -> np.
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 64, shards: int | None = None, seed: int = 2, told_by: tuple[str, ...] = ()) -> Mix:
     """Plans the mix of ``docs(doc_id, text, source)``.
 
-    The number of sources must fit the driver; a null source is one of its own and comes last.  Null texts and texts
+    The number of sources must fit the driver, which plans a row for each shard and source (100 sources in 8192 shards: some
+    100 MB); a null source is one of its own and comes last.  Null texts and texts
     without words have size 0 and are never taken.  Rows that are equal in doc_id, text, source and the columns ``told_by``
     are documents of their own side by side, which nothing tells apart: they are counted first, so that any number of them
     may be equal.  No
