@@ -22,6 +22,7 @@ import pickle
 import re
 from bisect import bisect_left
 from collections import Counter
+from itertools import chain, repeat
 from operator import itemgetter
 
 import numpy as np
@@ -136,7 +137,7 @@ class ItemIndex:
         self.most = np.zeros(len(self.vocabulary))
         np.maximum.at(self.most, term, self.impacts)
         self.block_most = Maxima(term, self.items // BLOCK, self.impacts, len(self.vocabulary), len(places) // BLOCK)
-        self.lists, self.wanted = {}, {}
+        self.lists, self.wanted, self.known = {}, {}, {}
 
     @classmethod
     def of(cls, items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75) -> ItemIndex:
@@ -153,7 +154,15 @@ class ItemIndex:
         return cls(out)
 
     def __getstate__(self):
-        return self.__dict__ | {"lists": {}, "wanted": {}}
+        return self.__dict__ | {"lists": {}, "wanted": {}, "known": {}}
+
+    def numbers(self, words: list[list[bytes]], n: int) -> np.ndarray:
+        """The term of each of the n words, one after the other; -1 for those that no item has."""
+        if not self.known:
+            own = sorted({w for t in self.texts for w in terms(t)})
+            at = np.searchsorted(self.vocabulary, WordHasher(len(own))(own))
+            self.known = dict(zip(own, at.tolist()))
+        return np.fromiter(map(self.known.get, chain.from_iterable(words), repeat(-1)), np.int64, n)
 
     def postings(self, t: int) -> tuple[list[int], list[float]]:
         if t not in self.lists:
@@ -219,20 +228,19 @@ class ItemIndex:
                 for p in lists[:pivot]:
                     skip(p, item)
 
-    def matches(self, words: list[list[bytes]], hashes: list[np.ndarray], threshold: float, overlap: float, first: bool = False) -> list[dict]:
-        """For each document {item: ((both overlaps, question overlap, score), answer overlap)} of its verified items, at the
+    def matches(self, words: list[list[bytes]], threshold: float, overlap: float, first: bool = False) -> list[dict]:
+        """For each document, a list of its words, {item: ((both overlaps, question overlap, score), answer overlap)} of its verified items, at the
         best passage of each.  With ``first``, a document that has one is not searched on.
 
         The passages of all documents given are bounded together.  Every retrieved passage is verified: one that scores as
         high may hold the item's words in another order.
         """
         best: list[dict[int, tuple[tuple[float, float, float], float]]] = [{} for _ in words]
-        sizes, none = np.array([len(h) for h in hashes], np.int64), len(self.vocabulary)
+        sizes, none = np.array([len(w) for w in words], np.int64), len(self.vocabulary)
         if not none or not sizes.sum():
             return best
-        every = np.concatenate(hashes)
-        tid = np.minimum(np.searchsorted(self.vocabulary, every), none - 1)
-        known = np.flatnonzero(self.vocabulary[tid] == every)
+        tid = self.numbers(words, int(sizes.sum()))
+        known = np.flatnonzero(tid >= 0)
         tid = tid[known]
         doc = np.repeat(np.arange(len(words)), sizes)[known]
         place = known - (np.cumsum(sizes) - sizes)[doc]
@@ -273,7 +281,7 @@ class ItemIndex:
 
     def found(self, text: str | None, threshold: float = 0.5, overlap: float = 0.5) -> list[tuple[int, float, float, float]]:
         words = terms(text)
-        return self.hits(self.matches([words], [WordHasher()(words)], threshold, overlap)[0])
+        return self.hits(self.matches([words], threshold, overlap)[0])
 
 
 def build(benchmark: DataFrame, ws: Workspace, k1: float, b: float, part_items: int) -> list[tuple[str, int]]:
@@ -358,17 +366,16 @@ class Parts:
 KEYS = "doc_id long, text_key long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
-def _searched(texts: list[str | None], parts: Parts, hasher: WordHasher, threshold: float, overlap: float, first: bool = False):
+def _searched(texts: list[str | None], parts: Parts, threshold: float, overlap: float, first: bool = False):
     """(number of the text, hit) for the hits of each text; with ``first``, a text that has one is not searched on.
 
     All texts of a batch meet a part before the next one is read.
     """
     words = [terms(t) for t in texts]
-    hashes = [hasher(w) for w in words]
     left = list(range(len(texts)))
     for index in parts:
-        for some in list(pieces(left, lambda i: 64 + len(hashes[i]), WORDS)):
-            for i, found in zip(some, index.matches([words[i] for i in some], [hashes[i] for i in some], threshold, overlap, first)):
+        for some in list(pieces(left, lambda i: 64 + len(words[i]), WORDS)):
+            for i, found in zip(some, index.matches([words[i] for i in some], threshold, overlap, first)):
                 yield from ((i, h) for h in index.hits(found)[: 1 if first else None])
                 if first and found:
                     left.remove(i)
@@ -384,10 +391,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     files = build(benchmark, Workspace(docs.sparkSession, "decontam"), k1, b, block_items)
 
     def run(batches):
-        parts, hasher = Parts(files), WordHasher()
+        parts = Parts(files)
         for batch in parts.groups(batches):
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
-            rows = [(ids[i], keys[i], *h) for i, h in _searched(batch.column("text").to_pylist(), parts, hasher, threshold, overlap)]
+            rows = [(ids[i], keys[i], *h) for i, h in _searched(batch.column("text").to_pylist(), parts, threshold, overlap)]
             cols = list(zip(*rows)) or [()] * 6
             kinds = [pa.int64()] * 3 + [pa.float64()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [c.split()[0] for c in KEYS.split(", ")])
@@ -405,9 +412,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, keep: tuple[str,
     rows = docs.select(*keep)
 
     def run(batches):
-        parts, hasher = Parts(files), WordHasher()
+        parts = Parts(files)
         for batch in parts.groups(batches):
-            hit = {i for i, _ in _searched(batch.column("text").to_pylist(), parts, hasher, threshold, overlap, first=True)}
+            hit = {i for i, _ in _searched(batch.column("text").to_pylist(), parts, threshold, overlap, first=True)}
             yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in hit], pa.int64()))
 
     return rows.mapInArrow(lean(run), rows.schema)
