@@ -882,6 +882,38 @@ def test_columns_of_any_name_clash_with_nothing(spark, sf, docs, labels):
     assert a == b and a
 
 
+def test_columns_of_pages_and_conversations_clash_with_nothing(spark, sf):
+    names = ("payload_digest", "_n", "_first", "_digest", "_rows", "refers_to", "host", "path", "rule", "verdict", "r", "block_chance", "kind", "offset", "records")
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    wide = pages.withColumns({n: F.lit("x") for n in names})
+    trip = lambda df: sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(df).where("kind = 'record'").collect()), key=str)
+    assert trip(wide) == trip(pages)
+    weights = urlfilter.fit(spark, urlfilter.labelled()[:40])
+    judged = lambda df: sorted(map(tuple, urlfilter.judge(df, weights).collect()))
+    assert judged(wide) == judged(pages)
+    talks = spark.read.parquet(f"{sf}/conversations.parquet")
+    made = preference.preferences(preference.neighbours(talks))
+    more = talks.withColumns({n: F.lit("x") for n in (*made.columns, "side", "pos", "at", "turns", "pair") if n not in talks.columns})
+    assert sorted(map(str, preference.preferences(preference.neighbours(more)).collect())) == sorted(map(str, made.collect()))
+
+
+def test_ties_of_scores_and_items(spark, docs, labels):
+    # languages with equal outputs: the first by name
+    model = langid.LanguageModel(["aa", "bb"], np.ones((langid.PLACES, 2), np.float32))
+    df = spark.createDataFrame([(1, "some text"), (2, "some text")], "doc_id long, text string")
+    assert {(r.lang_pred, r.score) for r in langid.identify(df, model).collect()} == {("aa", 0.5)}
+    # items that are alike come each, and equal passages of one item once
+    item = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, item), (2, item), (2, item)], "item_id long, text string")
+    text = spark.createDataFrame([(7, f"{item} and {item}")] * 2, "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(text, bench).collect()) == [(7, 1), (7, 1), (7, 2), (7, 2)]
+    # texts with equal statistics have equal scores, and a document with both labels is learned from as half
+    twice = docs.limit(30).unionByName(docs.limit(30))
+    both_labels = labels.unionByName(labels.withColumn("quality", 1 - F.col("quality")))
+    got = Counter((r.doc_id, r.text_key, r.score, r.predicted) for r in quality.quality_scores(twice, both_labels).collect())
+    assert set(got.values()) == {2} and len({x[2] for x in got}) >= 1 and all(abs(x[2] - 0.5) < 1e-6 for x in got)
+
+
 def test_very_long_texts_and_urls(spark):
     rng = random.Random(2)
     long = "\n".join(" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(20)) for _ in range(12_000))  # 1.7 MB

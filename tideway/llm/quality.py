@@ -136,10 +136,10 @@ def fit(stats: DataFrame, labels: DataFrame, width: int = 256, gamma: float = 0.
     kind = "part int, n long, a binary, b binary"
     tree = rows.mapInArrow(lean(sums), kind)
     tasks = rows.rdd.getNumPartitions()
-    for wide in ([math.isqrt(tasks)] if tasks > groups**2 else []) + [groups]:  # a task adds few blocks on each level
+    for wide in ([math.isqrt(tasks)] if tasks > groups**2 else []) + [groups, 1]:  # a task adds few blocks on each level
         tree = tree.repartition(wide).mapInArrow(lean(added), kind)
     n, left, right = np.zeros(parts), np.zeros((parts, k, k)), np.zeros((parts, k))
-    for r in tree.collect():  # `groups` x `parts` blocks at most
+    for r in tree.collect():  # a block for each part
         n[r.part] += r.n
         left[r.part] += np.frombuffer(r.a).reshape(k, k)
         right[r.part] += np.frombuffer(r.b)
