@@ -114,6 +114,18 @@ class Market:
     def portfolio(self):
         return portfolio.portfolio(self.signal, self.rets)
 
+    @cached_property
+    def saved_portfolio(self):
+        return self.save(self.portfolio, "portfolio")
+
+    @cached_property
+    def run_regime(self):
+        return self.save(self.regime, "regime")
+
+    @cached_property
+    def run_stats(self):
+        return self.save(self.stats, "stats")
+
     @cached_property
     def contexts(self):
         return portfolio.contexts(self.signal, self.rets, self.regime)
@@ -128,7 +140,7 @@ class Market:
 
     def sets(self, days: DataFrame | None = None):
         """gross, net_pre_tax and net_after_tax returns of a portfolio as one series table."""
-        days = self.save(self.portfolio if days is None else days, "portfolio")
+        days = self.saved_portfolio if days is None else self.save(days, "portfolio-of")
         taxed = performance.after_tax(days.select("universe_id", "date", c("net_pre_tax_return").alias("ret"), "gross_return"), ["universe_id"])
         each = F.explode(F.array(*[F.struct(F.lit(n).alias("set_name"), c(v).alias("ret")) for n, v in (("gross", "gross_return"), ("net_pre_tax", "pre"), ("net_after_tax", "net_after_tax"))]))
         return taxed.withColumnRenamed("ret", "pre").select("universe_id", "date", each.alias("s")).select("universe_id", "date", "s.*")
@@ -187,7 +199,7 @@ class Market:
     @cached_property
     def runs(self):
         """The signal dates with their execution dates, from the calendar of the lag side."""
-        return self.save(sessions.execution_dates(self.stats, self.saved_panel.where("side = 'lag'")), "runs")
+        return self.save(sessions.execution_dates(self.run_stats, self.saved_panel.where("side = 'lag'")), "runs")
 
     @cached_property
     def run_gaps(self):
@@ -195,7 +207,7 @@ class Market:
 
     @cached_property
     def run_contexts(self):
-        return daily.contexts(self.positions, self.run_gaps, self.stats, self.regime)
+        return daily.contexts(self.positions, self.run_gaps, self.run_stats, self.run_regime)
 
     @cached_property
     def run_decisions(self):
@@ -222,8 +234,8 @@ class Market:
 
         ``adopted_long`` and ``adopted_short`` are the counts before the rule, ``n_long`` and ``n_short`` those after it.
         """
-        rows = (self.stats if stats is None else stats).join(self.runs, K).join(self.known, K).join(daily.taken(after), K)
-        rows = rows.join(regime.warnings(self.regime), K, "left").join(after.select(*K, "strategy").distinct(), K, "left")
+        rows = (self.run_stats if stats is None else stats).join(self.runs, K).join(self.known, K).join(daily.taken(after), K)
+        rows = rows.join(regime.warnings(self.run_regime), K, "left").join(after.select(*K, "strategy").distinct(), K, "left")
         rows = rows.withColumn("no_trade", selection.no_trade_class(c("adopted_long"), c("adopted_short"), c("long_gap_max"), c("short_gap_max"), sure(c("regime_warning"))))
         rows = rows.withColumn("class_after", daily.class_after(c("strategy"), c("no_trade"), c("n_long"), c("n_short"), c("long_gap_max"), c("short_gap_max")))
         held = rows.withColumnsRenamed({"adopted_long": "before_long", "adopted_short": "before_short", "trade_strength": "adopted_strength"})
@@ -392,14 +404,14 @@ def _adaptive(m: Market) -> DataFrame:
 
 def _checks(m: Market) -> DataFrame:
     quality = returns.joint_quality(m.rets).select("universe_id", "filled_cells")
-    rows = m.traded.drop("regime_warning").join(regime.snapshots(m.regime, m.runs), K).join(regime.warnings(m.regime), K, "left").join(quality, "universe_id")
+    rows = m.traded.drop("regime_warning").join(regime.snapshots(m.run_regime, m.runs), K).join(regime.warnings(m.run_regime), K, "left").join(quality, "universe_id")
     rows = rows.withColumns({"fill_policy": F.lit("strict"), "price_mode": F.lit("raw"), "latest_lead": c("lead_max"), "latest_lag": c("lag_max"), "min_long": F.lit("0.0"), "max_short": F.lit("0.0")})
     return daily.execution_checks(rows)
 
 
 def _log(m: Market) -> DataFrame:
     """Log rows of all dates: counts, tickers and classification after the rule."""
-    rows = m.traded.drop("no_trade").join(daily.tickers(m.plan), K, "left").join(regime.snapshots(m.regime, m.runs), K)
+    rows = m.traded.drop("no_trade").join(daily.tickers(m.plan), K, "left").join(regime.snapshots(m.run_regime, m.runs), K)
     none = F.array().cast("array<string>")
     rows = rows.withColumns({
         "signal_reference_us_date": c("date").cast("string"), "execution_target_jp_date": c("execution_date").cast("string"), "execution_target_jp_date_source": c("source"), "operation_mode": F.lit("production"), "trade_signal_strength": F.round("trade_strength", 6), "trade_block_reason": c("block_reason"),
@@ -448,8 +460,8 @@ def _readiness(m: Market, published: bool = False) -> DataFrame:
 
 
 def _report(m: Market) -> DataFrame:
-    paid = m.portfolio.groupBy("universe_id").agg(*[F.sum(x).alias(x) for x in ("commission_cost", "slippage_cost", "borrow_cost")], F.min("date").alias("eval_start"))
-    taxed = performance.after_tax(m.portfolio.select(*K, c("net_pre_tax_return").alias("ret")), ["universe_id"]).groupBy("universe_id").agg(F.sum("tax_paid").alias("tax_cost"))
+    paid = m.saved_portfolio.groupBy("universe_id").agg(*[F.sum(x).alias(x) for x in ("commission_cost", "slippage_cost", "borrow_cost")], F.min("date").alias("eval_start"))
+    taxed = performance.after_tax(m.saved_portfolio.select(*K, c("net_pre_tax_return").alias("ret")), ["universe_id"]).groupBy("universe_id").agg(F.sum("tax_paid").alias("tax_cost"))
     params = {"signal": "momentum", "window_l": LENGTH, "commission_bps_per_side": 5, "slippage_bps_per_side": 5, "allow_short": True, "tax_model": "annual_net"}
     tested = report.backtest(m.performance(), paid.join(taxed, "universe_id"), _verdict(m), params)
     entries = m.traded.withColumns({"signal_date": c("date").cast("string"), "exec_date": c("execution_date").cast("string")}).join(daily.tickers(m.plan), K, "left")
