@@ -636,7 +636,7 @@ QUERIES: dict[str, Query] = {
       LEFT JOIN (SELECT ticker, min(date) AS f, max(date) AS l FROM panel WHERE close IS NOT NULL GROUP BY ticker) USING (ticker) GROUP BY g""", (), ("from_date",)),
     "tradeability": Query(lambda m: m.traded.select(*K, "execution_date", "source", "tradeable", "block_reason", "no_trade", "n_long", "n_short", "trade_strength"), "SELECT universe_id, date, execution_date, source, tradeable, block_reason, no_trade, n_long, n_short, strength AS trade_strength FROM traded", ("trade_strength",), ("date", "execution_date")),
     "tradeability_settings": Query(_gates, gates_sql(GATES)),
-    "calendar_sources": Query(lambda m: m.runs, "SELECT * FROM runs", (), ("date", "execution_date")),
+    "calendar_sources": Query(lambda m: m.runs.withColumn("horizon", F.coalesce("horizon", F.lit(0))), "SELECT * REPLACE (coalesce(horizon, 0) AS horizon) FROM runs", (), ("date", "execution_date")),
     "freshness_daily": Query(lambda m: m.known.withColumns({x: F.array_join(x, "|") for x in ("missing", "stale")}), "SELECT * FROM known", (), ("date", "lead_min", "lead_max", "lag_min", "lag_max")),
     "gaps_as_of": Query(lambda m: m.run_gaps, "SELECT * FROM run_gaps", ("gap",), ("date", "gap_date")),
     "strategy_context_daily": Query(lambda m: m.run_contexts, "SELECT * FROM run_context", ("open_gap", "long_gap", "short_gap", "candidate_signal_strength")),
