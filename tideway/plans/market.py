@@ -18,7 +18,8 @@ from ..sources import documents, market
 from .sql import DAYS, LENGTH, PERIOD_D, PERIOD_TABLE, QUALITY, REPORT_SET, SPREAD_DAYS, flip_sql, for_days, for_universes, gates_sql, report_sql, scenario_chain, spread_sql, statement, status_sql, threshold_sql
 
 c = F.col
-DIGITS = 7
+#: Places that doubles are rounded to, and those of means of values that have six places: at seven, ties are frequent.
+DIGITS, MEANS = 7, 9
 PERIODS = {"full_period": None, "trailing_5y": 60, "trailing_3y": 36, "trailing_2y": 24, "trailing_1y": 12}
 LIMITS = {"min_long": 0.02, "max_short": -0.02}
 REQUIRED = "2001-11-01"
@@ -270,16 +271,17 @@ class Query:
     dates: tuple[str, ...] = ("date",)
     by: str | None = None  # the column of the universes, if there are several
     grain: str = "month"
+    digits: int = DIGITS
 
 
-def presented(df: DataFrame) -> DataFrame:
-    """Doubles rounded to seven places, large ones to ten digits, so that the order of a sum does not show; dates as text."""
+def presented(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Doubles rounded to seven places (or ``digits``), large ones to ten digits, so that the order of a sum does not show; dates as text."""
     out = []
     for f in df.schema.fields:
         x: Column = c(f.name)
         if isinstance(f.dataType, T.DoubleType):
             unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - 9)
-            x = F.when(F.abs(x) >= 1e6, F.round(x / unit) * unit).otherwise(F.round(x, DIGITS)) + F.lit(0.0)
+            x = F.when(F.abs(x) >= 1e6, F.round(x / unit) * unit).otherwise(F.round(x, digits)) + F.lit(0.0)
         elif isinstance(f.dataType, T.DateType):
             x = x.cast("string")
         out.append(x.alias(f.name))
@@ -591,9 +593,9 @@ QUERIES: dict[str, Query] = {
       SELECT universe_id, date, avg(next_gap) AS gap_mean, avg(next_oc) AS oc_mean, avg(next_cc) AS cc_mean, avg(next_gap) FILTER (cand_long) AS long_gap_mean, avg(next_gap) FILTER (cand_short) AS short_gap_mean, avg(next_oc) - avg(next_gap) AS gap_to_oc_reversal
       FROM mask_all LEFT JOIN rets r USING (universe_id, date, ticker) GROUP BY ALL""", ("gap_mean", "oc_mean", "cc_mean", "long_gap_mean", "short_gap_mean", "gap_to_oc_reversal")),
     "monthly_metrics": Query(lambda m: scenarios.aggregates(m.period_days, F.date_format("date", "yyyy-MM"), "year_month"), _aggregate_sql("strftime(date, '%Y-%m')", "year_month"), AGG_D, ()),
-    "yearly_metrics": Query(lambda m: scenarios.aggregates(m.period_days, F.year("date").cast("long"), "year"), _aggregate_sql("year(date)", "year"), AGG_D, ()),
-    "period_summary": Query(lambda m: m.summary, "SELECT * FROM summary", SUM_D, ("start_date", "end_date")),
-    "baseline_delta": Query(lambda m: scenarios.baseline_deltas(m.summary), f"SELECT s.universe_id, s.period_label, s.scenario_id, {', '.join(f's.{x} - b.{x} AS delta_{x}' for x in DELTAS)} FROM summary s JOIN summary b ON b.period_label = s.period_label AND b.scenario_id = 'S01_CurrOC'", tuple(f"delta_{x}" for x in DELTAS), ()),
+    "yearly_metrics": Query(lambda m: scenarios.aggregates(m.period_days, F.year("date").cast("long"), "year"), _aggregate_sql("year(date)", "year"), AGG_D, (), digits=MEANS),
+    "period_summary": Query(lambda m: m.summary, "SELECT * FROM summary", SUM_D, ("start_date", "end_date"), digits=MEANS),
+    "baseline_delta": Query(lambda m: scenarios.baseline_deltas(m.summary), f"SELECT s.universe_id, s.period_label, s.scenario_id, {', '.join(f's.{x} - b.{x} AS delta_{x}' for x in DELTAS)} FROM summary s JOIN summary b ON b.period_label = s.period_label AND b.scenario_id = 'S01_CurrOC'", tuple(f"delta_{x}" for x in DELTAS), (), digits=MEANS),
     "max_consecutive": Query(lambda m: performance.longest_runs(m.period_days.select("universe_id", "period_label", "scenario_id", "date", c("gross_pct").alias("ret")), ["universe_id", "period_label", "scenario_id"]), "SELECT * FROM pd_runs", (), ()),
     "cache_freshness": Query(lambda m: store.freshness(m.panel, F.lit("2001-11-01").cast("date")), "SELECT universe_id, ticker, max(date) AS last_date, max(date) < DATE '2001-11-01' AS stale FROM panel WHERE close IS NOT NULL GROUP BY ALL", (), ("last_date",)),
     "cache_sides": Query(lambda m: store.side_summary(m.panel), "SELECT universe_id, side, count(*) AS tickers, min(l) AS oldest_last, max(l) AS newest_last, min(l) = max(l) AS aligned FROM (SELECT universe_id, side, ticker, max(date) AS l FROM panel WHERE close IS NOT NULL GROUP BY ALL) GROUP BY ALL", (), ("oldest_last", "newest_last")),
@@ -714,7 +716,7 @@ QUERIES: dict[str, Query] = {
       JOIN (SELECT universe_id, date, avg(signal) FILTER (CAST(regexp_extract(ticker, '(\\d+)$', 1) AS INTEGER) % 3 = 2) - avg(signal) FILTER (CAST(regexp_extract(ticker, '(\\d+)$', 1) AS INTEGER) % 3 = 0) AS lag_spread FROM signal GROUP BY ALL) USING (universe_id, date)""", ("lead_spread", "lag_spread")),
     "rolling_flip_difference": Query(lambda m: studies.rolling_difference(m.scenarios, "S01_CurrOC", "S02_FlipL_OC"), """
       SELECT *, avg(diff) OVER (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS rolling FROM (SELECT universe_id, date, max(gross) FILTER (scenario_id = 'S02_FlipL_OC') - max(gross) FILTER (scenario_id = 'S01_CurrOC') AS diff FROM sc GROUP BY ALL)""", ("diff", "rolling")),
-    "quarterly_metrics": Query(lambda m: scenarios.aggregates(m.period_days, F.concat_ws("-Q", F.year("date"), F.quarter("date")), "quarter"), _aggregate_sql("year(date) || '-Q' || quarter(date)", "quarter"), AGG_D, ()),
+    "quarterly_metrics": Query(lambda m: scenarios.aggregates(m.period_days, F.concat_ws("-Q", F.year("date"), F.quarter("date")), "quarter"), _aggregate_sql("year(date) || '-Q' || quarter(date)", "quarter"), AGG_D, (), digits=MEANS),
     "best_scenario": Query(lambda m: studies.best_scenarios(m.scenarios), "SELECT universe_id, date, scenario_id, gross FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY gross DESC, scenario_id) AS r FROM sc WHERE tradeable) WHERE r = 1", ("gross",)),
     "worst_days": Query(lambda m: studies.worst_days(m.lead_features, m.portfolio, "gross_return", ("mean", "sd", "breadth", "narrowness")), """
       SELECT universe_id, share, count(*) AS n, avg(gross_return) AS value_mean, avg(mean) AS mean, avg(sd) AS sd, avg(breadth) AS breadth, avg(narrowness) AS narrowness FROM (SELECT *, percent_rank() OVER (ORDER BY gross_return, date) AS place FROM leadf JOIN pf USING (universe_id, date)), (VALUES (1.0::DOUBLE), (0.2::DOUBLE), (0.1::DOUBLE)) s(share)
@@ -768,11 +770,11 @@ QUERIES: dict[str, Query] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, q=q: presented(q.build(Market(spark, sf_dir, q.by, q.grain)))) for name, q in QUERIES.items()}
+    return {name: (lambda spark, sf_dir, q=q: presented(q.build(Market(spark, sf_dir, q.by, q.grain)), q.digits)) for name, q in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    made = {name: statement(q.sql, q.doubles, DIGITS, q.dates) for name, q in QUERIES.items() if q.sql}
+    made = {name: statement(q.sql, q.doubles, q.digits, q.dates) for name, q in QUERIES.items() if q.sql}
     made = {name: for_days(sql, DAYS) if QUERIES[name].grain == "day" else sql for name, sql in made.items()}
     return {name: for_universes(sql, QUERIES[name].by, UNIVERSES) if QUERIES[name].by else sql for name, sql in made.items()}
 
